@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The ASCII word boundary, spelled out because Java's \b looks at Unicode letters.
@@ -151,3 +151,23 @@ def install_hint(text: Column) -> Column:
 def strip_json_comments(text: Column) -> Column:
     """JSON with // and block comments removed."""
     return F.regexp_replace(F.regexp_replace(text, r"(?m)//.*$", ""), r"/\*[\s\S]*?\*/", "")
+
+
+def strict_json(text: Column) -> Column:
+    """The text as a variant, or NULL unless it is exactly one JSON value.
+
+    The parser alone stops after the first value and ignores what follows; inside
+    brackets a trailing word is an error and a second value shows as an element.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
+def keep_found(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows for which ``value`` is not NULL, with it as a column.
+
+    Written as a generator: an IS NOT NULL filter would be pushed below the
+    projection and evaluate an expensive ladder of patterns a second time.
+    """
+    return df.withColumn(name, F.explode(F.array_compact(F.array(value))))

@@ -1,6 +1,6 @@
 """Named queries over the adapter views, one module per part of the inventory."""
 
-from repohealth.plans import history_plans  # noqa: F401
+from repohealth.plans import file_plans, finding_plans, history_plans, rule_plans  # noqa: F401
 from repohealth.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

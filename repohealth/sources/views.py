@@ -77,7 +77,7 @@ SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-'
   CASE l_partkey % 6
     WHEN 0 THEN concat('Function f has cyclomatic complexity ', CAST(l_partkey % 60 AS STRING), ' (threshold: 10)')
     WHEN 1 THEN concat('File has ', CAST(l_partkey AS STRING), ' lines of code')
-    WHEN 2 THEN concat('High churn: ', CAST(l_partkey % 90 AS STRING), ' commits by dev', CAST(l_suppkey % 7 AS STRING))
+    WHEN 2 THEN concat('High churn: ', CAST(l_partkey % 90 AS STRING), ' commits (author: dev', CAST(l_suppkey % 7 AS STRING), ')')
     WHEN 3 THEN concat('Circular dependency: a', CAST(l_partkey % 50 AS STRING), '.ts -> b', CAST(l_suppkey % 20 AS STRING), '.ts -> c', CAST(l_linenumber AS STRING), '.ts')
     WHEN 4 THEN concat('module imports lib', CAST(l_partkey % 30 AS STRING))
     ELSE concat('pkg', CAST(l_partkey AS STRING), ' is outdated') END AS message,
@@ -360,7 +360,7 @@ FROM {part}"""
 
 VIEWS["v_config_docs"] = """
 SELECT c_custkey AS repo_id, concat('{{"thresholds":{{"complexity":', CAST(c_custkey % 130 AS STRING), '}},"aiTokenBudget":', CAST(c_custkey % 9 - 1 AS STRING),
-  ',"tier":"', CASE c_custkey % 5 WHEN 0 THEN 'turbo' WHEN 1 THEN 'quick' ELSE 'standard' END, '","profile":"',
+  ',"tier":"', CASE c_custkey % 5 WHEN 0 THEN 'turbo' WHEN 1 THEN 'max' ELSE 'pro' END, '","profile":"',
   CASE c_custkey % 6 WHEN 0 THEN 'solo' WHEN 1 THEN 'library' WHEN 2 THEN 'unknown' WHEN 3 THEN 'team' WHEN 4 THEN 'enterprise' ELSE 'cli' END,
   '","commands":{{"test":', CASE c_custkey % 4 WHEN 0 THEN '42' WHEN 1 THEN 'null' ELSE '"npm test"' END, '}}}}') AS doc
 FROM {customer}"""
