@@ -55,6 +55,10 @@ def _content_of(path: str) -> Column:
     return F.max(F.when(F.col("path") == path, F.col("content")))
 
 
+def _any_line(content: Column, pattern: str) -> Column:
+    return F.exists(F.split(content, "\n"), lambda s: F.rlike(F.trim(s), F.lit(pattern)))
+
+
 def config_checks(files: DataFrame, archetypes: DataFrame) -> DataFrame:
     """Configuration findings of every repository from one aggregate over its root files.
 
@@ -117,9 +121,9 @@ def config_checks(files: DataFrame, archetypes: DataFrame) -> DataFrame:
         hit(F.col("gi").isNull(), "high", ".gitignore", "gitignore", "no .gitignore"),
     ]
     for label, pattern in GITIGNORE_ENTRIES:
-        found = F.exists(F.split("gi", "\n"), lambda s, p=pattern: F.rlike(F.trim(s), F.lit(p)))
+        found = _any_line(F.col("gi"), pattern)
         out.append(hit(F.col("gi").isNotNull() & ~found, "info", ".gitignore", "gitignore", f"missing {label}"))
-    user = F.exists(F.split("df", "\n"), lambda s: F.rlike(F.trim(s), F.lit(r"(?i)^USER\s+")))
+    user = _any_line(F.col("df"), r"(?i)^USER\s+")
     out += [
         hit(F.col("env") & ~F.col("envt"), "medium", ".env", "env", "no .env template"),
         hit(F.col("df").isNotNull() & ~user, "medium", "Dockerfile", "docker", "no non-root USER"),

@@ -207,37 +207,52 @@ def _has_path(names: tuple[str, ...]) -> Column:
     return F.bool_or(present(F.col("path"), names))
 
 
-def ecosystem(files: DataFrame) -> DataFrame:
-    """Build ecosystem of every repository from its root files."""
-    def at_root(*names: str) -> Column:
-        return F.bool_or(F.col("path").isin(*names))
+# Root files of the build ecosystems, tested in this order.
+ECOSYSTEM_FILES = (
+    ("rust", ("Cargo.toml",)), ("go", ("go.mod",)), ("cpp", ("CMakeLists.txt", "Makefile")),
+    ("python", ("pyproject.toml", "setup.py")),
+)
 
-    flags = files.groupBy("repo_id").agg(
-        at_root("Cargo.toml").alias("rust"), at_root("go.mod").alias("go"),
-        at_root("CMakeLists.txt", "Makefile").alias("cpp"), at_root("pyproject.toml", "setup.py").alias("python"),
-    )
+
+def _ecosystem_flags() -> list[Column]:
+    return [F.bool_or(F.col("path").isin(*names)).alias(f"_eco_{eco}") for eco, names in ECOSYSTEM_FILES]
+
+
+def _ecosystem() -> Column:
     out = None
-    for name in ("rust", "go", "cpp", "python"):
-        out = F.when(F.col(name), name) if out is None else out.when(F.col(name), name)
-    return flags.select("repo_id", out.otherwise("node").alias("ecosystem"))
-
-
-def frameworks(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """First framework of the ordered table with a config file at the root or a declared package; needs a manifest."""
-    configs = files.groupBy("repo_id").agg(*[
-        F.bool_or(F.col("path").isin(*names)).alias(f"_{name}") for name, names, _ in FRAMEWORKS if names
-    ])
-    deps = F.coalesce(F.array_union(
-        F.coalesce(F.map_keys("pkg.dependencies"), F.array().cast("array<string>")),
-        F.coalesce(F.map_keys("pkg.devDependencies"), F.array().cast("array<string>")),
-    ), F.array().cast("array<string>"))
+    for eco, _ in ECOSYSTEM_FILES:
+        out = F.when(F.col(f"_eco_{eco}"), eco) if out is None else out.when(F.col(f"_eco_{eco}"), eco)
+    return out.otherwise("node")
+
+
+def _framework_flags() -> list[Column]:
+    return [F.bool_or(F.col("path").isin(*names)).alias(f"_fw_{fw}") for fw, names, _ in FRAMEWORKS if names]
+
+
+def _framework() -> Column:
+    """First framework of the ordered table with a config file at the root or a declared package."""
+    none = F.array().cast("array<string>")
+    deps = F.array_union(
+        F.coalesce(F.map_keys("pkg.dependencies"), none), F.coalesce(F.map_keys("pkg.devDependencies"), none)
+    )
     out = None
     for name, names, package in FRAMEWORKS:
         hit = F.array_contains(deps, package)
         if names:
-            hit = F.col(f"_{name}") | hit
+            hit = F.col(f"_fw_{name}") | hit
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return manifest.join(configs, "repo_id").select("repo_id", out.alias("framework"))
+    return F.when(F.col("pkg").isNotNull(), out)
+
+
+def ecosystem(files: DataFrame) -> DataFrame:
+    """Build ecosystem of every repository from its root files."""
+    return files.groupBy("repo_id").agg(*_ecosystem_flags()).select("repo_id", _ecosystem().alias("ecosystem"))
+
+
+def frameworks(files: DataFrame) -> DataFrame:
+    """Framework of every repository that has a manifest."""
+    facts = files.groupBy("repo_id").agg(*_framework_flags()).join(manifests(files), "repo_id")
+    return facts.select("repo_id", _framework().alias("framework"))
 
 
 def _script_matches(names: tuple[str, ...], pattern: str) -> Column:
@@ -248,19 +263,20 @@ def _script_matches(names: tuple[str, ...], pattern: str) -> Column:
 
 
 def repo_traits(files: DataFrame) -> DataFrame:
-    """Nine traits, framework and ecosystem of every repository, from one pass over its paths plus its manifest."""
-    flags = files.groupBy("repo_id").agg(
+    """Nine traits, framework and ecosystem of every repository, from one aggregate over its paths and its manifest.
+
+    Only flags are aggregated, so the files' contents are never sorted or shuffled.
+    """
+    facts = files.groupBy("repo_id").agg(
         *[_has_path(names).alias(f"_{trait}") for trait, names in TRAIT_PATHS.items()],
         *[_has_path((name,)).alias(f"_weak_{name}") for name in WEAK_COMPLIANCE],
         _has_path(DEPLOYMENT_FILES).alias("_deploy"),
         F.bool_or((F.col("path") == "Cargo.toml") & F.contains("content", F.lit("[[bin]]"))).alias("_cargo_bin"),
         _has_path(("src/main.rs",)).alias("_main_rs"), _has_path(("main.go",)).alias("_main_go"),
+        *_ecosystem_flags(), *_framework_flags(),
     )
-    manifest = manifests(files)
-    joined = (
-        flags.join(manifest, "repo_id", "left").join(frameworks(files, manifest), "repo_id", "left")
-        .join(ecosystem(files), "repo_id")
-    )
+    parsed = facts.join(manifests(files), "repo_id", "left").withColumn("ecosystem", _ecosystem())
+    known = parsed.withColumn("framework", _framework())
     no = F.lit(False)
     eco, fw = F.col("ecosystem"), F.coalesce("framework", F.lit(""))
     weak = sum((F.col(f"_weak_{n}").cast("int") for n in WEAK_COMPLIANCE), F.lit(0))
@@ -269,7 +285,7 @@ def repo_traits(files: DataFrame) -> DataFrame:
         | F.col("pkg.source").isNotNull(), no,
     )
     server = F.col("_long_running_server") | _script_matches(*SERVER_SCRIPTS)
-    return joined.select(
+    return known.select(
         "repo_id", "ecosystem", "framework",
         F.col("_api_routes").alias("has_api_routes"),
         ((eco == "node") & (F.col("_frontend_bundle") | fw.isin("nextjs", "remix", "nuxt", "vite"))).alias("has_frontend_bundle"),
@@ -450,7 +466,7 @@ def entry_points(manifest_json: Column) -> Column:
 
     def strings(text: Column) -> Column:
         """String leaves of a JSON value: every quoted text that is a value, not a key."""
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r'"((?:[^"\\]|\\.)*)"(?!\s*:)'), F.lit(1))
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r'[:\[,]\s*"((?:[^"\\]|\\.)*)"(?=\s*[,}\]])'), F.lit(1))
 
     raw = F.from_json(manifest_json, "exports string, bin string")
     nested = F.flatten(F.array(*[
