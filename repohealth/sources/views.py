@@ -336,6 +336,39 @@ SELECT l_orderkey AS run_id, l_linenumber AS line_no,
   CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE 1 + l_orderkey % 2 END AS INT) AS exit_code
 FROM {lineitem}"""
 
+VIEWS["v_audit_docs"] = """
+SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 = 0
+  THEN concat('{{"advisories":{{"', CAST(p_partkey AS STRING), '":{{"severity":"', CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'moderate' WHEN 2 THEN 'low' ELSE 'odd' END, '","title":"Old flaw","module_name":"pkg', CAST(p_partkey AS STRING), '"', CASE WHEN p_size % 2 = 0 THEN ',"url":"https://a.example/1"' ELSE '' END, '}}}}}}')
+  WHEN p_partkey % 31 = 1 THEN 'oops {{'
+  ELSE concat('{{"vulnerabilities":{{"pkg', CAST(p_partkey AS STRING), '":{{"severity":"', CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'moderate' WHEN 2 THEN 'high' ELSE 'low' END, '","via":["dep"', CASE WHEN p_size % 3 = 0 THEN '' ELSE concat(',{{"title":"Flaw ', CAST(p_size AS STRING), '","url":"https://b.example/', CAST(p_partkey AS STRING), '"}},{{"title":"second"}}') END, '],"fixAvailable":', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, '}},"other":{{"severity":"info","via":[],"fixAvailable":{{"name":"x"}}}}}}}}') END AS doc
+FROM {part}"""
+
+VIEWS["v_ndjson"] = """
+SELECT l_orderkey AS run_id, l_linenumber AS line_no, CASE l_partkey % 6 WHEN 0 THEN '{{"reason":"build-finished","success":true}}' WHEN 1 THEN 'not json' WHEN 2 THEN '{{"reason":"compiler-message","message":{{"level":"note","message":"n","spans":[]}}}}'
+  WHEN 3 THEN '{{"reason":"compiler-message","message":{{"level":"warning","message":"2 warnings generated","code":null,"spans":[]}}}}'
+  ELSE concat('{{"reason":"compiler-message","message":{{"level":"', CASE WHEN l_partkey % 6 = 4 THEN 'warning' ELSE 'error' END, '","message":"m', CAST(l_partkey % 9 AS STRING), '","code":', CASE WHEN l_suppkey % 2 = 0 THEN 'null' ELSE '{{"code":"dead_code"}}' END,
+    ',"spans":[{{"file_name":"src/f', CAST(l_suppkey AS STRING), '.rs","line_start":', CAST(l_linenumber AS STRING), '}},{{"file_name":"src/z.rs","line_start":1}}]}}}}') END AS text
+FROM {lineitem}"""
+
+VIEWS["v_concat_docs"] = """
+SELECT o_orderkey AS doc_id, concat('{{"Path":"root","Main":true}}', chr(10), '{{"Path":"m', CAST(o_custkey AS STRING), '","Version":"v1.', CAST(o_custkey % 9 AS STRING), '.0"',
+  CASE WHEN o_orderkey % 2 = 0 THEN ',"Update":{{"Version":"v2.0.0"}}' ELSE '' END, '}} {{"Path":"n","Version":"v0.1.0"}}') AS doc
+FROM {orders}"""
+
+VIEWS["v_vuln_docs"] = """
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0
+  THEN concat('{{"vulns":[{{"osv":{{"id":"GO-', CAST(o_orderkey AS STRING), '","summary":"s","database_specific":{{"severity":"MODERATE"}}}},"modules":[{{"path":"m/a","fixed_version":"v1.2.3"}}]}}]}}')
+  ELSE concat('{{"config":{{"v":1}}}}', chr(10), '{{"osv":{{"id":"GO-', CAST(o_custkey AS STRING), '"}}}}', chr(10), 'garbage', chr(10), chr(10), '{{"osv":{{"id":"GO-X","database_specific":{{"severity":"high"}}}},"modules":[{{"path":"m/b","packages":[{{"callstacks":[1]}}]}}]}}',
+    CASE WHEN o_orderkey % 3 = 0 THEN concat(chr(10), '{{"osv":{{"id":"GO-Y","summary":"y"}},"modules":[{{"path":"m/c","packages":[{{"callstacks":[1]}}]}}]}}') ELSE '' END) END AS doc
+FROM {orders}"""
+
+VIEWS["v_lint_docs"] = """
+SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 10 = 9 THEN 'failed to load config' ELSE concat('[{{"filePath":"src/a', CAST(o_custkey % 20 AS STRING), '.ts","messages":[{{"line":', CAST(o_orderkey % 300 AS STRING), ',"severity":', CAST(1 + o_orderkey % 2 AS STRING), ',"message":"bad","ruleId":"no-bad"}},{{"severity":2,"message":"parse","ruleId":null}}]}},{{"filePath":"src/ok.ts","messages":[]}}]') END AS doc
+FROM {orders}"""
+
+VIEWS["v_lock_files"] = """
+SELECT concat('repo', CAST(c_custkey AS STRING)) AS repo_id, concat('version = 3', chr(10), repeat(concat('[[package]]', chr(10), 'name = "x"', chr(10)), CAST(c_custkey % 40 AS INT))) AS content FROM {customer}"""
+
 VIEWS["v_runs"] = """
 SELECT o_orderkey AS run_id, CASE o_orderkey % 4 WHEN 0 THEN 'build' WHEN 1 THEN 'lint' WHEN 2 THEN 'typecheck' ELSE 'test' END AS module_id,
   CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE 'npm run x' END AS command, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 + o_orderkey % 2 END AS INT) AS exit_code
