@@ -1,12 +1,24 @@
-"""Import graph operators."""
+"""Import graph operators: fan counts, components, blast radius, cycles, communities, clusters, violations.
+
+Edges are (src, dst): src imports dst. Node names are unique across
+repositories, so one job covers the graphs of all of them. Loops keep their
+state in checkpoints, stop on an empty change, and fail loudly when a bound on
+the rounds is passed. Columns are renamed before every self-join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repohealth.functions.paths import prefix2, top_dir
+from repohealth.functions.scalars import count_if
+from repohealth.operators.shape import classify_layer, forbidden_import
+from repohealth.session import cut_lineage
 from repohealth.sources.files import split_count
 
+MAX_ROUNDS = 1000
+
 
 def is_entry(path: Column) -> Column:
     return path.startswith("app/") | path.startswith("pages/")
@@ -23,3 +35,290 @@ def node_facts(files: DataFrame, edges: DataFrame) -> DataFrame:
         *keys, "loc", fan_in.alias("fan_in"), F.coalesce("_out", F.lit(0)).cast("bigint").alias("fan_out"),
         is_entry(F.col("path")).alias("is_entry"), ((fan_in == 0) & ~is_entry(F.col("path"))).alias("is_island"),
     )
+
+
+def nodes_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
+
+
+def cyclic_core(edges: DataFrame, peels: int = 3) -> DataFrame:
+    """Edges left after peeling, again and again, nodes without incoming or without outgoing edges.
+
+    Every cycle survives; in a nearly acyclic graph almost nothing else does.
+    """
+    core = cut_lineage(edges)
+    size = core.count()
+    for _ in range(MAX_ROUNDS):
+        if size == 0:
+            return core
+        peeled = core
+        for _ in range(peels):
+            targets = peeled.select(F.col("dst").alias("src")).distinct()
+            sources = peeled.select(F.col("src").alias("dst")).distinct()
+            peeled = peeled.join(targets, "src", "left_semi").join(sources, "dst", "left_semi").select("src", "dst")
+        peeled = cut_lineage(peeled)
+        left = peeled.count()
+        if left == size:
+            return peeled
+        core, size = peeled, left
+    raise RuntimeError("peeling did not finish")
+
+
+def _forward_colors(edges: DataFrame) -> DataFrame:
+    """Smallest node that reaches each node (itself included), as (node, color)."""
+    colors = cut_lineage(nodes_of(edges).withColumn("color", F.col("node")))
+    for _ in range(MAX_ROUNDS):
+        offered = edges.join(colors.select(F.col("node").alias("src"), F.col("color").alias("_c")), "src").groupBy(
+            F.col("dst").alias("node")).agg(F.min("_c").alias("_offer"))
+        step = cut_lineage(
+            colors.join(offered, "node", "left").select(
+                "node", F.least("color", F.coalesce("_offer", "color")).alias("color"),
+                (F.col("_offer") < F.col("color")).alias("_changed"),
+            )
+        )
+        done = step.where("_changed").isEmpty()
+        colors = step.drop("_changed")
+        if done:
+            return colors
+    raise RuntimeError("colors did not settle")
+
+
+def _backward_reach(edges: DataFrame, colors: DataFrame) -> DataFrame:
+    """Nodes that reach the root of their own color inside that color, as (node, component)."""
+    inside = (
+        edges.join(colors.select(F.col("node").alias("src"), F.col("color").alias("_cs")), "src")
+        .join(colors.select(F.col("node").alias("dst"), F.col("color").alias("_cd")), "dst")
+        .where("_cs = _cd").select("src", "dst", F.col("_cs").alias("component"))
+    )
+    inside = cut_lineage(inside)
+    reached = cut_lineage(colors.where("node = color").select("node", F.col("color").alias("component")))
+    frontier, parts = reached, [reached]
+    for _ in range(MAX_ROUNDS):
+        back = inside.join(frontier.select(F.col("node").alias("dst")), "dst").select(
+            F.col("src").alias("node"), "component").distinct()
+        known = parts[0]
+        for part in parts[1:]:
+            known = known.union(part)
+        frontier = cut_lineage(back.join(known.select("node"), "node", "left_anti"))
+        if frontier.isEmpty():
+            return known
+        parts.append(frontier)
+    raise RuntimeError("reach did not finish")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node on a cycle; the component is its smallest node.
+
+    Peel to the cyclic core, color it forward by the smallest ancestor, walk back
+    from the color roots, remove what was found, repeat. All state is linear in
+    the edges: no reachability pairs are built, whatever the component sizes.
+    """
+    core = cyclic_core(_plain(edges))
+    found = None
+    for _ in range(MAX_ROUNDS):
+        if core.isEmpty():
+            break
+        members = _backward_reach(core, _forward_colors(core))
+        found = members if found is None else found.union(members)
+        rest = core.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(
+            members.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+        core = cyclic_core(rest)
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where(F.lit(False))
+    # Roots whose color class holds only themselves are on no cycle.
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component")
+    return found.join(sizes, "component", "left_semi").select("node", "component")
+
+
+def condense(edges: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their component (a lone node is its own) and the acyclic edges between components."""
+    members = nodes_of(edges).join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    members = cut_lineage(members)
+    between = (
+        edges.join(members.select(F.col("node").alias("src"), F.col("component").alias("a")), "src")
+        .join(members.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+        .where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    )
+    return members, between
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) with a path from src to dst, by doubling: rounds grow with the log of the longest path."""
+    delta = cut_lineage(_plain(edges))
+    parts = [delta]
+    for _ in range(MAX_ROUNDS):
+        known = parts[0]
+        for part in parts[1:]:
+            known = known.union(part)
+        longer = delta.select("src", F.col("dst").alias("_mid")).join(
+            known.select(F.col("src").alias("_mid"), "dst"), "_mid").select("src", "dst").distinct()
+        delta = cut_lineage(longer.join(known, ["src", "dst"], "left_anti"))
+        if delta.isEmpty():
+            return known
+        parts.append(delta)
+    raise RuntimeError("closure did not finish")
+
+
+def blast_radius(edges: DataFrame) -> DataFrame:
+    """Direct and transitive dependents of every node; a node never counts as its own dependent.
+
+    Components are condensed first, so a giant cycle costs its size, not its
+    square; reachability pairs are only built between components.
+    """
+    plain = cut_lineage(_plain(edges))
+    members, between = condense(plain, strong_components(plain))
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    above = (
+        closure(between).join(sizes.select(F.col("component").alias("src"), "size"), "src")
+        .groupBy(F.col("dst").alias("component")).agg(F.sum("size").alias("_above"))
+    )
+    direct = plain.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
+    zero = F.lit(0)
+    return (
+        members.join(sizes, "component").join(above, "component", "left").join(direct, "node", "left")
+        .select("node", F.coalesce("direct", zero).cast("bigint").alias("direct"),
+                (F.coalesce("_above", zero) + F.col("size") - 1).cast("bigint").alias("transitive"))
+    )
+
+
+def blast_from(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Dependents of the ``start`` nodes (node) with their distance, one frontier per round."""
+    plain = _plain(edges)
+    frontier = cut_lineage(start.select("node").distinct())
+    origin, parts, level = frontier, [], 0
+    for _ in range(MAX_ROUNDS):
+        level += 1
+        known = origin
+        for part in parts:
+            known = known.union(part.select("node"))
+        found = plain.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+        step = cut_lineage(found.join(known, "node", "left_anti").withColumn("level", F.lit(level)))
+        if step.isEmpty():
+            break
+        parts.append(step)
+        frontier = step.select("node")
+    if not parts:
+        return origin.withColumn("level", F.lit(0)).where(F.lit(False))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def short_cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
+    """Simple cycles of up to ``longest`` nodes, each once, starting at its smallest node.
+
+    Only edges inside one strong component are walked: no cycle leaves it.
+    """
+    plain = cut_lineage(_plain(edges))
+    comp = strong_components(plain)
+    inner = cut_lineage(
+        plain.join(comp.select(F.col("node").alias("src"), F.col("component").alias("a")), "src")
+        .join(comp.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+        .where("a = b").select("src", "dst")
+    )
+    step = inner.select(F.col("src").alias("_last"), F.col("dst").alias("_next"))
+    paths = inner.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("src").alias("start"), F.col("dst").alias("_last"))
+    cycles = None
+    for length in range(2, longest + 1):
+        closing = paths.join(step, "_last").where("_next = start").select("path")
+        cycles = closing if cycles is None else cycles.union(closing)
+        if length < longest:
+            grown = paths.join(step, "_last").where((F.col("_next") > F.col("start")) & ~F.array_contains("path", F.col("_next")))
+            paths = grown.select(F.concat("path", F.array("_next")).alias("path"), "start", F.col("_next").alias("_last"))
+    return cycles.select("path", F.size("path").alias("length"))
+
+
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """Every edge with whether it lies on a cycle: both ends in one strong component."""
+    plain = cut_lineage(_plain(edges))
+    comp = strong_components(plain)
+    return (
+        plain.join(comp.select(F.col("node").alias("src"), F.col("component").alias("a")), "src", "left")
+        .join(comp.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst", "left")
+        .select("src", "dst", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("in_cycle"))
+    )
+
+
+def communities(edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """Communities by synchronous label propagation on the undirected weighted graph, as (node, community).
+
+    Fixed rounds and ties to the smallest label make it deterministic. A hub's
+    votes are summed before they meet, so no neighbourhood is gathered.
+    """
+    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).where(F.col("src") != F.col("dst"))
+    weighted = cut_lineage(both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
+    labels = weighted.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    for _ in range(rounds):
+        votes = weighted.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(
+            F.sum("w").alias("w"))
+        labels = cut_lineage(votes.groupBy(F.col("src").alias("node")).agg(
+            F.min_by("community", F.struct((-F.col("w")).alias("a"), F.col("community"))).alias("community")))
+    return labels
+
+
+def _with_clusters(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """Edges with the clusters of both ends (a, b)."""
+    return edges.join(membership.select(F.col("node").alias("src"), F.col("cluster").alias("a")), "src").join(
+        membership.select(F.col("node").alias("dst"), F.col("cluster").alias("b")), "dst")
+
+
+def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """Share of edges inside clusters against what the degrees alone would give; one row."""
+    tagged = _with_clusters(edges, membership)
+    degree = tagged.select(F.col("a").alias("cluster")).union(tagged.select(F.col("b").alias("cluster"))).groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("d"))
+    total = tagged.agg(F.count(F.lit(1)).alias("m"), count_if(F.col("a") == F.col("b")).alias("inside"))
+    spread = degree.agg(F.sum((F.col("d") * F.col("d")).cast("decimal(38,0)")).cast("double").alias("sq"), F.count(F.lit(1)).alias("clusters"))
+    m = total.select("m").scalar().cast("double")
+    return spread.select(
+        "clusters", F.round(total.select("inside").scalar() / m - F.col("sq") / (F.lit(4.0) * m * m), 6).alias("modularity"))
+
+
+def directory_clusters(nodes: DataFrame) -> DataFrame:
+    """Cluster of a path node: its first directory, '.' for files at the top."""
+    return nodes.select("node", top_dir(F.col("node")).alias("cluster"))
+
+
+def feature_areas(membership: DataFrame, edges: DataFrame) -> DataFrame:
+    """Size, most common two-segment prefix and cohesion of every cluster; 1 for a cluster without edges."""
+    prefixes = membership.groupBy("cluster", prefix2(F.col("node")).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    areas = prefixes.groupBy("cluster").agg(
+        F.sum("_n").alias("files"), F.min_by("_p", F.struct((-F.col("_n")).alias("a"), F.col("_p"))).alias("name"))
+    tagged = _with_clusters(edges, membership)
+    touched = tagged.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("cluster"), (F.col("a") == F.col("b")).alias("inside"))
+    ties = touched.groupBy("cluster").agg(count_if(F.col("inside")).alias("_in"), F.count(F.lit(1)).alias("_all"))
+    return areas.join(ties, "cluster", "left").select(
+        "cluster", "name", "files", F.coalesce(F.col("_in") / F.col("_all"), F.lit(1.0)).alias("cohesion"))
+
+
+def coupling(membership: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between every unordered pair of different clusters."""
+    tagged = _with_clusters(edges, membership).where("a <> b")
+    return tagged.groupBy(F.least("a", "b").alias("cluster_a"), F.greatest("a", "b").alias("cluster_b")).agg(
+        F.count(F.lit(1)).alias("cross_edges"))
+
+
+def layer_violations(edges: DataFrame) -> DataFrame:
+    """Edges between layers that should not import each other; layers follow from the paths."""
+    src, dst = classify_layer(F.col("src")), classify_layer(F.col("dst"))
+    tagged = edges.select("src", "dst", src.alias("src_layer"), dst.alias("dst_layer"))
+    return tagged.where(forbidden_import(F.col("src_layer"), F.col("dst_layer")))
+
+
+def graph_summary(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """Counts of nodes, edges, clusters and violations and the mean cohesion; one row."""
+    areas = feature_areas(membership, edges)
+
+    def number(df: DataFrame) -> Column:
+        return df.agg(F.count(F.lit(1))).scalar()
+
+    return areas.agg(
+        F.count(F.lit(1)).alias("communities"),
+        (F.floor(F.sum(F.col("cohesion").cast("decimal(20,9)")).cast("double") / F.count(F.lit(1)) * 1000 + 0.5) / 1000).alias("avg_cohesion"),
+    ).withColumn("nodes", number(nodes_of(edges))).withColumn("edges", number(edges)).withColumn(
+        "violations", number(layer_violations(edges)))

@@ -1,7 +1,7 @@
 """Named queries over the adapter views, one module per part of the inventory."""
 
-from repohealth.plans import file_plans, finding_plans, history_plans, rule_plans, shape_plans  # noqa: F401
-from repohealth.plans import tool_plans  # noqa: F401
+from repohealth.plans import file_plans, finding_plans, graph_plans, history_plans, rule_plans  # noqa: F401
+from repohealth.plans import shape_plans, tool_plans  # noqa: F401
 from repohealth.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
