@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import prefix2, top_dir
-from repohealth.functions.scalars import count_if
+from repohealth.functions.scalars import count_if, keep_found
 from repohealth.operators.shape import classify_layer, forbidden_import
 from repohealth.session import cut_lineage
 from repohealth.sources.files import split_count
@@ -45,6 +45,17 @@ def _plain(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
 
 
+def _peel(edges: DataFrame) -> DataFrame:
+    """Edges whose both ends have an incoming and an outgoing edge."""
+    ends = F.explode(F.array(
+        F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+        F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")),
+    ))
+    inner = edges.select(ends.alias("e")).groupBy("e.node").agg(F.max("e.o").alias("o"), F.max("e.i").alias("i")).where("o = 1 AND i = 1")
+    return edges.join(inner.select(F.col("node").alias("src")), "src", "left_semi").join(
+        inner.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
 def cyclic_core(edges: DataFrame, peels: int = 3) -> DataFrame:
     """Edges left after peeling, again and again, nodes without incoming or without outgoing edges.
 
@@ -57,9 +68,7 @@ def cyclic_core(edges: DataFrame, peels: int = 3) -> DataFrame:
             return core
         peeled = core
         for _ in range(peels):
-            targets = peeled.select(F.col("dst").alias("src")).distinct()
-            sources = peeled.select(F.col("src").alias("dst")).distinct()
-            peeled = peeled.join(targets, "src", "left_semi").join(sources, "dst", "left_semi").select("src", "dst")
+            peeled = _peel(peeled)
         peeled = cut_lineage(peeled)
         left = peeled.count()
         if left == size:
@@ -187,7 +196,7 @@ def blast_radius(edges: DataFrame) -> DataFrame:
 
 def blast_from(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Dependents of the ``start`` nodes (node) with their distance, one frontier per round."""
-    plain = _plain(edges)
+    plain = cut_lineage(_plain(edges))
     frontier = cut_lineage(start.select("node").distinct())
     origin, parts, level = frontier, [], 0
     for _ in range(MAX_ROUNDS):
@@ -307,7 +316,8 @@ def layer_violations(edges: DataFrame) -> DataFrame:
     """Edges between layers that should not import each other; layers follow from the paths."""
     src, dst = classify_layer(F.col("src")), classify_layer(F.col("dst"))
     tagged = edges.select("src", "dst", src.alias("src_layer"), dst.alias("dst_layer"))
-    return tagged.where(forbidden_import(F.col("src_layer"), F.col("dst_layer")))
+    forbidden = F.when(forbidden_import(F.col("src_layer"), F.col("dst_layer")), F.lit(True))
+    return keep_found(tagged, "_forbidden", forbidden).drop("_forbidden")
 
 
 def graph_summary(edges: DataFrame, membership: DataFrame) -> DataFrame:

@@ -422,8 +422,8 @@ def _refs(text: str) -> list[str]:
     return seen
 
 
-# Views that make up whole texts with long CASE ladders.
-TEXT_VIEWS = ("v_code_lines", "v_code_files", "v_sliced_files")
+# Views that make up texts and paths with long CASE ladders.
+TEXT_VIEWS = ("v_code_lines", "v_code_files", "v_sliced_files", "v_path_edges")
 
 
 def computed_once(view: DataFrame) -> DataFrame:
