@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The ASCII word boundary, spelled out because Java's \b looks at Unicode letters.
-_WORD_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-
 
 def ascii_edges(pattern: str) -> str:
-    """``pattern`` with every \\b replaced by an ASCII-only word boundary."""
-    return pattern.replace(r"\b", _WORD_EDGE)
+    """``pattern`` with every \\b as an ASCII word edge, because Java's \\b also sees Unicode letters.
+
+    An edge after a word character, a group or an optional group closes a word;
+    any other edge opens one.
+    """
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for part in parts[1:]:
+        closes = bool(out) and not out.endswith("(?i)") and (out[-1].isalnum() or out[-1] in ")?_")
+        out += (r"(?![A-Za-z0-9_])" if closes else r"(?<![A-Za-z0-9_])") + part
+    return out
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import dirname
+from repohealth.functions.severity import lookup
 from repohealth.operators.ordered import first_per_key
 
 # Import forms whose first group is the specifier; the fourth is the dynamic one.
@@ -80,20 +81,30 @@ def collapse_dots(path: Column) -> Column:
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """File every import points to: exact path, then with an extension, then an index file; self-imports dropped.
 
-    The thirteen candidates of an import are rows of one equi join with the file
-    list; the first existing candidate is kept by an aggregate.
+    Every file is listed once under each name it can be imported by (at most
+    three), with the rank of that form. So an import stays one row in one equi
+    join, and the best rank is kept by an aggregate.
     """
     spec = F.col("specifier")
-    joined = F.when(spec.startswith("@/"), F.expr("substring(specifier, 3)")).otherwise(
+    joined = F.when(spec.startswith("@/"), F.substr(spec, F.lit(3))).otherwise(
         F.concat(dirname(F.col("path"), ""), F.lit("/"), spec)
     )
-    base = collapse_dots(joined)
-    names = [base] + [F.concat(base, F.lit(e)) for e in RESOLVE_EXTENSIONS] + [
-        F.concat(base, F.lit(f"/index{e}")) for e in RESOLVE_EXTENSIONS
-    ]
-    candidates = imports.select("*", F.posexplode(F.array(*names)).alias("_rank", "target"))
-    known = files.select("repo_id", F.col("path").alias("target")).distinct()
-    found = candidates.join(known, ["repo_id", "target"]).where(F.col("target") != F.col("path"))
+    wanted = imports.withColumn("_name", collapse_dots(joined)).where(F.col("_name").isNotNull())
+
+    path = F.col("path")
+    ext = F.regexp_extract(path, r"(\.(?:ts|tsx|js|jsx|mts|mjs))$", 1)
+    bare = F.substr(path, F.lit(1), F.length(path) - F.length(ext))
+    rank = lookup(ext, {e: i + 1 for i, e in enumerate(RESOLVE_EXTENSIONS)}, 0)
+    folder = F.regexp_extract(bare, r"^(.+)/index$", 1)
+    names = F.array_compact(F.array(
+        F.struct(path.alias("name"), F.lit(0).alias("rank")),
+        F.when(ext != "", F.struct(bare.alias("name"), rank.alias("rank"))),
+        F.when((ext != "") & (folder != ""), F.struct(folder.alias("name"), (rank + len(RESOLVE_EXTENSIONS)).alias("rank"))),
+    ))
+    known = files.select("repo_id", path.alias("target")).distinct().withColumnRenamed("target", "path").select(
+        "repo_id", path.alias("target"), F.explode(names).alias("_k")).select(
+        "repo_id", "target", F.col("_k.name").alias("_name"), F.col("_k.rank").alias("_rank"))
+    found = wanted.join(known, ["repo_id", "_name"]).where(F.col("target") != F.col("path"))
     best = first_per_key(
         found.select("repo_id", "path", "specifier", "target", "is_dynamic", "symbols", "_rank"),
         ["repo_id", "path", "specifier"], ["_rank"],

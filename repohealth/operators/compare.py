@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import basename
-from repohealth.functions.scalars import count_if, half_up, normalise_category, normalise_file, overlap_ratio, word_set
+from repohealth.functions.scalars import count_if, half_up, keep_found, normalise_category, normalise_file, overlap_ratio, word_set
 from repohealth.session import cut_lineage
 
 THRESHOLD = 0.4
@@ -25,7 +25,10 @@ def profiles(findings: DataFrame, path: str, prefix: str) -> DataFrame:
     rows = findings.select(*cols).groupBy("repo_id", *FIELDS).agg(F.count(F.lit(1)).alias("n"))
     key = F.md5(F.concat_ws("\x1f", F.col("repo_id").cast("string"), "path", F.coalesce(F.col("line").cast("string"), F.lit("-")),
                             "message", "severity"))
-    return rows.select("repo_id", key.alias(f"{prefix}_id"), *[F.col(c).alias(f"{prefix}_{c}") for c in (*FIELDS, "n")])
+    return rows.select(
+        "repo_id", key.alias(f"{prefix}_id"), *[F.col(c).alias(f"{prefix}_{c}") for c in (*FIELDS, "n")],
+        word_set(F.col("message")).alias(f"{prefix}_words"),
+    )
 
 
 def path_score(left: Column, right: Column) -> Column:
@@ -43,7 +46,7 @@ def similarity(row: dict[str, Column]) -> Column:
     place = path_score(row["s_path"], row["a_path"])
     far = F.abs(row["s_line"] - row["a_line"])
     near = F.when((place > 0) & far.isNotNull(), F.when(far == 0, 0.15).when(far <= 5, 0.1).when(far <= 20, 0.05).otherwise(0.0)).otherwise(0.0)
-    words = overlap_ratio(word_set(row["s_message"]), word_set(row["a_message"])) * F.lit(0.3)
+    words = overlap_ratio(row["s_words"], row["a_words"]) * F.lit(0.3)
     same = F.when(row["s_severity"] == row["a_severity"], 0.05).otherwise(0.0)
     return F.least(place + near + words + same, F.lit(1.0))
 
@@ -89,8 +92,8 @@ def candidate_pairs(scan: DataFrame, audit: DataFrame) -> DataFrame:
     by_severity = name_join(
         side(s, "s", cell("s_line").alias("_cell"), F.col("s_severity").alias("_sev")),
         side(a, "a", around, F.col("a_severity").alias("_sev")), "_cell", "_sev")
-    word = lambda c: F.explode(word_set(F.col(c))).alias("_word")
-    by_word = name_join(side(s, "s", word("s_message")), side(a, "a", word("a_message")), "_word")
+    word = lambda c: F.explode(F.col(c)).alias("_word")
+    by_word = name_join(side(s, "s", word("s_words")), side(a, "a", word("a_words")), "_word")
     return by_path.union(by_line).union(by_severity).union(by_word).distinct()
 
 
@@ -98,8 +101,9 @@ def similar_pairs(scan: DataFrame, audit: DataFrame, scan_path: str = "file_path
     """Pairs of distinct findings of the two sides that score at least the threshold, with their numbers of copies."""
     s, a = profiles(scan, scan_path, "s"), profiles(audit, audit_path, "a")
     pairs = candidate_pairs(s, a).join(s, "s_id").join(a.drop("repo_id"), "a_id")
-    score = similarity({f"{p}_{c}": F.col(f"{p}_{c}") for p in "sa" for c in FIELDS})
-    return pairs.withColumn("similarity", score).where(F.col("similarity") >= THRESHOLD)
+    score = similarity({f"{p}_{c}": F.col(f"{p}_{c}") for p in "sa" for c in (*FIELDS, "words")})
+    scored = keep_found(pairs, "similarity", F.when(score >= THRESHOLD, score))
+    return scored.drop("s_words", "a_words")
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ class Rule:
     message: str
     suggestion: str = ""
     ignore_case: bool = False
+    literals: tuple[str, ...] = ()  # texts every match contains; found by a plain search before the pattern is tried
 
     @property
     def regex(self) -> str:
@@ -33,15 +34,15 @@ class Rule:
 # Secret patterns. Two generic ones ignore case.
 SECRET_RULES = (
     Rule("Private Key", r"-----BEGIN (RSA |EC |DSA )?PRIVATE KEY-----", "critical", "private-key",
-         "Private Key detected", "Remove the key from source code and keep it in a secrets manager."),
+         "Private Key detected", "Remove the key from source code and keep it in a secrets manager.", literals=("-----BEGIN ",)),
     Rule("AWS Access Key", r"AKIA[0-9A-Z]{16}", "high", "aws-key",
-         "AWS Access Key detected", "Rotate the access key and use roles or environment variables."),
+         "AWS Access Key detected", "Rotate the access key and use roles or environment variables.", literals=("AKIA",)),
     Rule("Connection String", r"(mongodb|postgres|mysql|redis)://[^\s'\x22]+", "high", "connection-string",
-         "Connection String detected", "Move connection strings to environment variables."),
+         "Connection String detected", "Move connection strings to environment variables.", literals=("://",)),
     Rule("API Key", r"sk-[a-zA-Z0-9]{20,}", "high", "api-key",
-         "API Key detected", "Remove the key and read it from the environment."),
+         "API Key detected", "Remove the key and read it from the environment.", literals=("sk-",)),
     Rule("Personal Access Token", r"ghp_[a-zA-Z0-9]{36}", "high", "api-key",
-         "Personal Access Token detected", "Revoke the token and read a new one from the environment."),
+         "Personal Access Token detected", "Revoke the token and read a new one from the environment.", literals=("ghp_",)),
     Rule("Generic Secret Assignment",
          r"(password|secret|token|api_key|apikey|api-key|auth_token)\s*[:=]\s*['\x22][^'\x22]{8,}['\x22]",
          "medium", "generic-secret", "Generic Secret Assignment detected", "Move the secret out of the code.", True),
@@ -96,36 +97,37 @@ COMMENT_EXTENSIONS = (
 # Names of protected health data and the uses that expose it. ARG is the name, REST any other arguments.
 PHI_NAMES = ("ssn", "dob", "patient", "medical", "diagnosis", "healthRecord", "mrn", "phi")
 PHI_TEMPLATES = (
-    ("phi-in-logs", r"console\.log\(REST\bARG\bREST\)", "high"),
-    ("phi-in-console-info", r"console\.info\(REST\bARG\bREST\)", "high"),
-    ("phi-in-console-warn", r"console\.warn\(REST\bARG\bREST\)", "high"),
-    ("phi-in-console-error", r"console\.error\(REST\bARG\bREST\)", "high"),
-    ("hardcoded-phi-let", r"\blet ARG = ", "high"),
-    ("phi-in-res-json", r"res\.json\(\{REST\bARG\bREST\}\)", "high"),
-    ("phi-in-res-send", r"res\.send\(ARG\)", "high"),
-    ("phi-in-thrown-error", r"throw new Error\(ARG\)", "medium"),
-    ("phi-localstorage", r"localStorage\.setItem\(REST, ?ARG\)", "critical"),
-    ("phi-sessionstorage", r"sessionStorage\.setItem\(REST, ?ARG\)", "high"),
-    ("phi-writefile", r"fs\.writeFileSync\(REST, ?ARG\)", "critical"),
-    ("phi-writefile-async", r"fs\.writeFile\(REST, ?ARG, REST\)", "critical"),
+    ("phi-in-logs", "console.log(", r"console\.log\(REST\bARG\bREST\)", "high"),
+    ("phi-in-console-info", "console.info(", r"console\.info\(REST\bARG\bREST\)", "high"),
+    ("phi-in-console-warn", "console.warn(", r"console\.warn\(REST\bARG\bREST\)", "high"),
+    ("phi-in-console-error", "console.error(", r"console\.error\(REST\bARG\bREST\)", "high"),
+    ("hardcoded-phi-let", "let ", r"\blet ARG = ", "high"),
+    ("phi-in-res-json", "res.json(", r"res\.json\(\{REST\bARG\bREST\}\)", "high"),
+    ("phi-in-res-send", "res.send(", r"res\.send\(ARG\)", "high"),
+    ("phi-in-thrown-error", "throw new Error(", r"throw new Error\(ARG\)", "medium"),
+    ("phi-localstorage", "localStorage.setItem(", r"localStorage\.setItem\(REST, ?ARG\)", "critical"),
+    ("phi-sessionstorage", "sessionStorage.setItem(", r"sessionStorage\.setItem\(REST, ?ARG\)", "high"),
+    ("phi-writefile", "fs.writeFileSync(", r"fs\.writeFileSync\(REST, ?ARG\)", "critical"),
+    ("phi-writefile-async", "fs.writeFile(", r"fs\.writeFile\(REST, ?ARG, REST\)", "critical"),
 )
 PHI_FIXED = (
-    ("hardcoded-ssn-assignment", r"\bconst ssn = ", "critical"),
-    ("hardcoded-mrn-assignment", r"\bconst mrn = ", "critical"),
-    ("patient-find-no-audit", r"\.find\(\{ ?patient:", "medium"),
-    ("patient-findone-no-audit", r"\.findOne\(\{ ?patient:", "medium"),
-    ("medical-query-no-audit", r"\.query\([^)]*medical", "medium"),
-    ("patient-select-no-audit", r"\.select\([^)]*\)\.from\([^)]*patient", "medium"),
+    ("hardcoded-ssn-assignment", "const ssn = ", r"\bconst ssn = ", "critical"),
+    ("hardcoded-mrn-assignment", "const mrn = ", r"\bconst mrn = ", "critical"),
+    ("patient-find-no-audit", ".find(", r"\.find\(\{ ?patient:", "medium"),
+    ("patient-findone-no-audit", ".findOne(", r"\.findOne\(\{ ?patient:", "medium"),
+    ("medical-query-no-audit", ".query(", r"\.query\([^)]*medical", "medium"),
+    ("patient-select-no-audit", ".select(", r"\.select\([^)]*\)\.from\([^)]*patient", "medium"),
 )
 
 
 def phi_rules() -> list[Rule]:
     """Names times templates, plus the rules that stand alone."""
     made = [
-        Rule(f"{base}-{name}", pattern.replace("ARG", name).replace("REST", "[^)]*"), severity, "hipaa", f"{base} {name}")
-        for base, pattern, severity in PHI_TEMPLATES for name in PHI_NAMES
+        Rule(f"{base}-{name}", pattern.replace("ARG", name).replace("REST", "[^)]*"), severity, "hipaa", f"{base} {name}",
+             literals=(call, name))
+        for base, call, pattern, severity in PHI_TEMPLATES for name in PHI_NAMES
     ]
-    return made + [Rule(rid, pattern, severity, "hipaa", rid) for rid, pattern, severity in PHI_FIXED]
+    return made + [Rule(rid, pattern, severity, "hipaa", rid, literals=(text,)) for rid, text, pattern, severity in PHI_FIXED]
 
 
 def rules_from(rows: DataFrame, limit: int = 500) -> list[Rule]:
@@ -140,14 +142,27 @@ def match_rules(lines: DataFrame, rules: list[Rule] | tuple[Rule, ...], text: st
     """Every (line, rule) hit, one row each.
 
     All patterns are evaluated in one projection over the lines: no join with the
-    rule table and no second scan. Lines that match nothing are dropped by one
-    alternation first, so large rule sets only run on candidate lines.
+    rule table and no second scan. Most lines are dropped by plain text searches
+    first, so large rule sets only run on candidate lines.
     """
     col = F.col(text)
-    anything = F.rlike(col, F.lit(ascii_edges("|".join(r.regex for r in rules))))
+
+    def hit(rule: Rule) -> Column:
+        cond = F.rlike(col, F.lit(ascii_edges(rule.regex)))
+        for literal in reversed(rule.literals):
+            cond = F.contains(col, F.lit(literal)) & cond
+        return cond
+
+    # Candidate lines: any rule's first literal, or the alternation of the rules that have none.
+    anything = F.lit(False)
+    for literal in dict.fromkeys(r.literals[0] for r in rules if r.literals):
+        anything = anything | F.contains(col, F.lit(literal))
+    bare = [r.regex for r in rules if not r.literals]
+    if bare:
+        anything = anything | F.rlike(col, F.lit(ascii_edges("|".join(bare))))
     hits = F.array_compact(F.array(*[
         F.when(
-            F.rlike(col, F.lit(ascii_edges(r.regex))),
+            hit(r),
             F.struct(
                 F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"),
                 F.lit(r.category).alias("category"), F.lit(r.message).alias("rule_message"),

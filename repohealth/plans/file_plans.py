@@ -12,6 +12,7 @@ from repohealth.plans.registry import query
 from repohealth.plans.rule_plans import DECISION_SQL, TODO_SQL, _todos
 from repohealth.plans.sqltext import q
 from repohealth.plans.sqltext import half_up as half_up_sql
+from repohealth.session import cut_lineage
 from repohealth.sources import commits as C
 from repohealth.sources import files as FS
 
@@ -140,6 +141,7 @@ def _hotspots(t):
     c = F.col("content")
     rows = t["v_files"].select("repo_id", F.col("path").alias("file"), decision_count(c).cast("int").alias("complexity"),
                                (F.length(c) % 17).cast("bigint").alias("commits"))
+    rows = cut_lineage(rows)  # the texts are read once; both rankings work on the numbers
     ranked = percent_rank_over(percent_rank_over(rows, ["repo_id"], "complexity", "_cx"), ["repo_id"], "commits", "_ch")
     cx, ch = F.col("_cx") * 100, F.col("_ch") * 100
     return ranked.select(

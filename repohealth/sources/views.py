@@ -423,7 +423,12 @@ def _refs(text: str) -> list[str]:
 
 
 # Views that make up texts and paths with long CASE ladders.
-TEXT_VIEWS = ("v_code_lines", "v_code_files", "v_sliced_files", "v_path_edges")
+TEXT_VIEWS = ("v_code_lines", "v_code_files", "v_sliced_files", "v_path_edges", "v_rich_findings")
+# Views whose jobs spend their time on texts: patterns, JSON, whole files.
+HEAVY_VIEWS = (
+    "v_code_lines", "v_code_files", "v_sliced_files", "v_rich_findings", "v_files", "v_log_lines", "v_audit_docs",
+    "v_ndjson", "v_concat_docs", "v_vuln_docs", "v_lint_docs", "v_coverage_json", "v_snapshots", "v_deps",
+)
 
 
 def computed_once(view: DataFrame) -> DataFrame:
@@ -435,6 +440,15 @@ def computed_once(view: DataFrame) -> DataFrame:
     return view.select(F.inline(F.array(F.struct(*view.columns))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its scan has fewer tasks than that, as a small file with one row group has.
+
+    A large input has more scan tasks than cores and is left alone: no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The supplied tables and adapter views of one data folder, read lazily."""
 
@@ -447,6 +461,8 @@ class Tables:
         if name not in self._cache:
             if name in VIEWS:
                 inputs = {ref: self[ref] for ref in _refs(VIEWS[name])}
+                if name in HEAVY_VIEWS:
+                    inputs = {ref: spread(df) for ref, df in inputs.items()}
                 view = self.spark.sql(VIEWS[name], **inputs)
                 self._cache[name] = computed_once(view) if name in TEXT_VIEWS else view
             else:
