@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repohealth.functions import severity as S
-from repohealth.functions.scalars import count_if, fingerprint
+from repohealth.functions.paths import basename, dirname
+from repohealth.functions.scalars import count_if, fingerprint, keep_found
 from repohealth.operators import findings as O
 from repohealth.operators import history as H
 from repohealth.operators import scoring
 from repohealth.operators.ordered import first_per_key, latest_per_key, top_per_key, with_position
+from repohealth.operators.shape import classify_layer
 from repohealth.plans.registry import query
 from repohealth.plans.sqltext import RANKED_SCANS, SEV_RANK, case, esum, fp, half_up, q
 from repohealth.sources.views import Tables
@@ -162,15 +164,13 @@ def _(t):
 
 @query("graph_filter", f"""SELECT * FROM (SELECT scan_id, file_path, color, CASE WHEN starts_with(file_path, 'app/api/') THEN 'API' WHEN starts_with(file_path, 'components/') THEN 'UI'
   WHEN starts_with(file_path, 'lib/db/') THEN 'Data' ELSE 'Unknown' END AS layer FROM ({FILE_HEALTH_SQL}) h) y
-WHERE color IN ('red', 'yellow') AND layer IN ('API', 'Data') AND contains(lower(file_path), 'f1')""".replace("WITH x", "WITH x"))
+WHERE color IN ('red', 'yellow') AND layer IN ('API', 'Data') AND contains(lower(file_path), 'f1')""")
 def _(t):
     """Nodes of a map by colour, layer and a case-insensitive piece of the path."""
-    from repohealth.operators.shape import classify_layer
-
-    nodes = O.file_health(t["v_rich_findings"], ["scan_id"]).withColumn("layer", classify_layer(F.col("file_path")))
-    return nodes.where(
-        F.col("color").isin("red", "yellow") & F.col("layer").isin("API", "Data") & F.lower("file_path").contains("F1".lower())
-    ).select("scan_id", "file_path", "color", "layer")
+    nodes = O.file_health(t["v_rich_findings"], ["scan_id"]).where(F.lower("file_path").contains("F1".lower()))
+    layer = classify_layer(F.col("file_path"))
+    wanted = F.when(layer.isin("API", "Data") & F.col("color").isin("red", "yellow"), layer)
+    return keep_found(nodes, "layer", wanted).select("scan_id", "file_path", "color", "layer")
 
 
 @query("blocking", """SELECT scan_id, coalesce(file_path, '') AS file_path, count(*) AS blocking FROM v_rich_findings
@@ -327,8 +327,6 @@ SELECT d.scan_id, CASE WHEN n.files = 1 THEN NULL ELSE d.dir END AS parent, CASE
   CAST(greatest(1, loc) AS BIGINT) AS value, complexity FROM d JOIN n USING (scan_id, dir)""")
 def _(t):
     """Sized boxes per file; a directory with one file is shown as that file under its full path."""
-    from repohealth.functions.paths import basename, dirname
-
     facts = O.message_facts(F.col("message"))
     default = S.lookup(F.lower("severity"), {"critical": 20, "high": 15, "medium": 10, "low": 5}, 3)
     rows = t["v_rich_findings"].where(F.coalesce("file_path", F.lit("")) != "").select(
