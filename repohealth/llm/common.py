@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,25 @@ LOWER = UPPER.lower()
 MASK = (1 << 64) - 1
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context; they need not have it installed.
+
+    Call it before functions of the package are handed to Spark.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_repohealth_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "repohealth.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(top)))
+    context.addPyFile(path)
+    context._repohealth_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -135,3 +157,37 @@ def window_hashes(items: np.ndarray, width: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def slices(batches, column: str, size: int = 4 << 20):
+    """Arrow batches cut so that ``column`` has about ``size`` bytes in each, one row at least."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths) // size
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
+def row_of(offsets: np.ndarray) -> np.ndarray:
+    """Row number of every item, from the n + 1 offsets of the rows."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of the items of every row; rows without items give 0."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of every key in ``sorted_keys``, or -1."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from repohealth.llm.common import cut
+from repohealth.llm.common import cut, ship
 
 SEQUENCE = 4096
 END_ID = 2
@@ -129,6 +129,7 @@ def pack(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, end_id: int
     Ids are written once to the shared folder between the passes, so that no text is tokenized twice. The driver gets one
     number for each partition of the first pass, whatever the number of documents.
     """
+    ship(docs.sparkSession)
     tokens = cut(tokenized(docs, vocabulary, end_id), "packing-ids")
     totals = {r["part"]: r["n"] for r in tokens.groupBy("part").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
     base = np.zeros(max(totals, default=0) + 1, np.int64)

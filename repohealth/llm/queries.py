@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repohealth.llm import packing, sharding, urlfilter, warc
+from repohealth.llm import lm, packing, sharding, urlfilter, warc
 from repohealth.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p
 def op5(spark, sf_dir):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return urlfilter.verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op6_backoff_automaton")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fold(docs["doc_id"]))

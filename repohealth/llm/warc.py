@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repohealth.llm.common import cut, scratch
+from repohealth.llm.common import cut, scratch, ship
 
 DATE = "2024-01-01T00:00:00Z"  # of every record unless the caller gives another; a clock would differ between retries
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -166,6 +166,7 @@ def deduplicated(pages: DataFrame, path: str | None = None, min_bytes: int = 0,
     empty table gives no rows.
     """
     spark = pages.sparkSession
+    ship(spark)
     path = path or scratch(spark, "warc")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     records = pages.select("page_id", "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
