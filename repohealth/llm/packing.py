@@ -13,7 +13,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from repohealth.llm.common import cut, ship
+from repohealth.llm.common import cut, ship, slices, text_buffer
 
 SEQUENCE = 4096
 END_ID = 2
@@ -61,7 +61,8 @@ class WordIds:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        text = pc.ascii_lower(column.cast(pa.large_string()).fill_null(""))
+        raw, offsets = text_buffer(column, lower=True)
+        text = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes()))
         text = pc.replace_substring_regex(text, r"([a-z])([.,])", r"\1 \2")
         parts = pc.ascii_split_whitespace(text)
         flat = parts.flatten().dictionary_encode()
@@ -97,23 +98,21 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
         import pyarrow as pa
 
         encoder, part, place = word_ids(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                rows = batch.slice(low, 2000)
-                ids, offsets = encoder.encode(rows.column("text"))
-                n = np.diff(offsets) + 1
-                out = np.empty(len(ids) + len(n), "<u4" if encoder.size is np.uint32 else "<u2")
-                ends = np.cumsum(n) - 1
-                keep = np.ones(len(out), bool)
-                keep[ends] = False
-                out[keep], out[ends] = ids, end_id
-                raw, width = out.tobytes(), out.itemsize
-                places = np.concatenate([[0], np.cumsum(n)])
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((places * width).astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(n), part), pa.int32()), pa.array(place + places[:-1]), rows.column("doc_id").cast(pa.int64()), pa.array(n), data,
-                ], names=["part", "place", "doc_id", "n", "ids"])
-                place += int(places[-1])
+        for rows in slices(batches, "text"):
+            ids, offsets = encoder.encode(rows.column("text"))
+            n = np.diff(offsets) + 1
+            out = np.empty(len(ids) + len(n), "<u4" if encoder.size is np.uint32 else "<u2")
+            ends = np.cumsum(n) - 1
+            keep = np.ones(len(out), bool)
+            keep[ends] = False
+            out[keep], out[ends] = ids, end_id
+            raw, width = out.tobytes(), out.itemsize
+            places = np.concatenate([[0], np.cumsum(n)])
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((places * width).astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(n), part), pa.int32()), pa.array(place + places[:-1]), rows.column("doc_id").cast(pa.int64()), pa.array(n), data,
+            ], names=["part", "place", "doc_id", "n", "ids"])
+            place += int(places[-1])
 
     return docs.select("doc_id", "text").mapInArrow(run, "part int, place long, doc_id long, n long, ids binary")
 

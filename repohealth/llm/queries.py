@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repohealth.llm import lm, packing, sharding, urlfilter, warc
+from repohealth.llm import lm, packing, quality, sharding, urlfilter, warc
 from repohealth.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op5(spark, sf_dir):
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return lm.score(docs, lm.fold(docs["doc_id"]))
+
+
+@query("op9_line_frequency")
+def op9(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
