@@ -181,7 +181,8 @@ def row_of(offsets: np.ndarray) -> np.ndarray:
 
 def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of the items of every row; rows without items give 0."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.cumsum(values)
+    total = np.concatenate([np.zeros(1, total.dtype), total])
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
