@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repohealth.llm import lm, packing, quality, sharding, urlfilter, warc
+from repohealth.llm import decontam, lm, packing, quality, sharding, toxicity, urlfilter, warc
 from repohealth.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op6(spark, sf_dir):
 @query("op9_line_frequency")
 def op9(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op8_template_windows")
+def op8(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_compression_distance")
+def op3(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
