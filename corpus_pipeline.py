@@ -1,26 +1,58 @@
-"""Pipeline over the documents table: each stage works on all that its predecessor kept."""
+"""Pipeline over the documents table: each stage works on all that its predecessor kept.
+
+Every stage but the last returns the columns of documents. Decisions are taken by doc_id; rows with a null id are never
+dropped, and of rows that repeat an id all go when one of them is rejected.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repohealth.llm import packing
-from repohealth.llm.common import scratch
+from repohealth.llm import decontam, jaccard, packing, quality, suffix
+from repohealth.llm.common import cut, scratch, table
 from repohealth.llm.queries import vocabulary
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; texts stay as they are."""
+    rejected = quality.judge(docs).where("NOT kept").select(F.col("doc_id").alias("__rejected")).distinct()
+    return docs.join(cut(rejected, "quality-rejected"), F.col("doc_id") == F.col("__rejected"), "left_anti")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each near-duplicate class stays."""
+    return jaccard.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages leave the texts, but for their first occurrence; n_chars follows. No document goes."""
+    found = suffix.without_repeats(docs)
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("__text")), "n_chars": F.when(F.col("__removed") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast("long")}
+    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids, as pieces."""
     return packing.pack(docs, vocabulary())
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", keep_quality), ("n-gram Jaccard join", keep_one_of_each), ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks), ("packing", pack),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # token ids and line hashes are beyond SQL; tests/llm/test_pipeline.py has the brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what a stage returns is written as Parquet and read again as the next one's documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)

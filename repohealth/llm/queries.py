@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repohealth.llm import decontam, jaccard, lm, packing, quality, sharding, toxicity, urlfilter, warc
+from repohealth.llm import decontam, jaccard, lm, packing, quality, sharding, suffix, toxicity, urlfilter, warc
 from repohealth.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,23 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.
 @query("op7_jaccard_join", SQL_JACCARD)
 def op7(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, substr(x, 2 * s + 1, 200) AS g FROM d, LATERAL (SELECT unnest(range(0, n - 99)) AS s)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+e AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM e) GROUP BY doc_id, k),
+j AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM i),
+k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept
+  FROM j JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op10_column_suffixes", SQL_REPEATS)
+def op10(spark, sf_dir):
+    found = suffix.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.col(f"__{a}").alias(b) for a, b in (("bytes", "n_bytes"), ("removed", "n_removed"), ("spans", "n_spans"), ("sha256", "kept_sha256"))])

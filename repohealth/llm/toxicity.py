@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from repohealth.llm.common import crc_mod, mix, per_row, row_of, ship, slices, text_buffer
 
-SAMPLE = {1: 2500, 0: 3500}  # labelled documents of each class that the fit reads, by least hash of the id
+SAMPLE = {1: 2000, 0: 3000}  # labelled documents of each class that the fit reads, by least hash of the id
 SAMPLE_BYTES = 100_000  # longer texts are not taken into the sample (they are scored whole like all others)
 WINDOW, STRIDE = 32, 16
 GRAM = 5  # bytes of the short strings
@@ -158,22 +158,28 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     if not 0 < labels_.sum() < len(labels_):
         return None
     columns = [[t for t, x in zip(texts, labels, strict=True) if x == k] for k in (0, 1)]
-    (raw0, off0), (raw1, off1) = (text_buffer(pa.array(c, pa.large_string()), lower=True) for c in columns)
-    clean, toxic = _document_counts(raw0, off0), _document_counts(raw1, off1)
+
+    def parts(k: int):
+        """The texts of a class, half a megabyte at a time."""
+        for batch in slices([pa.RecordBatch.from_arrays([pa.array(columns[k], pa.string())], names=["text"])], "text", 1 << 19):
+            yield text_buffer(batch.column("text"), lower=True)
+
+    clean, toxic = (sum(_document_counts(*p) for p in parts(k)) for k in (0, 1))
     wanted = (toxic >= max(2, MIN_SHARE * len(columns[1]))) & (toxic / len(columns[1]) > MIN_RATIO * (clean + 1) / len(columns[0]))
-    pieces = [raw0[a:a + 256].tobytes() for a in range(0, len(raw0), 256)]
+    pieces = [raw[a:a + 256].tobytes() for raw, _ in parts(0) for a in range(0, len(raw), 256)]
     step = max(1, len(pieces) // 20_000)  # 5 MB are plenty for a dictionary of 8 KB
-    model = Model(_dictionary(pieces[::step], ORDINARY_BYTES), _dictionary(_toxic_parts(raw1, off1, wanted) or [b" "], TOXIC_BYTES), np.zeros(0), np.zeros(0), np.ones(0), np.zeros(0))
-    saved0, saved1 = model.savings(raw0, off0), model.savings(raw1, off1)
+    model = Model(_dictionary(pieces[::step], ORDINARY_BYTES), _dictionary([x for p in parts(1) for x in _toxic_parts(*p, wanted)] or [b" "], TOXIC_BYTES), np.zeros(0), np.zeros(0), np.ones(0), np.zeros(0))
+    saved = [[model.savings(*p) for p in parts(k)] for k in (0, 1)]
+    ordinary = np.concatenate([s for s, _ in saved[0]])
     low = 1
     thresholds = []
     for rate in FALSE_RATES:
-        while (saved0[0] >= low).mean() > rate:
+        while (ordinary >= low).mean() > rate:
             low += 1
         thresholds.append(low)
         low += 1
     model.thresholds = np.array(thresholds)
-    x = np.concatenate([model.features(*saved0), model.features(*saved1)])
+    x = np.concatenate([model.features(*s) for k in (0, 1) for s in saved[k]])
     y = np.repeat([0.0, 1.0], [len(columns[0]), len(columns[1])])
     model.centre, model.scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - model.centre) / model.scale]
