@@ -92,7 +92,7 @@ def _counts(batches, ranges: int):
     for batch in slices(batches, "text"):
         ids = batch.column("tid").to_pylist()
         fresh = [k for k, t in enumerate(ids) if not (t in seen or seen.add(t))]
-        batch = batch.take(fresh) if len(fresh) < len(ids) else batch
+        batch = batch.take(pa.array(fresh, pa.int64())) if len(fresh) < len(ids) else batch
         raw, offsets = text_buffer(batch.column("text"))
         row, hashes, at, _, _ = anchors(raw, offsets)
         tid = batch.column("tid").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -314,10 +314,13 @@ def _removed(batches):
 
 def _texts(batches, wanted):
     """Texts whose id is in a bitmap, each once a task."""
+    import pyarrow as pa
+
     bits, seen = np.unpackbits(wanted.value).view(bool), set()
     for batch in batches:
         ids = batch.column("tid").to_pylist()
-        yield batch.take([k for k, t in enumerate(ids) if bits[(t & (1 << 64) - 1) >> 64 - BITMAP_BITS] and not (t in seen or seen.add(t))])
+        fresh = [k for k, t in enumerate(ids) if bits[(t & (1 << 64) - 1) >> 64 - BITMAP_BITS] and not (t in seen or seen.add(t))]
+        yield batch.take(pa.array(fresh, pa.int64()))
         if len(seen) > 1_000_000:
             seen.clear()
 
