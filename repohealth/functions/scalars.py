@@ -24,6 +24,11 @@ def matches(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(ascii_edges(pattern)))
 
 
+def strip(text: Column) -> Column:
+    """``text`` without white space at both ends: blanks, tabs, line ends, form feeds."""
+    return F.trim(text, F.lit(" \t\n\r\f\v"))
+
+
 def half_up(x: Column) -> Column:
     """Round half up, also for negative halves; bigint."""
     return F.floor(x + F.lit(0.5))
@@ -60,12 +65,12 @@ def fingerprint(module: Column, path: Column, category: Column, message: Column)
 
 def normalise_file(path: Column) -> Column:
     """Trimmed, lower-cased path without a leading ./ and trailing slashes."""
-    lowered = F.lower(F.trim(F.coalesce(path, F.lit(""))))
+    lowered = F.lower(strip(F.coalesce(path, F.lit(""))))
     return F.regexp_replace(F.regexp_replace(lowered, r"^\./", ""), r"/+$", "")
 
 
 def normalise_category(category: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(F.coalesce(category, F.lit("")))), r"[\s_-]+", "-")
+    return F.regexp_replace(F.lower(strip(F.coalesce(category, F.lit("")))), r"[\s_-]+", "-")
 
 
 def semver(version: Column) -> Column:
@@ -127,7 +132,7 @@ def extract_json_text(text: Column) -> Column:
 
 def repo_ref(text: Column) -> Column:
     """owner/repo of a repository reference, or NULL when it has none of the accepted forms."""
-    cleaned = F.regexp_replace(F.regexp_replace(F.trim(text), r"\.git$", ""), r"/$", "")
+    cleaned = F.regexp_replace(F.regexp_replace(strip(text), r"\.git$", ""), r"/$", "")
     host = r"^(?:https?://)?github\.com/([^/]+/[^/]+)$"
     short = r"^([a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+)$"
     return F.coalesce(
@@ -150,7 +155,7 @@ INSTALL_PATTERNS = (
 
 
 def install_hint(text: Column) -> Column:
-    tries = [F.nullif(F.trim(F.regexp_extract(text, ascii_edges(p), 1)), F.lit("")) for p in INSTALL_PATTERNS]
+    tries = [F.nullif(strip(F.regexp_extract(text, ascii_edges(p), 1)), F.lit("")) for p in INSTALL_PATTERNS]
     return F.coalesce(*tries)
 
 

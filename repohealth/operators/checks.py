@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import extension, present
-from repohealth.functions.scalars import clamp, count_if, exact_avg, half_up, matches, strict_json, strip_json_comments
+from repohealth.functions.scalars import clamp, count_if, exact_avg, half_up, matches, strict_json, strip, strip_json_comments
 from repohealth.functions.severity import soften
 from repohealth.operators import shape
 from repohealth.operators.scoring import PROFILE_ALIASES, PROFILE_WEIGHTS, maintainability
@@ -56,7 +56,7 @@ def _content_of(path: str) -> Column:
 
 
 def _any_line(content: Column, pattern: str) -> Column:
-    return F.exists(F.split(content, "\n"), lambda s: F.rlike(F.trim(s), F.lit(pattern)))
+    return F.exists(F.split(content, "\n"), lambda s: F.rlike(strip(s), F.lit(pattern)))
 
 
 def config_checks(files: DataFrame, archetypes: DataFrame) -> DataFrame:

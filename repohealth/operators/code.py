@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import dirname
+from repohealth.functions.scalars import strip
 from repohealth.functions.severity import lookup
 from repohealth.operators.ordered import first_per_key
 
@@ -34,7 +35,7 @@ def _all(content: Column, pattern: str, group: int = 1) -> Column:
 
 def _first_names(text: Column) -> Column:
     """Names of a comma list with their 'as' aliases cut off."""
-    names = F.transform(F.split(text, ","), lambda s: F.trim(F.get(F.split(F.trim(s), r"\s+as\s+"), F.lit(0))))
+    names = F.transform(F.split(text, ","), lambda s: strip(F.get(F.split(strip(s), r"\s+as\s+"), F.lit(0))))
     return F.filter(names, lambda s: s != "")
 
 
@@ -104,12 +105,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     known = files.select("repo_id", path.alias("target")).distinct().withColumnRenamed("target", "path").select(
         "repo_id", path.alias("target"), F.explode(names).alias("_k")).select(
         "repo_id", "target", F.col("_k.name").alias("_name"), F.col("_k.rank").alias("_rank"))
-    found = wanted.join(known, ["repo_id", "_name"]).where(F.col("target") != F.col("path"))
+    found = wanted.join(known, ["repo_id", "_name"])
     best = first_per_key(
         found.select("repo_id", "path", "specifier", "target", "is_dynamic", "symbols", "_rank"),
         ["repo_id", "path", "specifier"], ["_rank"],
     )
-    return best.drop("_rank")
+    return best.where(F.col("target") != F.col("path")).drop("_rank")
 
 
 def import_edges(resolved: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.scalars import fingerprint, half_up
-from repohealth.operators.ordered import lag_over, latest_per_key, top_per_key, week
+from repohealth.operators.ordered import lag_over, top_per_key, week
 
 SCAN_ORDER = ["created_at", "scan_id"]
 
@@ -91,13 +91,13 @@ def reconcile(ranked: DataFrame, scans_per_repo: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).select(*head.columns)
 
 
-def tombstones(ranked: DataFrame) -> DataFrame:
-    """Findings of the previous scan that are gone now, as fixed rows of the newest scan; they keep their module."""
-    head = ranked.where(F.col("scan_rank") == 1)
-    heads = head.select("repo_id", "fingerprint").distinct()
-    current = latest_per_key(
-        head.select("repo_id", F.col("scan_id").alias("_scan")).distinct(), ["repo_id"], ["_scan"]
-    )
+def tombstones(ranked: DataFrame, newest: DataFrame) -> DataFrame:
+    """Findings of the previous scan that are gone now, as fixed rows of the newest scan; they keep their module.
+
+    ``newest`` has the scans with their rank (``latest_scans``): a newest scan without any finding fixes all.
+    """
+    heads = ranked.where(F.col("scan_rank") == 1).select("repo_id", "fingerprint").distinct()
+    current = newest.where(F.col("scan_rank") == 1).select("repo_id", F.col("scan_id").alias("_scan"))
     gone = ranked.where((F.col("scan_rank") == 2) & ~F.coalesce(F.col("status") == "fixed", F.lit(False)))
     return (
         gone.join(heads, ["repo_id", "fingerprint"], "left_anti").join(current, "repo_id")

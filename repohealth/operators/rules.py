@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import basename, extension
-from repohealth.functions.scalars import ascii_edges, keep_found
+from repohealth.functions.scalars import ascii_edges, keep_found, strip
 from repohealth.operators.ordered import first_per_key
 from repohealth.schemas import SEVERITIES
 
@@ -130,12 +130,9 @@ def phi_rules() -> list[Rule]:
     return made + [Rule(rid, pattern, severity, "hipaa", rid, literals=(text,)) for rid, text, pattern, severity in PHI_FIXED]
 
 
-def rules_from(rows: DataFrame, limit: int = 500) -> list[Rule]:
-    """Rules of a validated rule table. A rule set is configuration; more than ``limit`` rows is an error."""
-    got = rows.select("id", "pattern", "severity", "category", "message").limit(limit + 1).collect()
-    if len(got) > limit:
-        raise ValueError(f"more than {limit} rules")
-    return [Rule(**row.asDict()) for row in got]
+def rules_from(rows: DataFrame) -> list[Rule]:
+    """Rules of a validated rule table. A rule set is configuration that people write, so the driver reads it."""
+    return [Rule(**row.asDict()) for row in rows.select("id", "pattern", "severity", "category", "message").collect()]
 
 
 def match_rules(lines: DataFrame, rules: list[Rule] | tuple[Rule, ...], text: str = "text") -> DataFrame:
@@ -189,7 +186,7 @@ def secrets_scan(lines: DataFrame) -> DataFrame:
     text = F.col("text")
     shown = F.when(F.length(text) > 120, F.concat(F.substring(text, 1, 120), F.lit("..."))).otherwise(text)
     return match_rules(lines.where(~skipped), SECRET_RULES).withColumn(
-        "message", F.concat("rule_message", F.lit(": "), F.trim(shown))
+        "message", F.concat("rule_message", F.lit(": "), strip(shown))
     ).drop("rule_message")
 
 
@@ -224,7 +221,7 @@ def external_silos(lines: DataFrame) -> DataFrame:
     for pattern, name in SILO_LINKS:
         system = system.when(is_doc & F.rlike(text, F.lit(f"(?i){pattern}")), F.lit(name))
     found = keep_found(lines.where(is_doc | is_code), "system", system)
-    rows = found.select("repo_id", "path", "system", "line_no", F.substring(F.trim(text), 1, 120).alias("text"))
+    rows = found.select("repo_id", "path", "system", "line_no", F.substring(strip(text), 1, 120).alias("text"))
     return first_per_key(rows, ["repo_id", "path", "system"], ["line_no", "text"])
 
 
@@ -244,7 +241,7 @@ RULE_LANGUAGES = ("typescript", "javascript", "tsx", "jsx", "python")
 def validate_rules(raw: DataFrame) -> DataFrame:
     """Add ``reject_reason``, NULL for good rules; the first violation in field order wins."""
     checks = [
-        F.when(F.trim(F.coalesce(F.col(f), F.lit(""))) == "", F.lit(f"missing or empty required field {f}")) for f in RULE_FIELDS
+        F.when(strip(F.coalesce(F.col(f), F.lit(""))) == "", F.lit(f"missing or empty required field {f}")) for f in RULE_FIELDS
     ]
     checks.append(F.when(~F.col("severity").isin(*SEVERITIES), F.concat(F.lit("invalid severity "), "severity")))
     checks.append(F.when(~F.lower("language").isin(*RULE_LANGUAGES), F.concat(F.lit("unsupported language "), "language")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import basename, dirname, extension, present, starts_with_any
-from repohealth.functions.scalars import keep_found, strict_json, strip_json_comments
+from repohealth.functions.scalars import keep_found, strict_json, strip, strip_json_comments
 from repohealth.functions.severity import lookup
 from repohealth.operators.scoring import PROFILE_ALIASES, PROFILE_INAPPLICABLE, PROFILE_WEIGHTS
 
@@ -81,8 +81,13 @@ LANGUAGE_MODULES = {
     "go": ("go-security", "go-dependencies", "go-complexity", "go-dead-code", "go-test-coverage"),
     "rust": ("rust-security", "rust-dependencies", "rust-complexity", "rust-dead-code", "rust-test-coverage"),
 }
-# Modules that are on unless a config says otherwise (a subset, enough for selection).
-DEFAULT_MODULES = UNIVERSAL_MODULES + LANGUAGE_MODULES["js"]
+# Modules that are on unless a config says otherwise.
+DEFAULT_MODULES = (
+    "security", "dependencies", "complexity", "git-health", "dead-code", "circular-deps", "test-coverage", "ast-rules",
+    "go-security", "go-dependencies", "go-complexity", "go-dead-code", "go-test-coverage", "rust-security",
+    "rust-dependencies", "rust-complexity", "rust-dead-code", "rust-test-coverage", "type-safety", "secrets-scan",
+    "config-quality", "telemetry-observability", "build", "lint", "typecheck", "test", "file-size",
+)
 
 MANIFEST = (
     "name string, description string, license string, engines string, main string, module string, source string, "
@@ -97,7 +102,7 @@ def path_roles(path: Column) -> Column:
 
 def is_barrel(path: Column, content: Column) -> Column:
     """An index.ts(x) whose only statements are re-exports, at least one of them."""
-    lines = F.transform(F.split(content, "\n"), lambda s: F.trim(s))
+    lines = F.transform(F.split(content, "\n"), lambda s: strip(s))
     telling = F.filter(lines, lambda s: ~F.rlike(s, F.lit(IGNORABLE)))
     named = F.rlike(basename(path), F.lit(r"^index\.tsx?$"))
     return named & (F.size(telling) > 0) & F.forall(telling, lambda s: F.rlike(s, F.lit(REEXPORT)))
@@ -107,7 +112,7 @@ def inline_roles(path: Column, content: Column, tag: str = "@role") -> Column:
     """Roles named in a tag comment within the first five lines of a script."""
     head = F.slice(F.split(content, "\n"), 1, 5)
     found = F.transform(head, lambda s: F.regexp_extract(s, rf"//\s*{tag}\s+(.+)", 1))
-    words = F.flatten(F.transform(F.filter(found, lambda s: s != ""), lambda s: F.split(F.trim(s), r"\s+")))
+    words = F.flatten(F.transform(F.filter(found, lambda s: s != ""), lambda s: F.split(strip(s), r"\s+")))
     return F.when(F.rlike(basename(path), F.lit(r"\.[jt]sx?$")), words).otherwise(F.array().cast("array<string>"))
 
 

@@ -168,12 +168,12 @@ def _(t):
 
 @query("tombstones", f"""WITH {ranked_findings('v_rich_findings', 2)}
 SELECT a.repo_id, h.scan_id, a.finding_id, a.fingerprint, a.module_id, 'fixed' AS status FROM rf a
-JOIN (SELECT DISTINCT repo_id, scan_id FROM rf WHERE scan_rank = 1) h USING (repo_id)
+JOIN (SELECT repo_id, arg_max(scan_id, (created_at, scan_id)) AS scan_id FROM v_scans WHERE status = 'completed' GROUP BY repo_id) h USING (repo_id)
 WHERE a.scan_rank = 2 AND a.status <> 'fixed' AND NOT EXISTS
   (SELECT 1 FROM rf b WHERE b.scan_rank = 1 AND b.repo_id = a.repo_id AND b.fingerprint = a.fingerprint)""")
 def _(t):
     ranked = H.ranked_findings(t["v_scans"], t["v_rich_findings"], 2)
-    return H.tombstones(ranked).select("repo_id", "scan_id", "finding_id", "fingerprint", "module_id", "status")
+    return H.tombstones(ranked, H.latest_scans(t["v_scans"], 1)).select("repo_id", "scan_id", "finding_id", "fingerprint", "module_id", "status")
 
 
 @query("score_delta", """SELECT repo_id, scan_id, overall_score, lag(overall_score) OVER w AS previous_score,

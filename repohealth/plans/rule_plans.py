@@ -252,7 +252,7 @@ RESOLVED_SQL = f"""{IMPORTS_SQL}, raw AS (SELECT *, CASE WHEN starts_with(specif
 col AS (SELECT *, ltrim(regexp_replace(regexp_replace(regexp_replace(p, {_UP}, '\\1'), {_UP}, '\\1'), {_UP}, '\\1'), '/') AS base FROM raw),
 cand AS (SELECT *, unnest(range(1, 14)) AS rk FROM (SELECT *, [base, {_EXT}, {_IDX}] AS names FROM col) c),
 res AS (SELECT repo_id, path, specifier, target, is_dynamic, symbols FROM (SELECT c.*, c.names[c.rk] AS target, row_number() OVER (PARTITION BY c.repo_id, c.path, c.specifier ORDER BY c.rk) AS rn
-  FROM cand c JOIN (SELECT DISTINCT repo_id, path FROM v_code_files) f ON f.repo_id = c.repo_id AND f.path = c.names[c.rk] WHERE f.path <> c.path) z WHERE rn = 1)"""
+  FROM cand c JOIN (SELECT DISTINCT repo_id, path FROM v_code_files) f ON f.repo_id = c.repo_id AND f.path = c.names[c.rk]) z WHERE rn = 1 AND target <> path)"""
 
 
 def _resolved(t):

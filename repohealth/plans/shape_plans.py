@@ -309,8 +309,8 @@ def _(t):
     return rows.select("repo_id", "path", F.col("j").isNotNull().alias("parses"), F.try_variant_get("j", "$.compilerOptions.strict", "string").alias("strict"))
 
 
-@query("repo_meta", """SELECT repo_id, json_extract_string(metadata, '$.description') AS description, json_extract_string(metadata, '$.language') AS language, coalesce(CAST(json_extract_string(metadata, '$.stars') AS BIGINT), 0) AS stars,
-  coalesce(CAST(json_extract_string(metadata, '$.forks') AS BIGINT), 0) AS forks, CAST(0 AS BIGINT) AS open_issues, CAST(NULL AS VARCHAR) AS license, concat(json_extract_string(metadata, '$.topics[0]'), ',', json_extract_string(metadata, '$.topics[1]')) AS topics, '' AS created_at, '' AS pushed_at FROM v_repos""")
+@query("repo_meta", """SELECT repo_id, json_extract_string(metadata, '$.description') AS description, json_extract_string(metadata, '$.language') AS language, coalesce(CAST(json_extract_string(metadata, '$.stargazers_count') AS BIGINT), 0) AS stars,
+  coalesce(CAST(json_extract_string(metadata, '$.forks_count') AS BIGINT), 0) AS forks, coalesce(CAST(json_extract_string(metadata, '$.open_issues_count') AS BIGINT), 0) AS open_issues, CAST(NULL AS VARCHAR) AS license, concat(json_extract_string(metadata, '$.topics[0]'), ',', json_extract_string(metadata, '$.topics[1]')) AS topics, '' AS created_at, '' AS pushed_at FROM v_repos""")
 def _(t):
     return t["v_repos"].select("repo_id", D.repo_metadata(F.col("metadata")).alias("m")).select("repo_id", "m.*")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import dirname, glob_to_regex
-from repohealth.functions.scalars import strict_json, strip_json_comments
+from repohealth.functions.scalars import strict_json, strip, strip_json_comments
 
 
 def read_jsonc(content: Column) -> Column:
@@ -23,9 +23,9 @@ def repo_metadata(doc: Column) -> Column:
 
     return F.struct(
         get("$.description", "string").alias("description"), get("$.language", "string").alias("language"),
-        F.coalesce(get("$.stars", "bigint"), F.lit(0).cast("bigint")).alias("stars"),
-        F.coalesce(get("$.forks", "bigint"), F.lit(0).cast("bigint")).alias("forks"),
-        F.coalesce(get("$.open_issues", "bigint"), F.lit(0).cast("bigint")).alias("open_issues"),
+        F.coalesce(get("$.stargazers_count", "bigint"), F.lit(0).cast("bigint")).alias("stars"),
+        F.coalesce(get("$.forks_count", "bigint"), F.lit(0).cast("bigint")).alias("forks"),
+        F.coalesce(get("$.open_issues_count", "bigint"), F.lit(0).cast("bigint")).alias("open_issues"),
         get("$.license.spdx_id", "string").alias("license"),
         F.coalesce(F.array_join(get("$.topics", "array<string>"), ","), F.lit("")).alias("topics"),
         F.coalesce(get("$.created_at", "string"), F.lit("")).alias("created_at"),
@@ -49,7 +49,7 @@ def workspace_patterns(files: DataFrame) -> DataFrame:
     items = F.when(inline != "", F.split(inline, ",")).otherwise(
         F.regexp_extract_all(blockpart, F.lit(r"(?m)^\s*-\s*(.*)$"), F.lit(1))
     )
-    cleaned = F.filter(F.transform(items, lambda s: F.trim(F.regexp_replace(F.trim(s), r"^['\x22]|['\x22]$", ""))), lambda s: s != "")
+    cleaned = F.filter(F.transform(items, lambda s: strip(F.regexp_replace(strip(s), r"^['\x22]|['\x22]$", ""))), lambda s: s != "")
     from_yaml = yaml.select("repo_id", F.explode(cleaned).alias("pattern"))
     return manifest.unionByName(from_yaml)
 

@@ -16,12 +16,14 @@ LOCK_FILES = (
     "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "Gemfile.lock", "poetry.lock",
     "composer.lock", "go.sum",
 )
-SOURCE_EXTENSIONS = tuple((
-    ".ts .tsx .js .jsx .mjs .cjs .py .pyi .rs .go .java .kt .kts .c .cpp .cc .cxx .h .hpp .cs .rb .php .swift "
-    ".scala .lua .ex .exs .zig .vue .svelte .astro .css .scss .less .sql .sh .bash .zsh .yaml .yml .toml .json "
-    ".jsonc .xml .html .htm .md .mdx .graphql .gql .proto .tf .hcl .dart .r .m .mm .pl .pm .clj .cljs .hs .erl "
-    ".hrl .ml .mli .nim .v"
-).split())
+# Extensions of source files.
+SOURCE_EXTENSIONS = (
+    ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".pyi", ".rs", ".go", ".java", ".kt", ".kts", ".c", ".cpp",
+    ".cc", ".cxx", ".h", ".hpp", ".cs", ".rb", ".php", ".swift", ".scala", ".lua", ".ex", ".exs", ".zig", ".vue",
+    ".svelte", ".astro", ".css", ".scss", ".less", ".sql", ".sh", ".bash", ".zsh", ".yaml", ".yml", ".toml", ".json",
+    ".jsonc", ".xml", ".html", ".htm", ".md", ".mdx", ".graphql", ".gql", ".proto", ".tf", ".hcl", ".dart", ".r",
+    ".m", ".mm", ".pl", ".pm", ".clj", ".cljs", ".hs", ".erl", ".hrl", ".ml", ".mli", ".nim", ".v",
+)
 CODE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs", ".rb", ".java", ".kt")
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def write_results(rows: DataFrame, path: str) -> None:
-    """Append rows partitioned by repository; rows of a repository are brought to few files first."""
-    rows.repartition(F.col("repo_id"), F.pmod(F.xxhash64(*[c for c in rows.columns if c != "repo_id"]), F.lit(16))).write.partitionBy(
-        "repo_id").mode("append").parquet(path)
+    """Append rows partitioned by repository.
+
+    The rebalance brings a small repository to one file and splits a large one by size.
+    """
+    rows.hint("rebalance", "repo_id").write.partitionBy("repo_id").mode("append").parquet(path)
 
 
 def export_documents(scans: DataFrame, modules: DataFrame, findings: DataFrame, threshold: int = 60) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repohealth.functions.scalars import clamp, count_if, exact_avg, half_up, semver, strict_json
+from repohealth.functions.scalars import clamp, count_if, exact_avg, half_up, semver, strict_json, strip
 from repohealth.functions.severity import diagnostic_severity, tool_severity
 from repohealth.operators.ordered import block, first_per_key, last_seen, top_per_key
 
@@ -86,7 +86,7 @@ def parse_vulnerability_lines(docs: DataFrame) -> DataFrame:
         "doc_id", F.explode(F.from_json("doc", f"vulns array<struct<{_inner(VULN)}>>")["vulns"]).alias("v")
     )
     lines = docs.where(whole.isNull()).select("doc_id", F.explode(F.split("doc", "\n")).alias("text"))
-    listed = lines.select("doc_id", F.from_json(F.trim("text"), VULN).alias("v")).where(F.col("v.osv").isNotNull())
+    listed = lines.select("doc_id", F.from_json(strip(F.col("text")), VULN).alias("v")).where(F.col("v.osv").isNotNull())
     both = single.unionByName(listed)
     calls = F.exists(
         F.coalesce("v.modules", F.array().cast(f"array<{_struct(VULN, 'modules')}>")),
@@ -128,7 +128,7 @@ def parse_lcov(lines: DataFrame) -> DataFrame:
     A line belongs to the last SF line before it. That look-back is bucketed by
     line number, so one huge report does not become one task.
     """
-    text = F.trim("text")
+    text = strip(F.col("text"))
     start = F.when(text.startswith("SF:"), F.col("line_no"))
     tagged = last_seen(lines, ["report_id"], ["line_no"], block("line_no"), start, "record")
 
@@ -195,7 +195,7 @@ def parse_diagnostics(lines: DataFrame, runs: DataFrame) -> DataFrame:
     ``runs`` is (run_id, exit_code). Only the first eight lines of unrecognised
     failed runs are brought together.
     """
-    text = F.trim("text")
+    text = strip(F.col("text"))
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, pattern, group)
@@ -217,7 +217,7 @@ def parse_diagnostics(lines: DataFrame, runs: DataFrame) -> DataFrame:
     starts = mine.where(text != "").groupBy("run_id").agg(F.min("line_no").alias("_start"))
     said = top_per_key(
         mine.join(starts, "run_id").where(F.col("line_no") >= F.col("_start")), ["run_id"], [F.col("line_no"), F.col("text")], 8
-    ).groupBy("run_id").agg(F.trim(F.array_join(F.transform(
+    ).groupBy("run_id").agg(strip(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), " ")).alias("message"))
     silent = F.concat(F.lit("Command exited with code "), F.col("exit_code").cast("string"), F.lit(" (no output captured)"))
     fallback = failed.join(said, "run_id", "left").select(
@@ -229,7 +229,7 @@ def parse_diagnostics(lines: DataFrame, runs: DataFrame) -> DataFrame:
 
 def parse_vet(lines: DataFrame, loose: bool = False) -> DataFrame:
     """file:line[:col]: message lines; in loose mode every other non-blank line names an unused function."""
-    text = F.trim("text")
+    text = strip(F.col("text"))
     hit = F.rlike(text, F.lit(VET))
     rows = lines.where(text != "") if loose else lines.where(hit)
     return rows.select(

@@ -33,7 +33,7 @@ SELECT c_custkey AS repo_id, c_name AS name,
   concat('/srv/repos/', lower(c_mktsegment), '-', CAST(c_nationkey AS STRING), '/', CAST(c_custkey AS STRING)) AS path,
   c_acctbal >= 0 AS active, CAST(c_custkey % 97 AS INT) AS stars,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 365 END AS days_since_commit,
-  concat('{{"stars":', CAST(c_custkey % 900 AS STRING), ',"forks":', CAST(c_nationkey AS STRING),
+  concat('{{"stargazers_count":', CAST(c_custkey % 900 AS STRING), ',"forks_count":', CAST(c_nationkey AS STRING), ',"open_issues_count":', CAST(c_custkey % 7 AS STRING),
     CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat(',"language":"', lower(c_mktsegment), '"') END,
     ',"topics":["cli","', lower(c_mktsegment), '"],"mode":"',
     CASE WHEN c_custkey % 4 = 0 THEN 'evaluating' ELSE 'maintaining' END, '"}}') AS metadata
@@ -107,7 +107,7 @@ VIEWS["v_audit_findings"] = """
 SELECT l_returnflag AS provider, concat('mod', CAST(l_suppkey % 4 AS STRING)) AS module_id,
   concat('./Dir', CAST(l_partkey % 7 AS STRING), '/F', CAST(l_partkey % 40 AS STRING), '.ts') AS file,
   concat('Cat ', CAST(l_partkey % 4 AS STRING)) AS category, l_linenumber AS line
-FROM {lineitem} WHERE l_quantity <= 3"""
+FROM {lineitem}"""
 
 # Findings of two independent sides of the same repository, for the similarity join.
 VIEWS["v_scan_side"] = """
@@ -116,7 +116,7 @@ SELECT l_suppkey AS repo_id,
   CASE WHEN l_partkey % 8 = 0 THEN NULL ELSE l_linenumber * 4 END AS line,
   concat('unused variable value', CAST(l_partkey % 6 AS STRING), CASE l_linenumber % 2 WHEN 0 THEN ' inside loop' ELSE '' END) AS message,
   CASE l_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'Medium' ELSE 'low' END AS severity
-FROM {lineitem} WHERE l_returnflag = 'N' AND l_quantity <= 20"""
+FROM {lineitem} WHERE l_returnflag = 'N'"""
 
 VIEWS["v_audit_side"] = """
 SELECT l_suppkey AS repo_id,
@@ -124,7 +124,7 @@ SELECT l_suppkey AS repo_id,
   CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_linenumber * 4 + l_partkey % 3 END AS line,
   concat('loop uses variable value', CAST(l_partkey % 4 AS STRING)) AS message,
   CASE l_linenumber % 2 WHEN 0 THEN 'HIGH' ELSE 'low' END AS severity
-FROM {lineitem} WHERE l_returnflag = 'A' AND l_quantity <= 12"""
+FROM {lineitem} WHERE l_returnflag = 'A'"""
 
 # ---------------------------------------------------------------- commit history
 VIEWS["v_commits"] = """
@@ -424,11 +424,6 @@ def _refs(text: str) -> list[str]:
 
 # Views that make up texts and paths with long CASE ladders.
 TEXT_VIEWS = ("v_code_lines", "v_code_files", "v_sliced_files", "v_path_edges")
-# Views whose jobs spend their time on texts: patterns, JSON, whole files.
-HEAVY_VIEWS = (
-    "v_code_lines", "v_code_files", "v_sliced_files", "v_rich_findings", "v_files", "v_log_lines", "v_audit_docs",
-    "v_ndjson", "v_concat_docs", "v_vuln_docs", "v_lint_docs", "v_coverage_json", "v_snapshots", "v_deps",
-)
 
 
 def computed_once(view: DataFrame) -> DataFrame:
@@ -440,15 +435,6 @@ def computed_once(view: DataFrame) -> DataFrame:
     return view.select(F.inline(F.array(F.struct(*view.columns))))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when its scan has fewer tasks than that, as a small file with one row group has.
-
-    A large input has more scan tasks than cores and is left alone: no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class Tables:
     """The supplied tables and adapter views of one data folder, read lazily."""
 
@@ -461,8 +447,6 @@ class Tables:
         if name not in self._cache:
             if name in VIEWS:
                 inputs = {ref: self[ref] for ref in _refs(VIEWS[name])}
-                if name in HEAVY_VIEWS:
-                    inputs = {ref: spread(df) for ref, df in inputs.items()}
                 view = self.spark.sql(VIEWS[name], **inputs)
                 self._cache[name] = computed_once(view) if name in TEXT_VIEWS else view
             else:

@@ -31,9 +31,20 @@ def batch_progress(latest: DataFrame) -> DataFrame:
     )
 
 
-def batch_progress_stream(final_events: DataFrame) -> DataFrame:
-    """The same counters on a stream of final module events (one per module); complete or update mode."""
-    return batch_progress(final_events)
+def batch_progress_stream(events: DataFrame) -> DataFrame:
+    """The same counters on a stream of module events; complete or update mode.
+
+    Repeated and late events do no harm: a scan's state is the set of its events, of which the newest of each module
+    counts. A scan has some dozens of modules with a few events each.
+    """
+    seen = events.groupBy("scan_id").agg(F.collect_set(F.struct("module_id", "ts", "seq", "status")).alias("_e"))
+    order = lambda e: F.struct(e["ts"], e["seq"], e["status"])
+    newest = F.filter("_e", lambda e: ~F.exists("_e", lambda o: (o["module_id"] == e["module_id"]) & (order(o) > order(e))))
+    status = F.transform(newest, lambda e: e["status"])
+    return seen.select(
+        "scan_id", F.size(newest).cast("bigint").alias("total"),
+        F.size(F.filter(status, lambda s: s.isin("completed", "failed"))).cast("bigint").alias("completed"),
+        F.size(F.filter(status, lambda s: s == "failed")).cast("bigint").alias("failed"))
 
 
 def assemble_chunks(chunks: DataFrame) -> DataFrame:
@@ -86,8 +97,9 @@ def incremental_reconcile(
         touched = batch.select("repo_id").distinct()
         scans = load_scans().join(touched, "repo_id", "left_semi")
         ranked = history.ranked_findings(scans, load_findings(), 3)
-        counts = history.latest_scans(scans, 3).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
-        current = history.reconcile(ranked, counts).unionByName(history.tombstones(ranked))
+        newest = history.latest_scans(scans, 3)
+        counts = newest.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+        current = history.reconcile(ranked, counts).unionByName(history.tombstones(ranked, newest))
         write(current, batch_id)
 
     return handle

@@ -21,7 +21,7 @@ def reconcile(spark, history, n):
     ranked = H.ranked_findings(sc, df, 3)
     counts = H.latest_scans(sc, 3).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     out = {r.message: r.status for r in H.reconcile(ranked, counts).collect()}
-    gone = sorted(r.message for r in H.tombstones(ranked).collect())
+    gone = sorted(r.message for r in H.tombstones(ranked, H.latest_scans(sc, 3)).collect())
     return out, gone
 
 
@@ -29,6 +29,10 @@ def test_first_scan_is_new(spark):
     assert reconcile(spark, {1: {"x": "new"}}, 1) == ({"x": "new"}, [])
 
 
+def test_a_newest_scan_without_findings_fixes_all(spark):
+    assert reconcile(spark, {1: {"x": "new", "y": "new"}}, 2) == ({}, ["x", "y"])
+
+
 def test_recurring_and_tombstone(spark):
     assert reconcile(spark, {1: {"x": "new", "y": "new"}, 2: {"x": "new"}}, 2) == ({"x": "recurring"}, ["y"])
 

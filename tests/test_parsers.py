@@ -112,3 +112,21 @@ def test_resolve_imports(spark):
     df = spark.createDataFrame(files, "repo_id string, path string, content string")
     got = {(r.specifier, r.target, tuple(r.symbols)) for r in code.resolve_imports(code.extract_imports(df), df).collect()}
     assert got == {("./y", "a/y.tsx", ("q", "w")), ("../b", "b/index.js", ()), ("@/c", "c.mjs", ())}
+
+
+def test_tabs_carriage_returns_and_lines_are_stripped(spark):
+    from repohealth.operators import code, shape
+    from repohealth.sources import tool_reports
+
+    text = 'import {\n\taa,\r\n\tbb as cc,\n} from "./m"\nexport {\n  xx,\n\tyy\n}\n'
+    files = spark.createDataFrame([("r", "a.ts", text), ("r", "m.ts", "export const aa = 1"), ("r", "lib/m.ts", 'import "./m"'), ("r", "lib/m/index.ts", "")], "repo_id string, path string, content string")
+    imports = {(r.path, r.specifier): r.symbols for r in code.extract_imports(files).collect()}
+    assert imports["a.ts", "./m"] == ["aa", "bb"]
+    assert {r.symbol for r in code.extract_exports(files).where("path = 'a.ts'").collect()} == {"xx", "yy"}
+    resolved = {(r.path, r.target) for r in code.resolve_imports(code.extract_imports(files), files).collect()}
+    assert resolved == {("a.ts", "m.ts")}  # the import of lib/m.ts means itself
+    lcov = ["SF:a.ts\r", "\tLF:4\r", "LH:2\r", "end_of_record\r"]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(lcov)], "report_id long, line_no long, text string")
+    assert tool_reports.parse_lcov(lines).count() == 1
+    barrel = spark.createDataFrame([("lib/index.ts", '\texport * from "./a";\r\n\r\n')], "path string, content string")
+    assert [r[0] for r in barrel.select(shape.is_barrel(F.col("path"), F.col("content"))).collect()] == [True]

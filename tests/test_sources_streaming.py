@@ -110,7 +110,8 @@ def test_progress_stream_equals_batch(spark, tmp_path, rows):
 
 
 def test_batch_counters_stream(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a", "completed", 0), (1, "b", "failed", 1)], "scan_id int, module_id string, status string, part int")
+    data = [(1, "a", 1, 1, "running", 0), (1, "a", 2, 5, "completed", 0), (1, "b", 3, 9, "failed", 1), (1, "b", 2, 4, "running", 1), (1, "a", 2, 5, "completed", 1)]
+    df = spark.createDataFrame(data, "scan_id int, module_id string, ts int, seq int, status string, part int")
     out = jobs.batch_progress_stream(stream_of(spark, df, tmp_path / "in", 2))
     drain(out.writeStream.format("memory").outputMode("complete"), "counters", tmp_path / "ck")
     assert [tuple(r) for r in spark.table("counters").collect()] == [(1, 2, 2, 1)]
@@ -128,6 +129,6 @@ def test_incremental_reconcile_equals_batch(spark, tmp_path, rows):
     cols = ["repo_id", "scan_id", "message", "status"]
     ranked = H.ranked_findings(scans, found, 3)
     counts = H.latest_scans(scans, 3).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
-    want = H.reconcile(ranked, counts).unionByName(H.tombstones(ranked))
+    want = H.reconcile(ranked, counts).unionByName(H.tombstones(ranked, H.latest_scans(scans, 3)))
     assert rows(spark.read.parquet(out).select(*cols)) == rows(want.select(*cols))
     assert ("y", "regressed") in {(r.message, r.status) for r in want.collect()}
