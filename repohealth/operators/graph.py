@@ -1,9 +1,11 @@
 """Import graph operators: fan counts, components, blast radius, cycles, communities, clusters, violations.
 
-Edges are (src, dst): src imports dst. Node names are unique across
-repositories, so one job covers the graphs of all of them. Loops keep their
-state in checkpoints, stop on an empty change, and fail loudly when a bound on
-the rounds is passed. Columns are renamed before every self-join.
+Edges are (repo_id, src, dst): src imports dst. Names are only unique inside a
+repository, so repo_id is part of every key, and one job covers the graphs of
+all repositories. Inside the loops a node is a 64-bit hash of both. Loops keep
+their state in checkpoints and end when a round changes nothing; chains are
+contracted by pointer doubling first, so that a long ring or path costs a
+logarithmic number of rounds. Columns are renamed before every self-join.
 """
 
 from __future__ import annotations
@@ -17,8 +19,6 @@ from repohealth.operators.shape import classify_layer, forbidden_import
 from repohealth.session import cut_lineage
 from repohealth.sources.files import split_count
 
-MAX_ROUNDS = 1000
-
 
 def is_entry(path: Column) -> Column:
     return path.startswith("app/") | path.startswith("pages/")
@@ -38,11 +38,58 @@ def node_facts(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    return edges.select("repo_id", F.col("src").alias("node")).union(edges.select("repo_id", F.col("dst").alias("node"))).distinct()
 
 
 def _plain(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
+    return edges.select("repo_id", "src", "dst").where(F.col("src") != F.col("dst")).distinct()
+
+
+def _id(node: str) -> Column:
+    return F.xxhash64("repo_id", node)
+
+
+def _coded(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges between node ids, and the names of the ids."""
+    ids = cut_lineage(plain.select(_id("src").alias("src"), _id("dst").alias("dst")))
+    names = cut_lineage(nodes_of(plain).select(_id("node").alias("node"), "repo_id", F.col("node").alias("name")))
+    return ids, names
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+
+
+def _contract_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with every chain as one edge, the members of the chains, and the rings.
+
+    A chain node has one incoming and one outgoing edge. Members are (node, u, w)
+    with the nodes before and after their chain; rings, which are chains closed in
+    themselves, come as (node, component).
+    """
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("o"), F.min("dst").alias("next"))
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i"), F.min("src").alias("prev"))
+    links = cut_lineage(out.join(into, "node").where("o = 1 AND i = 1").select("node", "next", "prev"))
+    # last: the last chain node that the pointer knows of; to: the node after it, null once it is no chain node
+    inner = links.select(F.col("node").alias("next"), F.lit(True).alias("_chain"))
+    state = cut_lineage(links.join(inner, "next", "left").select(
+        "node", F.col("node").alias("last"), F.when(F.col("_chain"), F.col("next")).alias("to"), F.least("node", "next").alias("least")))
+    length, size = 1, links.count()
+    while length <= size and not state.where("to IS NOT NULL").isEmpty():
+        ahead = state.select(F.col("node").alias("to"), F.col("last").alias("_last"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        state = cut_lineage(state.join(ahead, "to", "left").select(
+            "node", F.coalesce("_last", "last").alias("last"), F.col("_to").alias("to"), F.least("least", F.coalesce("_least", "least")).alias("least")))
+        length *= 2
+    rings = state.where("to IS NOT NULL").select("node", F.col("least").alias("component"))
+    chains = state.where("to IS NULL").select("node", "last")
+    after = links.select(F.col("node").alias("last"), F.col("next").alias("w"))
+    firsts = links.join(links.select(F.col("node").alias("prev"), F.lit(True).alias("_chain")), "prev", "left").where("_chain IS NULL")
+    before = firsts.select("node", F.col("prev").alias("u")).join(chains, "node").select("last", "u")
+    spans = cut_lineage(before.join(after, "last"))
+    members = cut_lineage(chains.join(spans, "last").select("node", "u", "w"))
+    chain = links.select("node")
+    rest = edges.join(chain.withColumnRenamed("node", "src"), "src", "left_anti").join(chain.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    return cut_lineage(rest.select("src", "dst").union(spans.select(F.col("u").alias("src"), F.col("w").alias("dst"))).distinct()), members, rings
 
 
 def _peel(edges: DataFrame) -> DataFrame:
@@ -63,7 +110,7 @@ def cyclic_core(edges: DataFrame, peels: int = 3) -> DataFrame:
     """
     core = cut_lineage(edges)
     size = core.count()
-    for _ in range(MAX_ROUNDS):
+    while True:
         if size == 0:
             return core
         peeled = core
@@ -74,13 +121,12 @@ def cyclic_core(edges: DataFrame, peels: int = 3) -> DataFrame:
         if left == size:
             return peeled
         core, size = peeled, left
-    raise RuntimeError("peeling did not finish")
 
 
 def _forward_colors(edges: DataFrame) -> DataFrame:
     """Smallest node that reaches each node (itself included), as (node, color)."""
-    colors = cut_lineage(nodes_of(edges).withColumn("color", F.col("node")))
-    for _ in range(MAX_ROUNDS):
+    colors = cut_lineage(_ends(edges).withColumn("color", F.col("node")))
+    while True:
         offered = edges.join(colors.select(F.col("node").alias("src"), F.col("color").alias("_c")), "src").groupBy(
             F.col("dst").alias("node")).agg(F.min("_c").alias("_offer"))
         step = cut_lineage(
@@ -93,7 +139,6 @@ def _forward_colors(edges: DataFrame) -> DataFrame:
         colors = step.drop("_changed")
         if done:
             return colors
-    raise RuntimeError("colors did not settle")
 
 
 def _backward_reach(edges: DataFrame, colors: DataFrame) -> DataFrame:
@@ -106,7 +151,7 @@ def _backward_reach(edges: DataFrame, colors: DataFrame) -> DataFrame:
     inside = cut_lineage(inside)
     reached = cut_lineage(colors.where("node = color").select("node", F.col("color").alias("component")))
     frontier, parts = reached, [reached]
-    for _ in range(MAX_ROUNDS):
+    while True:
         back = inside.join(frontier.select(F.col("node").alias("dst")), "dst").select(
             F.col("src").alias("node"), "component").distinct()
         known = parts[0]
@@ -116,36 +161,54 @@ def _backward_reach(edges: DataFrame, colors: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             return known
         parts.append(frontier)
-    raise RuntimeError("reach did not finish")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node on a cycle; the component is its smallest node.
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node id on a cycle; the component is its least id.
 
-    Peel to the cyclic core, color it forward by the smallest ancestor, walk back
-    from the color roots, remove what was found, repeat. All state is linear in
-    the edges: no reachability pairs are built, whatever the component sizes.
+    Contract the chains, peel to the cyclic core, color it forward by the smallest
+    ancestor, walk back from the color roots, remove what was found, repeat. All
+    state is linear in the edges: no reachability pairs are built.
     """
-    core = cyclic_core(_plain(edges))
-    found = None
-    for _ in range(MAX_ROUNDS):
-        if core.isEmpty():
-            break
-        members = _backward_reach(core, _forward_colors(core))
-        found = members if found is None else found.union(members)
-        rest = core.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(
-            members.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    short, members, rings = _contract_chains(edges)
+    core, found = cyclic_core(short.where("src <> dst")), None
+    while not core.isEmpty():
+        part = _backward_reach(core, _forward_colors(core))
+        found = part if found is None else found.union(part)
+        rest = core.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(
+            part.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
         core = cyclic_core(rest)
     if found is None:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where(F.lit(False))
-    # Roots whose color class holds only themselves are on no cycle.
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component")
-    return found.join(sizes, "component", "left_semi").select("node", "component")
+        inner = rings.where(F.lit(False))
+    else:
+        # Roots whose color class holds only themselves are on no cycle.
+        sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component")
+        inner = cut_lineage(found.join(sizes, "component", "left_semi").select("node", "component"))
+    # a chain is on a cycle when it returns to its start or both its ends are in one component
+    loops = members.where("u = w").select("u").distinct().join(inner.select(F.col("node").alias("u"), "component"), "u", "left").select(
+        "u", F.coalesce("component", "u").alias("component"))
+    tagged = members.join(inner.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(
+        inner.select(F.col("node").alias("w"), F.col("component").alias("cw")), "w", "left")
+    on_cycle = tagged.where("u = w OR cu = cw").select("node", F.coalesce("cu", "u").alias("component"))
+    alone = loops.where("u = component").select(F.col("u").alias("node"), "component")
+    return cut_lineage(inner.union(rings).union(on_cycle).union(alone).distinct())
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(repo_id, node, component) of every node on a cycle; the component is named by its smallest node."""
+    ids, names = _coded(_plain(edges))
+    return _named(_components(ids), names)
+
+
+def _named(components: DataFrame, names: DataFrame) -> DataFrame:
+    tagged = components.join(names, "node")
+    first = tagged.groupBy("component").agg(F.min("name").alias("first"))
+    return tagged.join(first, "component").select("repo_id", F.col("name").alias("node"), F.col("first").alias("component"))
 
 
 def condense(edges: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their component (a lone node is its own) and the acyclic edges between components."""
-    members = nodes_of(edges).join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    """Node ids with their component (a lone node is its own) and the acyclic edges between components."""
+    members = _ends(edges).join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     members = cut_lineage(members)
     between = (
         edges.join(members.select(F.col("node").alias("src"), F.col("component").alias("a")), "src")
@@ -157,9 +220,9 @@ def condense(edges: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFr
 
 def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) with a path from src to dst, by doubling: rounds grow with the log of the longest path."""
-    delta = cut_lineage(_plain(edges))
+    delta = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
     parts = [delta]
-    for _ in range(MAX_ROUNDS):
+    while True:
         known = parts[0]
         for part in parts[1:]:
             known = known.union(part)
@@ -169,47 +232,47 @@ def closure(edges: DataFrame) -> DataFrame:
         if delta.isEmpty():
             return known
         parts.append(delta)
-    raise RuntimeError("closure did not finish")
 
 
 def blast_radius(edges: DataFrame) -> DataFrame:
-    """Direct and transitive dependents of every node; a node never counts as its own dependent.
+    """Direct and transitive dependents of every (repo_id, node); a node never counts as its own dependent.
 
     Components are condensed first, so a giant cycle costs its size, not its
     square; reachability pairs are only built between components.
     """
-    plain = cut_lineage(_plain(edges))
-    members, between = condense(plain, strong_components(plain))
+    ids, names = _coded(_plain(edges))
+    members, between = condense(ids, _components(ids))
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     above = (
         closure(between).join(sizes.select(F.col("component").alias("src"), "size"), "src")
         .groupBy(F.col("dst").alias("component")).agg(F.sum("size").alias("_above"))
     )
-    direct = plain.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
+    direct = ids.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
     zero = F.lit(0)
     return (
-        members.join(sizes, "component").join(above, "component", "left").join(direct, "node", "left")
-        .select("node", F.coalesce("direct", zero).cast("bigint").alias("direct"),
+        members.join(sizes, "component").join(above, "component", "left").join(direct, "node", "left").join(names, "node")
+        .select("repo_id", F.col("name").alias("node"), F.coalesce("direct", zero).cast("bigint").alias("direct"),
                 (F.coalesce("_above", zero) + F.col("size") - 1).cast("bigint").alias("transitive"))
     )
 
 
 def blast_from(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Dependents of the ``start`` nodes (node) with their distance, one frontier per round."""
+    """Dependents of the ``start`` nodes (repo_id, node) with their distance, one frontier per round for all repositories."""
+    keys = ["repo_id", "node"]
     plain = cut_lineage(_plain(edges))
-    frontier = cut_lineage(start.select("node").distinct())
+    frontier = cut_lineage(start.select(*keys).distinct())
     origin, parts, level = frontier, [], 0
-    for _ in range(MAX_ROUNDS):
+    while True:
         level += 1
         known = origin
         for part in parts:
-            known = known.union(part.select("node"))
-        found = plain.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        step = cut_lineage(found.join(known, "node", "left_anti").withColumn("level", F.lit(level)))
+            known = known.union(part.select(*keys))
+        found = plain.join(frontier.withColumnRenamed("node", "dst"), ["repo_id", "dst"]).select("repo_id", F.col("src").alias("node")).distinct()
+        step = cut_lineage(found.join(known, keys, "left_anti").withColumn("level", F.lit(level)))
         if step.isEmpty():
             break
         parts.append(step)
-        frontier = step.select("node")
+        frontier = step.select(*keys)
     if not parts:
         return origin.withColumn("level", F.lit(0)).where(F.lit(False))
     out = parts[0]
@@ -224,111 +287,166 @@ def short_cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     Only edges inside one strong component are walked: no cycle leaves it.
     """
     plain = cut_lineage(_plain(edges))
-    comp = strong_components(plain)
-    inner = cut_lineage(
-        plain.join(comp.select(F.col("node").alias("src"), F.col("component").alias("a")), "src")
-        .join(comp.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
-        .where("a = b").select("src", "dst")
-    )
-    step = inner.select(F.col("src").alias("_last"), F.col("dst").alias("_next"))
-    paths = inner.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("src").alias("start"), F.col("dst").alias("_last"))
+    inner = cut_lineage(_with_components(plain, strong_components(plain), "inner").where("a = b").select("repo_id", "src", "dst"))
+    step = inner.select("repo_id", F.col("src").alias("_last"), F.col("dst").alias("_next"))
+    on = ["repo_id", "_last"]
+    paths = inner.where("src < dst").select("repo_id", F.array("src", "dst").alias("path"), F.col("src").alias("start"), F.col("dst").alias("_last"))
     cycles = None
     for length in range(2, longest + 1):
-        closing = paths.join(step, "_last").where("_next = start").select("path")
+        closing = paths.join(step, on).where("_next = start").select("repo_id", "path")
         cycles = closing if cycles is None else cycles.union(closing)
         if length < longest:
-            grown = paths.join(step, "_last").where((F.col("_next") > F.col("start")) & ~F.array_contains("path", F.col("_next")))
-            paths = grown.select(F.concat("path", F.array("_next")).alias("path"), "start", F.col("_next").alias("_last"))
-    return cycles.select("path", F.size("path").alias("length"))
+            grown = paths.join(step, on).where((F.col("_next") > F.col("start")) & ~F.array_contains("path", F.col("_next")))
+            paths = grown.select("repo_id", F.concat("path", F.array("_next")).alias("path"), "start", F.col("_next").alias("_last"))
+    return cycles.select("repo_id", "path", F.size("path").alias("length"))
+
+
+def _with_components(plain: DataFrame, comp: DataFrame, how: str) -> DataFrame:
+    """Edges with the components of both ends (a, b)."""
+    return plain.join(comp.select("repo_id", F.col("node").alias("src"), F.col("component").alias("a")), ["repo_id", "src"], how).join(
+        comp.select("repo_id", F.col("node").alias("dst"), F.col("component").alias("b")), ["repo_id", "dst"], how)
 
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
     """Every edge with whether it lies on a cycle: both ends in one strong component."""
     plain = cut_lineage(_plain(edges))
-    comp = strong_components(plain)
-    return (
-        plain.join(comp.select(F.col("node").alias("src"), F.col("component").alias("a")), "src", "left")
-        .join(comp.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst", "left")
-        .select("src", "dst", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("in_cycle"))
-    )
+    return _with_components(plain, strong_components(plain), "left").select(
+        "repo_id", "src", "dst", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("in_cycle"))
 
 
-def communities(edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """Communities by synchronous label propagation on the undirected weighted graph, as (node, community).
+def _moves(weighted: DataFrame, labels: DataFrame, parity: int) -> DataFrame:
+    """Labels after half of the nodes took the neighbouring community with the largest gain in modularity, if it is one.
 
-    Fixed rounds and ties to the smallest label make it deterministic. A hub's
-    votes are summed before they meet, so no neighbourhood is gathered.
+    ``weighted`` has both directions (repo_id, src, dst, w) and self-loops with
+    twice their weight. Gains are compared as whole numbers: 2m w(v, C) - k(v) K(C).
+    """
+    keys = ["repo_id", "node"]
+    degree = weighted.groupBy("repo_id", F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    total = degree.groupBy("repo_id").agg(F.sum("k").alias("m2"))
+    mine = labels.join(degree, keys)
+    weight = mine.groupBy("repo_id", "community").agg(F.sum("k").alias("joint"))
+    votes = weighted.where("src <> dst").join(labels.select("repo_id", F.col("node").alias("dst"), "community"), ["repo_id", "dst"]).groupBy(
+        "repo_id", F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
+    # the own community stays a candidate also without a neighbour in it
+    votes = votes.unionByName(labels.withColumn("w", F.lit(0).cast("bigint"))).groupBy("repo_id", "node", "community").agg(F.sum("w").alias("w"))
+    rated = votes.join(mine.select(*keys, "k", F.col("community").alias("own")), keys).join(weight, ["repo_id", "community"]).join(total, "repo_id")
+    own = F.col("community") == F.col("own")
+    others = F.col("joint") - F.when(own, F.col("k")).otherwise(F.lit(0))
+    gain = (F.col("m2") * F.col("w")).cast("decimal(38,0)") - (F.col("k") * others).cast("decimal(38,0)")
+    best = rated.groupBy(*keys).agg(
+        F.max(F.struct(gain.alias("gain"), own.alias("own"), (-F.xxhash64("community")).alias("h"), F.col("community").alias("community"))).alias("b"),
+        F.first("own").alias("was"))
+    may = F.pmod(F.xxhash64("repo_id", "node", F.lit(parity)), F.lit(2)) == 0
+    return best.select(*keys, F.when(may, F.col("b.community")).otherwise(F.col("was")).alias("community"))
+
+
+def _scores(weighted: DataFrame, labels: DataFrame) -> DataFrame:
+    """Modularity of every repository times (2m)^2, a whole number."""
+    a = labels.select("repo_id", F.col("node").alias("src"), F.col("community").alias("a"))
+    b = labels.select("repo_id", F.col("node").alias("dst"), F.col("community").alias("b"))
+    tagged = weighted.join(a, ["repo_id", "src"]).join(b, ["repo_id", "dst"])
+    by = tagged.groupBy("repo_id", "a").agg(F.sum("w").alias("joint"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0)).alias("inside"))
+    return by.groupBy("repo_id").agg((F.sum("joint").cast("decimal(38,0)") * F.sum("inside") - F.sum((F.col("joint") * F.col("joint")).cast("decimal(38,0)"))).alias("q"))
+
+
+def communities(edges: DataFrame, patience: int = 3) -> DataFrame:
+    """(repo_id, node, community) by modularity: moves of half of the nodes a round, then contraction, until nothing gains.
+
+    A repository keeps the best labels it had; a level ends after ``patience``
+    rounds without a gain anywhere, and the whole when a level brings none. The
+    community is named by its smallest node.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).where(F.col("src") != F.col("dst"))
-    weighted = cut_lineage(both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
-    labels = weighted.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
-        votes = weighted.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(
-            F.sum("w").alias("w"))
-        labels = cut_lineage(votes.groupBy(F.col("src").alias("node")).agg(
-            F.min_by("community", F.struct((-F.col("w")).alias("a"), F.col("community"))).alias("community")))
-    return labels
+    both = edges.select("repo_id", "src", "dst").union(edges.select("repo_id", F.col("dst"), F.col("src"))).where(F.col("src") != F.col("dst"))
+    weighted = cut_lineage(both.groupBy("repo_id", "src", "dst").agg(F.count(F.lit(1)).alias("w")))
+    nodes = weighted.select("repo_id", F.col("src").alias("node")).distinct()
+    result = cut_lineage(nodes.withColumn("community", F.col("node")))
+    while True:
+        labels = cut_lineage(weighted.select("repo_id", F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
+        best = cut_lineage(labels.join(_scores(weighted, labels), "repo_id"))
+        rounds, idle, gained = 0, 0, False
+        while idle < patience:
+            labels = cut_lineage(_moves(weighted, labels, rounds))
+            now = labels.join(_scores(weighted, labels), "repo_id").select("repo_id", "node", F.col("community").alias("_c"), F.col("q").alias("_q"))
+            both_ = cut_lineage(best.join(now, ["repo_id", "node"]).select("*", (F.col("_q") > F.col("q")).alias("_up")))
+            better = not both_.where("_up").isEmpty()
+            if better:
+                best = cut_lineage(both_.select(
+                    "repo_id", "node", F.when(F.col("_up"), F.col("_c")).otherwise(F.col("community")).alias("community"), F.greatest("q", "_q").alias("q")))
+            rounds, idle, gained = rounds + 1, 0 if better else idle + 1, gained or better
+        if not gained:
+            break
+        level = best.select("repo_id", F.col("node").alias("_node"), F.col("community").alias("_to"))
+        result = cut_lineage(result.join(level, (result["repo_id"] == level["repo_id"]) & (result["community"] == level["_node"])).select(
+            result["repo_id"], result["node"], F.col("_to").alias("community")))
+        a = level.select("repo_id", F.col("_node").alias("src"), F.col("_to").alias("a"))
+        b = level.select("repo_id", F.col("_node").alias("dst"), F.col("_to").alias("b"))
+        weighted = cut_lineage(weighted.join(a, ["repo_id", "src"]).join(b, ["repo_id", "dst"]).groupBy(
+            "repo_id", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+    first = result.groupBy("repo_id", "community").agg(F.min("node").alias("first"))
+    return result.join(first, ["repo_id", "community"]).select("repo_id", "node", F.col("first").alias("community"))
 
 
 def _with_clusters(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """Edges with the clusters of both ends (a, b)."""
-    return edges.join(membership.select(F.col("node").alias("src"), F.col("cluster").alias("a")), "src").join(
-        membership.select(F.col("node").alias("dst"), F.col("cluster").alias("b")), "dst")
+    return edges.join(membership.select("repo_id", F.col("node").alias("src"), F.col("cluster").alias("a")), ["repo_id", "src"]).join(
+        membership.select("repo_id", F.col("node").alias("dst"), F.col("cluster").alias("b")), ["repo_id", "dst"])
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
-    """Share of edges inside clusters against what the degrees alone would give; one row."""
+    """Per repository, the share of edges inside clusters against what the degrees alone would give."""
     tagged = _with_clusters(edges, membership)
-    degree = tagged.select(F.col("a").alias("cluster")).union(tagged.select(F.col("b").alias("cluster"))).groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("d"))
-    total = tagged.agg(F.count(F.lit(1)).alias("m"), count_if(F.col("a") == F.col("b")).alias("inside"))
-    spread = degree.agg(F.sum((F.col("d") * F.col("d")).cast("decimal(38,0)")).cast("double").alias("sq"), F.count(F.lit(1)).alias("clusters"))
-    m = total.select("m").scalar().cast("double")
-    return spread.select(
-        "clusters", F.round(total.select("inside").scalar() / m - F.col("sq") / (F.lit(4.0) * m * m), 6).alias("modularity"))
+    degree = tagged.select("repo_id", F.col("a").alias("cluster")).union(tagged.select("repo_id", F.col("b").alias("cluster"))).groupBy(
+        "repo_id", "cluster").agg(F.count(F.lit(1)).alias("d"))
+    total = tagged.groupBy("repo_id").agg(F.count(F.lit(1)).cast("double").alias("m"), count_if(F.col("a") == F.col("b")).alias("inside"))
+    spread = degree.groupBy("repo_id").agg(
+        F.sum((F.col("d") * F.col("d")).cast("decimal(38,0)")).cast("double").alias("sq"), F.count(F.lit(1)).alias("clusters"))
+    m = F.col("m")
+    return spread.join(total, "repo_id").select(
+        "repo_id", "clusters", F.round(F.col("inside") / m - F.col("sq") / (F.lit(4.0) * m * m), 6).alias("modularity"))
 
 
 def directory_clusters(nodes: DataFrame) -> DataFrame:
     """Cluster of a path node: its first directory, '.' for files at the top."""
-    return nodes.select("node", top_dir(F.col("node")).alias("cluster"))
+    return nodes.select("repo_id", "node", top_dir(F.col("node")).alias("cluster"))
 
 
 def feature_areas(membership: DataFrame, edges: DataFrame) -> DataFrame:
     """Size, most common two-segment prefix and cohesion of every cluster; 1 for a cluster without edges."""
-    prefixes = membership.groupBy("cluster", prefix2(F.col("node")).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    areas = prefixes.groupBy("cluster").agg(
+    keys = ["repo_id", "cluster"]
+    prefixes = membership.groupBy(*keys, prefix2(F.col("node")).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    areas = prefixes.groupBy(*keys).agg(
         F.sum("_n").alias("files"), F.min_by("_p", F.struct((-F.col("_n")).alias("a"), F.col("_p"))).alias("name"))
     tagged = _with_clusters(edges, membership)
-    touched = tagged.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("cluster"), (F.col("a") == F.col("b")).alias("inside"))
-    ties = touched.groupBy("cluster").agg(count_if(F.col("inside")).alias("_in"), F.count(F.lit(1)).alias("_all"))
-    return areas.join(ties, "cluster", "left").select(
-        "cluster", "name", "files", F.coalesce(F.col("_in") / F.col("_all"), F.lit(1.0)).alias("cohesion"))
+    touched = tagged.select("repo_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("cluster"), (F.col("a") == F.col("b")).alias("inside"))
+    ties = touched.groupBy(*keys).agg(count_if(F.col("inside")).alias("_in"), F.count(F.lit(1)).alias("_all"))
+    return areas.join(ties, keys, "left").select(
+        *keys, "name", "files", F.coalesce(F.col("_in") / F.col("_all"), F.lit(1.0)).alias("cohesion"))
 
 
 def coupling(membership: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges between every unordered pair of different clusters."""
+    """Edges between every unordered pair of different clusters of a repository."""
     tagged = _with_clusters(edges, membership).where("a <> b")
-    return tagged.groupBy(F.least("a", "b").alias("cluster_a"), F.greatest("a", "b").alias("cluster_b")).agg(
+    return tagged.groupBy("repo_id", F.least("a", "b").alias("cluster_a"), F.greatest("a", "b").alias("cluster_b")).agg(
         F.count(F.lit(1)).alias("cross_edges"))
 
 
 def layer_violations(edges: DataFrame) -> DataFrame:
     """Edges between layers that should not import each other; layers follow from the paths."""
     src, dst = classify_layer(F.col("src")), classify_layer(F.col("dst"))
-    tagged = edges.select("src", "dst", src.alias("src_layer"), dst.alias("dst_layer"))
+    tagged = edges.select("repo_id", "src", "dst", src.alias("src_layer"), dst.alias("dst_layer"))
     forbidden = F.when(forbidden_import(F.col("src_layer"), F.col("dst_layer")), F.lit(True))
     return keep_found(tagged, "_forbidden", forbidden).drop("_forbidden")
 
 
 def graph_summary(edges: DataFrame, membership: DataFrame) -> DataFrame:
-    """Counts of nodes, edges, clusters and violations and the mean cohesion; one row."""
-    areas = feature_areas(membership, edges)
-
-    def number(df: DataFrame) -> Column:
-        return df.agg(F.count(F.lit(1))).scalar()
+    """Per repository, counts of nodes, edges, clusters and violations and the mean cohesion."""
+    def number(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("repo_id").agg(F.count(F.lit(1)).alias(name))
 
-    return areas.agg(
+    areas = feature_areas(membership, edges).groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("communities"),
         (F.floor(F.sum(F.col("cohesion").cast("decimal(20,9)")).cast("double") / F.count(F.lit(1)) * 1000 + 0.5) / 1000).alias("avg_cohesion"),
-    ).withColumn("nodes", number(nodes_of(edges))).withColumn("edges", number(edges)).withColumn(
-        "violations", number(layer_violations(edges)))
+    )
+    out = areas.join(number(nodes_of(edges), "nodes"), "repo_id").join(number(edges, "edges"), "repo_id")
+    found = number(layer_violations(edges), "violations")
+    return out.join(found, "repo_id", "left").withColumn("violations", F.coalesce("violations", F.lit(0)).cast("bigint"))

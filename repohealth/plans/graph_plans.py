@@ -6,78 +6,85 @@ from pyspark.sql import functions as F
 
 from repohealth.functions.scalars import normalize_cycle
 from repohealth.operators import graph as G
+from repohealth.operators.ordered import top_per_key
+from repohealth.operators.scoring import count_penalty
 from repohealth.plans.registry import query
 from repohealth.plans.shape_plans import layer_sql
 
-CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM v_edges WHERE src <> dst), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)"""
-NODES = "n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
+CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT repo_id, src, dst FROM v_edges WHERE src <> dst), c AS (SELECT repo_id, src, dst FROM e UNION SELECT c.repo_id, c.src, e.dst FROM c JOIN e ON c.repo_id = e.repo_id AND c.dst = e.src)"""
+NODES = "n AS (SELECT repo_id, src AS node FROM e UNION SELECT repo_id, dst FROM e)"
+REACHED = "t AS (SELECT repo_id, dst AS node, count(CASE WHEN src <> dst THEN 1 END) AS k FROM c GROUP BY 1, 2)"
 
 
-@query("blast_radius", f"""{CLOSURE}, {NODES}, t AS (SELECT dst AS node, count(CASE WHEN src <> dst THEN 1 END) AS k FROM c GROUP BY dst), d AS (SELECT dst AS node, count(*) AS k FROM e GROUP BY dst)
-SELECT n.node, coalesce(d.k, 0) AS direct, coalesce(t.k, 0) AS transitive FROM n LEFT JOIN t USING (node) LEFT JOIN d USING (node)""")
+@query("blast_radius", f"""{CLOSURE}, {NODES}, {REACHED}, d AS (SELECT repo_id, dst AS node, count(*) AS k FROM e GROUP BY 1, 2)
+SELECT n.repo_id, n.node, coalesce(d.k, 0) AS direct, coalesce(t.k, 0) AS transitive FROM n LEFT JOIN t USING (repo_id, node) LEFT JOIN d USING (repo_id, node)""")
 def _(t):
     return G.blast_radius(t["v_edges"])
 
 
-@query("high_blast", f"""{CLOSURE}, {NODES}, t AS (SELECT dst AS node, count(CASE WHEN src <> dst THEN 1 END) AS k FROM c GROUP BY dst)
-SELECT * FROM (SELECT n.node, coalesce(t.k, 0) AS transitive FROM n LEFT JOIN t USING (node) ORDER BY 2 DESC, 1 LIMIT 10) x WHERE transitive > 0""")
+@query("high_blast", f"""{CLOSURE}, {NODES}, {REACHED}
+SELECT repo_id, node, transitive FROM (SELECT n.repo_id, n.node, coalesce(t.k, 0) AS transitive, row_number() OVER (PARTITION BY n.repo_id ORDER BY coalesce(t.k, 0) DESC, n.node) AS rk
+  FROM n LEFT JOIN t USING (repo_id, node)) x WHERE transitive > 0 AND rk <= 10""")
 def _(t):
-    rows = G.blast_radius(t["v_edges"]).select("node", "transitive")
-    return rows.orderBy(F.col("transitive").desc(), "node").limit(10).where("transitive > 0")
+    rows = G.blast_radius(t["v_edges"]).select("repo_id", "node", "transitive").where("transitive > 0")
+    return top_per_key(rows, ["repo_id"], [F.col("transitive").desc(), F.col("node")], 10)
 
 
-@query("blast_from", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM v_edges WHERE src <> dst), s AS (SELECT dst AS node FROM e GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
-b AS (SELECT node, 0 AS level FROM s UNION SELECT e.src, b.level + 1 FROM b JOIN e ON e.dst = b.node WHERE b.level < 60)
-SELECT node, min(level) AS level FROM b WHERE node NOT IN (SELECT node FROM s) GROUP BY node""")
+@query("blast_from", """WITH RECURSIVE e AS (SELECT DISTINCT repo_id, src, dst FROM v_edges WHERE src <> dst),
+s AS (SELECT repo_id, node FROM (SELECT repo_id, dst AS node, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, dst) AS rk FROM e GROUP BY 1, 2) x WHERE rk = 1),
+b AS (SELECT repo_id, node, 0 AS level FROM s UNION SELECT e.repo_id, e.src, b.level + 1 FROM b JOIN e ON e.repo_id = b.repo_id AND e.dst = b.node WHERE b.level < 60)
+SELECT b.repo_id, b.node, min(level) AS level FROM b LEFT JOIN s ON s.repo_id = b.repo_id AND s.node = b.node WHERE s.node IS NULL GROUP BY 1, 2""")
 def _(t):
     edges = t["v_edges"]
-    popular = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "node").limit(1)
-    return G.blast_from(edges, popular)
+    counts = edges.groupBy("repo_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return G.blast_from(edges, top_per_key(counts, ["repo_id"], [F.col("n").desc(), F.col("node")], 1))
 
 
-@query("scc", f"{CLOSURE} SELECT a.src AS node, min(a.dst) AS component FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")
+@query("scc", f"{CLOSURE} SELECT a.repo_id, a.src AS node, min(a.dst) AS component FROM c a JOIN c b ON a.repo_id = b.repo_id AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2")
 def _(t):
     return G.strong_components(t["v_edges"])
 
 
-@query("short_cycles", """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM v_edges WHERE src <> dst),
-p AS (SELECT [src, dst] AS path FROM e WHERE src < dst UNION ALL SELECT list_append(path, e.dst) FROM p JOIN e ON e.src = path[-1] WHERE len(path) < 5 AND e.dst > path[1] AND NOT list_contains(path, e.dst))
-SELECT array_to_string(p.path, '>') AS cycle, CAST(len(p.path) AS INT) AS length FROM p JOIN e ON e.src = p.path[-1] AND e.dst = p.path[1]""")
+SHORT = """WITH RECURSIVE e AS (SELECT DISTINCT repo_id, src, dst FROM v_edges WHERE src <> dst),
+p AS (SELECT repo_id, [src, dst] AS path FROM e WHERE src < dst UNION ALL SELECT p.repo_id, list_append(path, e.dst) FROM p JOIN e ON e.repo_id = p.repo_id AND e.src = path[-1] WHERE len(path) < 5 AND e.dst > path[1] AND NOT list_contains(path, e.dst)),
+cy AS (SELECT p.repo_id, p.path FROM p JOIN e ON e.repo_id = p.repo_id AND e.src = p.path[-1] AND e.dst = p.path[1])"""
+
+
+@query("short_cycles", f"{SHORT} SELECT repo_id, array_to_string(path, '>') AS cycle, CAST(len(path) AS INT) AS length FROM cy")
 def _(t):
-    return G.short_cycles(t["v_edges"]).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"), "length")
+    return G.short_cycles(t["v_edges"]).select("repo_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"), "length")
 
 
-@query("cycle_edges", f"{CLOSURE} SELECT e.src, e.dst, c.src IS NOT NULL AS in_cycle FROM e LEFT JOIN c ON c.src = e.dst AND c.dst = e.src")
+@query("cycle_penalty", f"""{SHORT} SELECT r.repo_id, count(cy.path) AS cycles, CAST(greatest(0, 100 - count(cy.path) * 15) AS INT) AS cycle_score
+FROM (SELECT DISTINCT repo_id FROM e) r LEFT JOIN cy USING (repo_id) GROUP BY 1""")
 def _(t):
-    return G.cycle_edges(t["v_edges"])
+    found = G.short_cycles(t["v_edges"]).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    return t["v_edges"].select("repo_id").distinct().join(found, "repo_id", "left").select("repo_id", n.alias("cycles"), count_penalty(n, 15).alias("cycle_score"))
 
 
-def _lpa_sql(rounds: int) -> str:
-    out = """WITH w AS (SELECT a AS src, b AS dst, count(*) AS w FROM (SELECT src AS a, dst AS b FROM v_edges UNION ALL SELECT dst, src FROM v_edges) x WHERE a <> b GROUP BY 1, 2),
-l0 AS (SELECT DISTINCT src AS node, src AS community FROM w)"""
-    for i in range(rounds):
-        out += f""", l{i + 1} AS MATERIALIZED (SELECT src AS node, arg_min(community, (-w, community)) AS community FROM (SELECT w.src, l.community, CAST(sum(w.w) AS BIGINT) AS w FROM w JOIN l{i} l ON l.node = w.dst GROUP BY 1, 2) v GROUP BY 1)"""
-    return out
+@query("cycle_edges", f"{CLOSURE} SELECT e.repo_id, e.src, e.dst, c.src IS NOT NULL AS in_cycle FROM e LEFT JOIN c ON c.repo_id = e.repo_id AND c.src = e.dst AND c.dst = e.src")
+def _(t):
+    return G.cycle_edges(t["v_edges"])
 
 
-@query("communities", f"{_lpa_sql(4)} SELECT node, community FROM l4")
+# Which of several best partitions is found depends on hashes, so these two are held against properties in the tests.
+@query("communities")
 def _(t):
     return G.communities(t["v_edges"])
 
 
-@query("modularity", f"""{_lpa_sql(4)}, g AS (SELECT x.community AS a, y.community AS b FROM v_edges e JOIN l4 x ON x.node = e.src JOIN l4 y ON y.node = e.dst),
-d AS (SELECT k, count(*) AS d FROM (SELECT a AS k FROM g UNION ALL SELECT b FROM g) z GROUP BY k), m AS (SELECT CAST(count(*) AS DOUBLE) AS m, count(CASE WHEN a = b THEN 1 END) AS i FROM g)
-SELECT (SELECT count(*) FROM d) AS clusters, round(i / m - (SELECT CAST(sum(CAST(d AS DOUBLE) * d) AS DOUBLE) FROM d) / (4.0 * m * m), 6) AS modularity FROM m""")
+@query("modularity")
 def _(t):
-    labels = G.communities(t["v_edges"]).select("node", F.col("community").alias("cluster"))
+    labels = G.communities(t["v_edges"]).select("repo_id", "node", F.col("community").alias("cluster"))
     return G.modularity(t["v_edges"], labels)
 
 
-MEMBERS = "nod AS (SELECT src AS node FROM v_path_edges UNION SELECT dst FROM v_path_edges), mem AS (SELECT node, CASE WHEN contains(node, '/') THEN string_split(node, '/')[1] ELSE '.' END AS cluster FROM nod)"
-TAGGED = "tag AS (SELECT e.src, e.dst, x.cluster AS a, y.cluster AS b FROM v_path_edges e JOIN mem x ON x.node = e.src JOIN mem y ON y.node = e.dst)"
-AREAS = """pf AS (SELECT cluster, array_to_string(string_split(node, '/')[1:2], '/') AS p, count(*) AS n FROM mem GROUP BY 1, 2), ar AS (SELECT cluster, CAST(sum(n) AS BIGINT) AS files, arg_min(p, (-n, p)) AS name FROM pf GROUP BY 1),
-ti AS (SELECT cluster, count(CASE WHEN i THEN 1 END) AS i, count(*) AS n FROM (SELECT a AS cluster, a = b AS i FROM tag UNION ALL SELECT b, false FROM tag WHERE a <> b) z GROUP BY 1),
-areas AS (SELECT ar.cluster, name, files, coalesce(CAST(i AS DOUBLE) / n, CAST(1 AS DOUBLE)) AS cohesion FROM ar LEFT JOIN ti USING (cluster))"""
+MEMBERS = "nod AS (SELECT repo_id, src AS node FROM v_path_edges UNION SELECT repo_id, dst FROM v_path_edges), mem AS (SELECT repo_id, node, CASE WHEN contains(node, '/') THEN string_split(node, '/')[1] ELSE '.' END AS cluster FROM nod)"
+TAGGED = "tag AS (SELECT e.repo_id, e.src, e.dst, x.cluster AS a, y.cluster AS b FROM v_path_edges e JOIN mem x ON x.repo_id = e.repo_id AND x.node = e.src JOIN mem y ON y.repo_id = e.repo_id AND y.node = e.dst)"
+AREAS = """pf AS (SELECT repo_id, cluster, array_to_string(string_split(node, '/')[1:2], '/') AS p, count(*) AS n FROM mem GROUP BY 1, 2, 3), ar AS (SELECT repo_id, cluster, CAST(sum(n) AS BIGINT) AS files, arg_min(p, (-n, p)) AS name FROM pf GROUP BY 1, 2),
+ti AS (SELECT repo_id, cluster, count(CASE WHEN i THEN 1 END) AS i, count(*) AS n FROM (SELECT repo_id, a AS cluster, a = b AS i FROM tag UNION ALL SELECT repo_id, b, false FROM tag WHERE a <> b) z GROUP BY 1, 2),
+areas AS (SELECT ar.repo_id, ar.cluster, name, files, coalesce(CAST(i AS DOUBLE) / n, CAST(1 AS DOUBLE)) AS cohesion FROM ar LEFT JOIN ti USING (repo_id, cluster))"""
 
 
 def _membership(t):
@@ -89,17 +96,24 @@ def _(t):
     return _membership(t)
 
 
+@query("directory_modularity", f"""WITH {MEMBERS}, {TAGGED}, d AS (SELECT repo_id, k, count(*) AS d FROM (SELECT repo_id, a AS k FROM tag UNION ALL SELECT repo_id, b FROM tag) z GROUP BY 1, 2),
+m AS (SELECT repo_id, CAST(count(*) AS DOUBLE) AS m, count(CASE WHEN a = b THEN 1 END) AS i FROM tag GROUP BY 1), q AS (SELECT repo_id, count(*) AS clusters, CAST(sum(d * d) AS DOUBLE) AS sq FROM d GROUP BY 1)
+SELECT repo_id, clusters, round(i / m - sq / (4.0 * m * m), 6) AS modularity FROM q JOIN m USING (repo_id)""")
+def _(t):
+    return G.modularity(t["v_path_edges"], _membership(t))
+
+
 @query("cohesion", f"WITH {MEMBERS}, {TAGGED}, {AREAS} SELECT * FROM areas")
 def _(t):
     return G.feature_areas(_membership(t), t["v_path_edges"])
 
 
-@query("coupling", f"WITH {MEMBERS}, {TAGGED} SELECT least(a, b) AS cluster_a, greatest(a, b) AS cluster_b, count(*) AS cross_edges FROM tag WHERE a <> b GROUP BY 1, 2")
+@query("coupling", f"WITH {MEMBERS}, {TAGGED} SELECT repo_id, least(a, b) AS cluster_a, greatest(a, b) AS cluster_b, count(*) AS cross_edges FROM tag WHERE a <> b GROUP BY 1, 2, 3")
 def _(t):
     return G.coupling(_membership(t), t["v_path_edges"])
 
 
-VIOL = f"""viol AS (SELECT * FROM (SELECT src, dst, {layer_sql('src')} AS src_layer, {layer_sql('dst')} AS dst_layer FROM v_path_edges) x WHERE (src_layer = 'UI' AND dst_layer = 'Data') OR (src_layer = 'Data' AND dst_layer = 'UI')
+VIOL = f"""viol AS (SELECT * FROM (SELECT repo_id, src, dst, {layer_sql('src')} AS src_layer, {layer_sql('dst')} AS dst_layer FROM v_path_edges) x WHERE (src_layer = 'UI' AND dst_layer = 'Data') OR (src_layer = 'Data' AND dst_layer = 'UI')
   OR (src_layer = 'Utils' AND dst_layer IN ('Business', 'UI', 'API')) OR (src_layer = 'Infra' AND dst_layer = 'UI'))"""
 
 
@@ -108,8 +122,9 @@ def _(t):
     return G.layer_violations(t["v_path_edges"])
 
 
-@query("graph_summary", f"""WITH {MEMBERS}, {TAGGED}, {AREAS}, {VIOL} SELECT count(*) AS communities, floor(CAST(sum(CAST(cohesion AS DECIMAL(20,9))) AS DOUBLE) / count(*) * 1000 + 0.5) / 1000 AS avg_cohesion,
-  (SELECT count(*) FROM nod) AS nodes, (SELECT count(*) FROM v_path_edges) AS edges, (SELECT count(*) FROM viol) AS violations FROM areas""")
+@query("graph_summary", f"""WITH {MEMBERS}, {TAGGED}, {AREAS}, {VIOL}, su AS (SELECT repo_id, count(*) AS communities, floor(CAST(sum(CAST(cohesion AS DECIMAL(20,9))) AS DOUBLE) / count(*) * 1000 + 0.5) / 1000 AS avg_cohesion FROM areas GROUP BY 1)
+SELECT su.*, (SELECT count(*) FROM nod WHERE nod.repo_id = su.repo_id) AS nodes, (SELECT count(*) FROM v_path_edges v WHERE v.repo_id = su.repo_id) AS edges,
+  (SELECT count(*) FROM viol WHERE viol.repo_id = su.repo_id) AS violations FROM su""")
 def _(t):
     return G.graph_summary(t["v_path_edges"], _membership(t))
 

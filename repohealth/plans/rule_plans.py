@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from repohealth.functions.scalars import count_if, keep_found
 from repohealth.operators import checks, code, rules, shape
+from repohealth.operators import graph
 from repohealth.operators.graph import node_facts
 from repohealth.operators.scoring import deduction_points, deduction_score
 from repohealth.plans.registry import query
@@ -285,6 +286,22 @@ def _(t):
     return node_facts(t["v_code_files"], code.import_edges(_resolved(t))).where("is_island").select("repo_id", "path")
 
 
+IMPORT_CLOSURE = f"""WITH RECURSIVE {RESOLVED_SQL}, e AS (SELECT DISTINCT repo_id, path AS src, target AS dst FROM res),
+c AS (SELECT repo_id, src, dst FROM e UNION SELECT c.repo_id, c.src, e.dst FROM c JOIN e ON c.repo_id = e.repo_id AND c.dst = e.src)"""
+
+
+@query("repo_blast_radius", f"""{IMPORT_CLOSURE}, n AS (SELECT repo_id, src AS node FROM e UNION SELECT repo_id, dst FROM e), d AS (SELECT repo_id, dst AS node, count(*) AS k FROM e GROUP BY 1, 2),
+t AS (SELECT repo_id, dst AS node, count(CASE WHEN src <> dst THEN 1 END) AS k FROM c GROUP BY 1, 2)
+SELECT n.repo_id, n.node, coalesce(d.k, 0) AS direct, coalesce(t.k, 0) AS transitive FROM n LEFT JOIN t USING (repo_id, node) LEFT JOIN d USING (repo_id, node)""")
+def _(t):
+    return graph.blast_radius(code.import_edges(_resolved(t)))
+
+
+@query("repo_cycles", f"{IMPORT_CLOSURE} SELECT a.repo_id, a.src AS node, min(a.dst) AS component FROM c a JOIN c b ON a.repo_id = b.repo_id AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2")
+def _(t):
+    return graph.strong_components(code.import_edges(_resolved(t)))
+
+
 SCRIPT = r"regexp_matches(path, '\.(ts|tsx|js|jsx)$')"
 
 

@@ -272,13 +272,11 @@ WHERE NOT ((r % 3 <> 0 AND kind = 8) OR (r % 2 = 1 AND kind IN (0, 1, 2)) OR (r
 
 # ---------------------------------------------------------------- graph
 VIEWS["v_edges"] = """
-SELECT DISTINCT l_orderkey % m AS src, l_partkey % m AS dst
-FROM (SELECT l_orderkey, l_partkey, (SELECT CAST(count(*) / 30 AS BIGINT) FROM {orders}) AS m
-      FROM {lineitem} WHERE l_quantity <= 2 AND l_linenumber = 1) x
-WHERE l_orderkey % m <> l_partkey % m"""
+SELECT DISTINCT concat('repo', CAST(l_suppkey AS STRING)) AS repo_id, l_orderkey % 200 AS src, (l_partkey * 7 + l_linenumber) % 200 AS dst
+FROM {lineitem} WHERE l_orderkey % 200 <> (l_partkey * 7 + l_linenumber) % 200"""
 
 VIEWS["v_path_edges"] = """
-SELECT DISTINCT
+SELECT DISTINCT repo_id,
   concat(CASE src % 8 WHEN 0 THEN 'app/api' WHEN 1 THEN 'app' WHEN 2 THEN 'components/ui' WHEN 3 THEN 'lib/db' WHEN 4 THEN 'lib' WHEN 5 THEN 'utils' WHEN 6 THEN 'bin' ELSE 'misc' END, '/f', CAST(src AS STRING), '.ts') AS src,
   concat(CASE dst % 8 WHEN 0 THEN 'app/api' WHEN 1 THEN 'app' WHEN 2 THEN 'components/ui' WHEN 3 THEN 'lib/db' WHEN 4 THEN 'lib' WHEN 5 THEN 'utils' WHEN 6 THEN 'bin' ELSE 'misc' END, '/f', CAST(dst AS STRING), '.ts') AS dst
 FROM {v_edges}"""

@@ -29,5 +29,5 @@ def test_query(spark, con, name):
     assert outcome in ("ok", "rows only"), outcome
 
 
-def test_every_query_but_the_matching_has_an_oracle():
-    assert [name for name, q in REGISTRY.items() if not q.sql] == ["greedy_match"]
+def test_queries_without_an_oracle():
+    assert {name for name, q in REGISTRY.items() if not q.sql} == {"greedy_match", "communities", "modularity"}
