@@ -51,6 +51,7 @@ def _id(node: str) -> Column:
 
 def _coded(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges between node ids, and the names of the ids."""
+    plain = cut_lineage(plain)
     ids = cut_lineage(plain.select(_id("src").alias("src"), _id("dst").alias("dst")))
     names = cut_lineage(nodes_of(plain).select(_id("node").alias("node"), "repo_id", F.col("node").alias("name")))
     return ids, names
