@@ -6,9 +6,11 @@ n - ceil(t n) + 1 of each. The order used puts frequent shingles last, so that c
 
 1. Heads: the first shingles of every set are counted (one exchange of sorted blocks of hashes, added up in each task).
    Frequent ones and a bitmap of the repeated ones are shared; both have fixed bounds.
-2. Tiles: sets that share a prefix shingle meet, ordered by size. Bitmaps of about one bit a shingle bound the overlap
-   from above; only pairs that pass are joined, and a task passes on just enough of them to keep what is connected.
-   A shingle with very many sets is dealt out as pairs of tiles.
+2. Tiles: sets that share a prefix shingle meet, ordered by size. The few sets of a rare shingle give the pairs whose
+   sizes and places in the order leave room for a link; each pair then meets its two bitmaps once, however many
+   shingles it shares. The sets of other shingles bring their bitmaps along, and a task passes on just enough pairs to
+   keep what is connected. Bitmaps of about one bit a shingle bound the overlap from above. A shingle with very many
+   sets is dealt out as pairs of tiles.
 3. Blocks: sets connected in 2 meet with their whole arrays; within a block pairs of fitting sizes that are not connected
    yet are bounded by bitmaps and then intersected exactly. Large blocks are dealt out as pairs of tiles too.
 
@@ -28,7 +30,9 @@ WIDTH = 5
 PERCENT = 80
 FREQUENT = 24  # head shingles with more sets than this go last in the order ...
 FREQUENT_BITS = 20  # ... but at most 2 ** 20 of them: with more input the count that makes one frequent grows
-BITMAP_BITS = 25
+BITMAP_BITS = 27
+FEW = 8  # head shingles with at most this count give pairs without bitmaps
+SLICE = 1 << 20  # bytes of text that a task works on at a time
 TILE = 4096
 
 
@@ -126,7 +130,7 @@ def _heads(batches, width, percent, ranges):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "hashes", "counts"])
 
     parts, size, seen = [], 0, set()
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         for s in shingle_sets(batch.column("text"), width):
             name = set_id(s)
             if len(s) and name not in seen:
@@ -165,14 +169,14 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[first][again])), pa.array(total[again])], names=["hash", "n"])
 
 
-def _prefixes(batches, width, percent, frequent, frequent_n, repeated):
-    """A row for every prefix shingle that other sets may share."""
+def _prefixes(batches, width, percent, frequent, frequent_n, repeated, many):
+    """A row for every prefix shingle that other sets may share; the bitmap comes along where more than a few may."""
     import pyarrow as pa
 
-    seen, bits = set(), np.unpackbits(repeated.value).view(bool)
+    seen = set()
     often, often_n = frequent.value, frequent_n.value
-    for batch in slices(batches, "text"):
-        cols = [[] for _ in range(4)]
+    for batch in slices(batches, "text", SLICE):
+        cols = [[] for _ in range(5)]
         for s in shingle_sets(batch.column("text"), width):
             n = len(s)
             if not n or (name := set_id(s)) in seen:
@@ -182,12 +186,14 @@ def _prefixes(batches, width, percent, frequent, frequent_n, repeated):
             place = find(often, s)
             rare = np.flatnonzero(place < 0)[:length]
             chosen = rare if len(rare) == length else np.concatenate([rare, np.flatnonzero(place >= 0)[:length - len(rare)]])
-            chosen = chosen[(chosen >= head) | bits[(s[chosen] >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]]
-            if not len(chosen):
+            use = np.flatnonzero((chosen >= head) | in_bitmap(repeated.value, s[chosen]))
+            if not len(use):
                 continue
+            chosen = chosen[use]
+            wide = (chosen >= head) | (place[chosen] >= 0) | in_bitmap(many.value, s[chosen])
             b = _width(n)
-            data = bitmap(s, b).to_bytes(b // 8, "big")
-            for h, p in zip(s[chosen], place[chosen].tolist(), strict=True):
+            data = bitmap(s, b).to_bytes(b // 8, "big") if wide.any() else None
+            for h, p, rank, with_bits in zip(s[chosen], place[chosen].tolist(), use.tolist(), wide.tolist(), strict=True):
                 tiles = -(-int(often_n[p]) // TILE) if p >= 0 else 1
                 own = (name & (1 << 63) - 1) % tiles
                 for other in range(tiles):
@@ -195,9 +201,10 @@ def _prefixes(batches, width, percent, frequent, frequent_n, repeated):
                     cols[0].append(int(signed(np.array([h ^ mix(np.array([i << 32 | j], np.uint64))[0]], np.uint64))[0]) if tiles > 1 else int(signed(np.array([h], np.uint64))[0]))
                     cols[1].append(name)
                     cols[2].append(n)
-                    cols[3].append(data)
+                    cols[3].append(rank)
+                    cols[4].append(data if with_bits else None)
         if cols[0]:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["token", "id", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["token", "id", "n", "rank", "bits"])
         if len(seen) > 1_000_000:
             seen.clear()
 
@@ -217,48 +224,98 @@ def _runs(batches, key: str):
         yield held
 
 
+PAIRS = "a long, b long, n long, m long, passed boolean"
+
+
 def _tiles(batches, percent):
-    """Pairs of sets that may link, as far as they connect what the task has not connected yet."""
+    """Pairs of sets that may link: passed ones connect what the task has not connected, others still want bitmaps."""
     import pyarrow as pa
 
-    forest, out = Forest(), []
+    def flush():
+        rows = [(*p, True) for p in out] + [(*p, False) for p in asked]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=["a", "b", "n", "m", "passed"])
+
+    forest, out, asked = Forest(), [], set()
     for run in _runs(batches, "token"):
         sets = []
-        for name, n, data in run:  # sorted by n and name
+        for name, n, rank, data in run:  # sorted by n and name
             if not sets or sets[-1][0] != name:
-                sets.append((name, n, 8 * len(data), int.from_bytes(data, "big")))
-        for i, (x, n, bits, a) in enumerate(sets):
-            for y, m, wide, b in sets[i + 1:]:
+                sets.append((name, n, rank, None if data is None else 8 * len(data), None if data is None else int.from_bytes(data, "big")))
+        for i, (x, n, r, bits, a) in enumerate(sets):
+            for y, m, q, wide, b in sets[i + 1:]:
                 if percent * m > 100 * n:
                     break
                 if forest.root(x) == forest.root(y):
                     continue
-                if may_link(a, fold(b, wide, bits), n, m, percent) and forest.join(x, y):
-                    out.append((x, y))
-        if len(out) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                if bits and wide:
+                    if may_link(a, fold(b, wide, bits), n, m, percent) and forest.join(x, y):
+                        out.append((x, y, n, m))
+                else:
+                    both = min(n - r, m - q)  # this shingle and all after it, if it is the first in common
+                    if 100 * both >= percent * (n + m - both):
+                        asked.add((x, y, n, m))
+        if len(out) + len(asked) > 200_000:
+            yield flush()
+            out, asked = [], set()
+    yield flush()
+
+
+def _batch(rows):
+    """(id, n, data) rows as an Arrow batch."""
+    import pyarrow as pa
 
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "n", "data"])
 
-def _arrays(batches, width, wanted):
-    """Whole arrays of the sets whose names are in a bitmap."""
+
+def _bitmaps(batches, width, wanted):
+    """Bitmaps of the sets whose names are in a bitmap."""
+    rows = []
+    for name, s in _chosen(batches, width, wanted):
+        b = _width(len(s))
+        rows.append((name, len(s), bitmap(s, b).to_bytes(b // 8, "big")))
+        if len(rows) >= 2000:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
+def _passing(batches, percent):
+    """Pairs whose two bitmaps leave room for a link."""
     import pyarrow as pa
 
-    seen, bits = set(), np.unpackbits(wanted.value).view(bool)
-    for batch in slices(batches, "text"):
-        rows = []
+    for batch in batches:
+        keep = []
+        for n, m, a, b in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "bits", "other")), strict=True):
+            keep.append(may_link(int.from_bytes(a, "big"), fold(int.from_bytes(b, "big"), 8 * len(b), 8 * len(a)), n, m, percent))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _chosen(batches, width, wanted):
+    """(name, shingles) of the sets whose names are in a bitmap, each once a task."""
+    seen = set()
+    for batch in slices(batches, "text", SLICE):
         for s in shingle_sets(batch.column("text"), width):
-            if len(s) and (name := set_id(s)) not in seen and bits[(name & (1 << 64) - 1) >> 64 - BITMAP_BITS]:
+            if len(s) and (name := set_id(s)) not in seen and in_bitmap(wanted.value, np.array([name & (1 << 64) - 1], np.uint64))[0]:
                 seen.add(name)
-                rows.append((name, len(s), s.tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "n", "hashes"])
+                yield name, s
         if len(seen) > 1_000_000:
             seen.clear()
 
 
+def _arrays(batches, width, wanted):
+    """Whole arrays of the sets whose names are in a bitmap."""
+    rows = []
+    for name, s in _chosen(batches, width, wanted):
+        rows.append((name, len(s), s.tobytes()))
+        if len(rows) >= 500:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
 def _blocks(batches, percent):
     """Links of a block, as far as they connect; every reported pair was intersected exactly."""
     import pyarrow as pa
@@ -287,10 +344,16 @@ def _blocks(batches, percent):
 def _shared_bitmap(df: DataFrame, hash_column: str) -> np.ndarray:
     """Packed bitmap of 2 ** BITMAP_BITS bits with the leading bits of a column of hashes; its size never grows."""
     part = F.shiftrightunsigned(hash_column, 64 - BITMAP_BITS)
-    rows = df.select(part.alias("k")).groupBy(F.shiftright("k", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(k & 63 AS INT)))").alias("bits")).toPandas()
+    rows = df.select(part.alias("k")).groupBy(F.shiftright("k", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(k & 63 AS INT)))").alias("bits")).toArrow()
     full = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
-    full[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return np.packbits(np.unpackbits(full.view(np.uint8), bitorder="little"))
+    if rows.num_rows:
+        full[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return full
+
+
+def in_bitmap(full: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    k = hashes >> np.uint64(64 - BITMAP_BITS)
+    return (full[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -311,7 +374,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     def sets(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found = [(len(s), set_id(s)) for s in shingle_sets(batch.column("text"), width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "n", "id"])
 
@@ -326,17 +389,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     frequent, frequent_n = context.broadcast(np.array([h for h, _ in often], np.uint64)), context.broadcast(np.array([n for _, n in often], np.int64))
     repeated = context.broadcast(_shared_bitmap(counted, "hash"))
 
-    rows = only.mapInArrow(lambda b: _prefixes(b, width, percent, frequent, frequent_n, repeated), "token long, id long, n long, bits binary")
-    maybe = cut(rows.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(lambda b: _tiles(b, percent), "a long, b long"), "jaccard-maybe")
-    blocks = cut(components(maybe, "jaccard-blocks"), "jaccard-blocks")
+    many = context.broadcast(_shared_bitmap(counted.where(F.col("n") > FEW), "hash"))
+    rows = only.mapInArrow(lambda b: _prefixes(b, width, percent, frequent, frequent_n, repeated, many), "token long, id long, n long, rank long, bits binary")
+    pairs = cut(rows.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(lambda b: _tiles(b, percent), PAIRS), "jaccard-pairs")
+    asked = cut(pairs.where("NOT passed").select("a", "b", "n", "m").distinct(), "jaccard-asked")
+    ends = context.broadcast(_shared_bitmap(asked.select("a").unionAll(asked.select("b")), "a"))
+    bits = cut(only.mapInArrow(lambda b: _bitmaps(b, width, ends), "id long, n long, data binary").select("id", F.col("data").alias("bits")).dropDuplicates(["id"]), "jaccard-bitmaps")
+    met = asked.join(bits, F.col("a") == F.col("id")).drop("id").join(bits.select(F.col("id").alias("o_id"), F.col("bits").alias("other")), F.col("b") == F.col("o_id"))
+    passing = met.select("a", "b", "n", "m", "bits", "other").mapInArrow(lambda b: _passing(b, percent), "a long, b long")
+    blocks = cut(components(pairs.where("passed").select("a", "b").unionByName(passing), "jaccard-blocks"), "jaccard-blocks")
     wanted = context.broadcast(_shared_bitmap(blocks, "node"))
-    arrays = only.mapInArrow(lambda b: _arrays(b, width, wanted), "id long, n long, hashes binary")
+    arrays = only.mapInArrow(lambda b: _arrays(b, width, wanted), "id long, n long, data binary")
     sizes = blocks.groupBy(F.col("root").alias("z_root")).agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     dealt = blocks.join(sizes, F.col("root") == F.col("z_root")).withColumn("own", F.pmod("node", "tiles"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     tile = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
     dealt = cut(dealt.select("node", tile.alias("tile")), "jaccard-tiles")
-    met = arrays.join(dealt, F.col("id") == F.col("node")).select("tile", "id", "n", "hashes")
+    met = arrays.join(dealt, F.col("id") == F.col("node")).select("tile", "id", "n", "data")
     links = cut(met.repartition("tile").sortWithinPartitions("tile", "n", "id").mapInArrow(lambda b: _blocks(b, percent), "a long, b long"), "jaccard-links")
     classes = cut(components(links, "jaccard-classes"), "jaccard-classes")
 
