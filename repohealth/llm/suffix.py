@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.llm.common import _BYTE, cut, find, mix, row_of, ship, signed, slices, text_buffer
-from repohealth.llm.jaccard import BITMAP_BITS, _shared_bitmap
+from repohealth.llm.jaccard import SLICE, _shared_bitmap, in_bitmap
 
 LENGTH = 100
 GRAM = 24
@@ -89,7 +89,7 @@ def _counts(batches, ranges: int):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["part", "hashes", "keys", "counts"])
 
     parts, size, seen = [], 0, set()
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         ids = batch.column("tid").to_pylist()
         fresh = [k for k, t in enumerate(ids) if not (t in seen or seen.add(t))]
         batch = batch.take(pa.array(fresh, pa.int64())) if len(fresh) < len(ids) else batch
@@ -136,16 +136,16 @@ def _strings(batches, repeated, hot):
     """
     import pyarrow as pa
 
-    bits, often = np.unpackbits(repeated.value).view(bool), hot.value
+    often = hot.value
     names = [x.split()[0] for x in STRINGS.split(", ")]
     best: dict[int, int] = {}
     known: dict[tuple[int, bytes], tuple[int, int]] = {}
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         docs, ids = batch.column("doc").to_pylist(), batch.column("tid").to_pylist()
         raw, offsets = text_buffer(batch.column("text"))
         data = raw.tobytes()
         row, hashes, at, lo, hi = anchors(raw, offsets)
-        use = np.flatnonzero(bits[(hashes >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
+        use = np.flatnonzero(in_bitmap(repeated.value, hashes))
         single = find(often, hashes[use]) >= 0
         fresh = []
         for d, t in zip(docs, ids, strict=True):  # of copies the first that a task sees, and any that comes before it
@@ -154,6 +154,13 @@ def _strings(batches, repeated, hot):
                 best[t] = d
             fresh.append(ok)
         out = [[] for _ in names]
+        last: list[int] = []  # row, text, begin and stop of the interval that may still grow
+
+        def close():
+            if last:
+                for c, v in zip(out, (None, None, last[1], None, last[2], None, last[3]), strict=True):
+                    c.append(v)
+
         columns = [x[use].tolist() for x in (row, signed(hashes), at, lo, hi)]
         for r, h, p, a, b, each in zip(*columns, single.tolist(), strict=True):
             if not fresh[r]:
@@ -168,16 +175,20 @@ def _strings(batches, repeated, hot):
                 name = (key, hashlib.blake2b(string, digest_size=12).digest())
                 mine, first = (doc, s - base), known.get(name)
                 if first is not None and first < mine:
-                    values = (None, None, ids[r], None, s - base, None, e + LENGTH - base)
+                    if last and last[0] == r and s - base <= last[3]:
+                        last[3] = e + LENGTH - base
+                    else:
+                        close()
+                        last[:] = r, ids[r], s - base, e + LENGTH - base
                 else:
                     known[name] = mine
-                    values = (key, doc, ids[r], p - base, s - base, string, None)
-                for c, v in zip(out, values, strict=True):
-                    c.append(v)
+                    for c, v in zip(out, (key, doc, ids[r], p - base, s - base, string, None), strict=True):
+                        c.append(v)
+        close()
         if out[0]:
             kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
-        if len(known) > 400_000:
+        if len(known) > 150_000:
             known.clear()
         if len(best) > 1_000_000:
             best.clear()
@@ -283,7 +294,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     to_sort = strings.where("string IS NOT NULL").select("hash", "doc", "tid", "place", "first", "string")
     sorted_ = to_sort.repartition("hash").sortWithinPartitions("hash").mapInArrow(_intervals, "tid long, begin long, stop long")
     found = sorted_.unionByName(strings.where("string IS NULL").select("tid", F.col("first").alias("begin"), "stop"))
-    return cut(found.distinct(), "suffix-intervals")
+    return cut(found, "suffix-intervals")
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -316,10 +327,11 @@ def _texts(batches, wanted):
     """Texts whose id is in a bitmap, each once a task."""
     import pyarrow as pa
 
-    bits, seen = np.unpackbits(wanted.value).view(bool), set()
+    seen: set[int] = set()
     for batch in batches:
         ids = batch.column("tid").to_pylist()
-        fresh = [k for k, t in enumerate(ids) if bits[(t & (1 << 64) - 1) >> 64 - BITMAP_BITS] and not (t in seen or seen.add(t))]
+        found = in_bitmap(wanted.value, np.array(ids, np.int64).view(np.uint64)).tolist()
+        fresh = [k for k, t in enumerate(ids) if found[k] and not (t in seen or seen.add(t))]
         yield batch.take(pa.array(fresh, pa.int64()))
         if len(seen) > 1_000_000:
             seen.clear()
@@ -339,6 +351,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     ship(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({"__tid": F.xxhash64(text, F.octet_length(text)), "__doc": F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))})
+    # taken before the joins, so that the text itself only goes through them where it is asked for
+    keyed = keyed.withColumns({"__n": F.octet_length(text).cast("long"), "__own": F.sha2(text, 256)})
     source = keyed.select(F.col("__doc").alias("doc"), F.col("__tid").alias("tid"), "text").where(F.octet_length("text") >= LENGTH)
     found = repeats(source)
     wanted = spark.sparkContext.broadcast(_shared_bitmap(found, "tid"))
@@ -347,12 +361,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     done = cut(texts.join(spans, F.col("tid") == F.col("s_tid")).select("tid", "text", "spans").mapInArrow(_removed, "r_tid long, r_removed long, r_spans long, r_sha string, r_text string"), "suffix-results")
     firsts = cut(source.groupBy(F.col("tid").alias("f_tid")).agg(F.min("doc").alias("f_doc"), F.max("doc").alias("f_last")).where("f_doc < f_last").select("f_tid", "f_doc"), "suffix-copies")
     joined = keyed.join(firsts, F.col("__tid") == F.col("f_tid"), "left").join(done, F.col("__tid") == F.col("r_tid"), "left")
-    n, copy = F.octet_length(text).cast("long"), F.col("f_doc").isNotNull() & (F.col("__doc") > F.col("f_doc"))
+    n, copy = F.col("__n"), F.col("f_doc").isNotNull() & (F.col("__doc") > F.col("f_doc"))
     pick = lambda of_copy, of_result, else_: F.when(copy, of_copy).otherwise(F.coalesce(of_result, else_))
     return joined.withColumns({
         "__bytes": n,
         "__removed": pick(n, F.col("r_removed"), F.lit(0).cast("long")),
         "__spans": pick(F.lit(1).cast("long"), F.col("r_spans"), F.lit(0).cast("long")),
-        "__sha256": pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("r_sha"), F.sha2(text, 256)),
+        "__sha256": pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("r_sha"), F.col("__own")),
         "__text": F.when(copy, F.lit("")).otherwise(F.coalesce("r_text", text)),
     }).select(*[F.col(f"`{c}`") for c in docs.columns], "__bytes", "__removed", "__spans", "__sha256", "__text")

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from repohealth.llm import suffix
+from repohealth.llm import jaccard, suffix
 
 N = suffix.LENGTH
 
@@ -83,7 +83,7 @@ def test_windows_of_a_hot_anchor_dealt_out_one_by_one():
     batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(range(100, 112)), pa.array([t.decode() for t in texts])], names=["doc", "tid", "text"])
     raw, offsets = suffix.text_buffer(batch.column("text"))
     hashes = np.unique(suffix.anchors(raw, offsets)[1])
-    every = Shared(np.packbits(np.ones(1 << suffix.BITMAP_BITS, bool)))
+    every = Shared(np.full(1 << jaccard.BITMAP_BITS - 6, ~np.uint64(0)))
     results = []
     for hot in (np.empty(0, np.uint64), hashes):
         strings = pa.Table.from_batches(suffix._strings([batch], every, Shared(hot)))
