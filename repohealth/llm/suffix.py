@@ -132,7 +132,8 @@ STRINGS = "hash long, doc long, tid long, place long, first long, string binary,
 def _strings(batches, repeated, hot):
     """Neighbourhoods of repeated anchors; one that an earlier document of the task has wholly is an interval already.
 
-    A row with a string is to be sorted; a row without one says that bytes first to stop are repeated.
+    A row with a string is to be sorted; a row without one says that bytes first to stop are repeated in the document doc.
+    It holds for the text only if doc is the first document with that text: copies in other tasks may come earlier.
     """
     import pyarrow as pa
 
@@ -158,7 +159,7 @@ def _strings(batches, repeated, hot):
 
         def close():
             if last:
-                for c, v in zip(out, (None, None, last[1], None, last[2], None, last[3]), strict=True):
+                for c, v in zip(out, (None, docs[last[0]], last[1], None, last[2], None, last[3]), strict=True):
                     c.append(v)
 
         columns = [x[use].tolist() for x in (row, signed(hashes), at, lo, hi)]
@@ -278,9 +279,10 @@ def _intervals(batches):
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """tid, n_bytes, spans (sorted, disjoint (begin, stop)) of the distinct texts of ``docs`` in which bytes are removed.
+    """tid, begin, stop, judged: repeated intervals of the distinct texts of ``docs``, which may overlap.
 
-    Only the first document of equal texts counts here; its copies are removed whole. ``docs``: doc, tid, text.
+    Only the first document of equal texts counts here; its copies are removed whole. An interval with a value in
+    ``judged`` was found for that document and counts only if it is the first of its text. ``docs``: doc, tid, text.
     """
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -293,7 +295,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     strings = cut(docs.select("doc", "tid", "text").mapInArrow(lambda b: _strings(b, shared, often), STRINGS), "suffix-strings")
     to_sort = strings.where("string IS NOT NULL").select("hash", "doc", "tid", "place", "first", "string")
     sorted_ = to_sort.repartition("hash").sortWithinPartitions("hash").mapInArrow(_intervals, "tid long, begin long, stop long")
-    found = sorted_.unionByName(strings.where("string IS NULL").select("tid", F.col("first").alias("begin"), "stop"))
+    found = sorted_.withColumn("judged", F.lit(None).cast("long")).unionByName(strings.where("string IS NULL").select("tid", F.col("first").alias("begin"), "stop", F.col("doc").alias("judged")))
     return cut(found, "suffix-intervals")
 
 
@@ -313,8 +315,10 @@ def _removed(batches):
 
     for batch in batches:
         rows = []
-        for tid, text, spans in zip(batch.column("tid").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-            data, at, kept, merged = text.as_buffer().to_pybytes(), 0, [], _union([(s["begin"], s["stop"]) for s in spans])
+        for tid, text, spans, first in zip(batch.column("tid").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), batch.column("f_doc").to_pylist(), strict=True):
+            # first is null where the text has one document only
+            holds = [(s["begin"], s["stop"]) for s in spans if first is None or s["judged"] is None or s["judged"] == first]
+            data, at, kept, merged = text.as_buffer().to_pybytes(), 0, [], _union(holds)
             for a, b in merged:
                 kept.append(data[at:a])
                 at = b
@@ -354,12 +358,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     # taken before the joins, so that the text itself only goes through them where it is asked for
     keyed = keyed.withColumns({"__n": F.octet_length(text).cast("long"), "__own": F.sha2(text, 256)})
     source = keyed.select(F.col("__doc").alias("doc"), F.col("__tid").alias("tid"), "text").where(F.octet_length("text") >= LENGTH)
+    firsts = cut(source.groupBy(F.col("tid").alias("f_tid")).agg(F.min("doc").alias("f_doc"), F.max("doc").alias("f_last")).where("f_doc < f_last").select("f_tid", "f_doc"), "suffix-copies")
     found = repeats(source)
     wanted = spark.sparkContext.broadcast(_shared_bitmap(found, "tid"))
     texts = source.select("tid", "text").mapInArrow(lambda b: _texts(b, wanted), "tid long, text string").dropDuplicates(["tid"])
-    spans = found.groupBy(F.col("tid").alias("s_tid")).agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
-    done = cut(texts.join(spans, F.col("tid") == F.col("s_tid")).select("tid", "text", "spans").mapInArrow(_removed, "r_tid long, r_removed long, r_spans long, r_sha string, r_text string"), "suffix-results")
-    firsts = cut(source.groupBy(F.col("tid").alias("f_tid")).agg(F.min("doc").alias("f_doc"), F.max("doc").alias("f_last")).where("f_doc < f_last").select("f_tid", "f_doc"), "suffix-copies")
+    spans = found.groupBy(F.col("tid").alias("s_tid")).agg(F.collect_list(F.struct("begin", "stop", "judged")).alias("spans"))
+    spans = spans.join(firsts, F.col("s_tid") == F.col("f_tid"), "left")
+    done = cut(texts.join(spans, F.col("tid") == F.col("s_tid")).select("tid", "text", "spans", "f_doc").mapInArrow(_removed, "r_tid long, r_removed long, r_spans long, r_sha string, r_text string"), "suffix-results")
     joined = keyed.join(firsts, F.col("__tid") == F.col("f_tid"), "left").join(done, F.col("__tid") == F.col("r_tid"), "left")
     n, copy = F.col("__n"), F.col("f_doc").isNotNull() & (F.col("__doc") > F.col("f_doc"))
     pick = lambda of_copy, of_result, else_: F.when(copy, of_copy).otherwise(F.coalesce(of_result, else_))

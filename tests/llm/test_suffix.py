@@ -69,6 +69,20 @@ def test_no_rows(spark):
     assert suffix.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_copies_of_a_text_with_a_passage_in_several_partitions(spark):
+    r = random.Random(8)
+    line = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage = line(400)
+    text, other = f"{line(150)}{passage}{line(150)}", f"{line(150)}{passage}{line(150)}"
+    rows = [(50, other), (100, text), (5, text), (7, line(300))]
+    # the first copy is in another task than the later one and the passage's other text
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert [[x.doc_id for x in part] for part in docs.rdd.glom().collect()] == [[50, 100], [5, 7]]
+    got = suffix.without_repeats(docs).collect()
+    assert sorted(((x.doc_id, x["__bytes"], x["__removed"], x["__spans"], x["__sha256"]) for x in got), key=repr) == brute(rows)
+    assert [x.doc_id for x in got if passage in x["__text"]] == [5]
+
+
 def test_windows_of_a_hot_anchor_dealt_out_one_by_one():
     import pyarrow as pa
 
