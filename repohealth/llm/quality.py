@@ -4,9 +4,8 @@ Cross-document rule: lines are normalised (A-Z in lower case, digits as 0, white
 host the documents that contain a line are counted; lines above the limit are removed; a document that keeps too few of
 its words is depleted and rejected.
 
-Copies must not make each other's lines look like boilerplate. For a line, documents are therefore counted once for each
-signature, the least hash among their other lines: exact copies share it always, near copies mostly. Under one order of
-hashes a low common line would make different documents look alike, so two orders are counted and the larger count holds.
+Copies must not make each other's lines look like boilerplate: documents with the same distinct normalised lines count as
+one. Near copies that differ in a normalised line count each, as documents with a common template do.
 """
 
 from __future__ import annotations
@@ -20,7 +19,8 @@ from repohealth.llm.common import (
 )
 
 MIN_DOCUMENTS = 20  # a line is removed in a host when more documents than this ...
-MAX_SHARE = 0.1  # ... and more than this share of the host's documents contain it
+MAX_SHARE = 0.1  # ... and more than this share of the host's documents contain it ...
+MAX_DOCUMENTS = 1000  # ... or more than this number, however large the host is
 MIN_WORDS = 10  # a document with fewer words left ...
 MIN_LEFT = 0.2  # ... or a smaller share of its words left is depleted, if lines of it were removed
 WINDOW = 5
@@ -33,7 +33,7 @@ _FOLD[48:58] = 48
 
 FACTS = (
     "row long, doc_id long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "content long, lines array<struct<line:long,words:long,first:long,second:long>>"
+    "content long, lines array<struct<line:long,words:long>>"
 )
 
 
@@ -44,20 +44,6 @@ def _distinct_in_rows(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray,
     return first, count, inverse
 
 
-_SALTS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
-
-
-def _least_of_others(values: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For every item the least value among the other items of its row; all bits set if it is alone."""
-    if not len(values):
-        return values
-    size = np.diff(places)
-    some, group = places[:-1][size > 0], np.repeat(np.arange(np.count_nonzero(size)), size[size > 0])
-    least = np.minimum.reduceat(values, some)[group]
-    rest = np.where(values == least, ~np.uint64(0), values)
-    return np.where(values == least, np.minimum.reduceat(rest, some)[group], least)
-
-
 def measures(column) -> dict[str, np.ndarray]:
     """Base measures of every text of an Arrow column, and its distinct normalised lines with their words."""
     raw, offsets = text_buffer(column)
@@ -105,11 +91,10 @@ def measures(column) -> dict[str, np.ndarray]:
         dup_lines, of_line, of_words, of_row = np.zeros(len(n), np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     places = np.searchsorted(of_row, np.arange(len(n) + 1))
     content = per_row(mix(of_line), places)
-    others = [_least_of_others(mix(of_line ^ salt), places) for salt in _SALTS]
     return {
         "n_words": n, "word_chars": per_row(characters[ends] - characters[starts], firsts), "n_symbols": per_row(_SYMBOL[raw], offsets),
         "n_dup_lines": dup_lines, "n_repeat_words": per_row(covered, firsts), "content": content,
-        "line": signed(of_line), "words": of_words, "first": signed(others[0]), "second": signed(others[1]), "places": places,
+        "line": signed(of_line), "words": of_words, "places": places,
     }
 
 
@@ -120,7 +105,7 @@ def _facts(batches):
     row = TaskContext.get().partitionId() << 36
     for batch in slices(batches, "text"):
         m = measures(batch.column("text"))
-        lines = pa.StructArray.from_arrays([pa.array(m[k]) for k in ("line", "words", "first", "second")], names=["line", "words", "first", "second"])
+        lines = pa.StructArray.from_arrays([pa.array(m[k]) for k in ("line", "words")], names=["line", "words"])
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(row, row + batch.num_rows)), batch.column("doc_id").cast(pa.int64()), batch.column("host"),
             *(pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
@@ -131,7 +116,7 @@ def _facts(batches):
 
 def judge(
     docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE,
-    min_words: int = MIN_WORDS, min_left: float = MIN_LEFT,
+    min_words: int = MIN_WORDS, min_left: float = MIN_LEFT, max_documents: int = MAX_DOCUMENTS,
 ) -> DataFrame:
     """Measures and verdict for every row of ``docs`` (doc_id, text and a host column).
 
@@ -145,10 +130,10 @@ def judge(
     """
     ship(docs.sparkSession)
     facts = cut(docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\x00"))).alias("host")).mapInArrow(_facts, FACTS), "quality-facts")
-    lines = facts.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
+    lines = facts.select("row", "host", "content", F.explode("lines").alias("l")).select("row", "host", "content", "l.*")
     hosts = facts.where("n_words > 0").select("host", "content").distinct().groupBy(F.col("host").alias("h_host")).agg(F.count("*").alias("documents"))
-    limit = F.greatest(F.lit(float(min_documents)), F.col("documents") * F.lit(max_share))
-    counts = lines.groupBy("host", "line").agg(F.greatest(F.countDistinct("first"), F.countDistinct("second")).alias("n")).where(F.col("n") > min_documents)
+    limit = F.greatest(F.lit(float(min_documents)), F.least(F.col("documents") * F.lit(max_share), F.lit(float(max_documents))))
+    counts = lines.groupBy("host", "line").agg(F.countDistinct("content").alias("n")).where(F.col("n") > min_documents)
     frequent = cut(
         counts.join(hosts, F.col("host") == F.col("h_host")).where(F.col("n") > limit).select(F.col("host").alias("f_host"), F.col("line").alias("f_line")),
         "quality-lines",

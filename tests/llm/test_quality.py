@@ -58,3 +58,24 @@ def test_lines_of_many_documents_are_removed_and_depleted_documents_rejected(spa
     assert not any(got[i].kept or got[i].base_failed for i, _, _ in mixed)
     assert all(got[i].kept for i, _, _ in other + copies)
     assert sum(got[i].kept for i, _, _ in near) == len(near)
+
+
+def test_template_lines_of_every_host_go(spark):
+    r = random.Random(4)
+    line = lambda: " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(8))
+    rows = []
+    for h in range(30):
+        shared = [line() for _ in range(10)]
+        rows += [(1000 * h + i, "\n".join([*shared, line()]), f"h{h}") for i in range(60)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(x.n_removed_words == 80 and not x.kept for x in got)
+
+
+def test_an_absolute_limit_holds_in_large_hosts(spark):
+    r = random.Random(7)
+    line = lambda: " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(12))
+    footer = line()
+    rows = [(i, line() + f"\n{footer}" * (i < 60), "a") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cut = lambda **x: {r.doc_id for r in quality.judge(docs, **x).where("n_removed_words = 12").collect()}
+    assert cut() == set() and cut(max_documents=50) == set(range(60))
