@@ -4,6 +4,9 @@ Texts become templates: numbers, units and (in a second form) names are typed pl
 joined by hash with those of the benchmark items. A hit pairs the slot values of both windows; over all hits of a document
 and an item one item value must stand for one document value and the other way round, else the window does not count.
 So a question with other numbers and names is caught, and a chance mixture of matching templates is not.
+
+Windows with few literal tokens, and items of a few tokens, say too little as templates; they are joined by their tokens
+as they are, so that a verbatim copy is found whatever an item consists of.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 from repohealth.llm.common import cut, find, mix, row_of, ship, signed, slices, text_buffer, window_hashes, word_hashes
 
 WINDOW = 8  # tokens of a template window
-SHORTEST = 5  # items with fewer tokens say too little to be found; those below WINDOW are one window
-LITERALS = 4  # tokens of a window that are not placeholders, at least
+SHORTEST = 5  # items with fewer tokens are found by verbatim copies only; those below WINDOW are one window
+LITERALS = 4  # a window with fewer tokens that are not placeholders is found by verbatim copies only
 MIN_COVER = 0.5  # share of an item's tokens that a leak covers ...
 MIN_TOKENS = 13  # ... or number of its tokens
 FILTER_BITS = 22  # of the fixed-size bitmap of item windows that every task gets
@@ -101,11 +104,22 @@ class Template:
         self.slot_plain, self.slot_named = number | unit, number | unit | name
 
     def windows(self, width: int):
-        """(hashes, places of the first token, slots) of the windows of both forms; equal forms are given once."""
+        """(hashes, places of the first token, slots) of the windows of both forms; equal forms are given once.
+
+        Where neither form says enough the tokens themselves are the window, without slots.
+        """
+        n = len(self.value) - width + 1
+        if n <= 0:
+            return
+        filled = np.concatenate([[0], np.cumsum(self.slot_plain)])
+        exact = self.row[:n] == self.row[width - 1:]
+        if width >= SHORTEST:
+            exact &= width - (filled[width:] - filled[:-width]) < LITERALS
+        at = np.flatnonzero(exact)
+        yield window_hashes(self.value, width)[at], at, np.zeros(len(self.value), bool)
+        if width < SHORTEST:
+            return
         for form, slot, other in ((self.plain, self.slot_plain, None), (self.named, self.slot_named, self.slot_plain)):
-            n = len(form) - width + 1
-            if n <= 0:
-                return
             filled = np.concatenate([[0], np.cumsum(slot)])
             slots = filled[width:] - filled[:-width]
             good = (self.row[:n] == self.row[width - 1:]) & (width - slots >= LITERALS)
@@ -182,8 +196,8 @@ def _leaks(batches):
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, item_tokens, covered_tokens, changed_slots for every pair of a document and an item it leaks.
 
-    ``docs`` has doc_id and text, ``items`` item_id and text; further columns are not read. Null, empty and too short
-    texts match nothing. Repeated documents and items give a row for each pair; null ids stay null. Empty tables give no
+    ``docs`` has doc_id and text, ``items`` item_id and text; further columns are not read. Null and empty texts,
+    and those without a token, match nothing. Repeated documents and items give a row for each pair; null ids stay null. Empty tables give no
     rows. Whole texts are read once.
 
     Tasks get a bitmap of fixed size over the items' windows, whatever their number; it only thins out the windows
@@ -191,7 +205,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    widths = range(SHORTEST, WINDOW + 1)
+    widths = range(1, WINDOW + 1)
     named = items.select(F.col("item_id").alias("doc_id"), "text")
     known = cut(named.mapInArrow(lambda b: _windows(b, widths, None, True), HITS + ", tokens long"), "decontam-items")
     shape = known.agg(F.collect_set(F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)).alias("bits"), F.collect_set("length").alias("lengths")).first()

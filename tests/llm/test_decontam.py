@@ -1,6 +1,7 @@
 """Planted leaks are found and clean documents are not; windows agree with a plain reading of the texts."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,17 @@ def test_planted_leaks(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, _ in clean) and kept.columns == docs.columns
 
 
+def test_verbatim_copies_of_items_with_few_literals(spark):
+    r = random.Random(3)
+    sums = "What is " + " + ".join(str(k * 7) for k in range(3, 30)) + "?"
+    items = [(1, "Evaluate 12 + 7 * 3 - 45 / 9"), (2, "What is 12 * 7 + 3?"), (3, sums), (4, "zebra quagga okapi")]
+    docs = [(i, f"{words(r, 30)}. {t.upper()} {words(r, 30)}") for i, t in items]
+    docs += [(10 + i, f"{words(r, 30)}. {re.sub('[0-9]+', lambda m: str(int(m[0]) + 1), t).replace('zebra', 'horse')} {words(r, 30)}") for i, t in items]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()))
+    assert got == [(1, 1, 6, 6, 0), (2, 2, 5, 5, 0), (3, 3, 29, 29, 0), (4, 4, 3, 3, 0)]
+
+
 def test_slots_must_agree():
     hit = lambda place, item, doc: {"i_place": place, "length": 8, "i_slots": item, "slots": doc}
     assert decontam.judged([hit(0, [1, 2], [5, 6]), hit(4, [2, 1], [6, 5])]) == (12, 2)
