@@ -1,9 +1,9 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Words are counted over all training documents and their counts go back, by a join, to the blocks of documents that
-contain them; this table grows with the input and is never broadcast. N-grams of two and more words are arcs of the
-automaton when they make up at least ``share`` of the training tokens, so there are at most 1 / share of them for each
-length: that proven bound is what the driver collects and the executors share.
+contain them. N-grams of two and more words go the same way: those seen twice or more are counted in a shuffled table and
+joined back to the blocks in which they occur, and each block builds the part of the automaton that its documents can
+reach. Both tables grow with the input; neither is collected or broadcast.
 
 A state is a context that has arcs; its failure arc leads to the context without its first word and costs the backoff
 weight. The root has an arc for every known word and one for all unknown words. One left-to-right traversal carries the
@@ -24,10 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repohealth.llm.common import crc_mod, cut, find, mix, per_row, row_of, ship, signed, slices, text_buffer, word_hashes, words
+from repohealth.llm.common import crc_mod, cut, find, mix, per_row, row_of, ship, signed, slices, text_buffer, window_hashes, word_hashes, words
+from repohealth.llm.jaccard import _shared_bitmap, in_bitmap
 
 ORDER = 3
-SHARE = 5e-5
+SHARE = 0.0  # n-grams below this share of the training tokens are left out; those seen once always are
 BLOCK_BYTES = 12 << 20
 END = mix(np.array([3], np.uint64))[0]  # the token after the last word of a document
 
@@ -91,49 +92,49 @@ def _facts(batches):
         ], names=NAMES)
 
 
-def _candidates(batches, order: int, known: list[np.ndarray]):
-    """Counts of the n-grams of ``order`` words whose shorter n-grams are all kept; counts of a task are added up first.
+GRAMS = "block long, gram long, prefix long, trained long"
 
-    known: sorted hashes of the kept words, then for each longer order the kept n-grams as rows of places in it.
+
+def _ids(column) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all texts of a block and the n + 1 offsets of the texts."""
+    import pyarrow as pa
+
+    ids = column.combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    buffer, offsets = text_buffer(ids)
+    return np.frombuffer(buffer.tobytes(), "<u4").astype(np.int64), offsets // 4
+
+
+def _windows(hashes: np.ndarray, order: int) -> np.ndarray:
+    return window_hashes(hashes, order) if order > 1 else hashes
+
+
+def _block_grams(table, order: int, shared):
+    """Distinct n-grams of the facts of a block, with their first words' hash and count in training documents.
+
+    An n-gram is left out when one of the two shorter ones in it is not in the bitmap of those that are kept.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    vocabulary = known[0]
-    keys = [_packed(rows, len(vocabulary)) for rows in known[1:]]
+    word, texts = table.filter(pc.is_valid(table.column("word"))), table.filter(pc.is_valid(table.column("ids")))
+    tokens, places = _ids(texts.column("ids"))
+    hashes = np.zeros(word.num_rows, np.uint64)
+    hashes[word.column("number").to_numpy()] = word.column("word").to_numpy().view(np.uint64)
+    x, row = hashes[tokens], row_of(places)
+    n = max(0, len(x) - order + 1)
+    shorter = _windows(x, order - 1)
+    kept = in_bitmap(shared.value, shorter)
+    at = np.flatnonzero((row[:n] == row[order - 1:]) & kept[:n] & kept[1:n + 1]) if n else np.empty(0, np.int64)
+    grams, first, inverse = np.unique(_windows(x, order)[at], return_index=True, return_inverse=True)
+    trains = ~texts.column("held_out").to_numpy().astype(bool)
+    trained = np.bincount(inverse, trains[row[at]], len(grams)).astype(np.int64)
+    block = np.full(len(grams), table.column("block")[0].as_py(), np.int64)
+    return pa.table([pa.array(block), pa.array(signed(grams)), pa.array(signed(shorter[at][first])), pa.array(trained)], names=["block", "gram", "prefix", "trained"])
 
-    def flush(grams):
-        rows, counts = np.unique(grams, axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(signed(vocabulary[rows[:, j]])) for j in range(order)), pa.array(counts.astype(np.int64))], names=[*(f"w{j}" for j in range(order)), "n"])
 
-    held, size = [], 0
-    for batch in slices(batches, "text"):
-        tokens, places = token_hashes(batch.column("text"))
-        ids = find(vocabulary, tokens)
-        n = len(ids) - order + 1
-        if n <= 0:
-            continue
-        row = row_of(places)
-        good = (row[:n] == row[order - 1:]) & np.logical_and.reduce([ids[j:j + n] >= 0 for j in range(order)])
-        at = np.flatnonzero(good)
-        grams = np.stack([ids[at + j] for j in range(order)], axis=1) if len(at) else np.empty((0, order), np.int64)
-        if order > 2 and len(grams):
-            ok = (find(keys[-1], _packed(grams[:, :-1], len(vocabulary))) >= 0) & (find(keys[-1], _packed(grams[:, 1:], len(vocabulary))) >= 0)
-            grams = grams[ok]
-        held.append(grams)
-        size += len(grams)
-        if size > 1 << 21:
-            yield flush(np.concatenate(held))
-            held, size = [], 0
-    if size:
-        yield flush(np.concatenate(held))
-
-
-def _packed(rows: np.ndarray, base: int) -> np.ndarray:
-    """One number for each row of places below ``base``."""
-    out = np.zeros(len(rows), np.int64)
-    for j in range(rows.shape[1]):
-        out = out * base + rows[:, j]
-    return out
+def _grams_of(order: int, shared):
+    return lambda table: _block_grams(table, order, shared)
 
 
 @dataclass
@@ -235,6 +236,55 @@ def build(kept: list[dict[tuple[int, ...], int]], tokens: int, types: int) -> Au
     return Automaton(vocabulary, fail, backoff, np.array(key, np.int64), np.array(cost), np.array(to, np.int64), entry, len(kept) - 1)
 
 
+def of_block(x: np.ndarray, ids: np.ndarray, places: np.ndarray, root: np.ndarray, hashes: np.ndarray, levels: list[dict[str, np.ndarray]]) -> Automaton:
+    """The part of the automaton that the texts of a block can reach.
+
+    x: word hash at each position, ids: its number; root: p of every word at the root, by number. levels: for each order
+    n, total and types (count, and sum and number of the counts of the kept n-grams one word longer); the first by word
+    number, the others with their sorted hashes as gram.
+    """
+    row, order = row_of(places), len(levels)
+    vocabulary = np.unique(hashes)
+    number_in = find(vocabulary, hashes)
+    width = len(vocabulary)
+    fail, backoff, arcs = [np.zeros(1, np.int64)], [np.zeros(1)], []
+    states = 1
+    at_position, p, level = ids, root, levels[0]
+    down = np.zeros(len(root), np.int64)  # state of the longest context inside the shorter n-gram
+    for n in range(1, order + 1):
+        if n > 1:
+            size = max(0, len(x) - n + 1)
+            found = np.full(len(x), -1)
+            if size:
+                found[:size] = np.where(row[:size] == row[n - 1:], find(levels[n - 1]["gram"], _windows(x, n)), -1)
+            at = np.flatnonzero(found >= 0)
+            of, first = np.unique(found[at], return_index=True)
+            at = at[first]
+            entries = len(levels[n - 1]["gram"])
+            before, after = np.zeros(entries, np.int64), np.zeros(entries, np.int64)
+            before[of], after[of] = at_position[at], at_position[at + 1]
+            c, t = level["n"][before], level["types"][before]
+            longer = levels[n - 1]["n"] / (c + t) + weight[before] * p[after]
+            down, start, p, level, at_position = state[after], own[before], longer, levels[n - 1], found
+        has = level["types"] > 0 if n < order else np.zeros(len(p), bool)
+        own = np.zeros(len(p), np.int64)
+        own[has] = states + np.arange(np.count_nonzero(has))
+        states += np.count_nonzero(has)
+        weight = np.ones(len(p))
+        weight[has] = ((level["n"] - level["total"] + level["types"]) / (level["n"] + level["types"]))[has]
+        fail.append(down[has])
+        backoff.append(np.log10(weight[has]))
+        state = np.where(has, own, down)
+        if n == 1:
+            entry = np.zeros(width, np.int64)
+            entry[number_in] = state
+        elif len(of):
+            arcs.append((start[of] * width + number_in[ids[at + n - 1]], np.log10(p[of]), state[of]))
+    key, cost, to = (np.concatenate([a[k] for a in arcs]) if arcs else np.empty(0, kind) for k, kind in enumerate((np.int64, float, np.int64)))
+    by = np.argsort(key)
+    return Automaton(vocabulary, np.concatenate(fail), np.concatenate(backoff), key[by], cost[by], to[by], entry, order - 1)
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -245,9 +295,9 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, share: float =
     end token alone. Without training rows every score is 0. Repeated rows are scored and learnt each for itself, null
     ids stay null, further columns are not read. An empty table gives no rows.
 
-    Words are told apart by 64-bit hashes. Texts are read once for the facts and once for each order above one; facts
-    are kept in the shared folder. What is shuffled is one row for each word and block of documents, and the documents
-    of a block as numbers.
+    Words and n-grams are told apart by 64-bit hashes. Texts are read once for the facts, which are kept in the shared
+    folder and put together by block once for each order. What is shuffled is one row for each word or n-gram and block
+    of documents, and the documents of a block as numbers. A bitmap of fixed size thins out n-grams and never decides.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -258,35 +308,35 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, share: float =
     tokens, types = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
 
     least = max(2, math.ceil(tokens * share))
-    # at most 1 / share rows for each order, because the counts add up to no more than the tokens
-    kept = [{(r[0] & (1 << 64) - 1,): r[1] for r in counts.where(F.col("count") >= least).collect()}]
-    rows = [np.array(sorted(w for w, in kept[0]), np.uint64)]
+    shorter = counts.where(F.col("count") >= least).select(F.col("c_word").alias("gram"))
+    in_block, kept = [], []
     for n in range(2, order + 1):
-        known = list(rows)
-        found = source.where("NOT held_out").mapInArrow(lambda b, n=n, known=known: _candidates(b, n, known), ", ".join([*(f"w{j} long" for j in range(n)), "n long"]))
-        names = [f"w{j}" for j in range(n)]
-        grams = found.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-        kept.append({tuple(x & (1 << 64) - 1 for x in g[:-1]): g[-1] for g in grams})
-        if not kept[-1]:
-            break
-        place = {int(w): i for i, w in enumerate(rows[0])}
-        table = np.array([[place[w] for w in g] for g in kept[-1]], np.int64)
-        rows.append(table[np.argsort(_packed(table, len(rows[0])))])
-    automaton = spark.sparkContext.broadcast(build(kept, tokens, types))
+        shared = spark.sparkContext.broadcast(_shared_bitmap(shorter, "gram"))
+        grams = cut(facts.groupBy("block").applyInArrow(_grams_of(n, shared), GRAMS), f"lm-grams-{n}")
+        found = grams.where("trained > 0").groupBy(F.col("gram").alias("c_word")).agg(F.sum("trained").alias("count"), F.min("prefix").alias("prefix"))
+        kept.append(cut(found.where(F.col("count") >= least), f"lm-kept-{n}"))
+        in_block.append(grams.select(F.col("block").alias("k_block"), F.col("gram").alias("word"), F.lit(-1).alias("number")))
+        shorter = kept[-1].select(F.col("c_word").alias("gram"))
 
     def run(key, left, right):
         import pyarrow as pa
 
-        model, n = automaton.value, left.num_rows
-        words_, number, count = (right.column(c).to_numpy() for c in ("word", "number", "count"))
-        size = int(number.max()) + 1 if len(number) else 0
-        ids = left.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        buffer, offsets = text_buffer(ids)
-        tokens_, places = np.frombuffer(buffer.tobytes(), "<u4").astype(np.int64), offsets // 4
-        size = max(size, int(tokens_.max()) + 1 if len(tokens_) else 0)
+        n = left.num_rows
+        columns = {c: right.column(c).to_numpy() for c in ("level", "word", "number", "n", "total", "types")}
+        of = [{c: v[columns["level"] == k] for c, v in columns.items()} for k in range(1, order + 1)]
+        number = of[0]["number"]
+        tokens_, places = _ids(left.column("ids"))
+        size = max(int(number.max()) + 1 if len(number) else 0, int(tokens_.max()) + 1 if len(tokens_) else 0)
         hashes, counted = np.zeros(size, np.uint64), np.zeros(size)
-        hashes[number], counted[number] = words_.view(np.uint64), count
+        hashes[number], counted[number] = of[0]["word"].view(np.uint64), of[0]["n"]
+        levels = [{"n": counted}]
+        for c in ("total", "types"):
+            levels[0][c] = np.zeros(size)
+            levels[0][c][number] = of[0][c]
+        for k in of[1:]:
+            by = np.argsort(k["word"].view(np.uint64))
+            levels.append({"gram": k["word"].view(np.uint64)[by], **{c: k[c][by].astype(float) for c in ("n", "total", "types")}})
+        model = of_block(hashes[tokens_], tokens_, places, root_probability(counted, tokens, types), hashes, levels)
         root = np.log10(root_probability(counted, tokens, types))
         base = np.log10((counted + 0.1) / (tokens + 0.1 * (types + 1)))
         return pa.table([
@@ -295,7 +345,19 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, share: float =
         ], names=[x.split()[0] for x in SCORES.split(", ")])
 
     numbered = facts.where("word IS NOT NULL").select(F.col("block").alias("k_block"), "word", "number")
-    known = numbered.join(counts, F.col("word") == F.col("c_word")).select("k_block", "word", "number", "count")
+    rows = None
+    for k, (blocks, counted_) in enumerate(zip([numbered, *in_block], [counts, *kept], strict=True), 1):
+        of = counted_.select("c_word", F.col("count").alias("n"))
+        if k <= len(kept):
+            longer = kept[k - 1].groupBy(F.col("prefix").alias("p_word")).agg(F.sum("count").alias("p_total"), F.count("*").alias("p_types"))
+            of = of.join(longer, F.col("c_word") == F.col("p_word"), "left")
+        else:
+            of = of.withColumns({"p_total": F.lit(None).cast("long"), "p_types": F.lit(None).cast("long")})
+        part = blocks.join(of, F.col("word") == F.col("c_word")).select(
+            "k_block", F.lit(k).alias("level"), "word", "number", "n", F.coalesce("p_total", F.lit(0)).alias("total"), F.coalesce("p_types", F.lit(0)).alias("types"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    known = rows
     texts = facts.where("ids IS NOT NULL").select("block", "doc_id", "held_out", "ids")
     return texts.groupBy("block").cogroup(known.groupBy("k_block")).applyInArrow(run, SCORES)
 

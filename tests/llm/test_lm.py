@@ -1,6 +1,7 @@
 """Scores against a plain model that walks every text word by word."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -63,6 +64,17 @@ def test_scores_equal_the_plain_model(spark, order, share):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+def test_ngrams_seen_twice_count_however_large_the_input(spark):
+    r = random.Random(1)
+    filler = [" ".join(r.choices("pqrstuvwxyz", k=40)) for _ in range(1500)]
+    rows = [(i, t, False) for i, t in enumerate(["rare pair here", "a rare pair here", *filler])] + [(5000, "rare pair here", True), (5001, "here rare pair", True)]
+    got = {x.doc_id: x for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(4), F.col("held")).collect()}
+    assert got[5000].train_tokens > 60_000  # two occurrences are less than 1/20,000 of them
+    want = {x[0]: x for x in brute(rows, lm.ORDER, 0)}
+    assert [got[i].score for i in (0, 1, 5000, 5001)] == pytest.approx([want[i][-1] for i in (0, 1, 5000, 5001)], rel=1e-9)
+    assert got[5000].score > got[5001].score + 2
+
+
 def test_probabilities_of_a_state_add_up_to_one():
     kept = [{(1,): 6, (2,): 4, (3,): 2}, {(1, 2): 3, (1, 3): 2}]
     model = lm.build(kept, tokens=15, types=5)
