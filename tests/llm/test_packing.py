@@ -65,3 +65,23 @@ def test_slices_of_a_batch_and_a_full_memory(tokenizer, monkeypatch):
         ids, offsets = words.encode(part)
         for k, t in enumerate(part.to_pylist()):
             assert ids[offsets[k]:offsets[k + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_ids_are_those_of_the_tokenizer():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from repohealth.llm.packing import WordIds
+
+    path = vocabulary()
+    t, words = Tokenizer.from_file(path), WordIds(path)
+    r = random.Random(4)
+    bits = ["<|ENDOFTEXT|>", "<|endoftext|>", "x<|StartOfText|>y", "<|", "|>", "İs", "é", "don't", "12.5", "a.b,c", " ", "\x85", "ǅ", "ß", "١٢", "日本語", " ", "\n", "Word", "the", "ﬁ", "‍", ".", "'LL"]
+    texts = [None, "", " "] + ["".join(r.choice(bits) + r.choice(["", " ", "\t"]) for _ in range(r.randrange(1, 30))) for _ in range(400)]
+    for by_words in (True, False):
+        words.by_words = words.by_words and by_words
+        ids, offsets = words.encode(pa.array(texts, pa.string()))
+        for k, x in enumerate(texts):
+            assert ids[offsets[k]:offsets[k + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids, x
