@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repohealth.llm import decontam, jaccard, lm, packing, quality, sharding, suffix, toxicity, urlfilter, warc
+from repohealth.llm import decontam, jaccard, lm, packing, planes, quality, sharding, suffix, toxicity, urlfilter, warc
 from repohealth.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n
 def op10(spark, sf_dir):
     found = suffix.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[F.col(f"__{a}").alias(b) for a, b in (("bytes", "n_bytes"), ("removed", "n_removed"), ("spans", "n_spans"), ("sha256", "kept_sha256"))])
+
+
+@query("op13_bit_planes")
+def op13(spark, sf_dir):
+    return planes.round_trip(table(spark, sf_dir, "documents"), vocabulary())
