@@ -109,8 +109,8 @@ def text_buffer(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return raw, (offsets - offsets[0]) if len(column) else np.zeros(1, np.int64)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes other than ASCII white space) of all rows of a buffer.
+def words(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes outside ``gap``, ASCII white space if not said otherwise) of all rows of a buffer.
 
     Returns start and end of every word, and for every row the number of words
     before it (n + 1 numbers). Words never cross rows.
@@ -118,7 +118,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not len(raw):
         none = np.empty(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[raw]
+    inside = ~gap[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
