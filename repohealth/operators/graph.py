@@ -10,7 +10,7 @@ logarithmic number of rounds. Columns are renamed before every self-join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import prefix2, top_dir
@@ -315,76 +315,155 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
         "repo_id", "src", "dst", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("in_cycle"))
 
 
-def _moves(weighted: DataFrame, labels: DataFrame, parity: int) -> DataFrame:
-    """Labels after half of the nodes took the neighbouring community with the largest gain in modularity, if it is one.
+def _product(x: Column | str, y: Column | str) -> Column:
+    """Product of two whole numbers that no graph is too large for."""
+    wide = [(F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)") for c in (x, y)]
+    return wide[0] * wide[1]
 
-    ``weighted`` has both directions (repo_id, src, dst, w) and self-loops with
-    twice their weight. Gains are compared as whole numbers: 2m w(v, C) - k(v) K(C).
+
+def _merge_round(level: DataFrame) -> DataFrame:
+    """(node, root, k) of the communities that merge: k is the degree of the whole.
+
+    ``level`` has both directions (r, a, b, w, ka, kb, m2) between communities. Each
+    points to its best partner. Two that point to each other merge, and of those
+    that point to one of the two as many follow as still gain after all before
+    them. Merges of different pairs do not touch, so every round gains.
     """
-    keys = ["repo_id", "node"]
-    degree = weighted.groupBy("repo_id", F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-    total = degree.groupBy("repo_id").agg(F.sum("k").alias("m2"))
-    mine = labels.join(degree, keys)
-    weight = mine.groupBy("repo_id", "community").agg(F.sum("k").alias("joint"))
-    votes = weighted.where("src <> dst").join(labels.select("repo_id", F.col("node").alias("dst"), "community"), ["repo_id", "dst"]).groupBy(
-        "repo_id", F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
-    # the own community stays a candidate also without a neighbour in it
-    votes = votes.unionByName(labels.withColumn("w", F.lit(0).cast("bigint"))).groupBy("repo_id", "node", "community").agg(F.sum("w").alias("w"))
-    rated = votes.join(mine.select(*keys, "k", F.col("community").alias("own")), keys).join(weight, ["repo_id", "community"]).join(total, "repo_id")
-    own = F.col("community") == F.col("own")
-    others = F.col("joint") - F.when(own, F.col("k")).otherwise(F.lit(0))
-    gain = (F.col("m2") * F.col("w")).cast("decimal(38,0)") - (F.col("k") * others).cast("decimal(38,0)")
-    best = rated.groupBy(*keys).agg(
-        F.max(F.struct(gain.alias("gain"), own.alias("own"), (-F.xxhash64("community")).alias("h"), F.col("community").alias("community"))).alias("b"),
-        F.first("own").alias("was"))
-    may = F.pmod(F.xxhash64("repo_id", "node", F.lit(parity)), F.lit(2)) == 0
-    return best.select(*keys, F.when(may, F.col("b.community")).otherwise(F.col("was")).alias("community"))
-
-
-def _scores(weighted: DataFrame, labels: DataFrame) -> DataFrame:
-    """Modularity of every repository times (2m)^2, a whole number."""
-    a = labels.select("repo_id", F.col("node").alias("src"), F.col("community").alias("a"))
-    b = labels.select("repo_id", F.col("node").alias("dst"), F.col("community").alias("b"))
-    tagged = weighted.join(a, ["repo_id", "src"]).join(b, ["repo_id", "dst"])
-    by = tagged.groupBy("repo_id", "a").agg(F.sum("w").alias("joint"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0)).alias("inside"))
-    return by.groupBy("repo_id").agg((F.sum("joint").cast("decimal(38,0)") * F.sum("inside") - F.sum((F.col("joint") * F.col("joint")).cast("decimal(38,0)"))).alias("q"))
-
-
-def communities(edges: DataFrame, patience: int = 3) -> DataFrame:
-    """(repo_id, node, community) by modularity: moves of half of the nodes a round, then contraction, until nothing gains.
-
-    A repository keeps the best labels it had; a level ends after ``patience``
-    rounds without a gain anywhere, and the whole when a level brings none. The
-    community is named by its smallest node.
+    gain = _product("m2", "w") - _product("ka", "kb")
+    tie = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
+    best = level.withColumn("gain", gain).where("gain > 0").groupBy("a").agg(
+        F.max(F.struct("gain", tie.alias("t"), "b", "w", "ka", "kb", "m2")).alias("x")).select("a", "x.*")
+    back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    pairs = best.join(back, ["a", "b"], "left_semi").where("a < b").select("a", "b", "ka", "kb")
+    one = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ka").alias("k")), F.struct(F.col("b").alias("node"), F.col("kb").alias("k"))))
+    members = pairs.select(F.col("a").alias("root"), (F.col("ka") + F.col("kb")).alias("joint"), one.alias("m")).select("m.node", "m.k", "root", "joint")
+    waiting = best.join(members.select(F.col("node").alias("a")), "a", "left_anti").join(members.select(F.col("node").alias("b"), "root", "joint"), "b")
+    before = F.coalesce(F.sum("ka").over(Window.partitionBy("root").orderBy(F.col("gain").desc(), "a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    followers = waiting.withColumn("before", before).where(_product("m2", "w") > _product("ka", F.col("joint") + F.col("before")))
+    labels = members.select("node", "root", "k").union(followers.select(F.col("a"), "root", F.col("ka")))
+    return cut_lineage(labels.withColumn("k", F.sum("k").over(Window.partitionBy("root"))))
+
+
+def _contracted(level: DataFrame, labels: DataFrame) -> DataFrame:
+    """The graph between the communities after a round of merges."""
+    ends = level
+    for end in "ab":
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"), F.col("k").alias(f"n{end}")), end, "left")
+    new = {c: F.coalesce(n, c) for c, n in (("a", "ra"), ("b", "rb"), ("ka", "na"), ("kb", "nb"))}
+    return cut_lineage(ends.select("r", *[v.alias(c) for c, v in new.items()], "w", "m2").where("a <> b").groupBy("r", "a", "b").agg(
+        F.sum("w").alias("w"), F.first("ka").alias("ka"), F.first("kb").alias("kb"), F.first("m2").alias("m2")))
+
+
+def _merge(level: DataFrame) -> DataFrame | None:
+    """(node, root) of all communities of ``level`` that merge, round by round until none gains; None if none does."""
+    rounds = []
+    while True:
+        labels = _merge_round(level)
+        if labels.isEmpty():
+            break
+        rounds.append(labels.select("node", "root"))
+        level = _contracted(level, labels)
+    # the later rounds are the smaller ones, so they are put together from the end
+    whole = None
+    for labels in reversed(rounds):
+        if whole is None:
+            whole = labels
+        else:
+            later = whole.select(F.col("node").alias("root"), F.col("root").alias("_last"))
+            here = labels.join(later, "root", "left").select("node", F.coalesce("_last", "root").alias("root"))
+            alone = whole.join(labels.select(F.col("root").alias("node")), "node", "left_anti")
+            whole = cut_lineage(here.union(alone))
+    return whole
+
+
+def _trial(weighted: DataFrame, state: DataFrame, turn: int, least: float, patience: int) -> DataFrame:
+    """State after the trial labels of every repository were rated, with new trial labels.
+
+    A row is a node: its trial community, and of the best labels so far the
+    community, where it would rather be (aim), and the repository's modularity
+    times (2m)^2. After a trial that brought too little fewer nodes may move.
+    """
+    around = weighted.join(state.select("r").distinct(), "r", "left_semi").join(
+        state.select(F.col("node").alias("d"), "trial"), "d").select(F.col("s").alias("node"), F.col("trial").alias("c"), "w")
+    around = around.union(state.select("node", "trial", F.lit(0).cast("bigint"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
+    totals = state.groupBy(F.col("trial").alias("c")).agg(F.sum("k").alias("joint"))
+    rated = around.join(totals, "c").join(state, "node")
+    own = F.col("c") == F.col("trial")
+    gain = _product("m2", "w") - _product("k", F.col("joint") - F.when(own, F.col("k")).otherwise(F.lit(0)))
+    kept = ["r", "k", "m2", "trial", "best", "aim", "q", "idle"]
+    rows = rated.groupBy("node").agg(
+        F.max(F.struct(gain.alias("gain"), own.alias("own"), F.xxhash64("c").alias("h"), F.col("c").alias("c"))).getField("c").alias("wish"),
+        F.max(F.when(own, F.col("w"))).alias("inside"), F.max(F.when(own, F.col("joint"))).alias("joint"), *[F.first(c).alias(c) for c in kept])
+    scores = rows.groupBy("r").agg(
+        (F.sum(_product("m2", "inside")) - F.sum(_product("k", "joint"))).alias("now"),
+        F.bool_or(F.col("wish") != F.col("trial")).alias("_wished"), F.bool_or(F.col("aim") != F.col("best")).alias("_aimed"))
+    up = F.col("q").isNull() | (F.col("now") > F.col("q"))
+    enough = F.col("q").isNull() | ((F.col("now") - F.col("q")).cast("double") > least * F.col("m2").cast("double") * F.col("m2"))
+    idle = F.when(enough, 0).otherwise(F.col("idle") + 1)
+    tried = rows.join(scores, "r").select(
+        "r", "node", "k", "m2", F.when(up, F.col("trial")).otherwise(F.col("best")).alias("best"), F.when(up, F.col("wish")).otherwise(F.col("aim")).alias("aim"),
+        F.greatest("q", "now").alias("q"), idle.alias("idle"), F.when(up, F.col("_wished")).otherwise(F.col("_aimed")).alias("open"))
+    may = F.pmod(F.xxhash64("node", F.lit(turn)), F.expr("shiftleft(2, idle)")) == 0
+    return cut_lineage(tried.select(
+        "r", "node", "k", "m2", F.when(may, F.col("aim")).otherwise(F.col("best")).alias("trial"), "best", "aim", "q", "idle",
+        (~F.col("open") | (F.col("idle") >= patience)).alias("settled")))
+
+
+def communities(edges: DataFrame, least: float = 0.003, patience: int = 1) -> DataFrame:
+    """(repo_id, node, community) by modularity: pairwise merges until none gains, then moves of single nodes, in turn.
+
+    Only repositories that still gain are worked on: one leaves when no node wants
+    to move or when ``patience`` trials in a row brought less than ``least``, and
+    comes back only if the merges have changed it since. Labels are only ever
+    replaced by better ones. The community is named by its smallest node.
     """
     both = edges.select("repo_id", "src", "dst").union(edges.select("repo_id", F.col("dst"), F.col("src"))).where(F.col("src") != F.col("dst"))
-    weighted = cut_lineage(both.groupBy("repo_id", "src", "dst").agg(F.count(F.lit(1)).alias("w")))
-    nodes = weighted.select("repo_id", F.col("src").alias("node")).distinct()
-    result = cut_lineage(nodes.withColumn("community", F.col("node")))
+    names = cut_lineage(both.select("repo_id", F.col("src").alias("name")).distinct().select(_id("name").alias("node"), "repo_id", "name"))
+    pairs = both.groupBy(F.xxhash64("repo_id").alias("r"), _id("src").alias("s"), _id("dst").alias("d")).agg(F.count(F.lit(1)).alias("w"))
+    pairs = cut_lineage(pairs)
+    degree = cut_lineage(pairs.groupBy("r", F.col("s").alias("node")).agg(F.sum("w").alias("k")))
+    sums = degree.groupBy("r").agg(F.sum("k").alias("m2"))
+    weighted = cut_lineage(pairs.join(degree.select(F.col("node").alias("s"), F.col("k").alias("ka")), "s").join(
+        degree.select(F.col("node").alias("d"), F.col("k").alias("kb")), "d").join(sums, "r").select("r", "s", "d", "w", "ka", "kb", "m2"))
+    nodes = degree.join(sums, "r").select("r", "node", "k", "m2")
+    level = weighted.select("r", F.col("s").alias("a"), F.col("d").alias("b"), "w", "ka", "kb", "m2")
+    state, settled, turn = nodes.withColumn("best", F.col("node")), [], 0
     while True:
-        labels = cut_lineage(weighted.select("repo_id", F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
-        best = cut_lineage(labels.join(_scores(weighted, labels), "repo_id"))
-        rounds, idle, gained = 0, 0, False
-        while idle < patience:
-            labels = cut_lineage(_moves(weighted, labels, rounds))
-            now = labels.join(_scores(weighted, labels), "repo_id").select("repo_id", "node", F.col("community").alias("_c"), F.col("q").alias("_q"))
-            both_ = cut_lineage(best.join(now, ["repo_id", "node"]).select("*", (F.col("_q") > F.col("q")).alias("_up")))
-            better = not both_.where("_up").isEmpty()
-            if better:
-                best = cut_lineage(both_.select(
-                    "repo_id", "node", F.when(F.col("_up"), F.col("_c")).otherwise(F.col("community")).alias("community"), F.greatest("q", "_q").alias("q")))
-            rounds, idle, gained = rounds + 1, 0 if better else idle + 1, gained or better
-        if not gained:
+        merged = _merge(level)
+        if merged is None:
+            settled.append(state.select("node", F.col("best").alias("community")))
             break
-        level = best.select("repo_id", F.col("node").alias("_node"), F.col("community").alias("_to"))
-        result = cut_lineage(result.join(level, (result["repo_id"] == level["repo_id"]) & (result["community"] == level["_node"])).select(
-            result["repo_id"], result["node"], F.col("_to").alias("community")))
-        a = level.select("repo_id", F.col("_node").alias("src"), F.col("_to").alias("a"))
-        b = level.select("repo_id", F.col("_node").alias("dst"), F.col("_to").alias("b"))
-        weighted = cut_lineage(weighted.join(a, ["repo_id", "src"]).join(b, ["repo_id", "dst"]).groupBy(
-            "repo_id", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-    first = result.groupBy("repo_id", "community").agg(F.min("node").alias("first"))
-    return result.join(first, ["repo_id", "community"]).select("repo_id", "node", F.col("first").alias("community"))
+        rows = state.join(merged.select(F.col("node").alias("best"), "root"), "best", "left")
+        if turn:
+            # what the merges left as it was has settled
+            changed = rows.where("root IS NOT NULL").select("r").distinct()
+            settled.append(cut_lineage(state.join(changed, "r", "left_anti").select("node", F.col("best").alias("community"))))
+            rows = rows.join(changed, "r", "left_semi")
+        trial = F.coalesce("root", "best")
+        active = cut_lineage(rows.select("r", "node", "k", "m2", trial.alias("trial"), trial.alias("best"), trial.alias("aim"), F.lit(None).cast("decimal(38,0)").alias("q"), F.lit(0).alias("idle")))
+        done = []
+        while not active.isEmpty():
+            after = _trial(weighted, active, turn, least, patience)
+            turn += 1
+            done.append(after.where("settled").select("r", "node", "k", "m2", "best"))
+            active = after.where("NOT settled").drop("settled")
+        state = done[0]
+        for part in done[1:]:
+            state = state.union(part)
+        state = cut_lineage(state)
+        ends = weighted.join(state.select("r").distinct(), "r", "left_semi")
+        for end, name in (("s", "a"), ("d", "b")):
+            ends = ends.join(state.select(F.col("node").alias(end), F.col("best").alias(name)), end)
+        totals = state.groupBy("best").agg(F.sum("k").alias("k"))
+        cross = ends.where("a <> b").groupBy("r", "a", "b").agg(F.sum("w").alias("w"), F.first("m2").alias("m2"))
+        level = cut_lineage(cross.join(totals.select(F.col("best").alias("a"), F.col("k").alias("ka")), "a").join(
+            totals.select(F.col("best").alias("b"), F.col("k").alias("kb")), "b").select("r", "a", "b", "w", "ka", "kb", "m2"))
+    result = settled[0]
+    for part in settled[1:]:
+        result = result.union(part)
+    named = result.join(names, "node")
+    first = named.groupBy("community").agg(F.min("name").alias("first"))
+    return named.join(first, "community").select("repo_id", F.col("name").alias("node"), F.col("first").alias("community"))
 
 
 def _with_clusters(edges: DataFrame, membership: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Used once per round of an iterative job. The files survive the loss of
     executors, so a lost task re-reads its input instead of replaying the loop.
+    They are plain Parquet: a DataFrame checkpoint also keeps the estimated size,
+    order and constraints of its plan, and these multiply from round to round
+    until planning never ends, while a table has true sizes and no history.
+    The file system drops the files when the application ends; a loop that has
+    superseded a table gives it to ``release`` at once.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/lineage-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._cut_path = path
+    return kept
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``cut_lineage`` that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "_cut_path", None)
+        if path:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
