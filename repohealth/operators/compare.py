@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from repohealth.functions.paths import basename
 from repohealth.functions.scalars import count_if, half_up, keep_found, normalise_category, normalise_file, overlap_ratio, word_set
-from repohealth.session import cut_lineage
+from repohealth.session import cut_lineage, release
 
 THRESHOLD = 0.4
 FIELDS = ("path", "line", "message", "severity")
-MAX_ROUNDS = 10_000
 
 
 def profiles(findings: DataFrame, path: str, prefix: str) -> DataFrame:
@@ -98,53 +97,79 @@ def candidate_pairs(scan: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def similar_pairs(scan: DataFrame, audit: DataFrame, scan_path: str = "file_path", audit_path: str = "file_path") -> DataFrame:
-    """Pairs of distinct findings of the two sides that score at least the threshold, with their numbers of copies."""
-    s, a = profiles(scan, scan_path, "s"), profiles(audit, audit_path, "a")
+    """Pairs of distinct findings of the two sides that score at least the threshold, with their numbers of copies.
+
+    The distinct findings of a side are read by several joins, so they are written once.
+    """
+    return _scored(cut_lineage(profiles(scan, scan_path, "s")), cut_lineage(profiles(audit, audit_path, "a")))
+
+
+def _scored(s: DataFrame, a: DataFrame) -> DataFrame:
     pairs = candidate_pairs(s, a).join(s, "s_id").join(a.drop("repo_id"), "a_id")
     score = similarity({f"{p}_{c}": F.col(f"{p}_{c}") for p in "sa" for c in (*FIELDS, "words")})
     scored = keep_found(pairs, "similarity", F.when(score >= THRESHOLD, score))
     return scored.drop("s_words", "a_words")
 
 
+def match_order(s_id: Column, a_id: Column) -> Column:
+    """Number that orders pairs of equal similarity: the first 60 bits of the md5 of both ids.
+
+    Any total order makes the matching unique. Under one that looks random, a block
+    of ties has many pairs that are the best of both their ends, so it takes a
+    logarithmic number of rounds; an order by ids would give one pair a round.
+    """
+    return F.conv(F.substring(F.md5(F.concat(s_id, a_id)), 1, 15), 16, 10).cast("bigint")
+
+
 def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one matching, best similarity first, ties by the two ids.
+    """One-to-one matching, best similarity (six digits) first, ties by ``match_order``.
 
     A pair that is the best of both its ends is what the greedy order would take,
     so each round takes all such pairs at once, as many copies as both ends have
-    left. The rest goes on without the exhausted ends.
+    left. The rest goes on without the exhausted ends, until there is none.
     """
-    order = F.struct((-F.col("similarity")).alias("a"), F.col("s_id"), F.col("a_id"))
-    left = cut_lineage(pairs.select("repo_id", "s_id", "a_id", "similarity", "s_n", "a_n"))
-    taken = []
-    for _ in range(MAX_ROUNDS):
-        if left.isEmpty():
-            break
+    columns = ["repo_id", "s_id", "a_id", "similarity", "s_n", "a_n", "tie"]
+    level = F.round("similarity", 6)
+    left = cut_lineage(pairs.select("repo_id", "s_id", "a_id", level.alias("similarity"), "s_n", "a_n", match_order(F.col("s_id"), F.col("a_id")).alias("tie")))
+    order = F.struct((-F.col("similarity")).alias("a"), F.col("tie"), F.col("s_id"), F.col("a_id"))
+    zero, taken = F.lit(0), []
+    while not left.isEmpty():
         best_s = left.groupBy("s_id").agg(F.min_by("a_id", order).alias("a_id"))
         best_a = left.groupBy("a_id").agg(F.min_by("s_id", order).alias("s_id"))
         mutual = cut_lineage(
             left.join(best_s, ["s_id", "a_id"], "left_semi").join(best_a, ["s_id", "a_id"], "left_semi")
-            .withColumn("matched", F.least("s_n", "a_n"))
-        )
-        taken.append(mutual.select("repo_id", "s_id", "a_id", "similarity", "matched"))
+            .select("repo_id", "s_id", "a_id", "similarity", F.least("s_n", "a_n").alias("matched")))
+        taken.append(mutual)
         used_s = mutual.select("s_id", F.col("matched").alias("_us"))
         used_a = mutual.select("a_id", F.col("matched").alias("_ua"))
-        zero = F.lit(0)
-        left = cut_lineage(
-            left.join(used_s, "s_id", "left").join(used_a, "a_id", "left").select(
-                "repo_id", "s_id", "a_id", "similarity",
-                (F.col("s_n") - F.coalesce("_us", zero)).alias("s_n"), (F.col("a_n") - F.coalesce("_ua", zero)).alias("a_n"),
-            ).where("s_n > 0 AND a_n > 0")
-        )
-    else:
-        raise RuntimeError("matching did not finish")
+        rest = {"s_n": F.col("s_n") - F.coalesce("_us", zero), "a_n": F.col("a_n") - F.coalesce("_ua", zero)}
+        after = cut_lineage(left.join(used_s, "s_id", "left").join(used_a, "a_id", "left").select(
+            *[rest.get(c, F.col(c)).alias(c) for c in columns]).where("s_n > 0 AND a_n > 0"))
+        release(left)
+        left = after
     if not taken:
-        return left.select("repo_id", "s_id", "a_id", "similarity", F.lit(0).alias("matched"))
+        return left.select("repo_id", "s_id", "a_id", "similarity", F.col("s_n").alias("matched"))
     out = taken[0]
     for part in taken[1:]:
         out = out.union(part)
     return out
 
 
+def match_remainders(scan: DataFrame, audit: DataFrame, scan_path: str = "file_path", audit_path: str = "file_path") -> DataFrame:
+    """Every distinct finding of both sides with how many of its copies were matched and how many only its side has."""
+    s, a = (cut_lineage(profiles(df, path, p)) for df, path, p in ((scan, scan_path, "s"), (audit, audit_path, "a")))
+    matches = cut_lineage(greedy_match(_scored(s, a)))
+
+    def side(df: DataFrame, p: str, name: str) -> DataFrame:
+        used = matches.groupBy(f"{p}_id").agg(F.sum("matched").alias("_used"))
+        matched = F.coalesce("_used", F.lit(0))
+        return df.join(used, f"{p}_id", "left").select(
+            F.lit(name).alias("side"), "repo_id", *[F.col(f"{p}_{c}").alias(c) for c in FIELDS],
+            matched.cast("bigint").alias("matched"), (F.col(f"{p}_n") - matched).cast("bigint").alias("only_here"))
+
+    return side(s, "s", "scan").union(side(a, "a", "audit"))
+
+
 def unmatched(side: DataFrame, matches: DataFrame, prefix: str) -> DataFrame:
     """Findings of a side left over after matching, with how many copies are left."""
     used = matches.groupBy(f"{prefix}_id").agg(F.sum("matched").alias("_used"))

@@ -36,11 +36,36 @@ def _(t):
     return rows.drop("s_id", "a_id").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("greedy_match")
+def _id_sql(p: str) -> str:
+    return f"md5(concat_ws(chr(31), CAST(repo_id AS VARCHAR), {p}_path, coalesce(CAST({p}_line AS VARCHAR), '-'), {p}_message, {p}_severity))"
+
+
+# One pair of every repository at a time, in the order of the matching; ids are dense numbers while it runs.
+GREEDY_SQL = SIM_SQL.replace("WITH s AS", "WITH RECURSIVE s AS", 1).replace("SELECT repo_id, s_path, s_line, s_message", ", pr AS (SELECT repo_id, s_path, s_line, s_message", 1) + f"""),
+pi AS (SELECT *, {_id_sql('s')} AS s_id, {_id_sql('a')} AS a_id FROM pr), pk AS (SELECT *, CAST('0x' || substr(md5(s_id || a_id), 1, 15) AS BIGINT) AS tie FROM pi),
+po AS (SELECT *, dense_rank() OVER (ORDER BY s_id) AS si, dense_rank() OVER (ORDER BY a_id) AS ai, row_number() OVER (PARTITION BY repo_id ORDER BY similarity DESC, tie, s_id, a_id) AS rk FROM pk),
+g AS (SELECT repo_id, rk, si, ai, s_n AS sn, a_n AS an, min(rk) OVER (PARTITION BY repo_id) AS top FROM po
+  UNION ALL SELECT repo_id, rk, si, ai, sn, an, min(rk) OVER (PARTITION BY repo_id) AS top FROM (
+    SELECT g.repo_id, g.rk, g.si, g.ai, g.sn - CASE WHEN g.si = t.si THEN t.m ELSE 0 END AS sn, g.an - CASE WHEN g.ai = t.ai THEN t.m ELSE 0 END AS an
+    FROM g JOIN (SELECT repo_id, si, ai, least(sn, an) AS m FROM g WHERE rk = top) t ON t.repo_id = g.repo_id) x WHERE sn > 0 AND an > 0),
+mt AS (SELECT po.repo_id, po.s_id, po.a_id, po.similarity, least(g.sn, g.an) AS matched FROM g JOIN po ON po.repo_id = g.repo_id AND po.rk = g.rk WHERE g.rk = g.top)"""
+
+
+@query("greedy_match", f"{GREEDY_SQL} SELECT * FROM mt")
 def _(t):
     return CM.greedy_match(CM.similar_pairs(t["v_scan_side"], t["v_audit_side"]))
 
 
+def _remainder_sql(p: str, name: str) -> str:
+    return f"""SELECT '{name}' AS side, x.repo_id, {', '.join(f'{p}_{c} AS {c}' for c in CM.FIELDS)}, CAST(coalesce(u, 0) AS BIGINT) AS matched, CAST({p}_n - coalesce(u, 0) AS BIGINT) AS only_here
+FROM (SELECT *, {_id_sql(p)} AS k FROM {p}) x LEFT JOIN (SELECT {p}_id AS k, sum(matched) AS u FROM mt GROUP BY 1) y USING (k)"""
+
+
+@query("match_remainders", f"{GREEDY_SQL} {_remainder_sql('s', 'scan')} UNION ALL {_remainder_sql('a', 'audit')}")
+def _(t):
+    return CM.match_remainders(t["v_scan_side"], t["v_audit_side"])
+
+
 KEYS_SQL = """k AS (SELECT DISTINCT provider, module_id, concat(CASE WHEN coalesce(file, '') = '' THEN '__no_file__' ELSE regexp_replace(regexp_replace(lower(trim(file)), '^\\./', ''), '/+$', '') END, '::', regexp_replace(lower(trim(category)), '[\\s_-]+', '-', 'g')) AS key FROM v_audit_findings)"""
 AGREE_SQL = f"""{KEYS_SQL}, g AS (SELECT module_id, key, bool_or(provider = 'A') AS a, bool_or(provider = 'N') AS b FROM k WHERE provider IN ('A', 'N') GROUP BY 1, 2),
 agr AS (SELECT module_id, count(CASE WHEN a AND b THEN 1 END) AS agreed, count(CASE WHEN a AND NOT b THEN 1 END) AS only_first, count(CASE WHEN b AND NOT a THEN 1 END) AS only_second, count(*) AS union_size FROM g GROUP BY 1)"""

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -68,7 +69,8 @@ def test_matching_equals_greedy(spark):
         scan, audit = fixture(seed, 45)
         pairs = C.similar_pairs(spark.createDataFrame(scan, SCHEMA), spark.createDataFrame(audit, SCHEMA))
         left_s, left_a, want = {}, {}, {}
-        listed = sorted(pairs.collect(), key=lambda r: (-r.similarity, r.s_id, r.a_id))
+        tie = lambda r: int(hashlib.md5((r.s_id + r.a_id).encode()).hexdigest()[:15], 16)
+        listed = sorted(pairs.collect(), key=lambda r: (-round(r.similarity, 6), tie(r), r.s_id, r.a_id))
         for r in listed:
             left_s.setdefault(r.s_id, r.s_n)
             left_a.setdefault(r.a_id, r.a_n)
@@ -89,3 +91,13 @@ def test_agreement_of_nothing_is_full(spark):
 
     row = spark.range(1).select(C.agreement_score(F.lit(0), F.lit(0)).alias("a"), C.agreement_score(F.lit(1), F.lit(3)).alias("b")).first()
     assert tuple(row) == (100, 33)
+
+
+def test_a_block_of_ties_takes_few_rounds(spark, monkeypatch):
+    rows = [(1, f"s{i}", f"a{j}", 0.7, 1 + i % 2, 1) for i in range(200) for j in range(200)]
+    pairs = spark.createDataFrame(rows, "repo_id int, s_id string, a_id string, similarity double, s_n int, a_n int")
+    written = []
+    monkeypatch.setattr(C, "cut_lineage", lambda df, cut=C.cut_lineage: written.append(1) or cut(df))
+    got = C.greedy_match(pairs).collect()
+    assert len(written) < 2 * 20 and sum(r.matched for r in got) == 200
+    assert len({r.a_id for r in got}) == 200 and all(r.matched == 1 for r in got)
