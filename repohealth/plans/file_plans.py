@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from repohealth.functions import paths
 from repohealth.functions.scalars import clamp, count_if, half_up
 from repohealth.operators.ordered import percent_rank_over, top_per_key
-from repohealth.operators.rules import decision_count
+from repohealth.operators.rules import decision_count, external_silos
 from repohealth.plans.registry import query
-from repohealth.plans.rule_plans import DECISION_SQL, TODO_SQL, _todos
+from repohealth.plans.rule_plans import SILO_SQL, DECISION_SQL, TODO_SQL, _todos
 from repohealth.plans.sqltext import q
 from repohealth.plans.sqltext import half_up as half_up_sql
 from repohealth.session import cut_lineage
@@ -106,13 +106,13 @@ def _(t):
     return C.stale_areas(t["v_dated_commits"], "2001-08-01")
 
 
-@query("git_health", f"""WITH {CHURN}, {BUS}, {STALE}, ch AS (SELECT repo_id, 1 - CAST(count(CASE WHEN is_hotspot THEN 1 END) AS DOUBLE) / count(*) AS churn_health FROM churn GROUP BY 1),
-si AS (SELECT repo_id, count(*) AS silo_findings FROM bus WHERE is_silo GROUP BY 1), fr AS (SELECT repo_id, CAST(count(CASE WHEN NOT is_stale THEN 1 END) AS DOUBLE) / count(*) AS freshness FROM stale GROUP BY 1),
+@query("git_health", f"""WITH {CHURN}, {STALE}, ch AS (SELECT repo_id, 1 - CAST(count(CASE WHEN is_hotspot THEN 1 END) AS DOUBLE) / count(*) AS churn_health FROM churn GROUP BY 1),
+si AS (SELECT repo_id, count(*) AS silo_findings FROM ({SILO_SQL}) x GROUP BY 1), fr AS (SELECT repo_id, CAST(count(CASE WHEN NOT is_stale THEN 1 END) AS DOUBLE) / count(*) AS freshness FROM stale GROUP BY 1),
 td AS (SELECT repo_id, CAST(count(*) - count(severity) AS DOUBLE) / count(*) AS todo_score FROM ({TODO_SQL}) x GROUP BY 1)
 SELECT repo_id, CAST(least(100, greatest(0, floor(coalesce(churn_health, 1) * 40 + greatest(0.0, 1.0 - CAST(coalesce(silo_findings, 0) AS DOUBLE) / greatest(5, coalesce(silo_findings, 0))) * 20
   + coalesce(todo_score, 1) * 20 + coalesce(freshness, 1) * 20 + 0.5))) AS INT) AS score FROM fr LEFT JOIN ch USING (repo_id) LEFT JOIN si USING (repo_id) LEFT JOIN td USING (repo_id)""")
 def _(t):
-    silos = C.bus_factor(t["v_commits"]).where("is_silo").groupBy("repo_id").agg(F.count(F.lit(1)).alias("silo_findings"))
+    silos = external_silos(t["v_code_lines"]).groupBy("repo_id").agg(F.count(F.lit(1)).alias("silo_findings"))
     todos = _todos(t).groupBy("repo_id").agg(((F.count(F.lit(1)) - F.count("severity")) / F.count(F.lit(1))).alias("todo_score"))
     parts = C.freshness(C.stale_areas(t["v_dated_commits"], "2001-08-01"))
     parts = parts.join(C.churn_health(C.churn(t["v_commits"])), "repo_id", "left").join(silos, "repo_id", "left").join(todos, "repo_id", "left")

@@ -103,7 +103,10 @@ def _silo_sql(source: str) -> str:
   SELECT repo_id, path, line_no, substring(trim(text), 1, 120) AS text, CASE {' '.join(arms)} END AS system FROM {source} WHERE {isdoc} OR {iscode}) x WHERE system IS NOT NULL) y WHERE rn = 1"""
 
 
-@query("external_silos", _silo_sql("v_code_lines"))
+SILO_SQL = _silo_sql("v_code_lines")
+
+
+@query("external_silos", SILO_SQL)
 def _(t):
     return rules.external_silos(t["v_code_lines"])
 

@@ -406,7 +406,7 @@ SELECT conv_id, turn, concat('r', CAST(conv_id AS STRING), '-', CAST(turn AS STR
   CASE turn % 4
     WHEN 0 THEN concat('Here you go:', chr(10), '```json', chr(10), '{{"summary":"s', CAST(turn AS STRING), '","findings":[{{"severity":"high","file":"a.ts","line":', CAST(conv_id AS STRING), ',"message":"m"}},{{"message":"n","category":"naming"}},{{"file":"x.ts"}}]}}', chr(10), '```')
     WHEN 1 THEN concat('  {{"summary":"raw","findings":[{{"message":"k', CAST(conv_id AS STRING), '","severity":"low"}}]}}')
-    WHEN 2 THEN concat('Result {{"summary":"wrapped"}} done. ', substring(text, 1, 20))
+    WHEN 2 THEN concat('Result {{"summary":"wrapped"}} done. ', text)
     ELSE text END AS text
 FROM {conversations}"""
 
