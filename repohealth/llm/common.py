@@ -46,9 +46,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    scratch_paths(spark).append(path)
     return path
 
 
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """All paths that ``scratch`` has given out in this application, oldest first."""
+    context = spark.sparkContext
+    if not hasattr(context, "_repohealth_scratch"):
+        context._repohealth_scratch = []
+    return context._repohealth_scratch
+
+
 def cut(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -57,7 +66,41 @@ def cut(df: DataFrame, label: str = "table") -> DataFrame:
     """
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._scratch = path
+    return kept
+
+
+def remove(spark: SparkSession, paths) -> None:
+    """Delete scratch tables that nothing will read again."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``cut`` that nothing will read again; later rounds need not share the disk."""
+    for t in tables:
+        remove(t.sparkSession, [t._scratch])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without_ids(df: DataFrame, ids, label: str) -> DataFrame:
+    """Rows of ``df`` whose doc_id is not among those that ``ids()`` gives in its only column; null ids stay.
+
+    The columns of ``df`` may have any names. What ``ids`` wrote on its way is removed: the result reads one table of ids.
+    """
+    name, begun = fresh(df, "gone"), len(scratch_paths(df.sparkSession))
+    gone = cut(ids().toDF(name).distinct(), label)
+    remove(df.sparkSession, scratch_paths(df.sparkSession)[begun:-1])
+    return df.join(gone, df["doc_id"] == F.col(name), "left_anti")
 
 
 def lower_az(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repohealth.llm.common import cut
+from repohealth.llm.common import cut, drop
 
 
 def components(links: DataFrame, label: str = "links") -> DataFrame:
@@ -26,6 +26,7 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
         hung = large.join(small, F.col("u") == F.col("m_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = cut(hung.unionByName(small.select(F.col("m_u").alias("u"), F.col("m").alias("v"))).distinct(), label)
         same = edges.count() == after.count() and not after.join(edges, ["u", "v"], "left_anti").take(1)
+        drop(edges, least, large, small)
         edges = after
         if same:
             break

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repohealth.llm.common import cut, find, mix, row_of, ship, signed, slices, text_buffer, window_hashes, word_hashes
+from repohealth.llm.common import cut, find, mix, row_of, ship, signed, slices, text_buffer, window_hashes, without_ids, word_hashes
 
 WINDOW = 8  # tokens of a template window
 SHORTEST = 5  # items with fewer tokens are found by verbatim copies only; those below WINDOW are one window
@@ -223,6 +223,5 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id leaks no item, all columns kept; rows with a null id always stay."""
-    found = leaks(docs, items).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(cut(found, "decontam-leaks"), F.col("doc_id") == F.col("__leak"), "left_anti")
+    """The rows of ``docs`` whose doc_id leaks no item, all columns kept, whatever their names; null ids always stay."""
+    return without_ids(docs, lambda: leaks(docs, items).select("doc_id"), "decontam-leaks")

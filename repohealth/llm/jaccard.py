@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repohealth.llm.common import cut, find, mix, ship, signed, slices, text_buffer, window_hashes, word_hashes, words
+from repohealth.llm.common import cut, drop, find, mix, ship, signed, slices, text_buffer, window_hashes, without_ids, word_hashes, words
 from repohealth.llm.components import components
 
 WIDTH = 5
@@ -169,6 +169,31 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[first][again])), pa.array(total[again])], names=["hash", "n"])
 
 
+def _prefix_places(s: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Places of the prefix of a set in the order with frequent shingles (those with a ``place``) last."""
+    rare = np.flatnonzero(place < 0)[:length]
+    return rare if len(rare) == length else np.concatenate([rare, np.flatnonzero(place >= 0)[:length - len(rare)]])
+
+
+def _late(batches, width, percent, frequent):
+    """Prefix shingles that their set has not counted, because frequent ones before them were put last."""
+    import pyarrow as pa
+
+    seen = set()
+    for batch in slices(batches, "text", SLICE):
+        found = []
+        for s in shingle_sets(batch.column("text"), width):
+            if not len(s) or (name := set_id(s)) in seen:
+                continue
+            seen.add(name)
+            chosen = _prefix_places(s, find(frequent.value, s), len(s) - needed(len(s), percent) + 1)
+            found.append(s[chosen[chosen >= _head(len(s), percent)]])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found)))], names=["hash"])
+        if len(seen) > 1_000_000:
+            seen.clear()
+
+
 def _prefixes(batches, width, percent, frequent, frequent_n, repeated, many):
     """A row for every prefix shingle that other sets may share; the bitmap comes along where more than a few may."""
     import pyarrow as pa
@@ -184,8 +209,7 @@ def _prefixes(batches, width, percent, frequent, frequent_n, repeated, many):
             seen.add(name)
             length, head = n - needed(n, percent) + 1, _head(n, percent)
             place = find(often, s)
-            rare = np.flatnonzero(place < 0)[:length]
-            chosen = rare if len(rare) == length else np.concatenate([rare, np.flatnonzero(place >= 0)[:length - len(rare)]])
+            chosen = _prefix_places(s, place, length)
             use = np.flatnonzero((chosen >= head) | in_bitmap(repeated.value, s[chosen]))
             if not len(use):
                 continue
@@ -387,7 +411,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     least = max(FREQUENT, total >> FREQUENT_BITS)
     often = sorted((r.hash & (1 << 64) - 1, r.n) for r in counted.where(F.col("n") > least).collect())  # at most 2 ** FREQUENT_BITS rows
     frequent, frequent_n = context.broadcast(np.array([h for h, _ in often], np.uint64)), context.broadcast(np.array([n for _, n in often], np.int64))
-    repeated = context.broadcast(_shared_bitmap(counted, "hash"))
+    # a shingle counted once may still be shared with a set that chose it without counting it
+    late = [cut(only.mapInArrow(lambda b: _late(b, width, percent, frequent), "hash long").distinct(), "jaccard-late")] if often else []
+    shared = counted.select("hash")
+    for more in late:
+        shared = shared.unionAll(more)
+    repeated = context.broadcast(_shared_bitmap(shared, "hash"))
 
     many = context.broadcast(_shared_bitmap(counted.where(F.col("n") > FEW), "hash"))
     rows = only.mapInArrow(lambda b: _prefixes(b, width, percent, frequent, frequent_n, repeated, many), "token long, id long, n long, rank long, bits binary")
@@ -408,6 +437,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     met = arrays.join(dealt, F.col("id") == F.col("node")).select("tile", "id", "n", "data")
     links = cut(met.repartition("tile").sortWithinPartitions("tile", "n", "id").mapInArrow(lambda b: _blocks(b, percent), "a long, b long"), "jaccard-links")
     classes = cut(components(links, "jaccard-classes"), "jaccard-classes")
+    drop(counted, *late, pairs, asked, bits, blocks, dealt, links)
 
     # from sets back to documents: the least document of each set, then of each class of sets
     firsts = cut(named.where("n > 0").groupBy(F.col("id").alias("f_id")).agg(F.min("doc_id").alias("f_doc")), "jaccard-firsts")
@@ -421,7 +451,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their class, all columns kept.
 
-    Of rows that repeat an id all stay together; rows with a null id stay.
+    Of rows that repeat an id all stay together; rows with a null id stay. Other columns may have any names.
     """
-    found = near_duplicates(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(cut(found, "jaccard-copies"), F.col("doc_id") == F.col("__copy"), "left_anti")
+    return without_ids(docs, lambda: near_duplicates(docs, width, percent).where("doc_id <> component_id").select("doc_id"), "jaccard-copies")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.llm.common import (
-    _BYTE, cut, mix, per_row, powers, row_of, ship, signed, slices, text_buffer, window_hashes, word_hashes, words,
+    _BYTE, cut, mix, per_row, powers, row_of, ship, signed, slices, text_buffer, window_hashes, without_ids, word_hashes, words,
 )
 
 MIN_DOCUMENTS = 20  # a line is removed in a host when more documents than this ...
@@ -149,3 +149,8 @@ def judge(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("n_removed_words"),
         base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"),
     )
+
+
+def without_rejected(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` whose doc_id no rule rejects, all columns kept, whatever their names; null ids always stay."""
+    return without_ids(docs, lambda: judge(docs, **limits).where("NOT kept").select("doc_id"), "quality-rejected")

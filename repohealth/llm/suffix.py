@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repohealth.llm.common import _BYTE, cut, find, mix, row_of, ship, signed, slices, text_buffer
+from repohealth.llm.common import _BYTE, cut, drop, find, fresh, mix, row_of, ship, signed, slices, text_buffer
 from repohealth.llm.jaccard import SLICE, _shared_bitmap, in_bitmap
 
 LENGTH = 100
@@ -296,7 +296,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     to_sort = strings.where("string IS NOT NULL").select("hash", "doc", "tid", "place", "first", "string")
     sorted_ = to_sort.repartition("hash").sortWithinPartitions("hash").mapInArrow(_intervals, "tid long, begin long, stop long")
     found = sorted_.withColumn("judged", F.lit(None).cast("long")).unionByName(strings.where("string IS NULL").select("tid", F.col("first").alias("begin"), "stop", F.col("doc").alias("judged")))
-    return cut(found, "suffix-intervals")
+    found = cut(found, "suffix-intervals")
+    drop(repeated, strings)
+    return found
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -348,16 +350,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     document with a smaller id, or before in the same one. Null texts are empty; texts shorter than LENGTH lose nothing;
     overlapping strings count. Rows that share id and text are one document and have one result; of rows that share only
     the id, equal strings at equal places remove each other in neither. A null id comes after all others. All columns
-    are kept. ``__text`` leaves out characters that a removed span cuts in two; ``__sha256`` is that of the exact bytes.
+    are kept, whatever their names (a new column whose name is taken gets more underscores). ``__text`` leaves out characters that a removed span cuts in two; ``__sha256`` is that of the exact bytes.
     An empty table gives no rows. Texts are told apart by 64-bit hashes, strings by their bytes.
     """
     spark = docs.sparkSession
     ship(spark)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"__tid": F.xxhash64(text, F.octet_length(text)), "__doc": F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))})
+    # the caller's columns go by number, so that none can have a name used here
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    lower = [c.lower() for c in docs.columns]
+    plain = docs.toDF(*own)
+    whole, doc_id = (F.col(own[lower.index(c)]) for c in ("text", "doc_id"))
+    text = F.coalesce(whole, F.lit(""))
+    keyed = plain.withColumns({"__tid": F.xxhash64(text, F.octet_length(text)), "__doc": F.coalesce(doc_id, F.lit((1 << 63) - 1))})
     # taken before the joins, so that the text itself only goes through them where it is asked for
     keyed = keyed.withColumns({"__n": F.octet_length(text).cast("long"), "__own": F.sha2(text, 256)})
-    source = keyed.select(F.col("__doc").alias("doc"), F.col("__tid").alias("tid"), "text").where(F.octet_length("text") >= LENGTH)
+    source = keyed.select(F.col("__doc").alias("doc"), F.col("__tid").alias("tid"), whole.alias("text")).where(F.octet_length("text") >= LENGTH)
     firsts = cut(source.groupBy(F.col("tid").alias("f_tid")).agg(F.min("doc").alias("f_doc"), F.max("doc").alias("f_last")).where("f_doc < f_last").select("f_tid", "f_doc"), "suffix-copies")
     found = repeats(source)
     wanted = spark.sparkContext.broadcast(_shared_bitmap(found, "tid"))
@@ -365,13 +372,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spans = found.groupBy(F.col("tid").alias("s_tid")).agg(F.collect_list(F.struct("begin", "stop", "judged")).alias("spans"))
     spans = spans.join(firsts, F.col("s_tid") == F.col("f_tid"), "left")
     done = cut(texts.join(spans, F.col("tid") == F.col("s_tid")).select("tid", "text", "spans", "f_doc").mapInArrow(_removed, "r_tid long, r_removed long, r_spans long, r_sha string, r_text string"), "suffix-results")
+    drop(found)
     joined = keyed.join(firsts, F.col("__tid") == F.col("f_tid"), "left").join(done, F.col("__tid") == F.col("r_tid"), "left")
     n, copy = F.col("__n"), F.col("f_doc").isNotNull() & (F.col("__doc") > F.col("f_doc"))
     pick = lambda of_copy, of_result, else_: F.when(copy, of_copy).otherwise(F.coalesce(of_result, else_))
-    return joined.withColumns({
+    result = {
         "__bytes": n,
         "__removed": pick(n, F.col("r_removed"), F.lit(0).cast("long")),
         "__spans": pick(F.lit(1).cast("long"), F.col("r_spans"), F.lit(0).cast("long")),
         "__sha256": pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("r_sha"), F.col("__own")),
         "__text": F.when(copy, F.lit("")).otherwise(F.coalesce("r_text", text)),
-    }).select(*[F.col(f"`{c}`") for c in docs.columns], "__bytes", "__removed", "__spans", "__sha256", "__text")
+    }
+    return joined.select(*[F.col(k).alias(c) for k, c in zip(own, docs.columns, strict=True)], *[v.alias(fresh(docs, c)) for c, v in result.items()])

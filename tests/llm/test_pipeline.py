@@ -7,6 +7,8 @@ import pytest
 import test_jaccard
 import test_suffix
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from repohealth.llm import decontam, quality
 from repohealth.llm.queries import vocabulary
@@ -60,3 +62,47 @@ def test_stages(spark, folder):
     for p in sorted(cp.run(spark, folder).collect(), key=lambda p: (p.sequence_id, p.offset)):
         found[p.doc_id] += bytes(p.ids)
     assert {i: len(x) // 4 for i, x in found.items()} == {i: len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for i, r in rows.items()}
+
+
+def test_columns_with_inner_names_and_empty_tables(spark, tmp_path):
+    """Columns named as the operators' own ones are kept as they are; an empty table passes every stage."""
+    import corpus_pipeline
+
+    names = ["f_doc", "F_TID", "r_text", "__n", "__copy", "__text", "__leak", "gone", "_gone", "tid", "doc", "row", "host", "c0"]
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = source.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    expect = source
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        for which in ("expect", "docs"):
+            path = str(tmp_path / f"{which}{k}")
+            stage(spark, expect if which == "expect" else docs, "/root/testdata/sf0.001").write.parquet(path)
+            if which == "expect":
+                expect = spark.read.parquet(path)
+            else:
+                docs = spark.read.parquet(path)
+        assert docs.columns == [*source.columns, *names]
+        got = {r.doc_id: r for r in docs.collect()}
+        assert {d: (r.text, r.n_chars) for d, r in got.items()} == {r.doc_id: (r.text, r.n_chars) for r in expect.collect()}
+        assert all(r[n] == f"{n} {d}" for d, r in got.items() for n in names)
+    none = source.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, "/root/testdata/sf0.001")
+        assert out.count() == 0, name
+
+
+def test_a_prefix_shingle_that_only_one_side_counts():
+    """Sets of Jaccard 0.8 whose common prefix shingle lies before the counted ones of one set and behind those of the other."""
+    import numpy as np
+
+    from repohealth.llm import jaccard
+
+    own, often, common = (np.sort(np.arange(n, dtype=np.uint64) + np.uint64(base)) for n, base in ((20, 1), (16, 100), (64, 1000)))
+    a, b = np.concatenate([own, often, common]), np.concatenate([often, common])
+    prefix, late = [], []
+    for s in (a, b):
+        n = len(s)
+        chosen = jaccard._prefix_places(s, np.where(np.isin(s, often), 0, -1), n - jaccard.needed(n, 80) + 1)
+        prefix.append(set(s[chosen].tolist()))
+        late.append(set(s[chosen[chosen >= jaccard._head(n, 80)]].tolist()))
+    shared = prefix[0] & prefix[1]
+    assert shared and shared <= late[0] | late[1] | {int(x) for x in a[:jaccard._head(100, 80)] if x in set(b[:jaccard._head(80, 80)].tolist())}
