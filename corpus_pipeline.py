@@ -1,7 +1,10 @@
 """Pipeline over the documents table: each stage works on all that its predecessor kept.
 
 Every stage but the last returns the columns of documents. Decisions are taken by doc_id; rows with a null id are never
-dropped, and of rows that repeat an id all go when one of them is rejected.
+dropped, and of rows that repeat an id all go when one of them is rejected. Null and empty texts fail the quality rules,
+further columns are kept whatever their names, and an empty table gives an empty result at every stage.
+
+A stage keeps only the scratch tables that its result still reads; the others are gone when it returns.
 """
 
 from __future__ import annotations
@@ -10,14 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repohealth.llm import decontam, jaccard, packing, quality, suffix
-from repohealth.llm.common import cut, scratch, table
+from repohealth.llm.common import remove, scratch, table
 from repohealth.llm.queries import vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; texts stay as they are."""
-    rejected = quality.judge(docs).where("NOT kept").select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(cut(rejected, "quality-rejected"), F.col("doc_id") == F.col("__rejected"), "left_anti")
+    return quality.without_rejected(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages leave the texts, but for their first occurrence; n_chars follows. No document goes."""
     found = suffix.without_repeats(docs)
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("__text")), "n_chars": F.when(F.col("__removed") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast("long")}
+    _, removed, _, _, text = found.columns[-5:]
+    new = {"text": F.when(F.col("text").isNotNull(), F.col(text)), "n_chars": F.when(F.col(removed) > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long")}
     return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
@@ -52,9 +55,11 @@ ORACLE_SQL = None  # token ids and line hashes are beyond SQL; tests/llm/test_pi
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what a stage returns is written as Parquet and read again as the next one's documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        remove(spark, read)
+        read = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
