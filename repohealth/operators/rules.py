@@ -11,6 +11,7 @@ from repohealth.functions.paths import basename, extension
 from repohealth.functions.scalars import ascii_edges, keep_found, strip
 from repohealth.operators.ordered import first_per_key
 from repohealth.schemas import SEVERITIES
+from repohealth.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -130,9 +131,96 @@ def phi_rules() -> list[Rule]:
     return made + [Rule(rid, pattern, severity, "hipaa", rid, literals=(text,)) for rid, text, pattern, severity in PHI_FIXED]
 
 
-def rules_from(rows: DataFrame) -> list[Rule]:
-    """Rules of a validated rule table. A rule set is configuration that people write, so the driver reads it."""
-    return [Rule(**row.asDict()) for row in rows.select("id", "pattern", "severity", "category", "message").collect()]
+# Languages of files by extension, the files a rule's language covers, and directories no rule looks into.
+FILE_LANGUAGES = {".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "tsx", ".py": "python"}
+RULE_COVERS = {
+    "typescript": ("typescript", "tsx"), "javascript": ("javascript", "tsx"), "tsx": ("tsx",), "jsx": ("tsx",),
+    "python": ("python",),
+}
+RULE_SKIP_DIRS = ("node_modules", ".git", ".next", "dist", "build", "coverage", ".turbo", ".cache")
+
+
+def file_language(path: Column) -> Column:
+    """Language of a source file that rules may look into; null for other files and inside skipped directories."""
+    folders = F.split(path, "/")
+    skipped = F.exists(F.slice(folders, F.lit(1), F.size(folders) - 1), lambda d: d.isin(*RULE_SKIP_DIRS))
+    found = None
+    for ext, language in FILE_LANGUAGES.items():
+        hit = path.endswith(ext)
+        found = F.when(hit, language) if found is None else found.when(hit, language)
+    return F.when(~skipped, found)
+
+
+def _covered(language: Column) -> Column:
+    out = None
+    for name, files in RULE_COVERS.items():
+        value = F.array(*map(F.lit, files))
+        out = F.when(F.lower(language) == name, value) if out is None else out.when(F.lower(language) == name, value)
+    return F.coalesce(out, F.array().cast("array<string>"))
+
+
+def in_language(lines: DataFrame, language: str) -> DataFrame:
+    """Lines of the files that a rule of this language looks into."""
+    return lines.where(file_language(F.col("path")).isin(*RULE_COVERS[language]))
+
+
+def required_text(pattern: Column) -> Column:
+    """Longest run of three or more ASCII letters, digits and _ that every match of a pattern contains, in lower case.
+
+    Null where none is sure to be there: alternatives, flags within the pattern and nested groups are not looked into,
+    and classes, groups, escapes and optional characters only end a run.
+    """
+    plain = F.regexp_replace(pattern, r"^\(\?i\)", "")
+    unsure = F.contains(plain, F.lit("|")) | F.contains(plain, F.lit("(?")) | F.rlike(plain, F.lit(r"\\[QEpPxucN0-9]"))
+    rest = F.regexp_replace(plain, r"\\.", "\t")
+    rest = F.regexp_replace(rest, r"\[\^?\]?[^\]]*\]", "\t")
+    for _ in range(3):
+        rest = F.regexp_replace(rest, r"\([^()]*\)", "\t")
+    unsure = unsure | F.rlike(rest, F.lit(r"[()\[\]]"))
+    rest = F.regexp_replace(rest, r".(?:[?*]|\{[^}]*\})[?+]?", "\t")
+    runs = F.filter(F.split(F.lower(rest), "[^a-z0-9_]+"), lambda r: F.length(r) >= 3)
+    longest = F.reduce(runs, F.lit(""), lambda best, r: F.when(F.length(r) > F.length(best), r).otherwise(best))
+    return F.when(~unsure, F.nullif(longest, F.lit("")))
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of three characters of a text."""
+    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))))
+
+
+def match_rule_table(lines: DataFrame, rule_table: DataFrame) -> DataFrame:
+    """Every (line, rule) hit for rules that are rows (id, pattern, language, severity, category, message, suggestion).
+
+    ``lines`` has path and text. A rule looks into the files of its language outside skipped directories. Rules meet
+    lines by an inverted index: of the text that every match of a pattern contains, the three characters that are
+    rarest in the lines are the key, so a line meets the rules of its own rare character runs; the whole text and then
+    the pattern decide. Rules without such a text meet all lines of their language. Neither the rules nor the lines
+    pass through the driver, and the plan does not grow with the number of rules. Patterns are Java's; \\b is ASCII.
+    """
+    edges = F.lit("(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+    ready = rule_table.select(
+        F.col("id").alias("rule_id"), "severity", "category", F.col("message").alias("rule_message"), "suggestion", "language",
+        F.replace(F.col("pattern"), F.lit("\\b"), edges).alias("_pattern"), required_text(F.col("pattern")).alias("_needed"),
+        F.monotonically_increasing_id().alias("_rule"))
+    ready = cut_lineage(ready)
+    coded = lines.withColumn("_language", file_language(F.col("path"))).where("_language IS NOT NULL")
+    grams = coded.select(F.explode(_grams(F.lower("text"))).alias("_gram"))
+    asked = ready.where("_needed IS NOT NULL").select("_rule", F.explode(_grams(F.col("_needed"))).alias("_gram"))
+    seen = grams.join(asked.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a run that no line has is a key that meets nothing
+    keys = asked.join(seen, "_gram", "left").groupBy("_rule").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    keyed = cut_lineage(ready.join(keys, "_rule"))
+    wanted = keyed.select("_gram").distinct()
+    place = lines.columns
+    # the lines that have a key at all, each key of a line once
+    asking = coded.withColumn("_gram", F.explode(_grams(F.lower("text")))).join(wanted, "_gram", "left_semi")
+    met = asking.join(keyed, "_gram").where(F.contains(F.lower("text"), F.col("_needed")))
+    open_rules = ready.where("_needed IS NULL").withColumn("_language", F.explode(_covered(F.col("language"))))
+    columns = [*place, "_language", "rule_id", "severity", "category", "rule_message", "suggestion", "language", "_pattern"]
+    # an open rule is listed for each language it covers, so it meets a line once
+    pairs = met.select(*columns).union(coded.join(open_rules, "_language").select(*columns))
+    return pairs.where(F.array_contains(_covered(F.col("language")), F.col("_language")) & F.rlike("text", F.col("_pattern"))).select(
+        *place, "rule_id", "severity", "category", "rule_message", "suggestion", "language")
 
 
 def match_rules(lines: DataFrame, rules: list[Rule] | tuple[Rule, ...], text: str = "text") -> DataFrame:

@@ -131,9 +131,22 @@ def _(t):
     return rows.withColumn("score", (F.col("todos") - F.col("stale")) / F.col("todos"))
 
 
-@query("phi_rules", f"WITH hits AS ({_hits_sql(rules.phi_rules(), 'v_code_lines')}) SELECT repo_id, path, line_no, rule_id, severity FROM hits")
+FILE_LANGUAGE_SQL = f"""CASE WHEN len(list_filter(string_split(path, '/')[:-2], lambda d: d IN ({', '.join(map(q, rules.RULE_SKIP_DIRS))}))) = 0 THEN CASE {' '.join(f"WHEN ends_with(path, {q(e)}) THEN {q(n)}" for e, n in rules.FILE_LANGUAGES.items())} END END"""
+PHI_LINES = f"src AS (SELECT repo_id, path, line_no, text FROM v_code_lines WHERE {FILE_LANGUAGE_SQL} IN ('typescript', 'tsx'))"
+
+
+@query("phi_rules", f"WITH {PHI_LINES}, hits AS ({_hits_sql(rules.phi_rules(), 'src')}) SELECT repo_id, path, line_no, rule_id, severity FROM hits")
+def _(t):
+    lines = rules.in_language(t["v_code_lines"], "typescript")
+    return rules.match_rules(lines, rules.phi_rules()).select("repo_id", "path", "line_no", "rule_id", "severity")
+
+
+@query("user_rules", f"""WITH src AS (SELECT repo_id, path, line_no, text, {FILE_LANGUAGE_SQL} AS lang FROM v_code_lines)
+SELECT s.repo_id, s.path, s.line_no, r.id AS rule_id, r.severity, r.category, r.message AS rule_message, r.suggestion, r.language FROM src s JOIN v_user_rules r
+ON CASE lower(r.language) {' '.join(f"WHEN {q(k)} THEN s.lang IN ({', '.join(map(q, v))})" for k, v in rules.RULE_COVERS.items())} ELSE false END AND regexp_matches(s.text, r.pattern)""")
 def _(t):
-    return rules.match_rules(t["v_code_lines"], rules.phi_rules()).select("repo_id", "path", "line_no", "rule_id", "severity")
+    good = rules.validate_rules(t["v_user_rules"]).where("reject_reason IS NULL")
+    return rules.match_rule_table(t["v_code_lines"], good).drop("text", "file_no")
 
 
 @query("validate_rules", f"""SELECT rule_no, coalesce({', '.join(f"CASE WHEN trim(coalesce({f}, '')) = '' THEN {q('missing or empty required field ' + f)} END" for f in rules.RULE_FIELDS)},

@@ -394,6 +394,18 @@ SELECT p_partkey AS rule_no, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE concat('r
   concat('avoid ', p_name) AS message, CASE WHEN p_partkey % 23 = 0 THEN '' ELSE 'style' END AS category
 FROM {part}"""
 
+# User rules of several languages: with and without a text that every match contains.
+VIEWS["v_user_rules"] = """
+SELECT concat('user-', CAST(n_nationkey AS STRING)) AS id, n_name AS name, n_nationkey AS rule_no,
+  CASE n_nationkey % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'TSX' ELSE 'typescript' END AS language,
+  CASE n_nationkey % 9 WHEN 0 THEN concat('correct-horse-', CAST(n_nationkey * 11 AS STRING)) WHEN 1 THEN concat('correct-horse-[', CAST(n_nationkey % 10 AS STRING), ']{{2}}', CAST(n_regionkey % 10 AS STRING))
+    WHEN 2 THEN concat('absent_word_', CAST(n_nationkey AS STRING)) WHEN 3 THEN concat('(?i)CONST [a-z]+ = .*', CAST(n_nationkey AS STRING), '[^0-9]')
+    WHEN 4 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'TODO|FIXME' ELSE concat('secret_', CAST(n_nationkey AS STRING)) END
+    WHEN 5 THEN concat('horse-.?', CAST(n_nationkey % 1000 AS STRING), '[^0-9]') ELSE concat('horse-', CAST(n_nationkey AS STRING), '[^0-9]') END AS pattern,
+  CASE n_regionkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 'style' AS category,
+  concat('avoid ', n_name) AS message, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE concat('use ', n_name) END AS suggestion
+FROM {nation}"""
+
 VIEWS["v_config_docs"] = """
 SELECT c_custkey AS repo_id, concat('{{"thresholds":{{"complexity":', CAST(c_custkey % 130 AS STRING), '}},"aiTokenBudget":', CAST(c_custkey % 9 - 1 AS STRING),
   ',"tier":"', CASE c_custkey % 5 WHEN 0 THEN 'turbo' WHEN 1 THEN 'max' ELSE 'pro' END, '","profile":"',
