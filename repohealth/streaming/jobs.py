@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from repohealth.functions.scalars import count_if
 from repohealth.operators import history
@@ -31,20 +32,63 @@ def batch_progress(latest: DataFrame) -> DataFrame:
     )
 
 
-def batch_progress_stream(events: DataFrame) -> DataFrame:
-    """The same counters on a stream of module events; complete or update mode.
+PROGRESS_SCHEMA = "scan_id long, total long, completed long, failed long"
 
-    Repeated and late events do no harm: a scan's state is the set of its events, of which the newest of each module
-    counts. A scan has some dozens of modules with a few events each.
+
+class ScanCounters(StatefulProcessor):
+    """Per scan a map from module to its newest event; the counters after every micro-batch with news.
+
+    A repeated or older event changes nothing. A scan that has had no event for ``forget_ms`` of event time is dropped.
     """
-    seen = events.groupBy("scan_id").agg(F.collect_set(F.struct("module_id", "ts", "seq", "status")).alias("_e"))
-    order = lambda e: F.struct(e["ts"], e["seq"], e["status"])
-    newest = F.filter("_e", lambda e: ~F.exists("_e", lambda o: (o["module_id"] == e["module_id"]) & (order(o) > order(e))))
-    status = F.transform(newest, lambda e: e["status"])
-    return seen.select(
-        "scan_id", F.size(newest).cast("bigint").alias("total"),
-        F.size(F.filter(status, lambda s: s.isin("completed", "failed"))).cast("bigint").alias("completed"),
-        F.size(F.filter(status, lambda s: s == "failed")).cast("bigint").alias("failed"))
+
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.modules = handle.getMapState("modules", "module_id string", "ts long, seq long, status string")
+
+    def _last(self) -> int | None:
+        return max((v[0] for v in self.modules.values()), default=None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self._last()
+        newest: dict[str, tuple] = {}
+        for batch in rows:
+            for module, ts, seq, status in zip(batch["module_id"], micros(batch["ts"]), batch["seq"], batch["status"]):
+                newest[module] = max(newest.get(module, (ts, int(seq), status)), (ts, int(seq), status))
+        for module, event in newest.items():
+            if not self.modules.containsKey((module,)) or tuple(self.modules.getValue((module,))) < event:
+                self.modules.updateValue((module,), event)
+        last = self._last()
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + self.forget_ms)
+            self.handle.registerTimer(last // 1000 + self.forget_ms)
+        states = [v[2] for v in self.modules.values()]
+        yield pd.DataFrame({"scan_id": [int(key[0])], "total": [len(states)], "completed": [sum(x in ("completed", "failed") for x in states)], "failed": [states.count("failed")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.modules.clear()
+        yield pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in PROGRESS_SCHEMA.split(", ")})
+
+    def close(self) -> None:
+        pass
+
+
+def micros(times: pd.Series) -> list[int]:
+    """Microseconds since 1970 of timestamps."""
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+def batch_progress_stream(events: DataFrame, delay: str = "10 minutes", forget_ms: int = 86_400_000) -> DataFrame:
+    """The same counters on a stream of module events (scan_id, module_id, ts, seq, status), in update mode.
+
+    Events may come repeated, in any order within ``delay``, and in any micro-batch. State is one event a module, and
+    none once a scan has been silent for ``forget_ms`` of event time.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return timed.groupBy("scan_id").transformWithStateInPandas(ScanCounters(forget_ms), PROGRESS_SCHEMA, "Update", "EventTime")
 
 
 def assemble_chunks(chunks: DataFrame) -> DataFrame:
@@ -55,33 +99,56 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
 
 
 DELTA_SCHEMA = "repo_id long, snapshot_id long, overall double, delta double"
-STATE_SCHEMA = "overall double"
 
 
-def _deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Deltas of the snapshots of one repository in a micro-batch; the state is the last overall value."""
-    rows = pd.concat(list(batches)).sort_values(["ts", "snapshot_id"])
-    before = rows["overall"].shift(1)
-    if state.exists and len(rows):
-        before.iloc[0] = state.get[0]
-    change = rows["overall"] - before
-    delta = ((change * 10 + 0.5) // 1) / 10
-    if len(rows):
-        state.update((float(rows["overall"].iloc[-1]),))
-    yield pd.DataFrame({
-        "repo_id": rows["repo_id"], "snapshot_id": rows["snapshot_id"], "overall": rows["overall"], "delta": delta.fillna(0.0),
-    })
+class SnapshotDeltas(StatefulProcessor):
+    """Snapshots wait, ordered by time and id, until the watermark has passed them; then each gets its delta.
 
+    State is what waits and the last value that was given out.
+    """
 
-def snapshot_delta_stream(snapshots: DataFrame) -> DataFrame:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ts long, snapshot_id long", "overall double")
+        self.last = handle.getValueState("last", "overall double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for ts, number, overall in zip(micros(batch["ts"]), batch["snapshot_id"], batch["overall"]):
+                self.waiting.updateValue((ts, int(number)), (float(overall),))
+                self.handle.registerTimer(ts // 1000 + 1)
+        yield self._none()
+
+    @staticmethod
+    def _none() -> pd.DataFrame:
+        return pd.DataFrame({"repo_id": pd.Series(dtype="int64"), "snapshot_id": pd.Series(dtype="int64"), "overall": pd.Series(dtype="float64"), "delta": pd.Series(dtype="float64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(k for k in (tuple(k) for k in self.waiting.keys()) if k[0] // 1000 < until)
+        out = []
+        for place in due:
+            overall = self.waiting.getValue(place)[0]
+            before = self.last.get()[0] if self.last.exists() else overall
+            # halves go up, as in half_up
+            out.append((int(key[0]), place[1], overall, math.floor((overall - before) * 10 + 0.5) / 10))
+            self.last.update((overall,))
+            self.waiting.removeKey(place)
+        yield pd.DataFrame(out, columns=list(self._none().columns)) if out else self._none()
+
+    def close(self) -> None:
+        pass
+
+
+def snapshot_delta_stream(snapshots: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Change of every snapshot against the repository's previous one, on a stream.
 
-    Expects snapshots in time order across micro-batches, as an append-only file
-    gives them. State is one number per repository. A micro-batch of a repository
-    is as large as the trigger admits (maxFilesPerTrigger bounds it).
+    Snapshots may come repeated, in any order and in any micro-batch, up to ``delay`` behind the newest one; each is
+    given out once, when the watermark has passed it, with the delta that the whole history gives. Later ones are
+    dropped, as the watermark says. State is the snapshots within the delay and one number per repository.
     """
-    return snapshots.groupBy("repo_id").applyInPandasWithState(
-        _deltas, DELTA_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    timed = snapshots.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return timed.groupBy("repo_id").transformWithStateInPandas(SnapshotDeltas(), DELTA_SCHEMA, "Append", "EventTime")
 
 
 def incremental_reconcile(

@@ -91,12 +91,18 @@ def drain(writer, name, checkpoint):
 
 
 def test_snapshot_stream_equals_batch(spark, tmp_path, rows):
+    """Shuffled, repeated and late micro-batches give the deltas of the whole table."""
     rng = random.Random(1)
-    data = [(r, r * 100 + i, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), rng.randrange(1000) / 10, i // 4) for r in (1, 2) for i in range(12)]
-    df = spark.createDataFrame(data, "repo_id long, snapshot_id long, ts timestamp_ntz, overall double, part int")
-    out = jobs.snapshot_delta_stream(stream_of(spark, df, tmp_path / "in", 3))
+    start = dt.datetime(2024, 1, 1)
+    data = [(r, r * 100 + i, start + dt.timedelta(hours=i // 2), rng.randrange(1000) / 10) for r in (1, 2) for i in range(24)]
+    df = spark.createDataFrame(data, "repo_id long, snapshot_id long, ts timestamp_ntz, overall double")
+    shuffled = sorted(data, key=lambda x: (x[2] - start).total_seconds() / 3600 + rng.random() * 4)
+    sent = [(*x, k // 16) for k, x in enumerate(shuffled)]
+    sent += [(*x[:4], min(x[4] + 1, 2)) for x in rng.sample(sent, 8)] + [(3, 999, start + dt.timedelta(days=9), 1.0, 3)]
+    parts = spark.createDataFrame(sent, "repo_id long, snapshot_id long, ts timestamp_ntz, overall double, part int")
+    out = jobs.snapshot_delta_stream(stream_of(spark, parts, tmp_path / "in", 4), "12 hours")
     drain(out.writeStream.format("memory").outputMode("append"), "deltas", tmp_path / "ck")
-    want = H.snapshot_deltas(df.drop("part")).select("repo_id", "snapshot_id", "overall", "delta")
+    want = H.snapshot_deltas(df).select("repo_id", "snapshot_id", "overall", "delta")
     assert rows(spark.table("deltas")) == rows(want)
 
 
@@ -110,11 +116,17 @@ def test_progress_stream_equals_batch(spark, tmp_path, rows):
 
 
 def test_batch_counters_stream(spark, tmp_path):
-    data = [(1, "a", 1, 1, "running", 0), (1, "a", 2, 5, "completed", 0), (1, "b", 3, 9, "failed", 1), (1, "b", 2, 4, "running", 1), (1, "a", 2, 5, "completed", 1)]
-    df = spark.createDataFrame(data, "scan_id int, module_id string, ts int, seq int, status string, part int")
-    out = jobs.batch_progress_stream(stream_of(spark, df, tmp_path / "in", 2))
-    drain(out.writeStream.format("memory").outputMode("complete"), "counters", tmp_path / "ck")
-    assert [tuple(r) for r in spark.table("counters").collect()] == [(1, 2, 2, 1)]
+    """Old and repeated events change nothing; a scan that is silent for long leaves no state."""
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    data = [(1, "a", at(1), 1, "running", 0), (1, "a", at(2), 5, "completed", 0), (1, "b", at(3), 9, "failed", 1), (1, "b", at(2), 4, "running", 1), (1, "a", at(2), 5, "completed", 1),
+            (2, "a", dt.datetime(2024, 1, 3), 1, "running", 2), (2, "b", dt.datetime(2024, 1, 3), 1, "completed", 3), (1, "c", dt.datetime(2024, 1, 3), 1, "running", 4)]
+    df = spark.createDataFrame(data, "scan_id long, module_id string, ts timestamp_ntz, seq int, status string, part int")
+    out = jobs.batch_progress_stream(stream_of(spark, df, tmp_path / "in", 5), forget_ms=3_600_000)
+    drain(out.writeStream.format("memory").outputMode("update"), "counters", tmp_path / "ck")
+    got = [tuple(r) for r in spark.table("counters").collect()]
+    assert got[:2] == [(1, 1, 1, 0), (1, 2, 2, 1)]
+    # scan 1 has been forgotten when it comes back with a third module
+    assert sorted(got[2:]) == [(1, 1, 0, 0), (2, 1, 0, 0), (2, 2, 1, 0)]
 
 
 def test_incremental_reconcile_equals_batch(spark, tmp_path, rows):
