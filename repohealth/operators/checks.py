@@ -9,6 +9,7 @@ from repohealth.functions.paths import extension, present
 from repohealth.functions.scalars import clamp, count_if, exact_avg, half_up, matches, strict_json, strip, strip_json_comments
 from repohealth.functions.severity import soften
 from repohealth.operators import shape
+from repohealth.operators.ordered import top_per_key
 from repohealth.operators.scoring import PROFILE_ALIASES, PROFILE_WEIGHTS, maintainability
 from repohealth.operators.rules import decision_count
 from repohealth.sources.files import CODE_EXTENSIONS, line_count
@@ -149,13 +150,21 @@ def lib_presence(files: DataFrame, libs: tuple[str, ...]) -> DataFrame:
     return declared.unionByName(mentioned).distinct()
 
 
+SAMPLES = 5
+# Fixed value: files that answer requests.
+ROUTE_PATTERN = r"/route\.(ts|js|tsx|jsx)$|/(routes|api|controllers)/"
+
+
 def observability_facts(files: DataFrame) -> DataFrame:
-    """Signals per repository from one pass over its source files; samples are the first paths by name."""
+    """Signals per repository from its source files; console_sample has the first five paths with console output, by name.
+
+    API routes are route handlers of any script extension and all files below a routes, api or controllers folder.
+    """
     ext, path, content = extension(F.col("path")), F.col("path"), F.col("content")
     source = files.where(ext.isin(*CODE_EXTENSIONS))
     scriptish = ext.isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
     console = (scriptish & matches(content, CONSOLE_PATTERN)) | ((ext == ".py") & matches(content, PRINT_PATTERN))
-    route = path.startswith("app/api/") & F.rlike(path, F.lit(r"/route\.(ts|js)$"))
+    route = F.rlike(path, F.lit(ROUTE_PATTERN))
     flagged = source.select(
         "repo_id", "path", console.alias("console"),
         (F.rlike(path, F.lit(BOUNDARY_PATTERN)) | F.rlike(content, F.lit(BOUNDARY_PATTERN))).alias("boundary"),
@@ -166,13 +175,14 @@ def observability_facts(files: DataFrame) -> DataFrame:
         count_if(F.col("console")).alias("console_files"), F.bool_or("boundary").alias("error_boundary"),
         count_if(F.col("health")).alias("health_files"), count_if(F.col("route")).alias("api_routes"),
         count_if(F.col("unguarded")).alias("unguarded_routes"),
-        F.min(F.when(F.col("console"), F.col("path"))).alias("console_sample"),
     )
+    first = top_per_key(flagged.where("console").select("repo_id", "path"), ["repo_id"], [F.col("path")], SAMPLES)
+    samples = first.groupBy("repo_id").agg(F.array_join(F.sort_array(F.collect_list("path")), "|").alias("console_sample"))
     rooted = files.groupBy("repo_id").agg(
         F.bool_or(F.col("path").isin(*INSTRUMENTATION)).alias("instrumentation"),
         F.bool_or(present(F.col("path"), OBSERVED_CI)).alias("ci"),
     )
-    return rooted.join(signals, "repo_id", "left").na.fill({
+    return rooted.join(signals, "repo_id", "left").join(samples, "repo_id", "left").na.fill({
         "console_files": 0, "health_files": 0, "api_routes": 0, "unguarded_routes": 0, "error_boundary": False,
     })
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +28,35 @@ TEMPLATE_FAMILIES = {
 }
 
 
-def ignore_paths(findings: DataFrame, patterns: list[str]) -> DataFrame:
-    """Drop findings under an ignored prefix; rows without a path stay. A leading ** is a literal and never matches."""
+def ignore_paths(findings: DataFrame, patterns: list[str], mode: str = "prefix") -> DataFrame:
+    """Drop findings under an ignored pattern; rows without a path stay.
+
+    As a prefix, a trailing * or ** is left out and a leading ** is literal, so it never matches. As a glob, * stands for
+    any text inside a segment, ? for one character and ** for any depth; a pattern without a slash names a file or
+    folder anywhere, and what lies inside a matched folder is ignored too.
+    """
+    if mode not in ("prefix", "glob"):
+        raise ValueError(f"unknown mode {mode}")
     hit = F.lit(False)
     for pattern in patterns:
-        prefix = pattern[:-2] if pattern.endswith("**") else pattern[:-1] if pattern.endswith("*") else pattern
-        hit = hit | F.col("file_path").startswith(prefix)
+        if mode == "glob":
+            hit = hit | F.rlike("file_path", F.lit(ignore_regex(pattern)))
+        else:
+            prefix = pattern[:-2] if pattern.endswith("**") else pattern[:-1] if pattern.endswith("*") else pattern
+            hit = hit | F.col("file_path").startswith(prefix)
     return findings.where(~F.coalesce(hit, F.lit(False)))
 
 
+def ignore_regex(glob: str) -> str:
+    """Regular expression, for Java and RE2 alike, of the paths that an ignore glob covers."""
+    body = glob.strip("/")
+    anywhere = "/" not in body and not glob.startswith("/")
+    out = ""
+    for piece in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|[^*?]", body):
+        out += {"**/": "(?:[^/]+/)*", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(piece, re.escape(piece))
+    return ("^(?:.*/)?" if anywhere else "^") + out + "(?:/.*)?$"
+
+
 def query_findings(
     findings: DataFrame, severity: str | None = None, module: str | None = None, status: str | None = None,
     scan_id=None, limit: int = 50,

@@ -88,6 +88,14 @@ def _(t):
     return O.ignore_paths(t["v_rich_findings"], IGNORES).select("finding_id", "file_path")
 
 
+GLOBS = ["lib/**/*.ts", "components", "app/*/f1?.*", "/utils/**"]
+
+
+@query("ignore_glob", f"SELECT finding_id, file_path FROM v_rich_findings WHERE file_path IS NULL OR NOT ({' OR '.join(f'regexp_matches(file_path, {q(O.ignore_regex(g))})' for g in GLOBS)})")
+def _(t):
+    return O.ignore_paths(t["v_rich_findings"], GLOBS, "glob").select("finding_id", "file_path")
+
+
 @query("findings_query", f"""SELECT finding_id, scan_id, module_id, severity, message, (SELECT count(*) FROM v_rich_findings WHERE lower(severity) = 'high' AND module_id = 'security' AND status = 'regressed') AS total
 FROM v_rich_findings WHERE lower(severity) = 'high' AND module_id = 'security' AND status = 'regressed' ORDER BY {SEV_RANK}, finding_id, message LIMIT 50""")
 def _(t):

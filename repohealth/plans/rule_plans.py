@@ -367,10 +367,10 @@ def _(t):
 
 OBS_SQL = f"""sig AS (SELECT repo_id, path, regexp_matches(lower(path), '\\.(ts|tsx|js|jsx|mjs|cjs)$') AND regexp_matches(content, {q(checks.CONSOLE_PATTERN)}) OR path LIKE '%.py' AND regexp_matches(content, {q(checks.PRINT_PATTERN)}) AS con,
   regexp_matches(path, {q(checks.BOUNDARY_PATTERN)}) OR regexp_matches(content, {q(checks.BOUNDARY_PATTERN)}) AS bnd, regexp_matches(content, {q(checks.HEALTH_PATTERN)}) AS hea,
-  regexp_matches(path, '^app/api/.*/route\\.(ts|js)$') AS rou, regexp_matches(path, '^app/api/.*/route\\.(ts|js)$') AND NOT regexp_matches(content, {q(checks.TRY_PATTERN)}) AS ung
+  regexp_matches(path, {q(checks.ROUTE_PATTERN)}) AS rou, regexp_matches(path, {q(checks.ROUTE_PATTERN)}) AND NOT regexp_matches(content, {q(checks.TRY_PATTERN)}) AS ung
   FROM v_code_files WHERE regexp_matches(lower(path), '[^/]({'|'.join(e.replace('.', '[.]') for e in checks.CODE_EXTENSIONS)})$')),
 agg AS (SELECT repo_id, count(CASE WHEN con THEN 1 END) AS console_files, bool_or(bnd) AS error_boundary, count(CASE WHEN hea THEN 1 END) AS health_files, count(CASE WHEN rou THEN 1 END) AS api_routes,
-  count(CASE WHEN ung THEN 1 END) AS unguarded_routes, min(CASE WHEN con THEN path END) AS console_sample FROM sig GROUP BY repo_id),
+  count(CASE WHEN ung THEN 1 END) AS unguarded_routes, array_to_string((list_sort(list(CASE WHEN con THEN path END) FILTER (con)))[1:5], '|') AS console_sample FROM sig GROUP BY repo_id),
 roots AS (SELECT repo_id, bool_or(path IN ({', '.join(map(q, checks.INSTRUMENTATION))})) AS instrumentation, bool_or(path IN ({', '.join(map(q, checks.OBSERVED_CI))}) OR starts_with(path, '.github/workflows/')) AS ci FROM v_code_files GROUP BY repo_id),
 obs AS (SELECT r.repo_id, coalesce(console_files, 0) AS console_files, coalesce(error_boundary, false) AS error_boundary, coalesce(health_files, 0) AS health_files, coalesce(api_routes, 0) AS api_routes,
   coalesce(unguarded_routes, 0) AS unguarded_routes, console_sample, instrumentation, ci FROM roots r LEFT JOIN agg USING (repo_id))"""

@@ -65,3 +65,19 @@ def test_ignore_paths_quirk(spark):
     df = spark.createDataFrame([("lib/a",), ("src/lib/a",), (None,)], "file_path string")
     left = [r.file_path for r in O.ignore_paths(df, ["lib/**", "**/a"]).collect()]
     assert left == ["src/lib/a", None]
+
+
+def test_ignore_globs(spark):
+    import fnmatch
+
+    from repohealth.operators.findings import ignore_paths
+
+    paths = ["lib/a.ts", "lib/x/y/a.ts", "lib/x/a.tsx", "components/a.ts", "src/components/b.ts", "components", "app/q/f1.ts", "app/q/f12.ts", "app/q/r/f12.ts", "utils/a", "x/utils/a", "a+b/c.ts", "axb/c.ts", None]
+    df = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    kept = lambda *globs: {r.file_path for r in ignore_paths(df, list(globs), "glob").collect()}
+    gone = lambda *globs: set(paths) - kept(*globs)
+    assert gone("lib/**/*.ts") == {"lib/a.ts", "lib/x/y/a.ts"}
+    assert gone("components") == {"components/a.ts", "src/components/b.ts", "components"}
+    assert gone("app/*/f1?.*") == {"app/q/f12.ts"} and gone("/utils/**") == {"utils/a"} and gone("a+b/*") == {"a+b/c.ts"}
+    assert gone("*.tsx") == {p for p in paths if p and fnmatch.fnmatch(p, "*.tsx")}
+    assert kept("**") == {None}
