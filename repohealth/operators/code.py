@@ -9,6 +9,7 @@ from repohealth.functions.paths import dirname
 from repohealth.functions.scalars import strip
 from repohealth.functions.severity import lookup
 from repohealth.operators.ordered import first_per_key
+from repohealth.session import cut_lineage
 
 # Import forms whose first group is the specifier; the fourth is the dynamic one.
 IMPORT_PATTERNS = (
@@ -22,6 +23,16 @@ DYNAMIC_IMPORT = IMPORT_PATTERNS[3]
 NAMED_IMPORT = r"import\s+\{([^}]+)\}\s+from\s+['\x22]([^'\x22]+)['\x22]"
 EXPORT_NAME = r"export\s+(?:default\s+)?(?:function|class|const|let|var|type|interface|enum)\s+([A-Za-z0-9_]+)"
 EXPORT_LIST = r"export\s*\{([^}]+)\}"
+SPEC = r"['\x22]([^'\x22]+)['\x22]"
+NAMESPACE_IMPORT = r"import\s+\*\s+as\s+[A-Za-z0-9_$]+\s+from\s+" + SPEC
+DEFAULT_IMPORT = r"import\s+[A-Za-z0-9_$]+\s*(?:,\s*\{[^}]*\}\s*)?\s+from\s+" + SPEC
+MIXED_IMPORT = r"import\s+[A-Za-z0-9_$]+\s*,\s*\{([^}]+)\}\s*from\s+" + SPEC
+REQUIRE = IMPORT_PATTERNS[2]
+EXPORT_FROM = r"export\s*\{([^}]+)\}\s*from\s+" + SPEC
+EXPORT_ALL = r"export\s+\*\s+from\s+" + SPEC
+EXPORT_ALL_AS = r"export\s+\*\s+as\s+([A-Za-z0-9_$]+)\s+from\s+" + SPEC
+DEFAULT_EXPORT = r"export\s+default\s+(?:function|class)\s+([A-Za-z0-9_]+)"
+ALL, DEFAULT = "*", "default"
 # Extensions tried when an import names none.
 RESOLVE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs")
 # Roles that keep a file or an export from counting as unused.
@@ -132,11 +143,93 @@ def dead_files(files: DataFrame, edges: DataFrame) -> DataFrame:
     return candidates.join(edges.select("repo_id", F.col("dst").alias("path")).distinct(), ["repo_id", "path"], "left_anti")
 
 
-def dead_exports(exports: DataFrame, resolved: DataFrame, roles: DataFrame) -> DataFrame:
-    """Exported names no importer of the file names; ``roles`` is (repo_id, path, roles)."""
-    used = resolved.select("repo_id", F.col("target").alias("path"), F.explode("symbols").alias("symbol")).distinct()
-    left = exports.join(used, ["repo_id", "path", "symbol"], "left_anti").join(roles, ["repo_id", "path"], "left")
-    return left.where(~_has_role("roles", EXPORT_EXEMPT_ROLES)).drop("roles")
+def _zipped(content: Column, pattern: str) -> Column:
+    """(text, spec) of every match of a pattern with the two groups."""
+    return F.arrays_zip(_all(content, pattern, 1).alias("text"), _all(content, pattern, 2).alias("spec"))
+
+
+def _pairs(zipped: Column) -> Column:
+    """(spec, source, symbol) of every name of a comma list: what it is called at the source and where it is listed."""
+    def of(z: Column) -> Column:
+        parts = F.filter(F.transform(F.split(z["text"], ","), strip), lambda n: n != "")
+        return F.transform(parts, lambda n: F.struct(
+            z["spec"].alias("spec"), strip(F.get(F.split(n, r"\s+as\s+"), F.lit(0))).alias("source"), strip(F.element_at(F.split(n, r"\s+as\s+"), -1)).alias("symbol")))
+
+    return F.flatten(F.transform(zipped, of))
+
+
+def _specs(content: Column, pattern: str, source: str, symbol: str) -> Column:
+    return F.transform(_all(content, pattern), lambda s: F.struct(s.alias("spec"), F.lit(source).alias("source"), F.lit(symbol).alias("symbol")))
+
+
+def import_uses(files: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Distinct (repo_id, path, symbol) that imports name: '*' for namespaces, require and dynamic imports, 'default' for defaults."""
+    content = F.col("content")
+    named = [_pairs(_zipped(content, p)) for p in (NAMED_IMPORT, MIXED_IMPORT)]
+    whole = [_specs(content, p, ALL, ALL) for p in (NAMESPACE_IMPORT, REQUIRE, DYNAMIC_IMPORT)]
+    uses = files.select("repo_id", "path", F.explode(F.concat(*named, *whole, _specs(content, DEFAULT_IMPORT, DEFAULT, DEFAULT))).alias("u"))
+    return uses.select("repo_id", "path", F.col("u.spec").alias("specifier"), F.col("u.source").alias("symbol")).join(
+        resolved.select("repo_id", "path", "specifier", "target"), ["repo_id", "path", "specifier"]).select(
+        "repo_id", F.col("target").alias("path"), "symbol").distinct()
+
+
+def reexports(files: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(repo_id, path, symbol, target, source): a use of the symbol of the file is one of the source in the target.
+
+    '*' as symbol passes every use on under its own name; '*' as source uses all of the target.
+    """
+    content = F.col("content")
+    spaces = F.transform(_zipped(content, EXPORT_ALL_AS), lambda z: F.struct(z["spec"].alias("spec"), F.lit(ALL).alias("source"), z["text"].alias("symbol")))
+    rows = files.select("repo_id", "path", F.explode(F.concat(_pairs(_zipped(content, EXPORT_FROM)), spaces, _specs(content, EXPORT_ALL, ALL, ALL))).alias("u"))
+    return rows.select("repo_id", "path", F.col("u.spec").alias("specifier"), F.col("u.symbol").alias("symbol"), F.col("u.source").alias("source")).join(
+        resolved.select("repo_id", "path", "specifier", "target"), ["repo_id", "path", "specifier"]).select(
+        "repo_id", "path", "symbol", "target", "source").distinct()
+
+
+def live_symbols(uses: DataFrame, passed: DataFrame) -> DataFrame:
+    """Uses and all that follow from them through re-exports: a least fixpoint, one round for each barrel in a row.
+
+    Only what the last round found is followed further; a default is not passed on by '*'.
+    """
+    keys = ["repo_id", "path", "symbol"]
+    passed = cut_lineage(passed.select("repo_id", "path", F.col("symbol").alias("_as"), "target", "source"))
+    fresh = cut_lineage(uses.select(*keys).distinct())
+    parts = []
+    while not fresh.isEmpty():
+        parts.append(fresh)
+        known = parts[0]
+        for part in parts[1:]:
+            known = known.union(part)
+        on = (F.col("_as") == F.col("symbol")) | (F.col("symbol") == ALL) | ((F.col("_as") == ALL) & (F.col("symbol") != DEFAULT))
+        star = (F.col("_as") == ALL) & (F.col("symbol") != ALL)
+        found = fresh.join(passed, ["repo_id", "path"]).where(on).select(
+            "repo_id", F.col("target").alias("path"), F.when(star, F.col("symbol")).otherwise(F.col("source")).alias("symbol")).distinct()
+        fresh = cut_lineage(found.join(known, keys, "left_anti"))
+    if not parts:
+        return fresh
+    live = parts[0]
+    for part in parts[1:]:
+        live = live.union(part)
+    return live
+
+
+def dead_exports(files: DataFrame, resolved: DataFrame, roles: DataFrame) -> DataFrame:
+    """Exported names that nothing uses, also not as default, as part of a namespace or through re-exports.
+
+    ``files`` has the contents, ``roles`` is (repo_id, path, roles).
+    """
+    keys = ["repo_id", "path", "symbol"]
+    live = cut_lineage(live_symbols(import_uses(files, resolved), reexports(files, resolved)))
+    defaults = files.select("repo_id", "path", F.explode(_all(F.col("content"), DEFAULT_EXPORT)).alias("symbol"))
+    by_default = defaults.join(live.where(F.col("symbol") == DEFAULT).select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    whole = live.where(F.col("symbol") == ALL).select("repo_id", "path")
+    # a list may export a name under another one, which is what importers use
+    lists = F.transform(_all(F.col("content"), EXPORT_LIST), lambda x: F.struct(x.alias("text"), F.lit("").alias("spec")))
+    renamed = files.select("repo_id", "path", F.explode(_pairs(lists)).alias("p")).where("p.source <> p.symbol").select("repo_id", "path", "p.symbol", "p.source")
+    by_alias = renamed.join(live, keys).select("repo_id", "path", F.col("source").alias("symbol"))
+    live = live.union(by_alias)
+    left = extract_exports(files).join(live.union(by_default.select(*keys)), keys, "left_anti").join(whole, ["repo_id", "path"], "left_anti")
+    return left.join(roles, ["repo_id", "path"], "left").where(~_has_role("roles", EXPORT_EXEMPT_ROLES)).drop("roles")
 
 
 def dead_deps(deps: DataFrame, files: DataFrame) -> DataFrame:

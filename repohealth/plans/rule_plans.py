@@ -333,12 +333,38 @@ BARREL_SQL = f"""(regexp_matches(path, '(^|/)index\\.tsx?$') AND len(list_filter
   AND len(list_filter(string_split(content, chr(10)), lambda s: NOT regexp_matches(trim(s), {q(shape.IGNORABLE)}) AND NOT regexp_matches(trim(s), {q(shape.REEXPORT)}))) = 0)"""
 
 
-@query("dead_exports", f"""WITH {RESOLVED_SQL}, {EXPORTS_SQL}, used AS (SELECT DISTINCT repo_id, target AS path, unnest(symbols) AS symbol FROM res),
-ok AS (SELECT repo_id, path FROM v_code_files WHERE {SCRIPT} AND NOT (starts_with(path, 'components/ui/') OR starts_with(path, 'lib/ai/providers/') OR regexp_matches(content, '^// @role [^\\n]*public-api') OR {BARREL_SQL}))
-SELECT e.repo_id, e.path, e.symbol FROM exp e JOIN ok USING (repo_id, path) WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.repo_id = e.repo_id AND u.path = e.path AND u.symbol = e.symbol)""")
+def _listed_sql(pattern: str) -> str:
+    """(spec, source, symbol) of the comma lists that a pattern finds."""
+    names = "list_filter(list_transform(string_split(z[1], ','), lambda n: trim(n)), lambda n: n <> '')"
+    item = "{'spec': z[2], 'source': trim(string_split_regex(n, '\\s+as\\s+')[1]), 'symbol': trim(string_split_regex(n, '\\s+as\\s+')[-1])}"
+    return f"flatten(list_transform(list_zip(regexp_extract_all(content, {q(pattern)}, 1), regexp_extract_all(content, {q(pattern)}, 2)), lambda z: list_transform({names}, lambda n: {item})))"
+
+
+def _spec_sql(pattern: str, name: str) -> str:
+    return f"list_transform(regexp_extract_all(content, {q(pattern)}, 1), lambda x: {{'spec': x, 'source': '{name}', 'symbol': '{name}'}})"
+
+
+_AS_SQL = f"list_transform(list_zip(regexp_extract_all(content, {q(code.EXPORT_ALL_AS)}, 1), regexp_extract_all(content, {q(code.EXPORT_ALL_AS)}, 2)), lambda z: {{'spec': z[2], 'source': '*', 'symbol': z[1]}})"
+_LIST_SQL = _listed_sql(code.EXPORT_LIST).replace(f"regexp_extract_all(content, {q(code.EXPORT_LIST)}, 2)", f"regexp_extract_all(content, {q(code.EXPORT_LIST)}, 1)")
+LIVE_SQL = f"""scr AS (SELECT repo_id, path, content FROM v_code_files WHERE {SCRIPT}),
+us AS (SELECT repo_id, path, unnest(flatten([{', '.join([*map(_listed_sql, (code.NAMED_IMPORT, code.MIXED_IMPORT)), *(_spec_sql(p, '*') for p in (code.NAMESPACE_IMPORT, code.REQUIRE, code.DYNAMIC_IMPORT)), _spec_sql(code.DEFAULT_IMPORT, 'default')])}])) AS u FROM scr),
+rx AS (SELECT repo_id, path, unnest(flatten([{', '.join([_listed_sql(code.EXPORT_FROM), _AS_SQL, _spec_sql(code.EXPORT_ALL, '*')])}])) AS u FROM scr),
+pas AS (SELECT DISTINCT rx.repo_id, rx.path, u.symbol AS sym, res.target, u.source AS source FROM rx JOIN res ON res.repo_id = rx.repo_id AND res.path = rx.path AND res.specifier = u.spec),
+live AS (SELECT DISTINCT us.repo_id, res.target AS path, u.source AS symbol FROM us JOIN res ON res.repo_id = us.repo_id AND res.path = us.path AND res.specifier = u.spec
+  UNION SELECT live.repo_id, pas.target, CASE WHEN pas.sym = '*' AND live.symbol <> '*' THEN live.symbol ELSE pas.source END FROM live JOIN pas ON pas.repo_id = live.repo_id AND pas.path = live.path
+    AND (pas.sym = live.symbol OR live.symbol = '*' OR (pas.sym = '*' AND live.symbol <> 'default'))),
+dflt AS (SELECT repo_id, path, unnest(regexp_extract_all(content, {q(code.DEFAULT_EXPORT)}, 1)) AS symbol FROM scr),
+als AS (SELECT repo_id, path, u.source AS source, u.symbol AS symbol FROM (SELECT repo_id, path, unnest({_LIST_SQL}) AS u FROM scr) x WHERE u.source <> u.symbol),
+dead_exp AS (SELECT e.repo_id, e.path, e.symbol FROM exp e JOIN (SELECT repo_id, path FROM v_code_files WHERE {SCRIPT} AND NOT (starts_with(path, 'components/ui/') OR starts_with(path, 'lib/ai/providers/') OR regexp_matches(content, '^// @role [^\\n]*public-api') OR {BARREL_SQL})) ok USING (repo_id, path)
+  WHERE NOT EXISTS (SELECT 1 FROM live u WHERE u.repo_id = e.repo_id AND u.path = e.path AND u.symbol IN (e.symbol, '*'))
+    AND NOT EXISTS (SELECT 1 FROM live u JOIN dflt d ON d.repo_id = u.repo_id AND d.path = u.path WHERE u.symbol = 'default' AND d.repo_id = e.repo_id AND d.path = e.path AND d.symbol = e.symbol)
+    AND NOT EXISTS (SELECT 1 FROM live u JOIN als s ON s.repo_id = u.repo_id AND s.path = u.path AND s.symbol = u.symbol WHERE s.repo_id = e.repo_id AND s.path = e.path AND s.source = e.symbol))"""
+
+
+@query("dead_exports", f"""WITH RECURSIVE {RESOLVED_SQL}, {EXPORTS_SQL}, {LIVE_SQL} SELECT * FROM dead_exp""")
 def _(t):
     scripts = t["v_code_files"].where(F.rlike("path", F.lit(r"\.(ts|tsx|js|jsx)$")))
-    return code.dead_exports(code.extract_exports(scripts), _resolved(t), shape.file_roles(scripts)).select("repo_id", "path", "symbol")
+    return code.dead_exports(scripts, _resolved(t), shape.file_roles(scripts)).select("repo_id", "path", "symbol")
 
 
 PKG = "pkg AS (SELECT repo_id, CAST(content AS JSON) AS j FROM v_code_files WHERE path = 'package.json' AND json_valid(content))"

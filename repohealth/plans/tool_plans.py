@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from repohealth.functions.scalars import count_if, semver
 from repohealth.operators import deps as DP
 from repohealth.operators import scoring
-from repohealth.operators.code import dead_deps, dead_exports, dead_files, extract_exports, import_edges
+from repohealth.operators.code import dead_deps, dead_exports, dead_files, import_edges
 from repohealth.operators.shape import file_roles, manifest_deps, manifests
 from repohealth.plans.registry import REGISTRY, query
 from repohealth.plans.rule_plans import _resolved
@@ -228,7 +228,7 @@ def _(t):
         return rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias(name))
 
     files = count(dead_files(roles, import_edges(resolved)), "files")
-    exports = count(dead_exports(extract_exports(scripts), resolved, roles), "_e")
+    exports = count(dead_exports(scripts, resolved, roles), "_e")
     deps = count(dead_deps(manifest_deps(manifests(t["v_code_files"])).select("repo_id", "name"), t["v_code_files"]), "_d")
     out = files.join(exports, "repo_id", "left").join(deps, "repo_id", "left")
     e, d = F.coalesce("_e", F.lit(0)), F.coalesce("_d", F.lit(0))
