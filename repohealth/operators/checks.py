@@ -261,6 +261,10 @@ def probe_metrics(probes: DataFrame) -> DataFrame:
 CONFIG_TIERS = ("pro", "max", "max-x20", "api")
 
 
+# The commands a configuration may override.
+CONFIG_COMMANDS = ("build", "lint", "typecheck", "test", "ci")
+
+
 def validate_config(docs: DataFrame) -> DataFrame:
     """One row per violation in a configuration document; a document that does not parse is one violation."""
     doc = strict_json(F.col("doc"))
@@ -269,10 +273,31 @@ def validate_config(docs: DataFrame) -> DataFrame:
     tier = F.try_variant_get(doc, "$.tier", "string")
     budget = F.try_variant_get(doc, "$.aiTokenBudget", "double")
     limits = F.map_values(F.from_json("doc", "thresholds map<string,double>")["thresholds"])
-    # Texts keep their quotes in the JSON of the variant; anything else but null is not a command.
-    commands = F.from_json(F.to_json(F.try_variant_get(doc, "$.commands", "variant")), "map<string,variant>")
-    kinds = F.transform(F.map_values(commands), lambda v: F.schema_of_variant(v))
-    bad_command = F.exists(kinds, lambda k: ~k.isin("STRING", "VOID"))
+
+    def part(name: str) -> Column:
+        return F.try_variant_get(doc, f"$.{name}", "variant")
+
+    def entries(name: str) -> Column:
+        """Key and value of an object, as variants; null for anything else."""
+        return F.from_json(F.to_json(part(name)), "map<string,variant>")
+
+    def kind(value: Column) -> Column:
+        return F.schema_of_variant(value)
+
+    def is_object(name: str) -> Column:
+        return kind(part(name)).startswith("OBJECT<")
+
+    def texts(value: Column) -> Column:
+        """Whether a variant is a list of texts."""
+        items = F.from_json(F.to_json(value), "array<variant>")
+        return kind(value).startswith("ARRAY<") & ~F.coalesce(F.exists(items, lambda v: kind(v) != "STRING"), no)
+
+    def odd(name: str, fits) -> Column:
+        """A part that is there and is no object, or has a value that does not fit."""
+        return ~is_object(name) | F.exists(F.map_values(entries(name)), lambda v: ~fits(v))
+
+    commands = F.map_filter(entries("commands"), lambda k, _: k.isin(*CONFIG_COMMANDS))
+    bad_command = ~is_object("commands") | F.exists(F.map_values(commands), lambda v: ~kind(v).isin("STRING", "VOID"))
     known = tuple(PROFILE_WEIGHTS) + tuple(PROFILE_ALIASES)
 
     def hit(cond: Column, message: str) -> Column:
@@ -285,6 +310,10 @@ def validate_config(docs: DataFrame) -> DataFrame:
         hit(~tier.isin(*CONFIG_TIERS), "unknown tier"),
         hit(~profile.isin(*known), "unknown profile"),
         hit(bad_command, "command is neither text nor null"),
+        hit(odd("modules", lambda v: kind(v) == "BOOLEAN"), "module switch is not a boolean"),
+        hit(~texts(part("ignore")), "ignore is not a list of texts"),
+        hit(odd("auditPrompts", lambda v: kind(v) == "STRING"), "prompt is not a text"),
+        hit(odd("classify", lambda v: (kind(v) == "STRING") | texts(v)), "role is neither text nor a list of texts"),
     ))
     return docs.select("repo_id", F.explode(found).alias("violation"))
 

@@ -426,12 +426,17 @@ def _(t):
 
 @query("validate_config", """WITH d AS (SELECT repo_id, CAST(doc AS JSON) AS j FROM v_config_docs WHERE json_valid(doc)),
 k AS (SELECT repo_id, j, json_extract_string(j, '$.profile') AS profile, json_extract_string(j, '$.tier') AS tier, CAST(json_extract_string(j, '$.aiTokenBudget') AS DOUBLE) AS budget,
-  CAST(json_extract_string(j, '$.thresholds.complexity') AS DOUBLE) AS lim, json_type(j, '$.commands.test') AS kind FROM d)
+  CAST(json_extract_string(j, '$.thresholds.complexity') AS DOUBLE) AS lim, json_type(j, '$.commands.test') AS kind, json_type(j, '$.commands.ci') AS ci, json_type(j, '$.modules.security') AS module,
+  json_type(j, '$.ignore') AS ign, json_extract(j, '$.ignore[*]') AS igns, json_type(j, '$.classify."lib/x"') AS cls, json_extract(j, '$.classify."lib/x"[*]') AS clss, json_type(j, '$.auditPrompts') AS pr, json_type(j, '$.auditPrompts.a') AS pra FROM d)
 SELECT repo_id, 'invalid JSON' AS violation FROM v_config_docs WHERE NOT json_valid(doc)
 UNION ALL SELECT repo_id, 'threshold outside 0..100' FROM k WHERE lim < 0 OR lim > 100
 UNION ALL SELECT repo_id, 'budget not a positive integer' FROM k WHERE budget <= 0 OR budget <> floor(budget)
 UNION ALL SELECT repo_id, 'unknown tier' FROM k WHERE tier NOT IN ('pro', 'max', 'max-x20', 'api')
 UNION ALL SELECT repo_id, 'unknown profile' FROM k WHERE profile NOT IN ('web-app', 'api-service', 'library', 'cli', 'agent-tooling', 'prototype', 'compliance-sensitive', 'solo', 'team', 'enterprise')
-UNION ALL SELECT repo_id, 'command is neither text nor null' FROM k WHERE kind NOT IN ('VARCHAR', 'NULL')""")
+UNION ALL SELECT repo_id, 'command is neither text nor null' FROM k WHERE kind NOT IN ('VARCHAR', 'NULL') OR ci NOT IN ('VARCHAR', 'NULL')
+UNION ALL SELECT repo_id, 'module switch is not a boolean' FROM k WHERE module <> 'BOOLEAN'
+UNION ALL SELECT repo_id, 'ignore is not a list of texts' FROM k WHERE ign <> 'ARRAY' OR len(list_filter(igns, lambda x: json_type(x) <> 'VARCHAR')) > 0
+UNION ALL SELECT repo_id, 'prompt is not a text' FROM k WHERE pr <> 'OBJECT' OR pra <> 'VARCHAR'
+UNION ALL SELECT repo_id, 'role is neither text nor a list of texts' FROM k WHERE cls NOT IN ('VARCHAR', 'ARRAY') OR len(list_filter(clss, lambda x: json_type(x) <> 'VARCHAR')) > 0""")
 def _(t):
     return checks.validate_config(t["v_config_docs"])

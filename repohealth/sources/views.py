@@ -410,7 +410,10 @@ VIEWS["v_config_docs"] = """
 SELECT c_custkey AS repo_id, concat('{{"thresholds":{{"complexity":', CAST(c_custkey % 130 AS STRING), '}},"aiTokenBudget":', CAST(c_custkey % 9 - 1 AS STRING),
   ',"tier":"', CASE c_custkey % 5 WHEN 0 THEN 'turbo' WHEN 1 THEN 'max' ELSE 'pro' END, '","profile":"',
   CASE c_custkey % 6 WHEN 0 THEN 'solo' WHEN 1 THEN 'library' WHEN 2 THEN 'unknown' WHEN 3 THEN 'team' WHEN 4 THEN 'enterprise' ELSE 'cli' END,
-  '","commands":{{"test":', CASE c_custkey % 4 WHEN 0 THEN '42' WHEN 1 THEN 'null' ELSE '"npm test"' END, '}}}}') AS doc
+  '","commands":{{"test":', CASE c_custkey % 4 WHEN 0 THEN '42' WHEN 1 THEN 'null' ELSE '"npm test"' END, CASE c_custkey % 8 WHEN 0 THEN ',"ci":true' WHEN 1 THEN ',"deploy":5' ELSE ',"ci":null' END,
+  '}},"modules":{{"security":', CASE c_custkey % 7 WHEN 0 THEN '"yes"' ELSE 'true' END, '}},"ignore":', CASE c_custkey % 11 WHEN 0 THEN '"dist"' WHEN 1 THEN '["a",1]' WHEN 2 THEN '[]' ELSE '["dist/**"]' END,
+  ',"classify":{{"lib/x":', CASE c_custkey % 13 WHEN 0 THEN '5' WHEN 1 THEN '["ui-kit",null]' WHEN 2 THEN '["ui-kit"]' ELSE '"ui-kit"' END,
+  '}},"auditPrompts":', CASE c_custkey % 10 WHEN 0 THEN '{{"a":false}}' WHEN 1 THEN 'null' ELSE '{{"a":"b"}}' END, '}}') AS doc
 FROM {customer}"""
 
 VIEWS["v_reviews"] = """

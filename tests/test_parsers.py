@@ -82,10 +82,14 @@ def test_strict_flags(spark):
 
 
 def test_config_documents(spark):
-    docs = [(1, '{"commands":{"typecheck":null,"test":"npm t"}}'), (2, '{"commands":{"test":42}}'), (3, "{"), (4, '{"aiTokenBudget":0.5,"tier":"gold"}')]
+    docs = [(1, '{"commands":{"typecheck":null,"test":"npm t"}}'), (2, '{"commands":{"test":42}}'), (3, "{"), (4, '{"aiTokenBudget":0.5,"tier":"gold"}'),
+            (5, '{"modules":{"a":1},"ignore":["x",null],"classify":{"p":["r",2]},"auditPrompts":["t"]}'), (6, '{"modules":null,"ignore":"x","commands":[]}'),
+            (7, '{"modules":{"a":true},"ignore":[],"classify":{"p":"r","q":["s"]},"auditPrompts":{"m":"t"},"commands":{"ci":null,"other":1}}')]
     df = spark.createDataFrame(docs, "repo_id int, doc string")
     got = sorted((r.repo_id, r.violation) for r in validate_config(df).collect())
-    assert got == [(2, "command is neither text nor null"), (3, "invalid JSON"), (4, "budget not a positive integer"), (4, "unknown tier")]
+    assert got == [(2, "command is neither text nor null"), (3, "invalid JSON"), (4, "budget not a positive integer"), (4, "unknown tier"),
+                   (5, "ignore is not a list of texts"), (5, "module switch is not a boolean"), (5, "prompt is not a text"), (5, "role is neither text nor a list of texts"),
+                   (6, "command is neither text nor null"), (6, "ignore is not a list of texts"), (6, "module switch is not a boolean")]
 
 
 def test_repo_refs(spark):
