@@ -19,7 +19,7 @@ from repohealth.llm.common import cut, ship, slices, text_buffer
 
 SEQUENCE = 4096
 END_ID = 2
-KNOWN_WORDS = 500_000  # words whose ids a Python worker remembers; a full memory is emptied, results do not change
+KNOWN_WORDS = 150_000  # words whose ids a Python worker remembers; a full memory is emptied, results do not change
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
