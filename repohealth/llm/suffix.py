@@ -2,10 +2,12 @@
 
 Every window of LENGTH bytes belongs to its anchor: the least hash among its strings of GRAM bytes, the leftmost of
 equals. The anchor depends on the window's bytes alone, so equal windows have equal anchors at the same place, and the
-suffixes to be sorted fall into independent groups, one for each anchor hash. A window whose anchor occurs once in all
-documents is unique; only the neighbourhoods of repeated anchors are sorted.
+suffixes to be sorted fall into independent groups. A window has 76 bytes besides its anchor, so at least SIDE of them
+follow the anchor or more than SIDE come before it; the anchor with these bytes is the window's key, which equal windows
+share. A window whose key occurs once in all documents is unique; only the neighbourhoods of repeated keys are sorted,
+one group for each key.
 
-Inside a task the neighbourhoods of an anchor are aligned on it and the order of their suffixes is built from the right:
+Inside a task the neighbourhoods of a key are aligned on their anchor and the order of their suffixes is built from the right:
 each round inserts one symbol for every neighbourhood, a stable sort by that symbol turns the last order into the next
 (the symbols in the last order are this round's column of the collection's Burrows-Wheeler transform), and the common
 prefix lengths of neighbours follow from range minima of the last ones. Neighbours with a common prefix of LENGTH are
@@ -22,15 +24,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repohealth.llm.common import _BYTE, cut, drop, find, fresh, mix, row_of, ship, signed, slices, text_buffer
+from repohealth.llm.common import _BYTE, cut, drop, fresh, mix, row_of, ship, signed, slices, text_buffer
 from repohealth.llm.jaccard import SLICE, _shared_bitmap, in_bitmap
 
 LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # anchors that a window can choose from
+SIDE = (LENGTH - GRAM) // 2  # bytes beside an anchor that enter a key
 COLUMNS = SPAN - 1 + LENGTH
-HOT = 20_000  # occurrences of an anchor above which its windows are dealt out one by one ...
-HOT_BITS = 20  # ... but at most 2 ** HOT_BITS anchors: with more input the number grows
+HOT = 20_000  # occurrences of a key above which its windows are dealt out one by one
 CHUNK = 16_384
 
 
@@ -70,8 +72,35 @@ def anchors(raw: np.ndarray, offsets: np.ndarray):
     return row[at], grams[at], at, starts[first], starts[last]
 
 
+def keyed(raw: np.ndarray, offsets: np.ndarray):
+    """(row, key, place of the anchor, first start, last start) of all runs of windows with one key, by first start.
+
+    Windows with more than SIDE bytes before the anchor have the key of SIDE bytes and the anchor, the others that of the
+    anchor and the SIDE bytes after it.
+    """
+    row, _, at, first, last = anchors(raw, offsets)
+    if not len(at):
+        return row, np.empty(0, np.uint64), at, first, last
+    grams = gram_hashes(raw)
+    left, right = np.flatnonzero(at - first > SIDE), np.flatnonzero(at - last <= SIDE)
+
+    def key(where, a, b, salt):
+        p = at[where]
+        x = mix(grams[p] * np.uint64(0x9E3779B97F4A7C15) + grams[p + a])
+        return mix(x * np.uint64(0xD6E8FEB86659FD93) + grams[p + b] + np.uint64(salt))
+
+    # two strings of GRAM bytes cover the SIDE bytes
+    keys = np.concatenate([key(left, -SIDE, -GRAM, 1), key(right, GRAM, SIDE, 2)])
+    of = np.concatenate([left, right])
+    begin = np.concatenate([first[left], np.maximum(first[right], at[right] - SIDE)])
+    stop = np.concatenate([np.minimum(last[left], at[left] - SIDE - 1), last[right]])
+    order = np.argsort(begin, kind="stable")
+    of, keys, begin, stop = of[order], keys[order], begin[order], stop[order]
+    return row[of], keys, at[of], begin, stop
+
+
 def _counts(batches, ranges: int):
-    """Anchor hashes of a task by range of the hash, with up to two different occurrences and their number."""
+    """Keys of a task by range, with up to two different occurrences and their number."""
     import pyarrow as pa
 
     def flush(parts):
@@ -94,7 +123,7 @@ def _counts(batches, ranges: int):
         fresh = [k for k, t in enumerate(ids) if not (t in seen or seen.add(t))]
         batch = batch.take(pa.array(fresh, pa.int64())) if len(fresh) < len(ids) else batch
         raw, offsets = text_buffer(batch.column("text"))
-        row, hashes, at, _, _ = anchors(raw, offsets)
+        row, hashes, at, _, _ = keyed(raw, offsets)
         tid = batch.column("tid").to_numpy(zero_copy_only=False).view(np.uint64)
         parts.append((hashes, mix(tid[row] ^ mix((at - offsets[row]).astype(np.uint64)))))
         size += len(hashes)
@@ -108,7 +137,7 @@ def _counts(batches, ranges: int):
 
 
 def _repeated(batches):
-    """Anchor hashes of a range that occur at two places or more, and how often."""
+    """Keys of a range that occur at two places or more, and how often."""
     import pyarrow as pa
 
     held: dict[int, list] = {}
@@ -130,14 +159,13 @@ STRINGS = "hash long, doc long, tid long, place long, first long, string binary,
 
 
 def _strings(batches, repeated, hot):
-    """Neighbourhoods of repeated anchors; one that an earlier document of the task has wholly is an interval already.
+    """Neighbourhoods of repeated keys; one that an earlier document of the task has wholly is an interval already.
 
     A row with a string is to be sorted; a row without one says that bytes first to stop are repeated in the document doc.
     It holds for the text only if doc is the first document with that text: copies in other tasks may come earlier.
     """
     import pyarrow as pa
 
-    often = hot.value
     names = [x.split()[0] for x in STRINGS.split(", ")]
     best: dict[int, int] = {}
     known: dict[tuple[int, bytes], tuple[int, int]] = {}
@@ -145,9 +173,9 @@ def _strings(batches, repeated, hot):
         docs, ids = batch.column("doc").to_pylist(), batch.column("tid").to_pylist()
         raw, offsets = text_buffer(batch.column("text"))
         data = raw.tobytes()
-        row, hashes, at, lo, hi = anchors(raw, offsets)
+        row, hashes, at, lo, hi = keyed(raw, offsets)
         use = np.flatnonzero(in_bitmap(repeated.value, hashes))
-        single = find(often, hashes[use]) >= 0
+        single = in_bitmap(hot.value, hashes[use]) if hot is not None else np.zeros(len(use), bool)
         fresh = []
         for d, t in zip(docs, ids, strict=True):  # of copies the first that a task sees, and any that comes before it
             ok = t not in best or d < best[t]
@@ -287,11 +315,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = docs.select("tid", "text").mapInArrow(lambda b: _counts(b, ranges), "part int, hashes binary, keys binary, counts binary")
-    repeated = cut(counts.repartition("part").mapInArrow(_repeated, "hash long, n long"), "suffix-anchors")
-    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = [r.hash & (1 << 64) - 1 for r in repeated.where(F.col("n") > max(HOT, total >> HOT_BITS)).collect()]  # at most 2 ** HOT_BITS
+    repeated = cut(counts.repartition("part").mapInArrow(_repeated, "hash long, n long"), "suffix-keys")
     shared = spark.sparkContext.broadcast(_shared_bitmap(repeated, "hash"))
-    often = spark.sparkContext.broadcast(np.array(sorted(hot), np.uint64))
+    # a bitmap treats equal windows alike, so keys that it takes for hot by chance are dealt out rightly too
+    many = repeated.where(F.col("n") > HOT)
+    often = None if many.isEmpty() else spark.sparkContext.broadcast(_shared_bitmap(many, "hash"))
     strings = cut(docs.select("doc", "tid", "text").mapInArrow(lambda b: _strings(b, shared, often), STRINGS), "suffix-strings")
     to_sort = strings.where("string IS NOT NULL").select("hash", "doc", "tid", "place", "first", "string")
     sorted_ = to_sort.repartition("hash").sortWithinPartitions("hash").mapInArrow(_intervals, "tid long, begin long, stop long")

@@ -83,7 +83,7 @@ def test_copies_of_a_text_with_a_passage_in_several_partitions(spark):
     assert [x.doc_id for x in got if passage in x["__text"]] == [5]
 
 
-def test_windows_of_a_hot_anchor_dealt_out_one_by_one():
+def test_windows_of_a_hot_key_dealt_out_one_by_one():
     import pyarrow as pa
 
 
@@ -95,12 +95,10 @@ def test_windows_of_a_hot_anchor_dealt_out_one_by_one():
     passage = bytes(r.choices(b"abcdefgh ", k=300))
     texts = [bytes(r.choices(b"abcdefgh ", k=150)) + passage + bytes(r.choices(b"abcdefgh ", k=150)) for _ in range(12)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(range(100, 112)), pa.array([t.decode() for t in texts])], names=["doc", "tid", "text"])
-    raw, offsets = suffix.text_buffer(batch.column("text"))
-    hashes = np.unique(suffix.anchors(raw, offsets)[1])
     every = Shared(np.full(1 << jaccard.BITMAP_BITS - 6, ~np.uint64(0)))
     results = []
-    for hot in (np.empty(0, np.uint64), hashes):
-        strings = pa.Table.from_batches(suffix._strings([batch], every, Shared(hot)))
+    for hot in (None, every):
+        strings = pa.Table.from_batches(suffix._strings([batch], every, hot))
         done = [(x["tid"], x["first"], x["stop"]) for x in strings.to_pylist() if x["string"] is None]
         rows = strings.filter(pa.compute.is_valid(strings["string"])).sort_by("hash").to_batches()
         for out in suffix._intervals(rows):
@@ -126,3 +124,21 @@ def test_anchor_of_a_window_depends_on_its_bytes_alone():
         found.add((int(hashes[k[0]]), int(at[k[0]]) - n))
         assert len(k) == 1
     assert len(found) == 1
+
+
+def test_equal_windows_have_equal_keys_and_every_window_has_one():
+    r = random.Random(5)
+    for symbols in (b"ab", b"a", b"abcdefghij "):
+        texts = [bytes(r.choices(symbols, k=n)) for n in (0, 99, 100, 101, 400)]
+        shared = bytes(r.choices(symbols, k=140))
+        texts += [bytes(r.choices(symbols, k=n)) + shared + bytes(r.choices(symbols, k=n)) for n in (0, 3, 77, 200)]
+        raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        row, keys, at, lo, hi = suffix.keyed(raw, offsets)
+        of, seen = {}, set()
+        for k in range(len(keys)):
+            for s in range(int(lo[k]), int(hi[k]) + 1):
+                assert s not in seen and s + N <= offsets[row[k] + 1]
+                seen.add(s)
+                of.setdefault(raw[s:s + N].tobytes(), set()).add((int(keys[k]), int(at[k]) - s))
+        assert seen == {s for a, b in zip(offsets, offsets[1:]) for s in range(a, b - N + 1)}
+        assert all(len(x) == 1 for x in of.values())
