@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.llm.common import _BYTE, cut, drop, fresh, mix, row_of, ship, signed, slices, text_buffer
-from repohealth.llm.jaccard import SLICE, _shared_bitmap, in_bitmap
+from repohealth.llm.jaccard import _shared_bitmap, in_bitmap
 
 LENGTH = 100
 GRAM = 24
@@ -34,6 +34,7 @@ SIDE = (LENGTH - GRAM) // 2  # bytes beside an anchor that enter a key
 COLUMNS = SPAN - 1 + LENGTH
 HOT = 20_000  # occurrences of a key above which its windows are dealt out one by one
 CHUNK = 16_384
+SLICE = 1 << 18  # bytes of text that a task works on at a time; their hashes stay in the processor's cache
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -48,12 +49,12 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return mix(a[:n] * np.uint64(0xD6E8FEB86659FD93) + b[16:16 + n])
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray):
+def anchors(raw: np.ndarray, offsets: np.ndarray, grams: np.ndarray | None = None):
     """(row, hash, place, first start, last start) of the anchors of all rows; places are in the buffer."""
     n = len(raw) - LENGTH + 1
     if n <= 0:
         return (np.empty(0, np.int64), np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3)))
-    grams = gram_hashes(raw)
+    grams = gram_hashes(raw) if grams is None else grams
     row = row_of(offsets)
     place = (np.arange(len(raw)) - offsets[:-1][row]).astype(np.uint64)
     key = (grams & np.uint64(0xFFFFFFFF00000000)) | place[:len(grams)]
@@ -78,10 +79,10 @@ def keyed(raw: np.ndarray, offsets: np.ndarray):
     Windows with more than SIDE bytes before the anchor have the key of SIDE bytes and the anchor, the others that of the
     anchor and the SIDE bytes after it.
     """
-    row, _, at, first, last = anchors(raw, offsets)
+    grams = gram_hashes(raw)
+    row, _, at, first, last = anchors(raw, offsets, grams)
     if not len(at):
         return row, np.empty(0, np.uint64), at, first, last
-    grams = gram_hashes(raw)
     left, right = np.flatnonzero(at - first > SIDE), np.flatnonzero(at - last <= SIDE)
 
     def key(where, a, b, salt):
