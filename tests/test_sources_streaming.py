@@ -77,6 +77,37 @@ def test_custom_check_takes_part(spark):
         del scan.CHECKS["my-check"]
 
 
+def test_states_and_scores_of_a_scan(spark):
+    files = spark.createDataFrame([
+        ("a", "src/x.ts", "const x: any = 1;\nconst password = 1;"), ("a", "tsconfig.json", '{"compilerOptions": {"strict": true}}'),
+        ("b", "main.py", "x = 1"),
+    ], "repo_id string, path string, content string")
+    lines = spark.createDataFrame([("a", "src/x.ts", 1, "const x: any = 1;"), ("b", "main.py", 1, "x = 1")], "repo_id string, path string, line_no int, text string")
+    deps = spark.createDataFrame([("a", "p", "1.2.0")], "repo_id string, name string, current string")
+    known = spark.createDataFrame([("p", "ADV-1", "high", "t", "", "1.0.0", "2.0.0", None)], "name string, advisory_id string, severity string, title string, url string, lo string, hi string, fixed string")
+    kinds = spark.createDataFrame([("a", "web-app"), ("b", "library")], "repo_id string, archetype string")
+    facts = scan.Facts(files=files, lines=lines, deps=deps, advisories=known)
+    modules = ("type-safety", "security", "complexity", "api-health", "git-health")
+    found = scan.run_checks(facts, modules)
+    rows = scan.module_results(found, files, modules, facts, kinds)
+    got = {(r.repo_id, r.module_id): (r.state, r.score, r.confidence) for r in rows.collect()}
+    flags = files.where("path = 'tsconfig.json'").select(F.size(shape.strict_flags(F.col("content")))).first()[0]
+    assert got["a", "type-safety"] == ("completed", 100 - 2 - 5 * flags, 1.0)
+    assert got["a", "security"] == ("completed", 90, 1.0)
+    assert got["a", "complexity"][0] == "completed" and got["a", "complexity"][2] == 0.7
+    for module in ("type-safety", "security", "complexity"):
+        assert got["b", module] == ("insufficient_evidence", -1, 0.0)
+    assert got["a", "api-health"] == ("unavailable", -1, 0.0) and got["b", "api-health"] == ("not_applicable", -1, 0.0)
+    assert got["a", "git-health"] == got["b", "git-health"] == ("unavailable", -1, 0.0)
+    parts = [(got["a", "type-safety"], 1.05), (got["a", "security"], 1.0), (got["a", "complexity"], 1.05)]
+    mean = sum(score * sure * w for (_, score, sure), w in parts) / sum(sure * w for (_, _, sure), w in parts)
+    scores = {r.repo_id: r.overall_score for r in scan.weighted_scores(rows, kinds).collect()}
+    assert scores == {"a": int(mean + 0.5), "b": 0}
+    assert rows.join(found.groupBy("repo_id", "module_id").count(), ["repo_id", "module_id"]).where("findings <> count").count() == 0
+    empty = scan.module_results(found.limit(0), files.limit(0), modules, facts, kinds)
+    assert empty.count() == 0
+
+
 def stream_of(spark, df, folder, parts):
     """``df`` as a file stream of ``parts`` ordered files (column part)."""
     for i in range(parts):
