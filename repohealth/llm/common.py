@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repohealth.session import ensure_checkpoint_dir
+from repohealth.session import ensure_checkpoint_dir, ship  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 MASK = (1 << 64) - 1
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context; they need not have it installed.
-
-    Call it before functions of the package are handed to Spark.
-    """
-    context = spark.sparkContext
-    if getattr(context, "_repohealth_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "repohealth.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(top)))
-    context.addPyFile(path)
-    context._repohealth_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

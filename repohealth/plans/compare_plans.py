@@ -53,7 +53,7 @@ mt AS (SELECT po.repo_id, po.s_id, po.a_id, po.similarity, least(g.sn, g.an) AS
 
 @query("greedy_match", f"{GREEDY_SQL} SELECT * FROM mt")
 def _(t):
-    return CM.greedy_match(CM.similar_pairs(t["v_scan_side"], t["v_audit_side"]))
+    return CM.match_findings(t["v_scan_side"], t["v_audit_side"])
 
 
 def _remainder_sql(p: str, name: str) -> str:

@@ -101,3 +101,28 @@ def test_a_block_of_ties_takes_few_rounds(spark, monkeypatch):
     got = C.greedy_match(pairs).collect()
     assert len(written) < 2 * 20 and sum(r.matched for r in got) == 200
     assert len({r.a_id for r in got}) == 200 and all(r.matched == 1 for r in got)
+
+
+def test_crowded_names_give_the_same_pairs_once(spark):
+    for seed in (7, 8):
+        scan, audit = (spark.createDataFrame(rows, SCHEMA) for rows in fixture(seed))
+        s, a = C._numbered(scan, "file_path", "s"), C._numbered(audit, "file_path", "a")
+        paired, keyed = ([(r.s_no, r.a_no, round(r.similarity, 9)) for r in C._scored(s, a, n).collect()] for n in (10**6, 0))
+        assert sorted(paired) == sorted(keyed) and len({p[:2] for p in keyed}) == len(keyed) > 50
+
+
+def test_pairs_are_scored_where_they_are_made(spark):
+    scan, audit = (spark.createDataFrame(rows, SCHEMA) for rows in fixture(9))
+    plan = C.similar_pairs(scan, audit)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("s_id#" in line or "a_id#" in line for line in joins)
+
+
+def test_one_pass_and_rounds_match_alike(spark, monkeypatch):
+    scan, audit = (spark.createDataFrame(rows, SCHEMA) for rows in fixture(10))
+    pairs, written = C.similar_pairs(scan, audit), []
+    rounds = sorted(map(tuple, C.greedy_match(pairs, limit=0).collect()))
+    monkeypatch.setattr(C, "cut_lineage", lambda df, cut=C.cut_lineage: written.append(1) or cut(df))
+    assert sorted(map(tuple, C.greedy_match(pairs).collect())) == rounds != [] and len(written) == 2
+    monkeypatch.undo()
+    assert sorted(map(tuple, C.match_findings(scan, audit).collect())) == rounds
