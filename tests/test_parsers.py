@@ -134,3 +134,16 @@ def test_tabs_carriage_returns_and_lines_are_stripped(spark):
     assert tool_reports.parse_lcov(lines).count() == 1
     barrel = spark.createDataFrame([("lib/index.ts", '\texport * from "./a";\r\n\r\n')], "path string, content string")
     assert [r[0] for r in barrel.select(shape.is_barrel(F.col("path"), F.col("content"))).collect()] == [True]
+
+
+def test_phi_rules_query_reads_every_line(spark):
+    from repohealth.plans import REGISTRY
+
+    data = [(k, 1, 17) for k in range(45)]
+    part = spark.createDataFrame(data, "l_orderkey long, l_linenumber int, l_partkey long").selectExpr("*", "0L AS l_suppkey")
+    from repohealth.sources.views import Tables
+
+    tables = Tables(spark, "/none")
+    tables._cache["lineitem"] = part
+    got = {r.path for r in REGISTRY["phi_rules"].job(tables).collect()}
+    assert len(got) == 45 and any("node_modules" in p for p in got) and {p.rsplit(".", 1)[1] for p in got} == {"ts", "tsx", "js", "md", "py"}
