@@ -6,6 +6,7 @@ buckets and sends larger repositories through rounds over all of them.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ class Bucket:
         width = max(len(in_order), 1)
         keys, nodes = np.unique(repos.indices.to_numpy().astype("int64") * width + rank[names.indices.to_numpy()], return_inverse=True)
         order = np.lexsort((nodes[m:2 * m], nodes[:m]))
+        self.order = order
         self.n, self.src, self.dst, self.starts = len(keys), nodes[:m][order], nodes[m:2 * m][order], nodes[2 * m:]
         self.repo = keys // width
         self.at = np.searchsorted(self.src, np.arange(self.n + 1))
@@ -168,3 +170,68 @@ def short_cycles(rows: pa.Table, longest: int) -> Iterator[pa.RecordBatch]:
             new = (paths[path, 1:] != after[:, None]).all(axis=1)
             if new.any():
                 todo.append(np.column_stack([paths[path[new]], after[new]]))
+
+
+def _neighbours(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[list, list, list]:
+    """Both directions of the edges as (first place of each node, neighbour, weight), edges between the same nodes added up."""
+    keys, at = np.unique(np.concatenate([a * n + b, b * n + a]), return_inverse=True)
+    weight = np.bincount(at, np.tile(w, 2)).astype("int64")
+    return np.searchsorted(keys // n, np.arange(n + 1)).tolist(), (keys % n).tolist(), weight.tolist()
+
+
+def _moved(graph: tuple[list, list, list], k: list, m2: list, label: list) -> tuple[list, bool]:
+    """Labels after every node has moved to the neighbouring community with the largest gain until none gains."""
+    (at, to, weight), label, changed = graph, list(label), False
+    total = [0] * len(k)
+    for x, c in enumerate(label):
+        total[c] += k[x]
+    todo, waits = deque(range(len(k))), [True] * len(k)
+    while todo:
+        x = todo.popleft()
+        waits[x] = False
+        own, near = label[x], {label[x]: 0}
+        for i in range(at[x], at[x + 1]):
+            c = label[to[i]]
+            near[c] = near.get(c, 0) + weight[i]
+        total[own] -= k[x]
+        best, most = own, m2[x] * near[own] - k[x] * total[own]
+        for c, w in near.items():
+            gain = m2[x] * w - k[x] * total[c]
+            if gain > most:
+                best, most = c, gain
+        total[best] += k[x]
+        if best != own:
+            label[x], changed = best, True
+            for i in range(at[x], at[x + 1]):
+                y = to[i]
+                if label[y] != best and not waits[y]:
+                    waits[y] = True
+                    todo.append(y)
+    return label, changed
+
+
+def communities(rows: pa.Table) -> pa.Table:
+    """Communities of the weighted pairs (repo_id, src, dst, w) by modularity.
+
+    Nodes move, then whole communities, until none gains; then nodes again from
+    there. Every move gains, in whole numbers, so it ends.
+    """
+    g = Bucket(rows)
+    w = rows["w"].to_numpy()[g.order]
+    k = np.bincount(g.src, w, g.n).astype("int64") + np.bincount(g.dst, w, g.n).astype("int64")
+    m2 = np.bincount(g.repo, k).astype("int64")[g.repo]
+    nodes, label = _neighbours(g.n, g.src, g.dst, w), range(g.n)
+    while True:
+        label, changed = _moved(nodes, k.tolist(), m2.tolist(), label)
+        if not changed:
+            break
+        while changed:
+            first, of = np.unique(label, return_index=True, return_inverse=True)[1:]
+            n, a, b = len(first), of[g.src], of[g.dst]
+            cross = a != b
+            whole = np.bincount(of, k, n).astype("int64")
+            merged, changed = _moved(_neighbours(n, a[cross], b[cross], w[cross]), whole.tolist(), m2[first].tolist(), range(n))
+            label = np.array(merged)[of].tolist()
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    every = np.arange(g.n)
+    return pa.table({"repo_id": g.repos(every), "node": g.names(every), "community": g.names(first[of])})
