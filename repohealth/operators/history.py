@@ -29,9 +29,13 @@ def with_fingerprint(findings: DataFrame) -> DataFrame:
 
 
 def ranked_findings(scans: DataFrame, findings: DataFrame, n: int) -> DataFrame:
-    """Findings of the newest ``n`` scans per repository with repo_id, scan_rank and fingerprint."""
+    """Findings of the newest ``n`` scans per repository with repo_id, scan_rank and fingerprint.
+
+    Findings are wide and many, scans few and narrow: the scans of a partition are
+    hashed, so the findings are not sorted and do not spill.
+    """
     ranks = latest_scans(scans, n).select("repo_id", "scan_id", "scan_rank")
-    return with_fingerprint(findings.join(ranks, "scan_id"))
+    return with_fingerprint(findings.join(ranks.hint("shuffle_hash"), "scan_id"))
 
 
 def diff_findings(base: DataFrame, head: DataFrame, kind: str) -> DataFrame:

@@ -11,6 +11,7 @@ from repohealth.operators.ordered import latest_per_key, top_per_key
 from repohealth.operators.scoring import PROFILE_WEIGHTS, overall_score, profile_weight
 from repohealth.plans.registry import query
 from repohealth.plans.sqltext import RANKED_SCANS, SEV_RANK, esum, half_up, ranked_findings
+from repohealth.session import cut_lineage
 
 OK = "((state IS NULL OR state = 'completed') AND score >= 0)"
 
@@ -161,7 +162,8 @@ SELECT a.repo_id, a.finding_id, a.fingerprint,
     ELSE 'new' END AS status
 FROM rf a JOIN n USING (repo_id) WHERE a.scan_rank = 1""")
 def _(t):
-    ranked = H.ranked_findings(t["v_scans"], t["v_rich_findings"], 3)
+    # read twice, so the findings meet their scans once
+    ranked = cut_lineage(H.ranked_findings(t["v_scans"], t["v_rich_findings"], 3).select("repo_id", "finding_id", "fingerprint", "scan_rank", "status"))
     counts = H.latest_scans(t["v_scans"], 3).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     return H.reconcile(ranked, counts).select("repo_id", "finding_id", "fingerprint", "status")
 
@@ -172,7 +174,8 @@ JOIN (SELECT repo_id, arg_max(scan_id, (created_at, scan_id)) AS scan_id FROM v_
 WHERE a.scan_rank = 2 AND a.status <> 'fixed' AND NOT EXISTS
   (SELECT 1 FROM rf b WHERE b.scan_rank = 1 AND b.repo_id = a.repo_id AND b.fingerprint = a.fingerprint)""")
 def _(t):
-    ranked = H.ranked_findings(t["v_scans"], t["v_rich_findings"], 2)
+    ranked = cut_lineage(H.ranked_findings(t["v_scans"], t["v_rich_findings"], 2).select(
+        "repo_id", "scan_id", "finding_id", "fingerprint", "module_id", "scan_rank", "status"))
     return H.tombstones(ranked, H.latest_scans(t["v_scans"], 1)).select("repo_id", "scan_id", "finding_id", "fingerprint", "module_id", "status")
 
 

@@ -104,3 +104,16 @@ def test_snapshot_delta_first_is_zero(spark):
     df = spark.createDataFrame([(1, 1, dt.datetime(2024, 1, 1), 50.0), (1, 2, dt.datetime(2024, 3, 1), 47.25)],
                                "repo_id long, snapshot_id long, ts timestamp_ntz, overall double")
     assert {r.snapshot_id: r.delta for r in H.snapshot_deltas(df).collect()} == {1: 0.0, 2: -2.7}
+
+
+def test_findings_meet_their_scans_once_and_unsorted(spark, monkeypatch):
+    from repohealth.plans import REGISTRY, history_plans
+    from repohealth.sources.views import Tables
+
+    plans = []
+    monkeypatch.setattr(history_plans, "cut_lineage", lambda df, cut=history_plans.cut_lineage: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or cut(df), raising=False)
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    for name in ("reconcile", "tombstones"):
+        assert REGISTRY[name].job(tables).count() > 0
+    assert len(plans) == 2 and all("ShuffledHashJoin" in p and "SortMergeJoin" not in p for p in plans)
