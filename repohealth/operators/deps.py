@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repohealth.functions.scalars import exact_sum, half_up, semver
 from repohealth.functions.severity import lookup, tool_severity
-from repohealth.sources.tool_reports import cargo_severity
+from repohealth.sources.tool_reports import cargo_step
 
 # Share of a full penalty an outdated package costs.
 OUTDATED_WEIGHTS = {"critical": 1.0, "high": 0.8, "medium": 0.5, "low": 0.2, "info": 0.05}
@@ -33,22 +33,31 @@ def vulnerable_deps(deps: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def npm_severity(current: Column, latest: Column) -> Column:
-    a, b = semver(current), semver(latest)
+    return npm_step(semver(current), semver(latest))
+
+
+def npm_step(a: Column, b: Column) -> Column:
+    """Severity of the step between two parsed versions."""
     majors, minors = b[0] - a[0], b[1] - a[1]
     return F.when(majors >= 2, "high").when(majors >= 1, "medium").when(minors > 0, "low").otherwise("info")
 
 
 def outdated_deps(deps: DataFrame, registry: DataFrame) -> DataFrame:
     """Dependencies behind the registry, with the severity under three ecosystems' rules; '--' means unknown."""
-    known = registry.where(F.col("latest") != "--")
-    rows = deps.join(known, "name").where(semver(F.col("current")) < semver(F.col("latest")))
-    current, latest = F.col("current"), F.col("latest")
+    # every version is parsed once, below the join: parsing in the filter and again for each severity costs most of the time
+    known = parsed(registry.where(F.col("latest") != "--"), "latest", "_b")
+    rows = parsed(deps, "current", "_a").join(known, "name").where(F.col("_a") < F.col("_b"))
     return rows.select(
-        "repo_id", "name", "current", "latest", npm_severity(current, latest).alias("severity"),
-        cargo_severity(current, latest).alias("cargo_severity"), F.lit("low").alias("go_severity"),
+        "repo_id", "name", "current", "latest", npm_step(F.col("_a"), F.col("_b")).alias("severity"),
+        cargo_step(F.col("_a"), F.col("_b")).alias("cargo_severity"), F.lit("low").alias("go_severity"),
     )
 
 
+def parsed(df: DataFrame, version: str, name: str) -> DataFrame:
+    """``df`` with the parts of a version, behind a generator so that no use of them parses it again."""
+    return df.withColumn(name, F.explode(F.array(semver(F.col(version)))))
+
+
 def dependency_score(deps: DataFrame, outdated: DataFrame) -> DataFrame:
     """Share of up-to-date packages, each outdated one weighted by its severity; 100 without packages."""
     declared = deps.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_declared"))

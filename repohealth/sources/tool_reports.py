@@ -257,7 +257,11 @@ def parse_update_log(lines: DataFrame) -> DataFrame:
 
 
 def cargo_severity(current: Column, latest: Column) -> Column:
-    a, b = semver(current), semver(latest)
+    return cargo_step(semver(current), semver(latest))
+
+
+def cargo_step(a: Column, b: Column) -> Column:
+    """Severity of the step between two parsed versions."""
     return F.when(a[0] != b[0], "high").when(a[1] != b[1], "medium").otherwise("low")
 
 
