@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import extension, present
-from repohealth.functions.scalars import clamp, count_if, exact_avg, half_up, matches, strict_json, strip, strip_json_comments
+from repohealth.functions.scalars import clamp, computed_once, count_if, exact_avg, half_up, matches, strict_json, strip, strip_json_comments
 from repohealth.functions.severity import soften
 from repohealth.operators import shape
 from repohealth.operators.ordered import top_per_key
@@ -263,23 +263,27 @@ CONFIG_TIERS = ("pro", "max", "max-x20", "api")
 
 # The commands a configuration may override.
 CONFIG_COMMANDS = ("build", "lint", "typecheck", "test", "ci")
+CONFIG_PARTS = ("commands", "modules", "ignore", "auditPrompts", "classify")
 
 
 def validate_config(docs: DataFrame) -> DataFrame:
     """One row per violation in a configuration document; a document that does not parse is one violation."""
-    doc = strict_json(F.col("doc"))
-    no = F.lit(False)
+    doc, no = F.col("_doc"), F.lit(False)
     profile = F.try_variant_get(doc, "$.profile", "string")
     tier = F.try_variant_get(doc, "$.tier", "string")
     budget = F.try_variant_get(doc, "$.aiTokenBudget", "double")
     limits = F.map_values(F.from_json("doc", "thresholds map<string,double>")["thresholds"])
+    # a text is parsed once, and each part taken out of it once, for all that is asked of them
+    rows = computed_once(docs.select("repo_id", "doc", strict_json(F.col("doc")).alias("_doc")))
+    rows = computed_once(rows.select("*", *[F.try_variant_get(doc, f"$.{name}", "variant").alias(f"_{name}") for name in CONFIG_PARTS]))
+    rows = computed_once(rows.select("*", *[F.from_json(F.to_json(F.col(f"_{name}")), "map<string,variant>").alias(f"_{name}_entries") for name in CONFIG_PARTS]))
 
     def part(name: str) -> Column:
-        return F.try_variant_get(doc, f"$.{name}", "variant")
+        return F.col(f"_{name}")
 
     def entries(name: str) -> Column:
         """Key and value of an object, as variants; null for anything else."""
-        return F.from_json(F.to_json(part(name)), "map<string,variant>")
+        return F.col(f"_{name}_entries")
 
     def kind(value: Column) -> Column:
         return F.schema_of_variant(value)
@@ -315,7 +319,7 @@ def validate_config(docs: DataFrame) -> DataFrame:
         hit(odd("auditPrompts", lambda v: kind(v) == "STRING"), "prompt is not a text"),
         hit(odd("classify", lambda v: (kind(v) == "STRING") | texts(v)), "role is neither text nor a list of texts"),
     ))
-    return docs.select("repo_id", F.explode(found).alias("violation"))
+    return rows.select("repo_id", F.explode(found).alias("violation"))
 
 
 def complexity_facts(files: DataFrame) -> DataFrame:

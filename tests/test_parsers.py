@@ -156,3 +156,9 @@ def test_outdated_versions_are_parsed_once_a_side(spark):
     assert sorted((r.name, r.severity, r.cargo_severity) for r in rows.collect()) == [("a", "high", "high"), ("b", "low", "medium"), ("d", "info", "low")]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("regexp_replace(") <= 12  # three parts a side, each tested and then read
+
+
+def test_config_document_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, "{}")], "repo_id int, doc string").where("length(doc) > 1")
+    plan = validate_config(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") == 2  # the condition and the value of strict_json

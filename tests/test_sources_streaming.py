@@ -7,6 +7,7 @@ from repohealth import scan
 from repohealth.operators import history as H
 from repohealth.operators import shape
 from repohealth.sources import documents, files, results, snapshots
+from repohealth.sources.views import Tables
 from repohealth.streaming import jobs
 
 
@@ -175,3 +176,9 @@ def test_incremental_reconcile_equals_batch(spark, tmp_path, rows):
     want = H.reconcile(ranked, counts).unionByName(H.tombstones(ranked, H.latest_scans(scans, 3)))
     assert rows(spark.read.parquet(out).select(*cols)) == rows(want.select(*cols))
     assert ("y", "regressed") in {(r.message, r.status) for r in want.collect()}
+
+
+def test_rows_of_narrow_tables_are_dealt_out_before_their_texts_are_made(spark):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    for view in ("v_code_files", "v_sliced_files", "v_config_docs"):
+        assert "REPARTITION_BY_COL" in tables[view]._jdf.queryExecution().executedPlan().toString()
