@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repohealth.functions.paths import dirname
-from repohealth.functions.scalars import strip
+from repohealth.functions.scalars import keep_found, strip
 from repohealth.functions.severity import lookup
 from repohealth.operators.ordered import first_per_key
 from repohealth.session import cut_lineage
@@ -40,8 +40,20 @@ FILE_EXEMPT_ROLES = ("cli-entrypoint", "mcp-tool", "provider", "api-route")
 EXPORT_EXEMPT_ROLES = ("public-api", "ui-kit", "provider")
 
 
+# Texts that every match of a pattern contains: a plain search for them comes before the pattern.
+NEEDS = {
+    **dict(zip(IMPORT_PATTERNS, (("import", "from"), ("import",), ("require",), ("import",), ("export", "from")))),
+    NAMED_IMPORT: ("import", "{", "from"), EXPORT_NAME: ("export",), EXPORT_LIST: ("export", "{"),
+    NAMESPACE_IMPORT: ("import", "*", "from"), DEFAULT_IMPORT: ("import", "from"), MIXED_IMPORT: ("import", "{", "from"),
+    EXPORT_FROM: ("export", "{", "from"), EXPORT_ALL: ("export", "*", "from"), EXPORT_ALL_AS: ("export", "*", "from"), DEFAULT_EXPORT: ("export", "default"),
+}
+
+
 def _all(content: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
+    found, there = F.regexp_extract_all(content, F.lit(pattern), F.lit(group)), F.lit(True)
+    for text in NEEDS.get(pattern, ()):
+        there = there & F.contains(content, F.lit(text))
+    return F.when(content.isNull() | there, found).otherwise(F.array().cast("array<string>"))
 
 
 def _first_names(text: Column) -> Column:
@@ -101,7 +113,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     joined = F.when(spec.startswith("@/"), F.substr(spec, F.lit(3))).otherwise(
         F.concat(dirname(F.col("path"), ""), F.lit("/"), spec)
     )
-    wanted = imports.withColumn("_name", collapse_dots(joined)).where(F.col("_name").isNotNull())
+    wanted = keep_found(imports, "_name", collapse_dots(joined))
 
     path = F.col("path")
     ext = F.regexp_extract(path, r"(\.(?:ts|tsx|js|jsx|mts|mjs))$", 1)

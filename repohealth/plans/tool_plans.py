@@ -12,6 +12,7 @@ from repohealth.operators.shape import file_roles, manifest_deps, manifests
 from repohealth.plans.registry import REGISTRY, query
 from repohealth.plans.rule_plans import _resolved
 from repohealth.plans.sqltext import case, half_up
+from repohealth.session import cut_lineage
 from repohealth.functions.severity import TOOL_SEVERITIES
 from repohealth.sources import tool_reports as R
 
@@ -222,7 +223,7 @@ SELECT a.repo_id, a.n AS files, coalesce(b.n, 0) AS exports, coalesce(c.n, 0) AS
 @query("dead_code_score", _dead_sql())
 def _(t):
     scripts = t["v_code_files"].where(F.rlike("path", F.lit(r"\.(ts|tsx|js|jsx)$")))
-    roles, resolved = file_roles(scripts), _resolved(t)
+    roles, resolved = file_roles(scripts), cut_lineage(_resolved(t))  # read three times
 
     def count(rows, name):
         return rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias(name))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from repohealth.operators import code
 
 FILES = {
@@ -33,3 +35,26 @@ def test_nothing_exported(spark):
     files = spark.createDataFrame([("r", "a.ts", "x")], "repo_id string, path string, content string")
     resolved = code.resolve_imports(code.extract_imports(files), files)
     assert code.dead_exports(files, resolved, files.selectExpr("repo_id", "path", "CAST(array() AS array<string>) AS roles")).count() == 0
+
+
+def test_plain_searches_do_not_change_matches(spark, monkeypatch):
+    texts = ["import { a as b } from './x'", "import x, { y } from \"./m\"", "export * as n from './n'\nexport { p, q as r } from './p'", "require('./r')\nimport('./d')",
+             "export default function f() {}\nexport { g }", "import './side'", "import * as s from './s'", "export * from './t'", "importer from", "", None]
+    files = spark.createDataFrame([("r", f"f{i}.ts", x) for i, x in enumerate(texts)], "repo_id string, path string, content string")
+    patterns = (*code.IMPORT_PATTERNS, code.NAMED_IMPORT, code.EXPORT_NAME, code.EXPORT_LIST, code.NAMESPACE_IMPORT, code.DEFAULT_IMPORT, code.MIXED_IMPORT,
+                code.EXPORT_FROM, code.EXPORT_ALL, code.EXPORT_ALL_AS, code.DEFAULT_EXPORT)
+
+    def found():
+        return files.select("path", *[code._all(F.col("content"), p) for p in patterns]).orderBy("path").collect()
+
+    assert set(code.NEEDS) == set(patterns)
+    guarded = found()
+    monkeypatch.setattr(code, "NEEDS", {})
+    assert guarded == found()
+
+
+def test_import_names_are_worked_out_once(spark):
+    files = spark.createDataFrame([("r", "a.ts", "import './b'"), ("r", "b.ts", "")], "repo_id string, path string, content string").where("length(path) > 1")
+    plan = code.resolve_imports(code.extract_imports(files), files)._jdf.queryExecution().optimizedPlan().toString()
+    # one fold of the path segments, which a filter on its result would repeat
+    assert plan.count("aggregate(split(") <= 2 and [r.target for r in code.resolve_imports(code.extract_imports(files), files).collect()] == ["b.ts"]
