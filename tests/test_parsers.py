@@ -162,3 +162,18 @@ def test_config_document_is_parsed_once(spark):
     df = spark.createDataFrame([(1, "{}")], "repo_id int, doc string").where("length(doc) > 1")
     plan = validate_config(df)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("parsejson") == 2  # the condition and the value of strict_json
+
+
+def test_plain_words_do_not_change_silos(spark, monkeypatch):
+    texts = ["See NOTION", "per slack discussion", "see wiki", "per Jira", "Documented in Wiki", "https://a.notion.so/x", "https://a.atlassian.net/browse/A-1",
+             "https://a.Atlassian.net/wiki/x", "https://confluence.x.y", "https://jira.x.y", "notional slackline", "see you", "", None]
+    lines = spark.createDataFrame([("r", f"d{i}.md", i, x) for i, x in enumerate(texts)], "repo_id string, path string, line_no int, text string")
+    found = sorted(map(str, rules.external_silos(lines).collect()))
+    assert len(found) == 10
+    monkeypatch.setattr(rules, "SILO_WORDS", ("",))
+    assert found == sorted(map(str, rules.external_silos(lines).collect()))
+
+
+def test_keys_of_lines_are_runs_a_rule_can_need(spark):
+    got = values(spark, [("a-bcd_1 é x😀yz9 bcd",), ("ab",), (None,), ("",)], "t string", rules._grams(F.lower("t")))
+    assert [g[0] for g in got] == [["bcd", "cd_", "d_1", "yz9"], [], None, []]
