@@ -177,3 +177,16 @@ def test_plain_words_do_not_change_silos(spark, monkeypatch):
 def test_keys_of_lines_are_runs_a_rule_can_need(spark):
     got = values(spark, [("a-bcd_1 é x😀yz9 bcd",), ("ab",), (None,), ("",)], "t string", rules._grams(F.lower("t")))
     assert [g[0] for g in got] == [["bcd", "cd_", "d_1", "yz9"], [], None, []]
+
+
+def test_texts_before_patterns_do_not_change_hits(spark):
+    from dataclasses import replace
+
+    texts = ["Password = 'abcdefgh'", "API-KEY: \"12345678\"", "x_Token='" + "Q" * 44 + "'", "auth = '" + "a" * 40 + "'", "CREDENTIAL: '" + "b" * 41 + "='", "password",
+             "let a: any", "b as any;", "<any>c", "many", "d as unknown as E", "user!.name", "// @ts-ignore", "// @ts-expect-error", "sk-" + "a" * 24, "", None]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "n int, text string")
+    for table in (rules.SECRET_RULES, rules.TYPE_RULES):
+        assert all(r.literals or r.any_of for r in table)
+        fast = sorted((r.n, r.rule_id) for r in rules.match_rules(lines, table).collect())
+        slow = sorted((r.n, r.rule_id) for r in rules.match_rules(lines, [replace(r, literals=(), any_of=()) for r in table]).collect())
+        assert fast == slow and len(fast) >= 6
