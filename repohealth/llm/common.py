@@ -49,6 +49,17 @@ def cut(df: DataFrame, label: str = "table") -> DataFrame:
     return kept
 
 
+def cut_shuffled(df: DataFrame, label: str = "table") -> DataFrame:
+    """``cut``, after which the shuffled files that led to the table are removed too; ``df`` is not run again."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return cut(df, label)
+    finally:
+        conf.set(name, before)
+
+
 def remove(spark: SparkSession, paths) -> None:
     """Delete scratch tables that nothing will read again."""
     for path in paths:

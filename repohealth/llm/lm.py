@@ -1,9 +1,10 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Words are counted over all training documents and their counts go back, by a join, to the blocks of documents that
-contain them. N-grams of two and more words go the same way: those seen twice or more are counted in a shuffled table and
-joined back to the blocks in which they occur, and each block builds the part of the automaton that its documents can
-reach. Both tables grow with the input; neither is collected or broadcast.
+Words are counted over all training documents and their counts go back to the blocks of documents that contain them.
+N-grams of two and more words go the same way: a block sends its own by ranges of hashes, those seen twice or more are
+kept, and the counts come back to every block in the order in which it sent them. One block for each kept n-gram reports
+it to its context, whose sums come back likewise. Each block then builds the part of the automaton that its documents can
+reach. All of this grows with the input; nothing is collected or broadcast but totals.
 
 A state is a context that has arcs; its failure arc leads to the context without its first word and costs the backoff
 weight. The root has an arc for every known word and one for all unknown words. One left-to-right traversal carries the
@@ -24,16 +25,39 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repohealth.llm.common import crc_mod, cut, find, mix, per_row, row_of, ship, signed, slices, text_buffer, window_hashes, word_hashes, words
-from repohealth.llm.jaccard import _shared_bitmap, in_bitmap
+from repohealth.llm.common import crc_mod, cut, cut_shuffled, find, mix, per_row, row_of, ship, slices, text_buffer, window_hashes, word_hashes, words
 
 ORDER = 3
 SHARE = 0.0  # n-grams below this share of the training tokens are left out; those seen once always are
 BLOCK_BYTES = 12 << 20
+STRETCH = 256  # tokens, at least 2 * ORDER
 END = mix(np.array([3], np.uint64))[0]  # the token after the last word of a document
 
-FACTS = "block long, word long, trained long, doc_id long, held_out boolean, number int, ids binary"
-NAMES = [x.split()[0] for x in FACTS.split(", ")]
+FACTS = "block long, n_tokens long, trained_tokens long, doc_id array<long>, held_out array<boolean>, n array<long>, words binary, ids binary"
+SENT = "bucket long, kind int, block long, gram binary, n binary, types binary"
+ANSWERS = "k_block long, kind int, bucket long, n binary, types binary, new long"
+GROUP_TOKENS = 1 << 21  # tokens of the input for each bucket of n-grams
+FEWEST = 16  # buckets of small inputs
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: the first bytes of all numbers, then the second ones and so on."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    import pyarrow as pa
+
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
 
 
 def token_hashes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -66,75 +90,191 @@ def _blocks(batches, size: int):
 
 
 def _facts(batches):
+    """One row for each block of documents: its documents, the hashes of its words by number, the numbers of its tokens."""
     import pyarrow as pa
 
     part = TaskContext.get().partitionId()
     for k, batch in enumerate(_blocks(batches, BLOCK_BYTES)):
-        block = part << 32 | k
         tokens, places = token_hashes(batch.column("text"))
-        held_out = batch.column("held_out").to_numpy(zero_copy_only=False)
+        held_out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         distinct, ids = np.unique(tokens, return_inverse=True)
-        trained = np.bincount(ids, np.repeat(~held_out, np.diff(places)), len(distinct)).astype(np.int64)
         # frequent words get small numbers, which compress well
         by_use = np.argsort(-np.bincount(ids, minlength=len(distinct)), kind="stable")
         number = np.empty(len(distinct), np.uint32)
         number[by_use] = np.arange(len(distinct), dtype=np.uint32)
-        n = len(distinct)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, block)), pa.array(signed(distinct[by_use])), pa.array(trained[by_use]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()),
-            pa.array(np.arange(n, dtype=np.int32)), pa.nulls(n, pa.binary()),
-        ], names=NAMES)
-        raw = number[ids].astype("<u4").tobytes()
-        n = batch.num_rows
-        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((places * 4).astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, block)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.nulls(n, pa.int32()), data,
-        ], names=NAMES)
+        n = np.diff(places)
+        row = [part << 32 | k, len(tokens), int(n[~held_out].sum()), batch.column("doc_id").cast(pa.int64()), held_out, n, _pack(distinct[by_use]), _pack(number[ids])]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        arrays = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) if pa.types.is_list(t) else pa.array([v], t) for v, t in zip(row, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=_names(FACTS))
 
 
-GRAMS = "block long, gram long, prefix long, trained long"
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, a place of each, and the number of each item among them."""
+    by = np.argsort(x)
+    in_order = x[by]
+    new = np.append(True, in_order[1:] != in_order[:-1])[:len(x)]
+    inverse = np.empty(len(x), np.int64)
+    inverse[by] = np.cumsum(new) - 1
+    return in_order[new], by[new], inverse
 
 
-def _ids(column) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts of a block and the n + 1 offsets of the texts."""
+@dataclass
+class Level:
+    """Distinct n-grams of a block by hash, the first position of each, its count in training documents, and the n-gram at each position or -1."""
+
+    gram: np.ndarray
+    first: np.ndarray
+    trained: np.ndarray
+    of: np.ndarray
+
+
+class Block:
+    """The facts of a block, and what was answered to it."""
+
+    def __init__(self, facts, answers=None):
+        import pyarrow.compute as pc
+
+        self.block = facts["block"][0].as_py()
+        lists = {c: facts[c].combine_chunks() for c in ("doc_id", "held_out", "n")}
+        lists = {c: pc.list_flatten(v) for c, v in lists.items()}
+        self.doc_id, self.held_out = lists["doc_id"], lists["held_out"]
+        self.places = np.concatenate([[0], np.cumsum(lists["n"].to_numpy())]).astype(np.int64)
+        self.words = _unpack(facts["words"][0].as_py(), np.uint64)
+        self.ids = _unpack(facts["ids"][0].as_py(), np.uint32).astype(np.int64)
+        self.x, self.row = self.words[self.ids], row_of(self.places)
+        self.trains = ~self.held_out.to_numpy(zero_copy_only=False).astype(bool)
+        self.answers = {}
+        if answers is not None:
+            answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+            for kind, n, types in zip(*(answers[c].to_pylist() for c in ("kind", "n", "types")), strict=True):
+                own = self.answers.setdefault(kind, ([], []))
+                own[0].append(_unpack(n, np.int64))
+                if types is not None:
+                    own[1].append(_unpack(types, np.int64))
+
+    def answer(self, kind: int, part: int = 0) -> np.ndarray:
+        """Numbers answered to the n-grams that were sent as ``kind``, in their order."""
+        return np.concatenate(self.answers.get(kind, ([], []))[part] or [np.empty(0, np.int64)])
+
+    def levels(self, last: int, least: int) -> list[Level]:
+        """Levels 1 to ``last``; above pairs, an n-gram is left out when one of the two shorter ones in it is not kept."""
+        by = np.argsort(self.words)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        of = rank[self.ids]
+        trains = self.trains[self.row]
+        found = [Level(self.words[by], np.empty(0, np.int64), np.bincount(of, trains, len(by)).astype(np.int64), of)]
+        for k in range(2, last + 1):
+            n = max(0, len(self.x) - k + 1)
+            fits = self.row[:n] == self.row[k - 1:] if n else np.empty(0, bool)
+            if k > 2:
+                below = found[-1].of
+                kept = (below >= 0) & np.append(np.abs(self.answer(k - 1)) >= least, False)[below]
+                fits &= kept[:n] & kept[1:n + 1]
+            at = np.flatnonzero(fits)
+            gram, first, inverse = _distinct(_windows(self.x, k)[at])
+            of = np.full(len(self.x), -1)
+            of[at] = inverse
+            found.append(Level(gram, at[first], np.bincount(inverse, trains[at], len(gram)).astype(np.int64), of))
+        return found
+
+
+def _sent(kind: int, block: int, buckets: int, gram: np.ndarray, n: np.ndarray | None = None, types: np.ndarray | None = None):
+    """Rows of ``SENT`` for sorted hashes: a row for each bucket, which holds a range of hashes."""
     import pyarrow as pa
 
-    ids = column.combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    buffer, offsets = text_buffer(ids)
-    return np.frombuffer(buffer.tobytes(), "<u4").astype(np.int64), offsets // 4
+    bucket = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(cuts))
 
+    def parts(x):
+        return pa.array([None if x is None else _pack(x[cuts[b]:cuts[b + 1]]) for b in used], pa.binary())
 
-def _windows(hashes: np.ndarray, order: int) -> np.ndarray:
-    return window_hashes(hashes, order) if order > 1 else hashes
+    m = len(used)
+    return pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, block, np.int64)), parts(gram), parts(n), parts(types)], names=_names(SENT))
+
+
+def _first_levels(order: int, buckets: int):
+    """Words and pairs of every block with their counts."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block(pa.Table.from_batches([batch.slice(i, 1)]))
+                for k, level in enumerate(block.levels(min(order, 2), 1), 1):
+                    yield _sent(k, block.block, buckets, level.gram, level.trained)
 
+    return run
 
-def _block_grams(table, order: int, shared):
-    """Distinct n-grams of the facts of a block, with their first words' hash and count in training documents.
 
-    An n-gram is left out when one of the two shorter ones in it is not in the bitmap of those that are kept.
+def _next_level(k: int, order: int, least: int, buckets: int):
+    """n-grams of ``k`` words with their counts, and contexts of k - 2 words: those of the block, and what this block has to report on them.
+
+    Each kept n-gram of k - 1 words is reported by one of its blocks.
     """
-    import pyarrow as pa
-    import pyarrow.compute as pc
+    def run(facts, answers):
+        import pyarrow as pa
 
-    word, texts = table.filter(pc.is_valid(table.column("word"))), table.filter(pc.is_valid(table.column("ids")))
-    tokens, places = _ids(texts.column("ids"))
-    hashes = np.zeros(word.num_rows, np.uint64)
-    hashes[word.column("number").to_numpy()] = word.column("word").to_numpy().view(np.uint64)
-    x, row = hashes[tokens], row_of(places)
-    n = max(0, len(x) - order + 1)
-    shorter = _windows(x, order - 1)
-    kept = in_bitmap(shared.value, shorter)
-    at = np.flatnonzero((row[:n] == row[order - 1:]) & kept[:n] & kept[1:n + 1]) if n else np.empty(0, np.int64)
-    grams, first, inverse = np.unique(_windows(x, order)[at], return_index=True, return_inverse=True)
-    trains = ~texts.column("held_out").to_numpy().astype(bool)
-    trained = np.bincount(inverse, trains[row[at]], len(grams)).astype(np.int64)
-    block = np.full(len(grams), table.column("block")[0].as_py(), np.int64)
-    return pa.table([pa.array(block), pa.array(signed(grams)), pa.array(signed(shorter[at][first])), pa.array(trained)], names=["block", "gram", "prefix", "trained"])
+        block = Block(facts, answers)
+        levels = block.levels(min(k, order), least)
+        out = [_sent(k, block.block, buckets, levels[k - 1].gram, levels[k - 1].trained)] if k <= order else []
+        contexts, longer, n = levels[k - 3], levels[k - 2], block.answer(k - 1)
+        own = np.flatnonzero(n <= -least)
+        prefix = contexts.of[longer.first[own]]
+        total, types = np.bincount(prefix, -n[own], len(contexts.gram)).astype(np.int64), np.bincount(prefix, minlength=len(contexts.gram))
+        some = np.flatnonzero(types)
+        out.append(_sent(2 - k, block.block, buckets, contexts.gram[some], total[some], types[some].astype(np.int64)))
+        out.append(_sent(2 - k, block.block, buckets, contexts.gram[np.abs(block.answer(k - 2)) >= least]))
+        return pa.Table.from_batches(out)
 
+    return run
 
-def _grams_of(order: int, shared):
-    return lambda table: _block_grams(table, order, shared)
+
+def _counted(least: int):
+    """Answers to all blocks of a bucket.
+
+    n-grams (kind 1, 2, ...): the count, 0 if it is not kept, negative for the one block that reports it. Contexts (kind
+    -1, -2, ...): sum and number of the counts reported.
+    """
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = []
+        for kind in pc.unique(table["kind"]).to_pylist():
+            rows = table.filter(pc.equal(table["kind"], kind))
+            asks = rows if kind > 0 else rows.filter(pc.is_null(rows["n"]))
+            lists = [_unpack(g, np.uint64) for g in asks["gram"].to_pylist()]
+            if not lists:
+                continue
+            cuts = np.cumsum([len(g) for g in lists])[:-1]
+            grams, new = np.concatenate(lists), [0] * len(lists)
+            if kind > 0:
+                given = np.concatenate([_unpack(n, np.int64) for n in asks["n"].to_pylist()])
+                distinct, first, inverse = _distinct(grams)
+                n = np.bincount(inverse, given, len(distinct)).astype(np.int64)
+                n[n < (1 if kind == 1 else least)] = 0
+                answer, types = n[inverse], None
+                answer[first] *= -1
+                new = [int((a < 0).sum()) for a in np.split(answer, cuts)]
+            else:
+                told = rows.filter(pc.is_valid(rows["n"]))
+                keys, total, number = (np.concatenate([_unpack(v, t) for v in told[c].to_pylist()] or [np.empty(0, t)]) for c, t in (("gram", np.uint64), ("n", np.int64), ("types", np.int64)))
+                distinct, inverse = np.unique(keys, return_inverse=True)
+                at = find(distinct, grams)
+                answer, types = (np.append(np.bincount(inverse, v, len(distinct)).astype(np.int64), 0)[at] for v in (total, number))
+            for block, bucket, n, t, m in zip(asks["block"].to_pylist(), asks["bucket"].to_pylist(), np.split(answer, cuts), [None] * len(lists) if types is None else np.split(types, cuts), new, strict=True):
+                out.append((block, kind, bucket, _pack(n), None if t is None else _pack(t), m))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=_names(ANSWERS))
+
+    return run
+
+
+def _windows(hashes: np.ndarray, order: int) -> np.ndarray:
+    return window_hashes(hashes, order) if order > 1 else hashes
 
 
 @dataclass
@@ -151,15 +291,23 @@ class Automaton:
     depth: int
 
     def traverse(self, tokens: np.ndarray, places: np.ndarray, hashes: np.ndarray, root_cost: np.ndarray) -> np.ndarray:
-        """log10 probability of every row of ``tokens``, which are places in ``hashes``; root_cost: of each of these."""
+        """log10 probability of every row of ``tokens``, which are places in ``hashes``; root_cost: of each of these.
+
+        Long rows are walked in stretches, all of them at once.
+        """
         kept = find(self.vocabulary, hashes)
-        n = np.diff(places)
-        by_length = np.argsort(-n, kind="stable")
-        begins, lengths = places[:-1][by_length], n[by_length]
-        total, state = np.zeros(len(n)), np.zeros(len(n), np.int64)
+        n = -(-np.diff(places) // STRETCH)
+        starts, ends = np.repeat(places[:-1], n), np.repeat(places[1:], n)
+        firsts = starts + STRETCH * (np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n))
+        # a state follows from the last ``depth`` words; what is spent on those before a stretch is written over by its neighbour
+        begins = np.maximum(firsts - self.depth, starts)
+        lengths = np.minimum(firsts + STRETCH, ends) - begins
+        by_length = np.argsort(-lengths, kind="stable")
+        begins, lengths = begins[by_length], lengths[by_length]
+        spent, state = np.zeros(len(tokens)), np.zeros(len(begins), np.int64)
         width = len(self.vocabulary)
-        # rows that still have a token at each position are the first ones
-        active = len(n) - np.searchsorted(lengths[::-1], np.arange(lengths[0] if len(n) else 0), "right")
+        # stretches that still have a token at each position are the first ones
+        active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0] if len(lengths) else 0), "right")
         for position, m in enumerate(active.tolist()):
             word = tokens[begins[:m] + position]
             k, s, cost, wait = kept[word], state[:m].copy(), np.zeros(m), np.ones(m, bool)
@@ -177,11 +325,9 @@ class Automaton:
             rest = np.flatnonzero(wait)
             cost[rest] += root_cost[word[rest]]
             s[rest] = np.where(k[rest] >= 0, self.entry[k[rest]], 0) if width else 0
-            total[:m] += cost
+            spent[begins[:m] + position] = cost
             state[:m] = s
-        out = np.empty(len(n))
-        out[by_length] = total
-        return out
+        return _row_sums(spent, places)
 
 
 def root_probability(count, tokens: int, types: int):
@@ -236,14 +382,14 @@ def build(kept: list[dict[tuple[int, ...], int]], tokens: int, types: int) -> Au
     return Automaton(vocabulary, fail, backoff, np.array(key, np.int64), np.array(cost), np.array(to, np.int64), entry, len(kept) - 1)
 
 
-def of_block(x: np.ndarray, ids: np.ndarray, places: np.ndarray, root: np.ndarray, hashes: np.ndarray, levels: list[dict[str, np.ndarray]]) -> Automaton:
+def of_block(ids: np.ndarray, root: np.ndarray, hashes: np.ndarray, levels: list[dict[str, np.ndarray]]) -> Automaton:
     """The part of the automaton that the texts of a block can reach.
 
-    x: word hash at each position, ids: its number; root: p of every word at the root, by number. levels: for each order
-    n, total and types (count, and sum and number of the counts of the kept n-grams one word longer); the first by word
-    number, the others with their sorted hashes as gram.
+    ids: word number at each position; root: p of every word at the root, by number. levels: for each order n, total and
+    types (count, and sum and number of the counts of the kept n-grams one word longer); the first by word number, the
+    others by a number of their own, with the one at each position, or -1, as at.
     """
-    row, order = row_of(places), len(levels)
+    order = len(levels)
     vocabulary = np.unique(hashes)
     number_in = find(vocabulary, hashes)
     width = len(vocabulary)
@@ -253,14 +399,11 @@ def of_block(x: np.ndarray, ids: np.ndarray, places: np.ndarray, root: np.ndarra
     down = np.zeros(len(root), np.int64)  # state of the longest context inside the shorter n-gram
     for n in range(1, order + 1):
         if n > 1:
-            size = max(0, len(x) - n + 1)
-            found = np.full(len(x), -1)
-            if size:
-                found[:size] = np.where(row[:size] == row[n - 1:], find(levels[n - 1]["gram"], _windows(x, n)), -1)
+            found = levels[n - 1]["at"]
             at = np.flatnonzero(found >= 0)
             of, first = np.unique(found[at], return_index=True)
             at = at[first]
-            entries = len(levels[n - 1]["gram"])
+            entries = len(levels[n - 1]["n"])
             before, after = np.zeros(entries, np.int64), np.zeros(entries, np.int64)
             before[of], after[of] = at_position[at], at_position[at + 1]
             c, t = level["n"][before], level["types"][before]
@@ -296,70 +439,53 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, share: float =
     ids stay null, further columns are not read. An empty table gives no rows.
 
     Words and n-grams are told apart by 64-bit hashes. Texts are read once for the facts, which are kept in the shared
-    folder and put together by block once for each order. What is shuffled is one row for each word or n-gram and block
-    of documents, and the documents of a block as numbers. A bitmap of fixed size thins out n-grams and never decides.
+    folder, a row for each block. What is shuffled are the sorted hashes of a block's n-grams, a row for each block and
+    bucket of hashes, the counts that come back in their order, and the facts once for each of order - 1 levels and once
+    for the scores. Shuffled files of a level are removed when its answers are written.
     """
     spark = docs.sparkSession
     ship(spark)
     source = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
     facts = cut(source.mapInArrow(_facts, FACTS), "lm-facts")
-    in_blocks = facts.where("word IS NOT NULL").select("block", "word", "trained")
-    counts = cut(in_blocks.where("trained > 0").groupBy(F.col("word").alias("c_word")).agg(F.sum("trained").alias("count")), "lm-counts")
-    tokens, types = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-
-    least = max(2, math.ceil(tokens * share))
-    shorter = counts.where(F.col("count") >= least).select(F.col("c_word").alias("gram"))
-    in_block, kept = [], []
-    for n in range(2, order + 1):
-        shared = spark.sparkContext.broadcast(_shared_bitmap(shorter, "gram"))
-        grams = cut(facts.groupBy("block").applyInArrow(_grams_of(n, shared), GRAMS), f"lm-grams-{n}")
-        found = grams.where("trained > 0").groupBy(F.col("gram").alias("c_word")).agg(F.sum("trained").alias("count"), F.min("prefix").alias("prefix"))
-        kept.append(cut(found.where(F.col("count") >= least), f"lm-kept-{n}"))
-        in_block.append(grams.select(F.col("block").alias("k_block"), F.col("gram").alias("word"), F.lit(-1).alias("number")))
-        shorter = kept[-1].select(F.col("c_word").alias("gram"))
-
-    def run(key, left, right):
+    every, tokens = facts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("trained_tokens"), F.lit(0))).first()
+    least, buckets = max(2, math.ceil(tokens * share)), FEWEST + every // GROUP_TOKENS
+
+    def answered(sent: DataFrame, label: str) -> DataFrame:
+        return cut_shuffled(sent.groupBy("bucket").applyInArrow(_counted(least), ANSWERS), label)
+
+    answers = answered(facts.mapInArrow(_first_levels(order, buckets), SENT), "lm-counts")
+    types = answers.where("kind = 1").agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
+    for k in range(3, order + 2):
+        sent = facts.groupBy("block").cogroup(answers.groupBy("k_block")).applyInArrow(_next_level(k, order, least, buckets), SENT)
+        answers = answers.unionByName(answered(sent, f"lm-level-{k}"))
+
+    def run(left, right):
         import pyarrow as pa
 
-        n = left.num_rows
-        columns = {c: right.column(c).to_numpy() for c in ("level", "word", "number", "n", "total", "types")}
-        of = [{c: v[columns["level"] == k] for c, v in columns.items()} for k in range(1, order + 1)]
-        number = of[0]["number"]
-        tokens_, places = _ids(left.column("ids"))
-        size = max(int(number.max()) + 1 if len(number) else 0, int(tokens_.max()) + 1 if len(tokens_) else 0)
-        hashes, counted = np.zeros(size, np.uint64), np.zeros(size)
-        hashes[number], counted[number] = of[0]["word"].view(np.uint64), of[0]["n"]
-        levels = [{"n": counted}]
-        for c in ("total", "types"):
-            levels[0][c] = np.zeros(size)
-            levels[0][c][number] = of[0][c]
-        for k in of[1:]:
-            by = np.argsort(k["word"].view(np.uint64))
-            levels.append({"gram": k["word"].view(np.uint64)[by], **{c: k[c][by].astype(float) for c in ("n", "total", "types")}})
-        model = of_block(hashes[tokens_], tokens_, places, root_probability(counted, tokens, types), hashes, levels)
+        block = Block(left, right)
+        levels, places, ids = block.levels(order, least), block.places, block.ids
+        number = find(levels[0].gram, block.words)
+        counted, parts = np.abs(block.answer(1))[number].astype(float), []
+        for k, level in enumerate(levels, 1):
+            n = np.abs(block.answer(k))
+            kept = n >= least
+            total, kinds = np.zeros(len(n)), np.zeros(len(n))
+            if k < order:
+                total[kept], kinds[kept] = block.answer(-k), block.answer(-k, 1)
+            if k == 1:
+                parts.append({"n": counted, "total": total[number], "types": kinds[number]})
+            else:
+                at = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)[level.of]
+                parts.append({"at": at, "n": n[kept].astype(float), "total": total[kept], "types": kinds[kept]})
+        model = of_block(ids, root_probability(counted, tokens, types), block.words, parts)
         root = np.log10(root_probability(counted, tokens, types))
         base = np.log10((counted + 0.1) / (tokens + 0.1 * (types + 1)))
         return pa.table([
-            left.column("doc_id"), left.column("held_out"), pa.array(np.diff(places)), pa.array(per_row(counted[tokens_] > 0, places)), pa.array(np.full(n, tokens)),
-            pa.array(_row_sums(base[tokens_], places)), pa.array(model.traverse(tokens_, places, hashes, root)),
-        ], names=[x.split()[0] for x in SCORES.split(", ")])
-
-    numbered = facts.where("word IS NOT NULL").select(F.col("block").alias("k_block"), "word", "number")
-    rows = None
-    for k, (blocks, counted_) in enumerate(zip([numbered, *in_block], [counts, *kept], strict=True), 1):
-        of = counted_.select("c_word", F.col("count").alias("n"))
-        if k <= len(kept):
-            longer = kept[k - 1].groupBy(F.col("prefix").alias("p_word")).agg(F.sum("count").alias("p_total"), F.count("*").alias("p_types"))
-            of = of.join(longer, F.col("c_word") == F.col("p_word"), "left")
-        else:
-            of = of.withColumns({"p_total": F.lit(None).cast("long"), "p_types": F.lit(None).cast("long")})
-        part = blocks.join(of, F.col("word") == F.col("c_word")).select(
-            "k_block", F.lit(k).alias("level"), "word", "number", "n", F.coalesce("p_total", F.lit(0)).alias("total"), F.coalesce("p_types", F.lit(0)).alias("types"),
-        )
-        rows = part if rows is None else rows.unionByName(part)
-    known = rows
-    texts = facts.where("ids IS NOT NULL").select("block", "doc_id", "held_out", "ids")
-    return texts.groupBy("block").cogroup(known.groupBy("k_block")).applyInArrow(run, SCORES)
+            block.doc_id, block.held_out, pa.array(np.diff(places)), pa.array(per_row(counted[ids] > 0, places)), pa.array(np.full(len(places) - 1, tokens)),
+            pa.array(_row_sums(base[ids], places)), pa.array(model.traverse(ids, places, block.words, root)),
+        ], names=_names(SCORES))
+
+    return facts.groupBy("block").cogroup(answers.groupBy("k_block")).applyInArrow(run, SCORES)
 
 
 def _row_sums(values: np.ndarray, places: np.ndarray) -> np.ndarray:

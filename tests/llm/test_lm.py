@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repohealth.llm import lm
+from repohealth.llm.common import scratch_paths
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = b"\n"
@@ -75,6 +76,23 @@ def test_ngrams_seen_twice_count_however_large_the_input(spark):
     assert got[5000].score > got[5001].score + 2
 
 
+def test_tables_and_shuffles_have_no_row_for_each_ngram(spark):
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(400)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    begun = len(scratch_paths(spark))
+    assert lm.score(docs, F.col("doc_id") % 5 == 0).count() == len(texts)
+    written = [spark.read.parquet(p).count() for p in scratch_paths(spark)[begun:]]
+    assert written and sum(written) < 1000  # of 24,000 tokens in two blocks: a row for each block, order and bucket at most
+
+
+def test_long_texts_in_stretches_have_the_states_of_one_walk(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices("abcdefgh", k=n)), i % 4 == 0) for i, n in enumerate([1, 255, 256, 257, 511, 513, 1500, 90])]
+    got = sorted(map(tuple, lm.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), F.col("held")).collect()))
+    assert [g[-1] for g in got] == pytest.approx([w[-1] for w in brute(rows, lm.ORDER, 0)], rel=1e-12)
+
+
 def test_probabilities_of_a_state_add_up_to_one():
     kept = [{(1,): 6, (2,): 4, (3,): 2}, {(1, 2): 3, (1, 3): 2}]
     model = lm.build(kept, tokens=15, types=5)
