@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repohealth.functions.scalars import clamp, count_if, exact_avg, half_up, semver, strict_json, strip
 from repohealth.functions.severity import diagnostic_severity, tool_severity
 from repohealth.operators.ordered import block, first_per_key, last_seen, top_per_key
+from repohealth.session import cut_lineage
 
 AUDIT = (
     "vulnerabilities map<string,struct<severity:string,via:array<string>,fixAvailable:string>>, "
@@ -212,12 +213,14 @@ def parse_diagnostics(lines: DataFrame, runs: DataFrame) -> DataFrame:
         F.when(F.rlike(text, F.lit("(?i)^error")), "high").otherwise("medium").alias("severity"), text.alias("message"),
     ))
     structured = lines.select("run_id", F.explode(F.array_compact(F.array(found))).alias("f")).select("run_id", "f.*")
-    failed = runs.where(F.col("exit_code") != 0).join(structured.select("run_id").distinct(), "run_id", "left_anti")
-    mine = lines.join(failed.select("run_id"), "run_id")
-    starts = mine.where(text != "").groupBy("run_id").agg(F.min("line_no").alias("_start"))
-    said = top_per_key(
-        mine.join(starts, "run_id").where(F.col("line_no") >= F.col("_start")), ["run_id"], [F.col("line_no"), F.col("text")], 8
-    ).groupBy("run_id").agg(strip(F.array_join(F.transform(
+    known = F.coalesce(place, F.lit(False)) | F.coalesce(paren, F.lit(False)) | F.coalesce(heading, F.lit(False))
+    facts = lines.groupBy("run_id").agg(F.bool_or(known).alias("_known"), F.min(F.when(text != "", F.col("line_no"))).alias("_start"))
+    failed = cut_lineage(runs.where(F.col("exit_code") != 0).select("run_id", "exit_code").join(facts, "run_id", "left").where(
+        ~F.coalesce("_known", F.lit(False))).select("run_id", "exit_code", "_start"))
+    # one small row for each run is held in memory, lines pass by it unsorted
+    starts = failed.where("_start IS NOT NULL").select("run_id", "_start").hint("shuffle_hash")
+    mine = lines.select("run_id", "line_no", "text").join(starts, "run_id").where(F.col("line_no") >= F.col("_start"))
+    said = top_per_key(mine, ["run_id"], [F.col("line_no"), F.col("text")], 8).groupBy("run_id").agg(strip(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), " ")).alias("message"))
     silent = F.concat(F.lit("Command exited with code "), F.col("exit_code").cast("string"), F.lit(" (no output captured)"))
     fallback = failed.join(said, "run_id", "left").select(

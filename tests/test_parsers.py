@@ -26,6 +26,24 @@ def test_diagnostics(spark):
     assert diag(spark, ["all fine"], 0) == []
 
 
+def test_diagnostics_of_many_runs_join_lines_without_sorting_them(spark):
+    lines = spark.createDataFrame(
+        [(1, 0, "a.c:1:2: warning: unused"), (1, 1, "boom"), (2, 0, " "), (2, 1, "x"), (2, 2, ""), (3, 0, None), (3, 1, "quiet"), (5, 0, "fine"), (None, 0, "lost")], "run_id int, line_no long, text string")
+    runs = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (3, 9), (4, 7), (5, 0), (None, 2)], "run_id int, exit_code int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        found = R.parse_diagnostics(lines, runs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.run_id or 0, r.message) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    twice = (2, "x x")
+    silent = "Command exited with code {} (no output captured)".format
+    assert got == [(0, silent(2)), (1, "warning: unused"), twice, twice, (3, "quiet"), (4, silent(7))]
+    assert plan.count("ShuffledHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+
+
 def test_lcov(spark):
     text = ["SF:a.ts", "LF:10", "LH:5", "end_of_record", "SF:b.ts", "LF:0", "LH:0", "end_of_record", "SF:c.ts", "LF:4", "LH:4"]
     lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text)], "report_id int, line_no long, text string")
