@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repohealth.llm.common import crc_mod, cut, cut_shuffled, find, mix, per_row, row_of, ship, slices, text_buffer, window_hashes, word_hashes, words
+from repohealth.llm.common import crc_mod, cut, cut_shuffled, find, mix, per_row, ship, slices, text_buffer, window_hashes, word_hashes, words
 
 ORDER = 3
 SHARE = 0.0  # n-grams below this share of the training tokens are left out; those seen once always are
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20  # of text; a worker takes about 20 times that, smaller blocks send more n-grams twice
 STRETCH = 256  # tokens, at least 2 * ORDER
 END = mix(np.array([3], np.uint64))[0]  # the token after the last word of a document
 
@@ -114,8 +114,8 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by = np.argsort(x)
     in_order = x[by]
     new = np.append(True, in_order[1:] != in_order[:-1])[:len(x)]
-    inverse = np.empty(len(x), np.int64)
-    inverse[by] = np.cumsum(new) - 1
+    inverse = np.empty(len(x), np.int32)
+    inverse[by] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return in_order[new], by[new], inverse
 
 
@@ -130,7 +130,7 @@ class Level:
 
 
 class Block:
-    """The facts of a block, and what was answered to it."""
+    """The facts of a block, and what was answered to it. Numbers kept for each position have 32 bits: a worker's memory follows from them."""
 
     def __init__(self, facts, answers=None):
         import pyarrow.compute as pc
@@ -141,8 +141,8 @@ class Block:
         self.doc_id, self.held_out = lists["doc_id"], lists["held_out"]
         self.places = np.concatenate([[0], np.cumsum(lists["n"].to_numpy())]).astype(np.int64)
         self.words = _unpack(facts["words"][0].as_py(), np.uint64)
-        self.ids = _unpack(facts["ids"][0].as_py(), np.uint32).astype(np.int64)
-        self.x, self.row = self.words[self.ids], row_of(self.places)
+        self.ids = _unpack(facts["ids"][0].as_py(), np.uint32)
+        self.x, self.row = self.words[self.ids], np.repeat(np.arange(len(self.places) - 1, dtype=np.int32), np.diff(self.places))
         self.trains = ~self.held_out.to_numpy(zero_copy_only=False).astype(bool)
         self.answers = {}
         if answers is not None:
@@ -160,11 +160,11 @@ class Block:
     def levels(self, last: int, least: int) -> list[Level]:
         """Levels 1 to ``last``; above pairs, an n-gram is left out when one of the two shorter ones in it is not kept."""
         by = np.argsort(self.words)
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(len(by), dtype=np.int32)
         of = rank[self.ids]
         trains = self.trains[self.row]
-        found = [Level(self.words[by], np.empty(0, np.int64), np.bincount(of, trains, len(by)).astype(np.int64), of)]
+        found = [Level(self.words[by], np.empty(0, np.int64), np.bincount(of[trains], minlength=len(by)), of)]
         for k in range(2, last + 1):
             n = max(0, len(self.x) - k + 1)
             fits = self.row[:n] == self.row[k - 1:] if n else np.empty(0, bool)
@@ -172,11 +172,11 @@ class Block:
                 below = found[-1].of
                 kept = (below >= 0) & np.append(np.abs(self.answer(k - 1)) >= least, False)[below]
                 fits &= kept[:n] & kept[1:n + 1]
-            at = np.flatnonzero(fits)
+            at = np.flatnonzero(fits).astype(np.int32)
             gram, first, inverse = _distinct(_windows(self.x, k)[at])
-            of = np.full(len(self.x), -1)
+            of = np.full(len(self.x), -1, np.int32)
             of[at] = inverse
-            found.append(Level(gram, at[first], np.bincount(inverse, trains[at], len(gram)).astype(np.int64), of))
+            found.append(Level(gram, at[first], np.bincount(inverse[trains[at]], minlength=len(gram)), of))
         return found
 
 
@@ -475,7 +475,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, share: float =
             if k == 1:
                 parts.append({"n": counted, "total": total[number], "types": kinds[number]})
             else:
-                at = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)[level.of]
+                at = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1).astype(np.int32)[level.of]
                 parts.append({"at": at, "n": n[kept].astype(float), "total": total[kept], "types": kinds[kept]})
         model = of_block(ids, root_probability(counted, tokens, types), block.words, parts)
         root = np.log10(root_probability(counted, tokens, types))

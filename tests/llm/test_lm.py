@@ -3,14 +3,17 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from repohealth.llm import lm
-from repohealth.llm.common import scratch_paths
+from repohealth.llm.common import PIECE, scratch_paths, text_buffer, word_hashes, words
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = b"\n"
@@ -113,3 +116,22 @@ def test_no_training_rows_and_no_rows(spark):
 def test_fold_is_crc32_of_the_id_as_text(spark):
     got = spark.range(50).select("id", lm.fold(F.col("id")).alias("held")).collect()
     assert all(r.held == (zlib.crc32(str(r.id).encode()) % 10 == 0) for r in got)
+
+
+def test_words_are_hashed_in_pieces():
+    texts = ["ab cd " * (PIECE // 4), "x" * (2 * PIECE) + " ab", None, "", "cd  " + " " * PIECE + "ab"]
+    raw, offsets = text_buffer(pa.array(texts))
+    starts, ends, _ = words(raw, offsets)
+    alone = {w: word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in (b"ab", b"cd", b"x" * (2 * PIECE))}
+    data = raw.tobytes()
+    assert word_hashes(raw, starts, ends).tolist() == [alone[data[a:b]] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def test_memory_of_a_block_while_its_words_are_hashed():
+    texts = pa.array(["some words of a text " * 1000] * 400)  # 8.4 MB
+    lm.token_hashes(texts[:1])
+    tracemalloc.start()
+    lm.token_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * texts.nbytes
