@@ -2,10 +2,15 @@
 
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from repohealth.llm import decontam
+from repohealth.llm import decontam, quality
 
 
 def words(r, n):
@@ -64,3 +69,22 @@ def test_empty_tables(spark):
     full = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontam.leaks(docs, full).count() == 0
     assert decontam.leaks(full.withColumnRenamed("item_id", "doc_id"), items).count() == 0
+
+
+@pytest.mark.parametrize("work", ["windows", "measures"])
+def test_memory_of_a_task_does_not_follow_its_batch(monkeypatch, work):
+    monkeypatch.setattr(decontam.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    text = ITEM + "\n" + words(random.Random(3), 100)
+
+    def peak(n):
+        batch = pa.RecordBatch.from_pydict({"doc_id": np.arange(n), "text": [text] * n, "host": np.zeros(n, np.int64)})
+        tracemalloc.start()
+        rows = decontam._windows([batch], range(1, 9), np.zeros(1 << decontam.FILTER_BITS, bool), False) if work == "windows" else quality._facts([batch])
+        for _ in rows:
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    peak(10)  # powers and the like
+    assert peak(8000) < 128 << 20  # of 6 MB of text
