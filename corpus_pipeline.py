@@ -5,6 +5,9 @@ dropped, and of rows that repeat an id all go when one of them is rejected. Null
 further columns are kept whatever their names, and an empty table gives an empty result at every stage.
 
 A stage keeps only the scratch tables that its result still reads; the others are gone when it returns.
+
+Texts go to the Python workers in batches of a few MB: by Spark's defaults a batch has 10,000 documents, which the
+executor and its workers hold several times over.
 """
 
 from __future__ import annotations
@@ -16,19 +19,29 @@ from repohealth.llm import decontam, jaccard, packing, quality, suffix
 from repohealth.llm.common import remove, scratch, table
 from repohealth.llm.queries import vocabulary
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session end at ``BATCH_BYTES``; rows stay whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; texts stay as they are."""
+    small_batches(spark)
     return quality.without_rejected(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate class stays."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages leave the texts, but for their first occurrence; n_chars follows. No document goes."""
+    small_batches(spark)
     found = suffix.without_repeats(docs)
     _, removed, _, _, text = found.columns[-5:]
     new = {"text": F.when(F.col("text").isNotNull(), F.col(text)), "n_chars": F.when(F.col(removed) > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long")}
@@ -37,11 +50,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
+    small_batches(spark)
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids, as pieces."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary())
 
 

@@ -106,3 +106,21 @@ def test_a_prefix_shingle_that_only_one_side_counts():
         late.append(set(s[chosen[chosen >= jaccard._head(n, 80)]].tolist()))
     shared = prefix[0] & prefix[1]
     assert shared and shared <= late[0] | late[1] | {int(x) for x in a[:jaccard._head(100, 80)] if x in set(b[:jaccard._head(80, 80)].tolist())}
+
+
+def test_texts_reach_the_workers_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.range(9000).selectExpr("id AS doc_id", "repeat('some text ', 200) AS text", "'x' AS source").coalesce(1)  # 18 MB
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch({"n": [batch.nbytes]})
+
+    try:
+        cp.small_batches(spark)
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * (4 << 20)
+    finally:
+        spark.conf.unset(key)
