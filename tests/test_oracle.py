@@ -29,5 +29,11 @@ def test_query(spark, con, name):
     assert outcome in ("ok", "rows only"), outcome
 
 
+def test_findings_of_the_whole_scan(spark, con):
+    """Their SQL is made of the SQL of other queries and changes with these."""
+    outcome, rows = compare(spark, con, FOLDER, REGISTRY["scan_findings"])
+    assert outcome == "ok" and rows
+
+
 def test_queries_without_an_oracle():
     assert {name for name, q in REGISTRY.items() if not q.sql} == {"greedy_match", "communities", "modularity"}

@@ -109,6 +109,19 @@ def test_states_and_scores_of_a_scan(spark):
     assert empty.count() == 0
 
 
+def test_compliance_check_reads_every_line(spark):
+    """As the query phi_rules does: whatever a file's language, and inside skipped folders."""
+    from repohealth.operators import rules
+
+    paths = ["src/a.ts", "src/b.js", "lib/c.py", "docs/d.md", "node_modules/p/e.ts", "Makefile"]
+    files = spark.createDataFrame([("r", p, "") for p in paths], "repo_id string, path string, content string")
+    lines = spark.createDataFrame([("r", p, 1, "let ssn = 1") for p in paths] + [("r", "lib/c.py", 2, "plain")], "repo_id string, path string, line_no int, text string")
+    found = scan.run_checks(scan.Facts(files=files, lines=lines), ("compliance-hipaa",))
+    got = sorted((r.file_path, r.line, r.severity) for r in found.collect())
+    assert got == sorted((r.path, r.line_no, r.severity) for r in rules.match_rules(lines, rules.phi_rules()).collect())
+    assert got == sorted((p, 1, "high") for p in paths)
+
+
 def stream_of(spark, df, folder, parts):
     """``df`` as a file stream of ``parts`` ordered files (column part)."""
     for i in range(parts):
