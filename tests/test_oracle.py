@@ -29,9 +29,10 @@ def test_query(spark, con, name):
     assert outcome in ("ok", "rows only"), outcome
 
 
-def test_findings_of_the_whole_scan(spark, con):
-    """Their SQL is made of the SQL of other queries and changes with these."""
-    outcome, rows = compare(spark, con, FOLDER, REGISTRY["scan_findings"])
+@pytest.mark.parametrize("name", ("scan_findings", "scan_results"))
+def test_whole_scan(spark, con, name):
+    """Its SQL is made of the SQL of other queries and changes with these."""
+    outcome, rows = compare(spark, con, FOLDER, REGISTRY[name])
     assert outcome == "ok" and rows
 
 

@@ -122,6 +122,15 @@ def test_compliance_check_reads_every_line(spark):
     assert got == sorted((p, 1, "high") for p in paths)
 
 
+def test_results_count_compliance_findings_of_all_files(spark):
+    files = spark.createDataFrame([("a", "src/a.ts", ""), ("b", "main.py", ""), ("c", "src/c.ts", "")], "repo_id string, path string, content string")
+    lines = spark.createDataFrame([("a", "src/a.ts", 1, "let ssn = 1"), ("a", "docs/a.md", 1, "res.send(mrn)"), ("b", "main.py", 1, "throw new Error(phi)"), ("c", "src/c.ts", 1, "plain")],
+                                  "repo_id string, path string, line_no int, text string")
+    facts, modules = scan.Facts(files=files, lines=lines), ("compliance-hipaa",)
+    rows = scan.module_results(scan.run_checks(facts, modules), files, modules, facts).collect()
+    assert {r.repo_id: (r.state, r.score, r.findings) for r in rows} == {"a": ("completed", 70, 2), "b": ("completed", 95, 1), "c": ("completed", 100, 0)}
+
+
 def stream_of(spark, df, folder, parts):
     """``df`` as a file stream of ``parts`` ordered files (column part)."""
     for i in range(parts):
